@@ -17,6 +17,7 @@ from ..functions.mathx import pct2, rnd
 from ..operators import clean as clean_ops
 from ..operators import knn as knn_ops
 from ..operators import route as route_ops
+from ..operators import traffic as traffic_ops
 from ..operators import validate as val_ops
 from ..session import table
 from . import sqlgen as S
@@ -230,3 +231,116 @@ SELECT intent, method, skip_rag, n, {S.pct2('n', 'sum(n) OVER ()')} AS share_pct
 def q_routing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions per intent x method and their share."""
     return route_ops.routing_profile(route_ops.route_questions(_user_turns(spark, sf_dir)))
+
+
+# ================================================ request traffic
+# events stand in for the request log: client = user_id, route = event_type,
+# duration = value seconds. One-day windows make a limit of 1 bite at this
+# data density (the operator is the same for one minute).
+RL_LIMIT = 1
+RL_WINDOW_S = 86400
+DAY_US = RL_WINDOW_S * 1_000_000
+
+
+def _fixed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return traffic_ops.fixed_window_limit(ev, RL_LIMIT, RL_WINDOW_S)
+
+
+FIXED_SQL = f"""
+SELECT event_id, user_id, event_type,
+       make_timestamp(epoch_us(ts) - (epoch_us(ts) % {DAY_US})) AS window_start,
+       row_number() OVER (PARTITION BY user_id, event_type, epoch_us(ts) - (epoch_us(ts) % {DAY_US})
+                          ORDER BY ts, event_id) <= {RL_LIMIT} AS allowed
+FROM events
+"""
+
+
+@register("rate_limit_fixed", oracle=FIXED_SQL)
+def q_rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per client x route and clock-aligned window, first n requests pass."""
+    return _fixed_verdicts(spark, sf_dir).select("event_id", "user_id", "event_type",
+                                                  "window_start", "allowed")
+
+
+@register("rate_limit_moving", oracle=f"""
+SELECT event_id, user_id, event_type,
+       count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts)
+                      RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW) AS attempts,
+       count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts)
+                      RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW) <= {RL_LIMIT} AS allowed
+FROM events
+""")
+def q_rate_limit_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 (attempt counting): requests of the key in the trailing window."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    out = traffic_ops.moving_window_attempts(ev, RL_WINDOW_S, RL_LIMIT)
+    return out.select("event_id", "user_id", "event_type",
+                      F.col("attempts").cast("long").alias("attempts"), "allowed")
+
+
+@register("admission_rates", oracle=f"""
+WITH v AS ({FIXED_SQL}), j AS (
+  SELECT v.window_start AS day, v.allowed, e.event_type = 'error' AS failed
+  FROM v JOIN events e USING (event_id)
+), g AS (
+  SELECT day, count(*) AS requests,
+         sum(CASE WHEN NOT allowed THEN 1 ELSE 0 END) AS rejected,
+         sum(CASE WHEN allowed AND NOT failed THEN 1 ELSE 0 END) AS completed
+  FROM j GROUP BY day
+)
+SELECT day, requests, rejected, completed,
+       {S.pct2('rejected', 'requests')} AS reject_rate,
+       {S.pct2('completed', 'requests')} AS completion_rate
+FROM g
+""")
+def q_admission_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 per day: rejected by the limiter, completed = admitted and not failed."""
+    v = (_fixed_verdicts(spark, sf_dir)
+         .withColumn("failed", F.col("event_type") == "error")
+         .withColumnRenamed("window_start", "day"))
+    out = traffic_ops.admission_rates(v, ("day",))
+    return out.select("day", "requests", F.col("rejected").cast("long").alias("rejected"),
+                      F.col("completed").cast("long").alias("completed"),
+                      "reject_rate", "completion_rate")
+
+
+HOUR_US = 3600 * 1_000_000
+
+
+@register("concurrency_profile", oracle=f"""
+WITH iv AS (
+  SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS e
+  FROM events
+), ev AS (
+  SELECT event_id, s AS t_at, 1 AS d FROM iv UNION ALL SELECT event_id, e AS t_at, -1 AS d FROM iv
+), run AS (
+  SELECT t_at, sum(d) OVER (ORDER BY t_at, d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active
+  FROM ev
+)
+SELECT make_timestamp(t_at - (t_at % {HOUR_US})) AS bucket_start, count(*) AS events,
+       CAST(max(active) AS BIGINT) AS peak, max(active) > {L.MAX_CONCURRENT_REQUESTS} AS over_limit
+FROM run GROUP BY t_at - (t_at % {HOUR_US})
+""")
+def q_concurrency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak active requests per hour (interval = ts + duration)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    return traffic_ops.concurrency_profile(ev, 3600)
+
+
+@register("latency_profile", oracle="""
+WITH g AS (
+  SELECT event_type, count(*) AS n, avg(value) AS avg_s, min(value) AS min_s,
+         max(value) AS max_s, sum(value) AS total_s
+  FROM events GROUP BY event_type
+)
+SELECT event_type, n, round(avg_s, 6) AS avg_s, min_s, max_s, round(total_s, 6) AS total_s,
+       round(total_s / sum(total_s) OVER (), 6) AS share
+FROM g
+""")
+def q_latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time per route (event_type) and its share of all time."""
+    ev = table(spark, sf_dir, "events").select("event_type", "value")
+    p = traffic_ops.latency_profile(ev)
+    return p.select("event_type", "n", rnd("avg_s").alias("avg_s"), "min_s", "max_s",
+                    rnd("total_s").alias("total_s"), rnd("share").alias("share"))

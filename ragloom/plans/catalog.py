@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.mathx import pct2, rnd
+from ..operators import chunk as chunk_ops
 from ..operators import clean as clean_ops
+from ..operators import keywords as kw_ops
 from ..operators import knn as knn_ops
 from ..operators import route as route_ops
 from ..operators import traffic as traffic_ops
 from ..operators import validate as val_ops
+from ..functions.text import split_sentences
 from ..session import table
 from . import sqlgen as S
 
@@ -344,3 +347,113 @@ def q_latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = traffic_ops.latency_profile(ev)
     return p.select("event_type", "n", rnd("avg_s").alias("avg_s"), "min_s", "max_s",
                     rnd("total_s").alias("total_s"), rnd("share").alias("share"))
+
+
+# ================================================== keywords and sentences
+TOP_KW = 10
+
+
+@register("ngram_keywords", oracle=f"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(text, {S.q(L.NGRAM_STRIP_CLASS)}, '', 'g') AS s FROM documents
+), g AS (
+  SELECT doc_id, substr(s, i, 2) AS gram FROM t, range(1, length(s)) r(i)
+  UNION ALL
+  SELECT doc_id, substr(s, i, 3) AS gram FROM t, range(1, length(s) - 1) r(i)
+), c AS (
+  SELECT doc_id, gram, count(*) AS n FROM g GROUP BY doc_id, gram
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank FROM c
+)
+SELECT doc_id, rank, gram, n FROM r WHERE rank <= {TOP_KW}
+""")
+def q_ngram_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten most frequent character 2/3-grams per document (in-row, no shuffle)."""
+    return kw_ops.ngram_keywords(table(spark, sf_dir, "documents"), TOP_KW)
+
+
+@register("tfidf_keywords", oracle=f"""
+WITH tok AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents
+), tf AS (
+  SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY doc_id, token
+), df AS (
+  SELECT token, count(*) AS df FROM tf GROUP BY token
+), n AS (SELECT count(*) AS n FROM documents),
+s AS (
+  SELECT tf.doc_id, tf.token, tf.tf, df.df, tf.tf * ln(n.n / df.df) AS score
+  FROM tf JOIN df USING (token) CROSS JOIN n
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, token) AS rank FROM s
+)
+SELECT doc_id, rank, token, tf, df, round(score, 6) AS score FROM r WHERE rank <= {TOP_KW}
+""")
+def q_tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-10 TF-IDF words per document over the whole corpus."""
+    out = kw_ops.tfidf_keywords(table(spark, sf_dir, "documents"), TOP_KW)
+    return out.select("doc_id", "rank", "token", "tf", "df", rnd("score").alias("score"))
+
+
+WESTERN_TERMINATORS = "[.!?。！？\n]+"
+
+
+@register("sentence_stats", oracle=f"""
+WITH s AS (
+  SELECT doc_id,
+         list_filter(list_transform(string_split_regex(text, {S.q(WESTERN_TERMINATORS)}),
+                                    lambda x: {S.strip('x')}),
+                     lambda x: length(x) >= {L.MIN_SENTENCE_LENGTH}) AS ss
+  FROM documents
+)
+SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences,
+       CAST(coalesce(list_sum(list_transform(ss, lambda x: length(x))), 0) AS BIGINT) AS sentence_chars,
+       CAST(coalesce(list_max(list_transform(ss, lambda x: length(x))), 0) AS BIGINT) AS longest
+FROM s
+""")
+def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 with Western terminators: sentences of 5+ characters per document."""
+    docs = table(spark, sf_dir, "documents")
+    ss = docs.select("doc_id", split_sentences(F.col("text"), WESTERN_TERMINATORS).alias("ss"))
+    lens = F.transform("ss", lambda x: F.length(x))
+    return ss.select("doc_id", F.size("ss").cast("long").alias("n_sentences"),
+                     F.aggregate(lens, F.lit(0).cast("long"), lambda a, b: a + b).alias("sentence_chars"),
+                     F.coalesce(F.array_max(lens), F.lit(0)).cast("long").alias("longest"))
+
+
+@register("chunks_fixed", oracle=f"""
+WITH d AS (
+  SELECT doc_id, source, text, length(text) AS n FROM documents
+  WHERE text IS NOT NULL AND length(text) > 0
+), c AS (
+  SELECT doc_id, source, text,
+         1 + CAST(ceil(greatest(n - {L.CHUNK_SIZE}, 0) / {float(L.CHUNK_SIZE - L.CHUNK_OVERLAP)}) AS BIGINT) AS cnt
+  FROM d
+)
+SELECT doc_id * {chunk_ops.CHUNK_ID_STRIDE} + i AS chunk_id, doc_id, i AS chunk_no,
+       substr(text, CAST(i * {L.CHUNK_SIZE - L.CHUNK_OVERLAP} + 1 AS BIGINT), {L.CHUNK_SIZE}) AS text, source
+FROM c, range(0, cnt) r(i)
+""")
+def q_chunks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 fixed-stride chunks (size 800, overlap 150) with metadata copied."""
+    return chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents"))
+
+
+@register("chunks_recursive")
+def q_chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 boundary-aware chunks (size 800, overlap 150); property-tested, no SQL oracle."""
+    return chunk_ops.chunk_documents(table(spark, sf_dir, "documents"))
+
+
+# ====================================================== conversations
+@register("conversation_history", oracle="""
+SELECT conv_id, turn, role,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
+       coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before,
+       lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role
+FROM conversations
+""")
+def q_conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered messages per conversation with position, context size, previous role."""
+    from ..operators import context as ctx_ops
+    return ctx_ops.conversation_history(table(spark, sf_dir, "conversations"))

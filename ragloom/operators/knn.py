@@ -78,8 +78,12 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool):
-    """Exact k nearest (distance, id) of each question row among the X rows."""
+def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool, metric: str = "l2"):
+    """Exact k nearest (distance, id) of each question row among the X rows.
+
+    ``metric="cosine"`` returns ``-cos`` as the distance (ascending order is
+    cosine descending); with integer-valued vectors it is exact.
+    """
     out_q, out_x, out_d = [], [], []
     if len(qids) == 0 or len(xids) == 0:
         return out_q, out_x, out_d
@@ -88,7 +92,10 @@ def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool):
     for s in range(0, len(xids), INNER_CHUNK):
         Xc = X[s:s + INNER_CHUNK]
         xn = np.einsum("ij,ij->i", Xc, Xc)
-        approx = qn[:, None] + xn[None, :] - 2.0 * (Q @ Xc.T)
+        if metric == "cosine":
+            approx = -_cos(Q @ Xc.T, qn[:, None] * xn[None, :])
+        else:
+            approx = qn[:, None] + xn[None, :] - 2.0 * (Q @ Xc.T)
         if exclude_self:
             approx[qids[:, None] == xids[None, s:s + INNER_CHUNK]] = np.inf
         kk = min(k, Xc.shape[0])
@@ -99,14 +106,24 @@ def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool):
         cand_x.append(xj[keep] + s)
     qi = np.concatenate(cand_q)
     xj = np.concatenate(cand_x)
-    diff = Q[qi] - X[xj]
-    exact = np.einsum("ij,ij->i", diff, diff)
+    if metric == "cosine":
+        exact = -_cos(np.einsum("ij,ij->i", Q[qi], X[xj]), qn[qi] * np.einsum("ij,ij->i", X[xj], X[xj]))
+    else:
+        diff = Q[qi] - X[xj]
+        exact = np.einsum("ij,ij->i", diff, diff)
     cand = pd.DataFrame({"q": qids[qi], "x": xids[xj], "d": exact})
     cand = cand.sort_values(["q", "d", "x"], kind="mergesort")
     top = cand.groupby("q", sort=False).head(k)
     return top["q"].to_numpy(), top["x"].to_numpy(), top["d"].to_numpy()
 
 
+def _cos(dot, norm_product):
+    """dot / sqrt(|q|^2 |x|^2), 0 where a norm is 0 (same operation order as SQL)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = dot / np.sqrt(norm_product)
+    return np.where(norm_product > 0, c, 0.0)
+
+
 def _blocks(n: int, rows_per_block: int, min_blocks: int = 1) -> int:
     return max(min_blocks, int(math.ceil(max(n, 1) / rows_per_block)))
 
@@ -115,9 +132,13 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
              q_id: str = "qid", q_vec: str = "embedding",
              x_id: str = "chunk_id", x_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = Q_BLOCK_ROWS,
-             x_block_rows: int = X_BLOCK_ROWS, min_x_blocks: int | None = None) -> DataFrame:
-    """J1 + W1: (qid, rank, id, distance) with rank 1..k, exact squared L2.
+             x_block_rows: int = X_BLOCK_ROWS, min_x_blocks: int | None = None,
+             metric: str = "l2") -> DataFrame:
+    """J1 + W1: (qid, rank, id, distance) with rank 1..k.
 
+    ``metric="l2"``: exact squared L2 distance. ``metric="cosine"``: rank by
+    cosine (descending); the output adds ``cosine`` and reports
+    ``distance = 2 - 2 cos`` (squared L2 between the unit vectors).
     Ids must be integral (bigint). ``exclude_self`` drops pairs with equal
     ids (self-join of one table).
     """
@@ -131,22 +152,27 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
 
     q = questions.select(F.col(q_id).cast("long").alias("_id"), F.col(q_vec).alias("_v"))
     x = index.select(F.col(x_id).cast("long").alias("_id"), F.col(x_vec).alias("_v"))
-    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(QB)))
-          .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.lit(XB - 1)))))
-    x = (x.withColumn("_xb", F.pmod(F.xxhash64("_id"), F.lit(XB)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
+    # both block keys must have one type on both sides, or cogroup cells do not line up
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(QB)).cast("long"))
+          .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.lit(XB - 1)).cast("array<bigint>"))))
+    x = (x.withColumn("_xb", F.pmod(F.xxhash64("_id"), F.lit(XB)).cast("long"))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<bigint>"))))
 
     def cell(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
         a, b, d = _cell_topk(qpdf["_id"].to_numpy(dtype=np.int64), _matrix(qpdf["_v"]),
                              xpdf["_id"].to_numpy(dtype=np.int64), _matrix(xpdf["_v"]),
-                             k, exclude_self)
+                             k, exclude_self, metric)
         return pd.DataFrame({"qid": np.asarray(a, dtype=np.int64),
                              "id": np.asarray(b, dtype=np.int64),
                              "distance": np.asarray(d, dtype=np.float64)})
 
     local = (q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb"))
              .applyInPandas(cell, "qid long, id long, distance double"))
-    return top_k(local, k, "qid", "distance", "id")
+    top = top_k(local, k, "qid", "distance", "id")
+    if metric == "cosine":
+        top = (top.withColumn("cosine", -F.col("distance"))
+               .withColumn("distance", F.lit(2.0) - F.lit(2.0) * F.col("cosine")))
+    return top
 
 
 def top_k(hits: DataFrame, k: int, part: str = "qid", dist: str = "distance",

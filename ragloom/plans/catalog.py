@@ -17,6 +17,8 @@ from ..functions.mathx import pct2, rnd
 from ..operators import chunk as chunk_ops
 from ..operators import clean as clean_ops
 from ..operators import keywords as kw_ops
+from ..operators import embed as embed_ops
+from ..operators import evaluate as eval_ops
 from ..operators import knn as knn_ops
 from ..operators import route as route_ops
 from ..operators import traffic as traffic_ops
@@ -457,3 +459,200 @@ def q_conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered messages per conversation with position, context size, previous role."""
     from ..operators import context as ctx_ops
     return ctx_ops.conversation_history(table(spark, sf_dir, "conversations"))
+
+
+# ================================================ text retrieval + C4 eval
+# questions = benchmark items; index = fixed-stride chunks of the documents;
+# embedder = hashed character trigram counts; ranking = exact cosine.
+EVAL_K = 10
+_STEP = L.CHUNK_SIZE - L.CHUNK_OVERLAP
+FIXED_CHUNKS_SQL = f"""
+SELECT doc_id * {chunk_ops.CHUNK_ID_STRIDE} + i AS chunk_id, doc_id, i AS chunk_no,
+       substr(text, CAST(i * {_STEP} + 1 AS BIGINT), {L.CHUNK_SIZE}) AS text, source
+FROM (SELECT doc_id, source, text,
+             1 + CAST(ceil(greatest(length(text) - {L.CHUNK_SIZE}, 0) / {float(_STEP)}) AS BIGINT) AS cnt
+      FROM documents WHERE text IS NOT NULL AND length(text) > 0) c, range(0, cnt) r(i)
+"""
+
+
+def _cp(i: str) -> str:
+    return f"CAST(greatest(unicode(substr(l, {i}, 1)), 0) AS BIGINT)"
+
+
+def _trigram_counts_sql(src: str, id_col: str) -> str:
+    """Sparse trigram bucket counts (id, b, c) of ``src(id_col, text)``, same rule as the embedder."""
+    b = (f"(({_cp('i')} * {embed_ops.MULT} + {_cp('i + 1')}) * {embed_ops.MULT} + {_cp('i + 2')})"
+         f" % {embed_ops.MOD} % {embed_ops.DIM}")
+    return f"""
+SELECT id, b, count(*) AS c FROM (
+  SELECT id, {b} AS b
+  FROM (SELECT {id_col} AS id, lower(text) AS l, length(lower(text)) AS n FROM {src}) t,
+       range(1, CASE WHEN n = 0 THEN 1 WHEN n < 3 THEN 2 ELSE n - 1 END) r(i)
+) g GROUP BY id, b
+"""
+
+
+def _cosine_topk_sql(q_src: str, q_id: str, x_src: str, x_id: str, k: int) -> str:
+    return f"""
+WITH qv AS ({_trigram_counts_sql(q_src, q_id)}),
+xv AS ({_trigram_counts_sql(x_src, x_id)}),
+qn AS (SELECT id AS qid, sum(c * c) AS nn FROM qv GROUP BY id),
+xn AS (SELECT id, sum(c * c) AS nn FROM xv GROUP BY id),
+dots AS (SELECT qv.id AS qid, xv.id AS id, sum(qv.c * xv.c) AS dot FROM qv JOIN xv USING (b) GROUP BY qv.id, xv.id),
+pairs AS (SELECT qn.qid, xn.id, coalesce(d.dot, 0) AS dot, qn.nn * xn.nn AS np
+          FROM qn CROSS JOIN xn LEFT JOIN dots d ON d.qid = qn.qid AND d.id = xn.id),
+cosd AS (SELECT qid, id, CASE WHEN np > 0 THEN dot / sqrt(np) ELSE 0.0 END AS cosine FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM cosd)
+SELECT qid, rank, id, cosine FROM ranked WHERE rank <= {k}
+"""
+
+
+HITS_SQL = f"""
+WITH chunks AS ({FIXED_CHUNKS_SQL}),
+top AS ({_cosine_topk_sql("benchmark", "item_id", "chunks", "chunk_id", EVAL_K)})
+SELECT top.qid, top.rank, top.id AS chunk_id, top.cosine, 2 - 2 * top.cosine AS distance,
+       1.0 / (1.0 + (2 - 2 * top.cosine)) AS similarity, chunks.text, chunks.source
+FROM top JOIN chunks ON chunks.chunk_id = top.id
+"""
+
+
+def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int = EVAL_K) -> DataFrame:
+    chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents"))
+    index = embed_ops.count_vectors(chunks.select("chunk_id", "text"), "text", "vec")
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    qv = embed_ops.count_vectors(qs, "text", "vec")
+    top = knn_ops.knn_join(qv, index, k=k, q_id="qid", q_vec="vec", x_id="chunk_id",
+                           x_vec="vec", metric="cosine")
+    return (top.join(chunks.select(F.col("chunk_id").alias("id"), "text", "source"), "id")
+            .select("qid", "rank", F.col("id").alias("chunk_id"), "cosine", "distance",
+                    knn_ops.distance_to_similarity("distance").alias("similarity"),
+                    "text", "source"))
+
+
+@register("retrieval_hits", oracle=f"""
+SELECT qid, rank, chunk_id, round(cosine, 6) AS cosine, round(distance, 6) AS distance,
+       round(similarity, 6) AS similarity
+FROM ({HITS_SQL}) h
+""")
+def q_retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 + J1 (cosine) + W1 + P10: top-10 chunks for every benchmark question."""
+    h = _benchmark_hits(spark, sf_dir)
+    return h.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id",
+                    rnd("cosine").alias("cosine"), rnd("distance").alias("distance"),
+                    rnd("similarity").alias("similarity"))
+
+
+CASES_SQL = """
+SELECT b.item_id AS qid, coalesce(k.keywords, []::VARCHAR[]) AS keywords
+FROM benchmark b LEFT JOIN (
+  SELECT qid, list(w ORDER BY length(w) DESC, w)[1:3] AS keywords
+  FROM (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w
+        FROM benchmark) d
+  GROUP BY qid
+) k ON k.qid = b.item_id
+"""
+
+EVAL_SQL = f"""
+WITH h AS ({HITS_SQL}), cases AS ({CASES_SQL}),
+kw AS (SELECT qid, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS kw_pos FROM cases),
+found AS (
+  SELECT kw.qid, kw.keyword, min(h.rank) AS best_rank, count(*) AS n_hits
+  FROM kw JOIN h ON h.qid = kw.qid AND contains(h.text, kw.keyword) GROUP BY kw.qid, kw.keyword
+),
+ks AS (SELECT kw.qid, kw.keyword, kw.kw_pos, f.best_rank FROM kw LEFT JOIN found f USING (qid, keyword)),
+kagg AS (
+  SELECT qid, count(best_rank) AS keywords_found, avg(best_rank) AS avg_best_rank,
+         coalesce(string_agg(keyword, ', ' ORDER BY kw_pos) FILTER (WHERE best_rank IS NULL), '') AS missed,
+         coalesce(string_agg(keyword, ', ' ORDER BY kw_pos) FILTER (WHERE best_rank > 10), '') AS low
+  FROM ks GROUP BY qid
+),
+sims AS (
+  SELECT qid, count(*) AS n_hits, max(similarity) AS max_similarity, avg(similarity) AS avg_similarity,
+         sum(CASE WHEN rank <= 3 THEN similarity ELSE 0.0 END) / 3.0 AS top3_mean,
+         sum(CASE WHEN rank <= 5 THEN similarity ELSE 0.0 END) / 5.0 AS top5_mean
+  FROM h GROUP BY qid
+),
+c AS (
+  SELECT cases.qid, cases.keywords, len(cases.keywords) AS n_kw,
+         coalesce(sims.n_hits, 0) AS n_hits, coalesce(sims.max_similarity, 0.0) AS mx,
+         coalesce(sims.avg_similarity, 0.0) AS av, coalesce(sims.top3_mean, 0.0) AS top3_mean,
+         coalesce(sims.top5_mean, 0.0) AS top5_mean, coalesce(kagg.keywords_found, 0) AS keywords_found,
+         kagg.avg_best_rank, kagg.missed, kagg.low
+  FROM cases LEFT JOIN sims USING (qid) LEFT JOIN kagg USING (qid)
+),
+s AS (
+  SELECT *,
+    CAST((CASE WHEN mx >= 0.7 THEN 40 WHEN mx >= 0.6 THEN 30 WHEN mx >= 0.5 THEN 20 WHEN mx >= 0.4 THEN 10 ELSE 0 END)
+       + (CASE WHEN av >= 0.6 THEN 30 WHEN av >= 0.5 THEN 20 WHEN av >= 0.4 THEN 10 ELSE 0 END) AS DOUBLE)
+    + (CASE WHEN n_kw > 0 THEN keywords_found / n_kw * 15.0 ELSE 0.0 END)
+    + CAST((CASE WHEN n_kw > 0 AND keywords_found > 0 THEN
+              (CASE WHEN avg_best_rank <= 3 THEN 15 WHEN avg_best_rank <= 5 THEN 10
+                    WHEN avg_best_rank <= 10 THEN 5 ELSE 0 END) ELSE 0 END) AS DOUBLE) AS score
+  FROM c
+),
+a AS (
+  SELECT *, list_filter([
+      CASE WHEN mx < 0.5 THEN {S.q(L.SUGGEST_LOW_MAX)} END,
+      CASE WHEN av < 0.4 THEN {S.q(L.SUGGEST_LOW_AVG)} END,
+      CASE WHEN n_kw > 0 AND coalesce(missed, '') <> '' THEN replace({S.q(L.SUGGEST_MISSED)}, '{{kws}}', missed) END,
+      CASE WHEN n_kw > 0 AND coalesce(low, '') <> '' THEN replace({S.q(L.SUGGEST_LOW_RANK)}, '{{kws}}', low) END,
+      CASE WHEN mx >= 0.6 AND av >= 0.5 THEN {S.q(L.SUGGEST_GOOD)} END], lambda x: x IS NOT NULL) AS adv
+  FROM s
+)
+SELECT qid, n_hits, mx AS max_similarity, av AS avg_similarity, top3_mean, top5_mean,
+       array_to_string(keywords, ',') AS keywords, keywords_found, score,
+       CASE {" ".join(f"WHEN score >= {b} THEN {S.q(g)}" for b, g in L.QUALITY_GRADES)} END AS grade,
+       CASE WHEN n_hits > 0 THEN greatest(0.3, top3_mean - 0.05) END AS strict,
+       CASE WHEN n_hits > 0 THEN greatest(0.25, top5_mean - 0.08) END AS balanced,
+       CASE WHEN n_hits > 0 THEN greatest(0.2, top5_mean - 0.15) END AS loose,
+       array_to_string(CASE WHEN len(adv) = 0 THEN [{S.q(L.SUGGEST_FINE)}] ELSE adv END, chr(10)) AS suggestions
+FROM a
+"""
+
+_EVAL_FLOATS = ("max_similarity", "avg_similarity", "top3_mean", "top5_mean", "score",
+                "strict", "balanced", "loose")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("qid"), eval_ops.case_keywords(F.col("text")).alias("keywords"))
+
+
+def _eval_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_ops.evaluate_cases(_benchmark_hits(spark, sf_dir), _cases(spark, sf_dir))
+
+
+@register("retrieval_eval", oracle=f"""
+SELECT qid, CAST(n_hits AS BIGINT) AS n_hits, {", ".join(f"round({c}, 6) AS {c}" for c in _EVAL_FLOATS)},
+       keywords, CAST(keywords_found AS BIGINT) AS keywords_found, grade, suggestions
+FROM ({EVAL_SQL}) e
+""")
+def q_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 per question: A3, A4/J7, P12, P20 score and grade, P21 thresholds, P22 advice."""
+    e = _eval_per_case(spark, sf_dir)
+    return e.select("qid", F.col("n_hits").cast("long").alias("n_hits"),
+                    *[rnd(c).alias(c) for c in _EVAL_FLOATS],
+                    "keywords", "keywords_found", "grade", "suggestions")
+
+
+@register("retrieval_eval_summary", oracle=f"""
+SELECT count(*) AS cases, round(avg(score), 6) AS avg_score,
+       round(avg(max_similarity), 6) AS avg_max_similarity,
+       round(avg(avg_similarity), 6) AS avg_avg_similarity,
+       round(greatest(0.3, avg(top3_mean) - 0.05), 6) AS strict,
+       round(greatest(0.25, avg(top5_mean) - 0.08), 6) AS balanced,
+       round(greatest(0.2, avg(top5_mean) - 0.15), 6) AS loose
+FROM ({EVAL_SQL}) e
+""")
+def q_retrieval_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: means over all cases and global threshold suggestions."""
+    s = eval_ops.evaluation_summary(_eval_per_case(spark, sf_dir))
+    return s.select("cases", *[rnd(c).alias(c) for c in s.columns if c != "cases"])
+
+
+@register("grade_distribution", oracle=f"""
+SELECT split_part(grade, ' ', 1) AS grade, count(*) AS cases FROM ({EVAL_SQL}) e GROUP BY 1
+""")
+def q_grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases per grade word."""
+    return eval_ops.grade_distribution(_eval_per_case(spark, sf_dir))

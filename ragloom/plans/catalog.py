@@ -16,6 +16,7 @@ from ..functions import lexicon as L
 from ..functions.mathx import pct2, rnd
 from ..operators import chunk as chunk_ops
 from ..operators import clean as clean_ops
+from ..operators import compress as comp_ops
 from ..operators import keywords as kw_ops
 from ..operators import embed as embed_ops
 from ..operators import evaluate as eval_ops
@@ -656,3 +657,84 @@ SELECT split_part(grade, ' ', 1) AS grade, count(*) AS cases FROM ({EVAL_SQL}) e
 def q_grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases per grade word."""
     return eval_ops.grade_distribution(_eval_per_case(spark, sf_dir))
+
+
+# ============================================= context compression
+# the top-2 hits (RETRIEVER_K) of every benchmark question, Western terminators
+COMP_K = L.RETRIEVER_K
+
+COMPRESS_SQL = f"""
+WITH h AS (SELECT qid, rank, chunk_id, text FROM ({HITS_SQL}) x WHERE rank <= {COMP_K}),
+ss AS (
+  SELECT qid, rank, chunk_id, text,
+         list_filter(list_transform(string_split_regex(text, {S.q(WESTERN_TERMINATORS)}),
+                                    lambda x: {S.strip('x')}),
+                     lambda x: length(x) >= {L.MIN_SENTENCE_LENGTH}) AS ss
+  FROM h
+),
+sent AS (
+  SELECT qid, rank, qid * 1000000 + rank * 10000 + pos AS sid, pos, sentence FROM (
+    SELECT qid, rank, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos
+    FROM ss WHERE len(ss) > {L.MAX_SENTENCES_PER_DOC}) u
+),
+sv AS ({_trigram_counts_sql("(SELECT sid, sentence AS text FROM sent)", "sid")}),
+qv AS ({_trigram_counts_sql("benchmark", "item_id")}),
+sn AS (SELECT id, sum(c * c) AS nn FROM sv GROUP BY id),
+qn AS (SELECT id, sum(c * c) AS nn FROM qv GROUP BY id),
+dots AS (
+  SELECT sent.sid, sum(sv.c * qv.c) AS dot
+  FROM sent JOIN sv ON sv.id = sent.sid JOIN qv ON qv.id = sent.qid AND qv.b = sv.b
+  GROUP BY sent.sid
+),
+sc AS (
+  SELECT sent.*, CASE WHEN coalesce(sn.nn, 0) * coalesce(qn.nn, 0) > 0
+                      THEN coalesce(d.dot, 0) / sqrt(sn.nn * qn.nn) ELSE 0.0 END AS cosine
+  FROM sent LEFT JOIN sn ON sn.id = sent.sid LEFT JOIN qn ON qn.id = sent.qid
+       LEFT JOIN dots d ON d.sid = sent.sid
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rank ORDER BY cosine DESC, pos) AS r FROM sc) t
+  WHERE r <= {L.MAX_SENTENCES_PER_DOC}
+),
+folded AS (SELECT qid, rank, string_agg(sentence, '。' ORDER BY pos) AS joined FROM best GROUP BY qid, rank)
+SELECT ss.qid, ss.rank, ss.chunk_id, CAST(len(ss.ss) AS BIGINT) AS n_sentences,
+       CASE WHEN len(ss.ss) <= {L.MAX_SENTENCES_PER_DOC} THEN ss.text
+            WHEN f.joined <> '' AND NOT ends_with(f.joined, '。') THEN f.joined || '。'
+            ELSE f.joined END AS compressed,
+       CAST(length(ss.text) AS BIGINT) AS before_chars
+FROM ss LEFT JOIN folded f ON f.qid = ss.qid AND f.rank = ss.rank
+"""
+
+
+def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _benchmark_hits(spark, sf_dir).filter(F.col("rank") <= COMP_K)
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
+                                                  F.col("text").alias("question"))
+    return comp_ops.compress_hits(hits.select("qid", "rank", "chunk_id", "text"), qs,
+                                  terminators=WESTERN_TERMINATORS)
+
+
+@register("compress_context", oracle=f"""
+SELECT qid, rank, chunk_id, n_sentences, compressed, before_chars,
+       CAST(length(compressed) AS BIGINT) AS after_chars,
+       round(CASE WHEN before_chars > 0 THEN (1.0 - length(compressed) / before_chars) * 100.0 ELSE 0.0 END, 6) AS ratio
+FROM ({COMPRESS_SQL}) c
+""")
+def q_compress_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 + W4 + W5 + P17: the top-2 hits of each question cut to their 3 most relevant sentences."""
+    c = _compressed(spark, sf_dir)
+    return c.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "n_sentences",
+                    "compressed", "before_chars", "after_chars", rnd("ratio").alias("ratio"))
+
+
+@register("compression_totals", oracle=f"""
+SELECT qid, count(*) AS documents, sum(before_chars) AS before_chars, sum(length(compressed)) AS after_chars,
+       round(CASE WHEN sum(before_chars) > 0
+                  THEN (1.0 - sum(length(compressed)) / sum(before_chars)) * 100.0 ELSE 0.0 END, 6) AS ratio
+FROM ({COMPRESS_SQL}) c GROUP BY qid
+""")
+def q_compression_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: per question, summed lengths before and after compression and the ratio."""
+    t = comp_ops.compression_totals(_compressed(spark, sf_dir))
+    return t.select("qid", "documents", F.col("before_chars").cast("long").alias("before_chars"),
+                    F.col("after_chars").cast("long").alias("after_chars"), rnd("ratio").alias("ratio"))

@@ -12,23 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import first_spam_keyword, normalise_line
+from ..functions.text import any_contains, normalise_line
 
 REASONS = ("empty", "spam", "short")
 
 
 def tag_lines(text, min_length: int = L.MIN_USEFUL_LENGTH, spam_keywords=None):
-    """array<struct<line,reason>>: reason is empty -> spam -> short, or null (kept)."""
-    lines = F.split(text, "\n", -1)
+    """array<struct<line,reason>>: reason is empty -> spam -> short, or null (kept).
 
-    def tag(raw):
-        line = normalise_line(raw)
+    Staged transforms so every per-line expression is evaluated once (lambda
+    bodies get no common-subexpression elimination).
+    """
+    words = [w.lower() for w in (spam_keywords or L.SPAM_KEYWORDS)]
+    lines = F.transform(F.split(text, "\n", -1), normalise_line)
+    pairs = F.transform(lines, lambda l: F.struct(l.alias("line"), F.lower(l).alias("low")))
+
+    def tag(s):
+        line = s["line"]
         reason = (F.when(line == "", F.lit("empty"))
-                  .when(first_spam_keyword(line, spam_keywords).isNotNull(), F.lit("spam"))
+                  .when(any_contains(s["low"], words, lower=False), F.lit("spam"))
                   .when(F.length(line) < min_length, F.lit("short")))
         return F.struct(line.alias("line"), reason.alias("reason"))
 
-    return F.transform(lines, tag)
+    return F.transform(pairs, tag)
 
 
 def clean_documents(df: DataFrame, text_col: str = "text",

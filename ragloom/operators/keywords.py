@@ -12,8 +12,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +27,29 @@ GRAM_ARRAY = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()),
 
 
 def _top_grams(text: str | None, k: int, strip_re: re.Pattern) -> list[dict]:
+    """k most frequent 2/3-grams (count desc, then gram in code point order).
+
+    Grams are packed into one int64 each: ``c0<<42 | c1<<21 | tail`` with
+    tail 0 for a 2-gram and ``c2+1`` for a 3-gram, so integer order equals
+    string order (a 2-gram sorts before the 3-grams it prefixes).
+    """
     if text is None:
         return []
     t = strip_re.sub("", text)
-    c = Counter(t[i:i + 2] for i in range(len(t) - 1))
-    c.update(t[i:i + 3] for i in range(len(t) - 2))
-    top = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
-    return [{"gram": g, "n": n} for g, n in top]
+    if len(t) < 2:
+        return []
+    cp = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    two = (cp[:-1] << 42) | (cp[1:] << 21)
+    three = (cp[:-2] << 42) | (cp[1:-1] << 21) | (cp[2:] + 1)
+    keys, counts = np.unique(np.concatenate([two, three]), return_counts=True)
+    order = np.lexsort((keys, -counts))[:k]
+    out = []
+    mask = (1 << 21) - 1
+    for key, n in zip(keys[order].tolist(), counts[order].tolist()):
+        tail = key & mask
+        g = chr(key >> 42) + chr((key >> 21) & mask) + (chr(tail - 1) if tail else "")
+        out.append({"gram": g, "n": int(n)})
+    return out
 
 
 def ngram_keywords_col(text_col: str = "text", k: int = 10,

@@ -24,10 +24,25 @@ def routing_text(text: Column) -> Column:
     return py_strip(F.lower(text))
 
 
+def search_form(pattern: str) -> str:
+    """Drop a leading and a trailing unquantified ``.*``.
+
+    Under search (find) semantics ``.*X.*`` matches exactly when ``X`` does,
+    because both ``.*`` may match the empty string; Java's backtracking
+    engine, however, spends quadratic time on the outer ``.*``.
+    """
+    p = pattern
+    if p.startswith(".*") and not p.startswith(".*?") and p[2:3] not in ("*", "+", "?", "{"):
+        p = p[2:]
+    if p.endswith(".*") and not p.endswith("\\.*") and len(p) > 2:
+        p = p[:-2]
+    return p
+
+
 def rule_intent(t: Column, rules=None) -> Column:
     """J3 + W6: the intent of the first matching rule (dict order, then list order)."""
     rules = rules or L.INTENT_RULES
-    return F.coalesce(*[F.when(t.rlike("(?iud)" + p), F.lit(intent))
+    return F.coalesce(*[F.when(t.rlike("(?iud)" + search_form(p)), F.lit(intent))
                         for intent, pats in rules.items() for p in pats])
 
 

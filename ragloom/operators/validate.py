@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import any_contains, count_contained, py_strip
+from ..functions.text import py_strip
 
 
 def probe_match(lowered: Column, patterns=None) -> Column:
@@ -22,48 +22,47 @@ def probe_match(lowered: Column, patterns=None) -> Column:
     return reduce(lambda a, b: a | b, [lowered.rlike("(?d)" + p) for p in pats])
 
 
-def validation(text: Column, max_length: int = L.MAX_INPUT_LENGTH,
-               truncate: bool = True, security: bool = True,
-               blocked=None, patterns=None, tech_terms=None) -> Column:
-    """struct<ok boolean, text string, error string, reason string>."""
-    stripped = py_strip(text)
-    n = F.length(stripped)
-    cut = F.when(n > max_length, F.substring(stripped, 1, max_length)).otherwise(stripped)
-    low = F.lower(cut)
-    too_long_msg = F.format_string(
-        L.MSG_TOO_LONG.replace("{max}", str(max_length)).replace("{n}", "%d"), n)
-
-    def res(ok, txt, err, reason):
-        return F.struct(F.lit(ok).alias("ok"), txt.alias("text"),
-                        err.alias("error"), F.lit(reason).alias("reason"))
+def validate_questions(df: DataFrame, text_col: str = "text",
+                       max_length: int = L.MAX_INPUT_LENGTH, truncate: bool = True,
+                       security: bool = True, blocked=None, patterns=None,
+                       tech_terms=None) -> DataFrame:
+    """adds ok / text / error / reason (text replaced by the processed text).
 
-    empty = text.isNull() | (stripped == "")
-    chain = F.when(empty, res(False, F.lit(""), F.lit(L.MSG_EMPTY), "empty"))
+    Staged projections: strip and cut once, lower once, then one reason
+    chain over those columns (keeps every stage inside whole-stage codegen).
+    """
+    rest = [c for c in df.columns if c != text_col]
+    raw = F.col(text_col)
+    s1 = df.withColumn("_st", py_strip(raw)).withColumn("_null", raw.isNull())
+    s1 = s1.withColumn("_n", F.length("_st"))
+    s2 = s1.withColumn("_cut", F.when(F.col("_n") > max_length, F.substring("_st", 1, max_length))
+                       .otherwise(F.col("_st")))
+    s2 = s2.withColumn("_low", F.lower("_cut"))
+    low = F.col("_low")
+    chain = F.when(F.col("_null") | (F.col("_st") == ""), F.lit("empty"))
     if not truncate:
-        chain = chain.when(n > max_length, res(False, F.lit(""), too_long_msg, "too_long"))
+        chain = chain.when(F.col("_n") > max_length, F.lit("too_long"))
     if security:
-        sec = F.lit(L.MSG_SECURITY)
+        # literal lists as array lambdas: small generated code when fused with routing
+        bl = F.array(*[F.lit(w.lower()) for w in (blocked or L.BLOCKED_KEYWORDS)])
+        tt = F.array(*[F.lit(w.lower()) for w in (tech_terms or L.TECH_TERMS)])
         chain = (chain
-                 .when(any_contains(low, blocked or L.BLOCKED_KEYWORDS, lower=False),
-                       res(False, F.lit(""), sec, "blocked_keyword"))
-                 .when(probe_match(low, patterns),
-                       res(False, F.lit(""), sec, "system_probe"))
-                 .when(count_contained(low, tech_terms or L.TECH_TERMS, lower=False)
-                       >= L.TECH_TERMS_LIMIT,
-                       res(False, F.lit(""), sec, "tech_terms")))
-    passed = F.struct(F.lit(True).alias("ok"), cut.alias("text"),
-                      F.lit(None).cast("string").alias("error"),
-                      F.when(n > max_length, F.lit("truncated"))
-                      .otherwise(F.lit("ok")).alias("reason"))
-    return chain.otherwise(passed)
-
-
-def validate_questions(df: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """adds ok / text / error / reason columns (text replaced by processed text)."""
-    v = validation(F.col(text_col), **kw)
-    rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest, v["ok"].alias("ok"), v["text"].alias("text"),
-                     v["error"].alias("error"), v["reason"].alias("reason"))
+                 .when(F.exists(bl, lambda k: low.contains(k)), F.lit("blocked_keyword"))
+                 .when(probe_match(low, patterns), F.lit("system_probe"))
+                 .when(F.size(F.filter(tt, lambda k: low.contains(k))) >= L.TECH_TERMS_LIMIT,
+                       F.lit("tech_terms")))
+    chain = chain.when(F.col("_n") > max_length, F.lit("truncated")).otherwise(F.lit("ok"))
+    s3 = s2.withColumn("reason", chain)
+    r = F.col("reason")
+    ok = r.isin("ok", "truncated")
+    too_long_msg = F.format_string(
+        L.MSG_TOO_LONG.replace("{max}", str(max_length)).replace("{n}", "%d"), F.col("_n"))
+    error = (F.when(r == "empty", F.lit(L.MSG_EMPTY))
+             .when(r == "too_long", too_long_msg)
+             .when(ok, F.lit(None).cast("string"))
+             .otherwise(F.lit(L.MSG_SECURITY)))
+    return s3.select(*rest, ok.alias("ok"), F.when(ok, F.col("_cut")).otherwise(F.lit("")).alias("text"),
+                     error.alias("error"), "reason")
 
 
 def filter_profile(validated: DataFrame) -> DataFrame:

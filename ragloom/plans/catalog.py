@@ -142,13 +142,13 @@ def _user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
 
 
-def _validate_sql(src: str = "conversations WHERE role = 'user'") -> str:
+def _validate_sql(src: str = "conversations WHERE role = 'user'", ids: str = "conv_id, turn") -> str:
     st = S.strip("text")
     cut = f"(CASE WHEN length({st}) > {L.MAX_INPUT_LENGTH} THEN substr({st}, 1, {L.MAX_INPUT_LENGTH}) ELSE {st} END)"
     low = f"lower({cut})"
     probe = " OR ".join(f"regexp_matches({low}, {S.q(p)})" for p in L.SYSTEM_PROBE_PATTERNS)
     return f"""
-SELECT conv_id, turn,
+SELECT {ids},
   CASE WHEN text IS NULL OR {st} = '' THEN false
        WHEN {S.any_contains(low, L.BLOCKED_KEYWORDS, lower=False)} THEN false
        WHEN ({probe}) THEN false
@@ -192,26 +192,27 @@ def q_filter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ======================================================= routing
-def _route_sql() -> str:
+def _route_sql(src: str = "conversations WHERE role = 'user'", ids: str = "conv_id, turn") -> str:
     t = f"lower_strip"
+    dids = ", ".join("d." + c.strip() for c in ids.split(","))
     pol = " UNION ALL ".join(
         f"SELECT {S.q(i)} AS intent, {str(s).lower()} AS skip_rag, "
         f"{S.q(r) if r is not None else 'NULL::VARCHAR'} AS response"
         for i, s, r in L.INTENT_POLICIES)
     return f"""
 WITH base AS (
-  SELECT conv_id, turn, text, {S.strip('lower(text)')} AS lower_strip
-  FROM conversations WHERE role = 'user'
+  SELECT {ids}, text, {S.strip('lower(text)')} AS lower_strip
+  FROM {src}
 ), c AS (
-  SELECT conv_id, turn, text, {S.rule_intent(t)} AS r, {S.keyword_intent(t)} AS k FROM base
+  SELECT {ids}, text, {S.rule_intent(t)} AS r, {S.keyword_intent(t)} AS k FROM base
 ), d AS (
-  SELECT conv_id, turn, text, coalesce(r, k, 'knowledge') AS intent,
+  SELECT {ids}, text, coalesce(r, k, 'knowledge') AS intent,
          CASE WHEN r IS NOT NULL THEN {L.RULE_CONFIDENCE}::DOUBLE WHEN k IS NOT NULL THEN {L.KEYWORD_CONFIDENCE}::DOUBLE
               ELSE {L.DEFAULT_CONFIDENCE}::DOUBLE END AS confidence,
          CASE WHEN r IS NOT NULL THEN 'rule' WHEN k IS NOT NULL THEN 'keyword' ELSE 'default' END AS method
   FROM c
 ), pol AS ({pol})
-SELECT d.conv_id, d.turn, d.text, d.intent, d.confidence, d.method,
+SELECT {dids}, d.text, d.intent, d.confidence, d.method,
        coalesce(pol.skip_rag, false) AS skip_rag, pol.response
 FROM d LEFT JOIN pol ON d.intent = pol.intent
 """
@@ -663,8 +664,10 @@ def q_grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the top-2 hits (RETRIEVER_K) of every benchmark question, Western terminators
 COMP_K = L.RETRIEVER_K
 
-COMPRESS_SQL = f"""
-WITH h AS (SELECT qid, rank, chunk_id, text FROM ({HITS_SQL}) x WHERE rank <= {COMP_K}),
+def _compress_sql(hits_src: str, q_src: str, q_id: str) -> str:
+    """Compressed text per (qid, rank): hits_src(qid, rank, chunk_id, text), q_src(q_id, text)."""
+    return f"""
+WITH h AS (SELECT qid, rank, chunk_id, text FROM {hits_src}),
 ss AS (
   SELECT qid, rank, chunk_id, text,
          list_filter(list_transform(string_split_regex(text, {S.q(WESTERN_TERMINATORS)}),
@@ -678,7 +681,7 @@ sent AS (
     FROM ss WHERE len(ss) > {L.MAX_SENTENCES_PER_DOC}) u
 ),
 sv AS ({_trigram_counts_sql("(SELECT sid, sentence AS text FROM sent)", "sid")}),
-qv AS ({_trigram_counts_sql("benchmark", "item_id")}),
+qv AS ({_trigram_counts_sql(q_src, q_id)}),
 sn AS (SELECT id, sum(c * c) AS nn FROM sv GROUP BY id),
 qn AS (SELECT id, sum(c * c) AS nn FROM qv GROUP BY id),
 dots AS (
@@ -706,6 +709,9 @@ FROM ss LEFT JOIN folded f ON f.qid = ss.qid AND f.rank = ss.rank
 """
 
 
+COMPRESS_SQL = _compress_sql(f"({HITS_SQL}) x WHERE rank <= {COMP_K}", "benchmark", "item_id")
+
+
 def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _benchmark_hits(spark, sf_dir).filter(F.col("rank") <= COMP_K)
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
@@ -738,3 +744,76 @@ def q_compression_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = comp_ops.compression_totals(_compressed(spark, sf_dir))
     return t.select("qid", "documents", F.col("before_chars").cast("long").alias("before_chars"),
                     F.col("after_chars").cast("long").alias("after_chars"), rnd("ratio").alias("ratio"))
+
+
+# ===================================================== question -> context
+ANSWER_K = L.RETRIEVER_K
+
+
+def _clean_query_sql(x: str) -> str:
+    from ..functions.text import WS_CLASS
+    y = S.strip(x)
+    y = f"regexp_replace({y}, {S.q('(?m)^' + chr(92) + 'p{Nd}+[.)]' + WS_CLASS + '*')}, '', 'g')"
+    y = f"regexp_replace({y}, {S.q(chr(92) + 'n+')}, ' ', 'g')"
+    y = S.strip(S.collapse(y))
+    return f"substr({y}, 1, {L.QUERY_MAX_LENGTH})"
+
+
+def _answer_sql(route: bool, compress: bool) -> str:
+    v = _validate_sql("benchmark", "item_id")
+    routed = (_route_sql("(SELECT item_id, text FROM v WHERE ok) vv", "item_id") if route else
+              "SELECT item_id, text, NULL::VARCHAR AS intent, NULL::DOUBLE AS confidence, "
+              "NULL::VARCHAR AS method, false AS skip_rag, NULL::VARCHAR AS response FROM v WHERE ok")
+    kw = ("(SELECT qid, list(w ORDER BY length(w) DESC, w)[1:3] AS kws FROM (SELECT DISTINCT item_id AS qid, "
+          "unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM go0) d GROUP BY qid)")
+    gen = "array_to_string(coalesce(kw.kws, []::VARCHAR[]), ' ')"
+    hits = f"(SELECT qid, rank, id AS chunk_id, c.text FROM top JOIN chunks c ON c.chunk_id = top.id) hh"
+    comp = (f"(SELECT qid, rank, compressed AS text FROM ({_compress_sql(hits, '(SELECT item_id, text FROM go)', 'item_id')}) cc) hx"
+            if compress else f"(SELECT qid, rank, text FROM {hits}) hx")
+    tmpl = S.q(L.USER_QUESTION_TEMPLATE)
+    return f"""
+WITH v AS ({v}),
+r AS ({routed}),
+go0 AS (SELECT * FROM r WHERE NOT skip_rag),
+go AS (
+  SELECT go0.*, CASE WHEN {_clean_query_sql(gen)} IS NULL OR {_clean_query_sql(gen)} = '' THEN go0.text
+                     ELSE {_clean_query_sql(gen)} END AS query
+  FROM go0 LEFT JOIN {kw} kw ON kw.qid = go0.item_id
+),
+chunks AS ({FIXED_CHUNKS_SQL}),
+top AS ({_cosine_topk_sql("(SELECT item_id, query AS text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)}),
+hx AS (SELECT * FROM {comp}),
+ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_docs
+        FROM hx GROUP BY qid)
+SELECT item_id AS qid, ok, reason, NULL::VARCHAR AS intent, NULL::VARCHAR AS method, NULL::BOOLEAN AS skip_rag,
+       NULL::VARCHAR AS query, 0::BIGINT AS n_docs, error AS reply, NULL::VARCHAR AS prompt
+FROM v WHERE NOT ok
+UNION ALL
+SELECT r.item_id, true, v.reason, r.intent, r.method, r.skip_rag, NULL, 0, r.response, NULL
+FROM r JOIN v USING (item_id) WHERE r.skip_rag
+UNION ALL
+SELECT go.item_id, true, v.reason, go.intent, go.method, go.skip_rag, go.query, coalesce(ctx.n_docs, 0), NULL,
+       {S.q(L.SYSTEM_PROMPT + chr(10) + chr(10))} ||
+       replace(replace({tmpl}, '{{context}}', coalesce(ctx.context, '')), '{{question}}', go.text)
+FROM go JOIN v USING (item_id) LEFT JOIN ctx ON ctx.qid = go.item_id
+"""
+
+
+def _answer(spark: SparkSession, sf_dir: str, route: bool, compress: bool) -> DataFrame:
+    from ..operators import answer as ans_ops
+    chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return ans_ops.answer_context(qs, chunks, k=ANSWER_K, route=route, compress=compress,
+                                  terminators=WESTERN_TERMINATORS)
+
+
+@register("answer_context", oracle=_answer_sql(True, True))
+def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validate -> route -> short-circuit -> expand (P7/P6) -> retrieve -> compress -> prompt."""
+    return _answer(spark, sf_dir, True, True)
+
+
+@register("plain_context", oracle=_answer_sql(False, False))
+def q_plain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validate -> expand -> retrieve -> prompt; no routing, no compression."""
+    return _answer(spark, sf_dir, False, False)

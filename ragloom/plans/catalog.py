@@ -817,3 +817,78 @@ def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_plain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validate -> expand -> retrieve -> prompt; no routing, no compression."""
     return _answer(spark, sf_dir, False, False)
+
+
+# ============================================ classifier metrics
+_REPORT_FLOATS = ("precision", "recall", "f1")
+
+
+def _report_sql(pairs_sql: str) -> str:
+    """A8 report over pairs_sql(e, p) of label strings."""
+    return f"""
+WITH pr AS ({pairs_sql}),
+conf AS (SELECT e, p, count(*) AS n FROM pr GROUP BY e, p),
+sup AS (SELECT e AS label, sum(n) AS support FROM conf GROUP BY e),
+prd AS (SELECT p AS label, sum(n) AS pred FROM conf GROUP BY p),
+tp AS (SELECT e AS label, n AS tp FROM conf WHERE e = p),
+per AS (
+  SELECT coalesce(s.label, q.label) AS label, coalesce(s.support, 0) AS support,
+         coalesce(q.pred, 0) AS pred, coalesce(tp.tp, 0) AS tp
+  FROM sup s FULL JOIN prd q ON s.label = q.label LEFT JOIN tp ON tp.label = coalesce(s.label, q.label)
+),
+m AS (SELECT label, CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support, tp FROM per),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                     ELSE 0.0 END AS f1 FROM m)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM f
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL
+SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6),
+       round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+"""
+
+
+@register("knn_label_report", oracle=_report_sql(f"""
+SELECT CAST(e.label AS VARCHAR) AS e, CAST(x.label AS VARCHAR) AS p
+FROM (SELECT qid, neighbour_id FROM ({ORACLES['knn_top10']}) k WHERE rank = 1) t
+JOIN embeddings e ON e.vec_id = t.qid JOIN embeddings x ON x.vec_id = t.neighbour_id
+"""))
+def q_knn_label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + A8: leave-one-out 1-nearest-neighbour labels against the true labels."""
+    from ..operators import intent_model as im
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    top1 = _knn_self(spark, sf_dir, k=1)
+    pairs = (top1.join(emb.withColumnRenamed("vec_id", "qid").withColumnRenamed("label", "expected"), "qid")
+             .join(emb.withColumnRenamed("vec_id", "id").withColumnRenamed("label", "predicted"), "id"))
+    rep = im.classification_report(pairs, "expected", "predicted")
+    return rep.select("label", *[rnd(c).alias(c) for c in _REPORT_FLOATS], "support")
+
+
+def _model_eval(spark: SparkSession, sf_dir: str):
+    from ..operators import intent_model as im
+    emb = table(spark, sf_dir, "embeddings")
+    split = im.stratified_split(emb, "label", "vec_id", 0.2, 42)
+    model = im.train_intent_model(split.filter(~F.col("is_test")), "embedding", "label")
+    test = split.filter(F.col("is_test"))
+    return im, im.classify(model, test, "embedding", n_classes=10)
+
+
+@register("intent_model_report")
+def q_intent_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M2 + M4 (W8 split, A7, A8): one-vs-rest logistic regression on the vectors."""
+    im, pred = _model_eval(spark, sf_dir)
+    rep = im.classification_report(pred.withColumn("p", F.col("predicted").cast("string")), "label", "p")
+    return rep.select("label", *[rnd(c).alias(c) for c in _REPORT_FLOATS], "support")
+
+
+@register("intent_top_probabilities")
+def q_intent_top_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + W13: label, confidence and the three most likely classes of every held-out vector."""
+    im, pred = _model_eval(spark, sf_dir)
+    return pred.select("vec_id", "label", "predicted", rnd("confidence").alias("confidence"),
+                       im.top_probabilities(F.col("probabilities"), 3).alias("top3"))

@@ -892,3 +892,84 @@ def q_intent_top_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     im, pred = _model_eval(spark, sf_dir)
     return pred.select("vec_id", "label", "predicted", rnd("confidence").alias("confidence"),
                        im.top_probabilities(F.col("probabilities"), 3).alias("top3"))
+
+
+# ================================================================ streaming
+# The driver tables are replayed as file streams (directory + file glob) with
+# trigger(availableNow); sinks and checkpoints live below spark.checkpoint.dir.
+def _stream_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
+    import uuid
+    from ..session import scratch_path
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+def _events_stream(spark: SparkSession, sf_dir: str):
+    from ..streaming import jobs
+    schema = table(spark, sf_dir, "events").schema
+    return jobs.table_stream(spark, sf_dir, "events.parquet", schema)
+
+
+@register("stream_window_counts")
+def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 counts: watermark + one-day tumbling windows per client x route, over-limit flag."""
+    from pyspark.sql import Window
+    from ..streaming import jobs
+    out, ck = _stream_dirs(spark, "window-counts")
+    counts = jobs.stream_window_counts(_events_stream(spark, sf_dir), RL_WINDOW_S, RL_LIMIT)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")) \
+             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    jobs.run_available(counts.writeStream.outputMode("update").foreachBatch(sink), ck)
+    rows = spark.read.parquet(out)
+    w = Window.partitionBy("window_start", "user_id", "event_type").orderBy(F.col("batch_id").desc())
+    return (rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+            .select("window_start", "user_id", "event_type", "requests", "over_limit"))
+
+
+@register("stream_fixed_window_verdicts")
+def q_stream_fixed_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 per request with applyInPandasWithState; equals W9 when events arrive in order."""
+    from ..streaming import jobs
+    out, ck = _stream_dirs(spark, "fixed-verdicts")
+    v = jobs.stream_fixed_window_verdicts(_events_stream(spark, sf_dir), RL_WINDOW_S, RL_LIMIT)
+    jobs.run_available(v.writeStream.format("parquet").option("path", out), ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_moving_window_verdicts")
+def q_stream_moving_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving one-day window counting accepted requests only."""
+    from ..streaming import jobs
+    out, ck = _stream_dirs(spark, "moving-verdicts")
+    v = jobs.stream_moving_window_verdicts(_events_stream(spark, sf_dir), RL_WINDOW_S, RL_LIMIT)
+    jobs.run_available(v.writeStream.format("parquet").option("path", out), ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_screen_questions")
+def q_stream_screen_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: validation + routing of user turns arriving as a stream."""
+    from ..streaming import jobs
+    out, ck = _stream_dirs(spark, "screen")
+    schema = table(spark, sf_dir, "conversations").schema
+    conv = jobs.table_stream(spark, sf_dir, "conversations.parquet", schema)
+    s = jobs.stream_screen(conv.filter(F.col("role") == "user").select("conv_id", "turn", "text"))
+    jobs.run_available(s.writeStream.format("parquet").option("path", out), ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_incremental_index")
+def q_stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dropped as files in several batches are chunked, embedded, appended."""
+    from ..streaming import jobs
+    out, ck = _stream_dirs(spark, "incremental-index")
+    inbox = out.rsplit("/", 1)[0] + "/inbox"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(inbox)  # drop folder derived from the table
+    stream = jobs.table_stream(spark, inbox, "*.parquet", docs.schema, max_files_per_trigger=2)
+    jobs.incremental_index(stream, out, ck)
+    idx = spark.read.parquet(f"{out}/index")
+    return idx.select("chunk_id", "doc_id", "chunk_no", "batch_id", F.size("embedding").alias("dim"))

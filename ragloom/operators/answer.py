@@ -106,8 +106,7 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
         hits = (comp_ops.compress_hits(hits, qs, qid=qid, terminators=terminators)
                 .select(qid, "rank", F.col("compressed").alias("text")))
     ctx = ctx_ops.assemble_context(hits, go.select(qid, F.col(text_col).alias("question")), qid=qid)
-    n_docs = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_docs"))
-    answered = (go.join(ctx, qid, "left").join(n_docs, qid, "left")
+    answered = (go.join(ctx.drop("question"), qid, "left")
                 .select(qid, "ok", "reason", "intent", "method", "skip_rag", "query",
                         F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"),
                         F.lit(None).cast("string").alias("reply"), "prompt"))

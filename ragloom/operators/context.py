@@ -14,35 +14,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .traffic import running_sum
 
 TURN_BUCKET = 256
 
 
 def conversation_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                          bucket_turns: int = TURN_BUCKET) -> DataFrame:
-    """(conv_id, turn, role, position, chars_before, prev_role)."""
+    """(conv_id, turn, role, position, chars_before, prev_role).
+
+    One aggregate over (conversation, turn bucket) gives every bucket's row
+    count, text length and last role; a window over that small table turns
+    them into the offsets of each bucket; one window inside each bucket and
+    one join finish the job.
+    """
     base = (conv.select(conv_col, turn_col, "role", F.length("text").cast("long").alias("_len"))
-            .withColumn("_b", F.floor(F.col(turn_col) / bucket_turns))
-            .withColumn("_one", F.lit(1).cast("long")))
-    order = [F.col(turn_col)]
-    with_pos = running_sum(base, "_one", order, "_b", [conv_col], out="position")
-    with_chars = running_sum(with_pos, "_len", order, "_b", [conv_col], out="_chars_incl")
-    wl = Window.partitionBy(conv_col, "_b").orderBy(turn_col)
-    local_prev = F.lag("role").over(wl)
-    # last role of every bucket, then the one of the nearest earlier bucket
-    last = (base.groupBy(conv_col, "_b")
-            .agg(F.max_by("role", F.col(turn_col)).alias("_last_role")))
+            .withColumn("_b", F.floor(F.col(turn_col) / bucket_turns)))
+    buckets = base.groupBy(conv_col, "_b").agg(
+        F.count(F.lit(1)).alias("_bn"), F.sum("_len").alias("_bl"),
+        F.max_by("role", F.col(turn_col)).alias("_last_role"))
     wb = Window.partitionBy(conv_col).orderBy("_b")
-    carry = last.withColumn("_carry", F.lag("_last_role").over(wb)).drop("_last_role")
-    out = (with_chars.withColumn("_lp", local_prev)
-           .withColumn("_first", F.row_number().over(wl) == 1)
-           .join(carry, [conv_col, "_b"]))
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select(
+        conv_col, "_b",
+        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_pos0"),
+        F.coalesce(F.sum("_bl").over(before), F.lit(0)).alias("_len0"),
+        F.lag("_last_role").over(wb).alias("_carry"))
+    wl = Window.partitionBy(conv_col, "_b").orderBy(turn_col)
+    upto = wl.rowsBetween(Window.unboundedPreceding, -1)
+    local = base.select(
+        conv_col, turn_col, "role", "_b",
+        F.row_number().over(wl).alias("_rn"),
+        F.coalesce(F.sum("_len").over(upto), F.lit(0)).alias("_lenb"),
+        F.lag("role").over(wl).alias("_lp"))
+    out = local.join(offsets, [conv_col, "_b"])
     return out.select(conv_col, turn_col, "role",
-                      F.col("position").cast("long").alias("position"),
-                      (F.col("_chars_incl") - F.col("_len")).cast("long").alias("chars_before"),
-                      F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lp"))
-                      .alias("prev_role"))
+                      (F.col("_pos0") + F.col("_rn")).cast("long").alias("position"),
+                      (F.col("_len0") + F.col("_lenb")).cast("long").alias("chars_before"),
+                      F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lp")).alias("prev_role"))
 
 
 def assemble_context(hits: DataFrame, questions: DataFrame, qid: str = "qid",
@@ -53,13 +61,15 @@ def assemble_context(hits: DataFrame, questions: DataFrame, qid: str = "qid",
     """Hit texts joined by a blank line in rank order, put into the template.
 
     ``hits`` holds at most k rows per question (bounded collect).
-    Output: (qid, context, prompt); questions without hits get an empty context.
+    Output: (qid, context, n_docs, prompt); questions without hits get an empty context.
     """
     ctx = (hits.groupBy(qid)
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank_col, text_col))),
-                                         lambda s: s[text_col]), "\n\n").alias("context")))
+                                         lambda s: s[text_col]), "\n\n").alias("context"),
+                F.count(F.lit(1)).alias("n_docs")))
     j = questions.select(qid, question_col).join(ctx, qid, "left") \
-        .withColumn("context", F.coalesce("context", F.lit("")))
+        .withColumn("context", F.coalesce("context", F.lit(""))) \
+        .withColumn("n_docs", F.coalesce("n_docs", F.lit(0)).cast("long"))
     user = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.col("context")),
                      F.lit("{question}"), F.col(question_col))
-    return j.select(qid, "context", F.concat(F.lit(system_prompt + "\n\n"), user).alias("prompt"))
+    return j.select(qid, "context", "n_docs", F.concat(F.lit(system_prompt + "\n\n"), user).alias("prompt"))

@@ -133,7 +133,7 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
              x_id: str = "chunk_id", x_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = Q_BLOCK_ROWS,
              x_block_rows: int = X_BLOCK_ROWS, min_x_blocks: int | None = None,
-             metric: str = "l2") -> DataFrame:
+             metric: str = "l2", materialize: bool = True) -> DataFrame:
     """J1 + W1: (qid, rank, id, distance) with rank 1..k.
 
     ``metric="l2"``: exact squared L2 distance. ``metric="cosine"``: rank by
@@ -141,6 +141,11 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     ``distance = 2 - 2 cos`` (squared L2 between the unit vectors).
     Ids must be integral (bigint). ``exclude_self`` drops pairs with equal
     ids (self-join of one table).
+
+    ``materialize`` writes the (small, k rows per question) result with a
+    reliable ``checkpoint()`` into the session's checkpoint folder, so the
+    block products run once however many branches read the hits, and a lost
+    executor does not recompute them.
     """
     spark = questions.sparkSession
     nq = questions.count()
@@ -172,6 +177,8 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     if metric == "cosine":
         top = (top.withColumn("cosine", -F.col("distance"))
                .withColumn("distance", F.lit(2.0) - F.lit(2.0) * F.col("cosine")))
+    if materialize:
+        top = top.checkpoint(eager=True)
     return top
 
 

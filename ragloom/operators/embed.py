@@ -96,7 +96,8 @@ def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
 
 def count_vectors(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
                   dim: int = DIM) -> DataFrame:
-    """Un-normalised trigram counts (double) - exact integer cosine downstream."""
+    """Un-normalised trigram counts as float32 (integers below 2^24 are exact),
+    so cosines computed downstream in double are exact as well."""
     return embed(df, text_col, out_col,
                  embedder_factory=lambda: HashedTrigramEmbedder(dim, normalise=False),
-                 dtype="double")
+                 dtype="float")

@@ -34,6 +34,11 @@ from ..functions import lexicon as L
 # rows per question block / index block of one cogroup cell
 Q_BLOCK_ROWS = 4096
 X_BLOCK_ROWS = 65536
+# broadcast strategy: question matrix at most this many rows and bytes
+BROADCAST_MAX_ROWS = 4096
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
+# bound on one question-by-chunk score matrix (elements)
+MAX_SCORE_ELEMENTS = 1 << 24
 # index rows scored per inner matrix product (bounds task memory)
 INNER_CHUNK = 4096
 RANK_MARGIN = 1e-9
@@ -89,15 +94,16 @@ def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool, metric: str = "l2")
         return out_q, out_x, out_d
     qn = np.einsum("ij,ij->i", Q, Q)
     cand_q, cand_x = [], []
-    for s in range(0, len(xids), INNER_CHUNK):
-        Xc = X[s:s + INNER_CHUNK]
+    step = max(256, min(INNER_CHUNK, MAX_SCORE_ELEMENTS // max(len(qids), 1)))
+    for s in range(0, len(xids), step):
+        Xc = X[s:s + step]
         xn = np.einsum("ij,ij->i", Xc, Xc)
         if metric == "cosine":
             approx = -_cos(Q @ Xc.T, qn[:, None] * xn[None, :])
         else:
             approx = qn[:, None] + xn[None, :] - 2.0 * (Q @ Xc.T)
         if exclude_self:
-            approx[qids[:, None] == xids[None, s:s + INNER_CHUNK]] = np.inf
+            approx[qids[:, None] == xids[None, s:s + step]] = np.inf
         kk = min(k, Xc.shape[0])
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
         qi, xj = np.nonzero(approx <= (kth + RANK_MARGIN)[:, None])
@@ -133,7 +139,7 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
              x_id: str = "chunk_id", x_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = Q_BLOCK_ROWS,
              x_block_rows: int = X_BLOCK_ROWS, min_x_blocks: int | None = None,
-             metric: str = "l2", materialize: bool = True) -> DataFrame:
+             metric: str = "l2", materialize: bool = True, strategy: str = "auto") -> DataFrame:
     """J1 + W1: (qid, rank, id, distance) with rank 1..k.
 
     ``metric="l2"``: exact squared L2 distance. ``metric="cosine"``: rank by
@@ -142,21 +148,73 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     Ids must be integral (bigint). ``exclude_self`` drops pairs with equal
     ids (self-join of one table).
 
+    ``strategy``: ``"broadcast"`` ships the question matrix (only below
+    ``BROADCAST_MAX_ROWS`` rows and ``BROADCAST_MAX_BYTES``, checked on the
+    measured row count and vector size) and scores each index partition where
+    it lies - no index shuffle; ``"blocks"`` is the blocked cogroup for
+    question sets of any size; ``"auto"`` picks by the check.
+
     ``materialize`` writes the (small, k rows per question) result with a
     reliable ``checkpoint()`` into the session's checkpoint folder, so the
     block products run once however many branches read the hits, and a lost
     executor does not recompute them.
     """
     spark = questions.sparkSession
-    nq = questions.count()
-    nx = index.count()
+    q = questions.select(F.col(q_id).cast("long").alias("_id"), F.col(q_vec).alias("_v"))
+    x = index.select(F.col(x_id).cast("long").alias("_id"), F.col(x_vec).alias("_v"))
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    nq, dim = int(stats["n"]), int(stats["d"] or 0)
+    if strategy == "auto":
+        fits = nq <= BROADCAST_MAX_ROWS and nq * max(dim, 1) * 8 <= BROADCAST_MAX_BYTES
+        strategy = "broadcast" if fits else "blocks"
+    if strategy == "broadcast":
+        local = _broadcast_scan(spark, q, x, k, exclude_self, metric)
+    else:
+        local = _block_cogroup(spark, q, x, nq, k, exclude_self, metric, q_block_rows,
+                               x_block_rows, min_x_blocks)
+    top = top_k(local, k, "qid", "distance", "id")
+    if metric == "cosine":
+        top = (top.withColumn("cosine", -F.col("distance"))
+               .withColumn("distance", F.lit(2.0) - F.lit(2.0) * F.col("cosine")))
+    if materialize:
+        top = top.checkpoint(eager=True)
+    return top
+
+
+def _cell_frame(a, b, d) -> pd.DataFrame:
+    return pd.DataFrame({"qid": np.asarray(a, dtype=np.int64), "id": np.asarray(b, dtype=np.int64),
+                         "distance": np.asarray(d, dtype=np.float64)})
+
+
+def _broadcast_scan(spark, q: DataFrame, x: DataFrame, k: int, exclude_self: bool,
+                    metric: str) -> DataFrame:
+    """Score every index partition against the broadcast question matrix."""
+    rows = q.collect()  # size-checked by the caller
+    qids = np.array([r["_id"] for r in rows], dtype=np.int64)
+    Q = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
+    bq = spark.sparkContext.broadcast((qids, Q))
+
+    def scan(batches):
+        qi, Qm = bq.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(qi) == 0:
+                continue
+            a, b, d = _cell_topk(qi, Qm, pdf["_id"].to_numpy(dtype=np.int64), _matrix(pdf["_v"]),
+                                 k, exclude_self, metric)
+            yield _cell_frame(a, b, d)
+
+    return x.mapInPandas(scan, "qid long, id long, distance double")
+
+
+def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_self: bool,
+                   metric: str, q_block_rows: int, x_block_rows: int,
+                   min_x_blocks: int | None) -> DataFrame:
+    """Blocked cogroup: (question block, index block) cells of bounded size."""
+    nx = x.count()
     if min_x_blocks is None:
         min_x_blocks = spark.sparkContext.defaultParallelism
     QB = _blocks(nq, q_block_rows)
     XB = _blocks(nx, x_block_rows, min_blocks=min(min_x_blocks, max(nx, 1)))
-
-    q = questions.select(F.col(q_id).cast("long").alias("_id"), F.col(q_vec).alias("_v"))
-    x = index.select(F.col(x_id).cast("long").alias("_id"), F.col(x_vec).alias("_v"))
     # both block keys must have one type on both sides, or cogroup cells do not line up
     q = (q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(QB)).cast("long"))
           .withColumn("_xb", F.explode(F.sequence(F.lit(0), F.lit(XB - 1)).cast("array<bigint>"))))
@@ -164,22 +222,12 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<bigint>"))))
 
     def cell(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _cell_topk(qpdf["_id"].to_numpy(dtype=np.int64), _matrix(qpdf["_v"]),
-                             xpdf["_id"].to_numpy(dtype=np.int64), _matrix(xpdf["_v"]),
-                             k, exclude_self, metric)
-        return pd.DataFrame({"qid": np.asarray(a, dtype=np.int64),
-                             "id": np.asarray(b, dtype=np.int64),
-                             "distance": np.asarray(d, dtype=np.float64)})
-
-    local = (q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb"))
-             .applyInPandas(cell, "qid long, id long, distance double"))
-    top = top_k(local, k, "qid", "distance", "id")
-    if metric == "cosine":
-        top = (top.withColumn("cosine", -F.col("distance"))
-               .withColumn("distance", F.lit(2.0) - F.lit(2.0) * F.col("cosine")))
-    if materialize:
-        top = top.checkpoint(eager=True)
-    return top
+        return _cell_frame(*_cell_topk(qpdf["_id"].to_numpy(dtype=np.int64), _matrix(qpdf["_v"]),
+                                       xpdf["_id"].to_numpy(dtype=np.int64), _matrix(xpdf["_v"]),
+                                       k, exclude_self, metric))
+
+    return (q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb"))
+            .applyInPandas(cell, "qid long, id long, distance double"))
 
 
 def top_k(hits: DataFrame, k: int, part: str = "qid", dist: str = "distance",

@@ -24,16 +24,17 @@ def frame(spark, ids, M):
                                  "id long, vec array<double>")
 
 
-@pytest.mark.parametrize("qblock,xblock,minx", [(1000, 1000, 1), (7, 13, 3), (3, 50, 8)])
-def test_knn_l2_matches_brute_force(spark, qblock, xblock, minx):
+@pytest.mark.parametrize("qblock,xblock,minx,strategy", [(1000, 1000, 1, "blocks"), (7, 13, 3, "blocks"),
+                                                          (3, 50, 8, "blocks"), (0, 0, 0, "broadcast")])
+def test_knn_l2_matches_brute_force(spark, qblock, xblock, minx, strategy):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(120, 6)).round(2)
     X[5] = X[7]  # exact duplicate: tie broken by id
     Q = rng.normal(size=(25, 6)).round(2)
     qids, xids = np.arange(1000, 1025), np.arange(120)
     got = knn.knn_join(frame(spark, qids, Q), frame(spark, xids, X), k=5, q_id="id", q_vec="vec",
-                       x_id="id", x_vec="vec", q_block_rows=qblock, x_block_rows=xblock,
-                       min_x_blocks=minx)
+                       x_id="id", x_vec="vec", q_block_rows=qblock or 1, x_block_rows=xblock or 1,
+                       min_x_blocks=minx or None, strategy=strategy)
     res = {}
     for r in got.orderBy("qid", "rank").collect():
         res.setdefault(r["qid"], []).append(r["id"])
@@ -45,12 +46,13 @@ def test_knn_self_join_excludes_self(spark):
     X = rng.normal(size=(60, 4))
     ids = np.arange(60)
     df = frame(spark, ids, X)
-    got = knn.knn_join(df, df, k=3, q_id="id", q_vec="vec", x_id="id", x_vec="vec",
-                       exclude_self=True, x_block_rows=16, q_block_rows=16)
-    res = {}
-    for r in got.orderBy("qid", "rank").collect():
-        res.setdefault(r["qid"], []).append(r["id"])
-    assert res == brute(X, ids, X, ids, 3, exclude_self=True)
+    for strategy in ("blocks", "broadcast"):
+        got = knn.knn_join(df, df, k=3, q_id="id", q_vec="vec", x_id="id", x_vec="vec",
+                           exclude_self=True, x_block_rows=16, q_block_rows=16, strategy=strategy)
+        res = {}
+        for r in got.orderBy("qid", "rank").collect():
+            res.setdefault(r["qid"], []).append(r["id"])
+        assert res == brute(X, ids, X, ids, 3, exclude_self=True)
 
 
 def test_knn_cosine_counts(spark):

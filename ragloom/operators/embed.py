@@ -90,7 +90,15 @@ def embed_col(text: str | Column, embedder_factory=None, dtype: str = "float") -
 
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder_factory=None, dtype: str = "float") -> DataFrame:
-    """Add an embedding column."""
+    """Add an embedding column.
+
+    Embedding is the costly per-row step; when the input has fewer
+    partitions than the cluster has task slots it is spread round-robin
+    first (never the case for large inputs, which arrive in many splits).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
     return df.withColumn(out_col, embed_col(text_col, embedder_factory, dtype))
 
 

@@ -733,6 +733,27 @@ def q_compress_context(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "compressed", "before_chars", "after_chars", rnd("ratio").alias("ratio"))
 
 
+@register("compress_textrank")
+def q_compress_textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14 + W3 + W4 + W5 (hybrid method): TextRank keywords of each hit prefilter
+    texts of more than 10 sentences before the semantic rerank."""
+    hits = _benchmark_hits(spark, sf_dir).filter(F.col("rank") <= COMP_K) \
+        .select("qid", "rank", "chunk_id", "text")
+    keyed = hits.select((F.col("qid") * 100 + F.col("rank")).alias("doc_id"), "text")
+    kw = kw_ops.textrank_keywords(keyed, k=20)
+    kws = (kw.groupBy("doc_id")  # at most 20 rows per hit
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))),
+                            lambda s: s["token"]).alias("kws")))
+    h2 = (hits.withColumn("doc_id", F.col("qid") * 100 + F.col("rank"))
+          .join(kws, "doc_id", "left")
+          .withColumn("kws", F.coalesce("kws", F.array().cast("array<string>"))).drop("doc_id"))
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
+                                                  F.col("text").alias("question"))
+    c = comp_ops.compress_hits(h2, qs, terminators=WESTERN_TERMINATORS, keywords_col="kws")
+    return c.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "n_sentences",
+                    "compressed", "before_chars", "after_chars", rnd("ratio").alias("ratio"))
+
+
 @register("compression_totals", oracle=f"""
 SELECT qid, count(*) AS documents, sum(before_chars) AS before_chars, sum(length(compressed)) AS after_chars,
        round(CASE WHEN sum(before_chars) > 0

@@ -65,12 +65,17 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                    k: int = L.RETRIEVER_K, route: bool = True, compress: bool = True,
                    expand: bool = True, generator=None,
                    terminators: str = L.SENTENCE_TERMINATORS_CJK,
-                   qid: str = "qid", text_col: str = "text") -> DataFrame:
+                   qid: str = "qid", text_col: str = "text", retriever=None) -> DataFrame:
     """C2 (``route=True, compress=True``) / C3 (both off).
 
     ``chunks(chunk_id, text)`` is the retrievable text; ``index(chunk_id, vec)``
     its count vectors (computed with the default embedder when omitted).
+    ``retriever`` (U2) replaces the default exact cosine search: a callable
+    ``(query_vectors(qid, vec), index, k) -> (qid, rank, id)``.
     Output columns: ``OUT_COLS``.
+
+    Custom steps (U3) follow the DataFrame convention: any
+    ``DataFrame -> DataFrame`` function can be chained with ``df.transform(fn)``.
     """
     v = val_ops.validate_questions(questions.select(qid, text_col), text_col)
     rejected = (v.filter(~F.col("ok"))
@@ -97,8 +102,11 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     if index is None:
         index = embed_ops.count_vectors(chunks.select("chunk_id", "text"), "text", "vec")
     qv = embed_ops.count_vectors(go.select(qid, "query"), "query", "vec")
-    top = knn_ops.knn_join(qv, index, k=k, q_id=qid, q_vec="vec", x_id="chunk_id", x_vec="vec",
-                           metric="cosine")
+    if retriever is None:
+        top = knn_ops.knn_join(qv.withColumnRenamed(qid, "qid"), index, k=k, q_id="qid", q_vec="vec",
+                               x_id="chunk_id", x_vec="vec", metric="cosine")
+    else:
+        top = retriever(qv.withColumnRenamed(qid, "qid"), index, k)
     hits = top.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id") \
               .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")
     if compress:

@@ -85,3 +85,20 @@ def test_embedder_is_unit_norm(spark):
     import numpy as np
     assert abs(np.linalg.norm(rows[0]["embedding"]) - 1) < 1e-5
     assert np.linalg.norm(rows[1]["embedding"]) == 0
+
+
+def test_answer_context_custom_retriever(spark):
+    from ragloom.operators import answer
+    chunks = spark.createDataFrame([(1, "dogs eat food every day."), (2, "cats sleep a lot.")],
+                                   "chunk_id long, text string")
+    qs = spark.createDataFrame([(10, "what do dogs eat"), (11, "   ")], "qid long, text string")
+
+    from ragloom.operators import knn
+
+    def l2_blocks(qv, index, k):  # U2: another strategy (squared L2, blocked cogroup)
+        return knn.knn_join(qv, index, k=k, q_id="qid", q_vec="vec", x_id="chunk_id",
+                            x_vec="vec", strategy="blocks")
+
+    out = {r["qid"]: r for r in answer.answer_context(qs, chunks, k=1, retriever=l2_blocks).collect()}
+    assert not out[11]["ok"]
+    assert out[10]["n_docs"] == 1 and "dogs eat food" in out[10]["prompt"]

@@ -94,6 +94,8 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                                      "method": F.lit(None).cast("string"),
                                      "skip_rag": F.lit(False),
                                      "response": F.lit(None).cast("string")})
+    # routed questions feed four branches: materialise them once (reliable checkpoint)
+    routed = routed.checkpoint(eager=True)
     skipped = (routed.filter(F.col("skip_rag"))
                .select(qid, "ok", "reason", "intent", "method", "skip_rag",
                        F.lit(None).cast("string").alias("query"), F.lit(0).cast("long").alias("n_docs"),

@@ -42,7 +42,7 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_fraction:
 
 
 def train_intent_model(train: DataFrame, vec_col: str = "embedding", label_col: str = "label",
-                       max_iter: int = 100, c: float = 1.0, parallelism: int = 4) -> PipelineModel:
+                       max_iter: int = 100, c: float = 1.0, parallelism: int = 10) -> PipelineModel:
     """M1: one-vs-rest logistic regression on (vector, numeric label)."""
     n = train.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
@@ -98,6 +98,8 @@ def classification_report(df: DataFrame, expected: str, predicted: str) -> DataF
     whose size is bounded by classes squared."""
     conf = (df.select(F.col(expected).cast("string").alias("e"), F.col(predicted).cast("string").alias("p"))
             .groupBy("e", "p").agg(F.count(F.lit(1)).alias("n")))
+    # the report reads the confusion table in four branches; compute the predictions once
+    conf = conf.checkpoint(eager=True)
     support = conf.groupBy(F.col("e").alias("label")).agg(F.sum("n").alias("support"))
     pred_n = conf.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("pred"))
     tp = conf.filter(F.col("e") == F.col("p")).select(F.col("e").alias("label"), F.col("n").alias("tp"))

@@ -162,15 +162,19 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     spark = questions.sparkSession
     q = questions.select(F.col(q_id).cast("long").alias("_id"), F.col(q_vec).alias("_v"))
     x = index.select(F.col(x_id).cast("long").alias("_id"), F.col(x_vec).alias("_v"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    nq, dim = int(stats["n"]), int(stats["d"] or 0)
-    if strategy == "auto":
-        fits = nq <= BROADCAST_MAX_ROWS and nq * max(dim, 1) * 8 <= BROADCAST_MAX_BYTES
+    rows = None
+    if strategy in ("auto", "broadcast"):
+        # one bounded pass: at most BROADCAST_MAX_ROWS + 1 question rows reach the driver
+        rows = q.limit(BROADCAST_MAX_ROWS + 1).collect()
+        dim = max((len(r["_v"]) for r in rows), default=0)
+        fits = len(rows) <= BROADCAST_MAX_ROWS and len(rows) * max(dim, 1) * 8 <= BROADCAST_MAX_BYTES
+        if strategy == "broadcast" and not fits:
+            raise ValueError("question matrix exceeds the broadcast bound; use strategy='blocks'")
         strategy = "broadcast" if fits else "blocks"
     if strategy == "broadcast":
-        local = _broadcast_scan(spark, q, x, k, exclude_self, metric)
+        local = _broadcast_scan(spark, rows, x, k, exclude_self, metric)
     else:
-        local = _block_cogroup(spark, q, x, nq, k, exclude_self, metric, q_block_rows,
+        local = _block_cogroup(spark, q, x, q.count(), k, exclude_self, metric, q_block_rows,
                                x_block_rows, min_x_blocks)
     top = top_k(local, k, "qid", "distance", "id")
     if metric == "cosine":
@@ -186,10 +190,10 @@ def _cell_frame(a, b, d) -> pd.DataFrame:
                          "distance": np.asarray(d, dtype=np.float64)})
 
 
-def _broadcast_scan(spark, q: DataFrame, x: DataFrame, k: int, exclude_self: bool,
+def _broadcast_scan(spark, rows, x: DataFrame, k: int, exclude_self: bool,
                     metric: str) -> DataFrame:
-    """Score every index partition against the broadcast question matrix."""
-    rows = q.collect()  # size-checked by the caller
+    """Score every index partition against the broadcast question matrix
+    (``rows``: the size-checked question rows)."""
     qids = np.array([r["_id"] for r in rows], dtype=np.int64)
     Q = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
     bq = spark.sparkContext.broadcast((qids, Q))

@@ -893,7 +893,7 @@ def q_knn_label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model_eval(spark: SparkSession, sf_dir: str):
     from ..operators import intent_model as im
     emb = table(spark, sf_dir, "embeddings")
-    split = im.stratified_split(emb, "label", "vec_id", 0.2, 42)
+    split = im.stratified_split(emb, "label", "vec_id", 0.2, 42).checkpoint(eager=True)
     model = im.train_intent_model(split.filter(~F.col("is_test")), "embedding", "label")
     test = split.filter(F.col("is_test"))
     return im, im.classify(model, test, "embedding", n_classes=10)

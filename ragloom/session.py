@@ -59,3 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df):
+    """Round-robin ``df`` over the task slots when it has fewer partitions than slots.
+
+    Small local inputs arrive in a few row groups; large inputs arrive in many
+    splits and are returned unchanged (no shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

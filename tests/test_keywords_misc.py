@@ -33,10 +33,11 @@ def _textrank_brute(text, window=5, d=0.85, iters=10):
 def test_textrank_matches_power_iteration(spark):
     text = "dogs need food and water dogs need walks cats need sleep and food every day"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    got = {r["token"]: r["weight"] for r in keywords.textrank_keywords(df, k=50).collect()}
     exp = _textrank_brute(text)
-    assert set(got) == set(exp)
-    assert all(abs(got[t] - exp[t]) < 1e-9 for t in exp)
+    for method in ("in_row", "iterative"):
+        got = {r["token"]: r["weight"] for r in keywords.textrank_keywords(df, k=50, method=method).collect()}
+        assert set(got) == set(exp)
+        assert all(abs(got[t] - exp[t]) < 1e-9 for t in exp)
 
 
 def test_real_client_ip(spark):

@@ -551,6 +551,34 @@ def q_retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rnd("similarity").alias("similarity"))
 
 
+THRESHOLD = L.SCORE_THRESHOLD
+
+
+@register("retrieval_threshold", oracle=f"""
+SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity
+FROM ({HITS_SQL}) h WHERE similarity >= {THRESHOLD}
+""")
+def q_retrieval_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the top-10 hits whose relevance score reaches 0.5 (threshold retrieval mode)."""
+    h = knn_ops.score_threshold(_benchmark_hits(spark, sf_dir), THRESHOLD)
+    return h.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id",
+                    rnd("similarity").alias("similarity"))
+
+
+@register("retrieval_mmr")
+def q_retrieval_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal marginal relevance (lambda 0.5) picks 2 of the 20 best chunks per question."""
+    chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    index = embed_ops.count_vectors(chunks, "text", "vec")
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    qv = embed_ops.count_vectors(qs, "text", "vec")
+    top = knn_ops.knn_join(qv, index, k=L.RETRIEVER_FETCH_K, q_id="qid", q_vec="vec",
+                           x_id="chunk_id", x_vec="vec", metric="cosine")
+    cands = (top.join(index.select(F.col("chunk_id").alias("id"), F.col("vec").alias("x_vec")), "id")
+             .join(qv.select("qid", F.col("vec").alias("q_vec")), "qid"))
+    return knn_ops.mmr(cands, k=L.RETRIEVER_K, lambda_mult=L.MMR_LAMBDA)
+
+
 CASES_SQL = """
 SELECT b.item_id AS qid, coalesce(k.keywords, []::VARCHAR[]) AS keywords
 FROM benchmark b LEFT JOIN (

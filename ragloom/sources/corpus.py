@@ -95,3 +95,17 @@ def write_clean_corpus(cleaned: DataFrame, out: str, root: str, mode: str = "ove
     (cleaned.withColumn("relative_path", rel)
      .select("relative_path", "clean_text", "total_lines", "removed_lines")
      .write.mode(mode).parquet(out))
+
+
+def clean_corpus_job(spark: SparkSession, in_dir: str, out: str, min_length: int = 50):
+    """Scan (S1) -> clean (P3) -> statistics (A1) -> write.
+
+    Returns (per-file statistics, totals, rejects) as DataFrames; the cleaned
+    texts are written to ``out``.
+    """
+    from ..operators import clean as clean_ops
+    docs, rejects = scan_text_corpus(spark, in_dir)
+    cleaned = clean_ops.clean_documents(docs, min_length=min_length, keep_columns=("doc_id", "source"))
+    cleaned = cleaned.checkpoint(eager=True)  # written and summarised from one pass
+    write_clean_corpus(cleaned, out, in_dir)
+    return cleaned.drop("clean_text"), clean_ops.cleaning_totals(cleaned), rejects

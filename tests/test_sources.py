@@ -77,3 +77,37 @@ def test_index_store_versions_and_merge(spark, tmp_path):
     assert index_store.current_version(spark, root) == 1 and idx2.count() > n
     again = index_store.merge_index(idx2, idx2, dedupe=True)
     assert again.count() == idx2.select("chunk_hash").distinct().count()
+
+
+def test_clean_corpus_job(spark, tmp_path):
+    src = tmp_path / "in"
+    (src / "sub").mkdir(parents=True)
+    (src / "sub" / "a.txt").write_text("short\n" + "x" * 60 + "\nwww.spam.example " + "y" * 50)
+    (src / "b.txt").write_bytes(b"\xff\xfe")
+    stats, totals, rejects = corpus.clean_corpus_job(spark, str(src), str(tmp_path / "out"))
+    t = totals.first()
+    assert (t["files_processed"], t["total_lines"], t["spam_lines"], t["short_lines"]) == (1, 3, 1, 1)
+    assert rejects.count() == 1
+    out = spark.read.parquet(str(tmp_path / "out")).first()
+    assert out["relative_path"] == "sub/a.txt" and out["clean_text"] == "x" * 60
+
+
+def test_report_model_and_lexicon_sinks(spark, tmp_path):
+    from ragloom.operators import intent_model as im
+    lex = labelled.lexicon_tables(spark)
+    assert lex["keywords"].count() == 49 and lex["rules"].count() == 12 and lex["blocklist"].count() == 36
+    per_case = spark.createDataFrame([(1, 70.0)], "qid long, score double")
+    hits = spark.createDataFrame([(1, r, r, 0.5, "line\n" * 40) for r in range(1, 8)],
+                                 "qid long, rank int, chunk_id long, similarity double, text string")
+    labelled.write_eval_report(per_case, hits, str(tmp_path / "report"))
+    rep = spark.read.json(str(tmp_path / "report")).first()
+    assert len(rep["top_hits"]) == 5 and "\n" not in rep["top_hits"][0]["preview"]
+    assert len(rep["top_hits"][0]["preview"]) == 150
+    rows = [(i, i % 2, [float(i % 2), 1.0 - i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<double>")
+    model = im.train_intent_model(df, max_iter=20)
+    im.save_model(model, str(tmp_path / "model"), spark, ["a", "b"])
+    m2, labels = im.load_model(str(tmp_path / "model"), spark)
+    assert labels == ["a", "b"]
+    pred = im.classify(m2, df, class_names=labels)
+    assert im.accuracy(pred, "label", "predicted").first()["accuracy"] == 1.0

@@ -121,9 +121,9 @@ def q_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cleaning_totals", oracle=f"""
 WITH c AS ({CLEAN_SQL})
 SELECT d.lang AS lang, count(*) AS files_processed,
-       sum(total_lines) AS total_lines, sum(removed_lines) AS removed_lines,
-       sum(spam_lines) AS spam_lines, sum(empty_lines) AS empty_lines,
-       sum(short_lines) AS short_lines,
+       CAST(sum(total_lines) AS BIGINT) AS total_lines, CAST(sum(removed_lines) AS BIGINT) AS removed_lines,
+       CAST(sum(spam_lines) AS BIGINT) AS spam_lines, CAST(sum(empty_lines) AS BIGINT) AS empty_lines,
+       CAST(sum(short_lines) AS BIGINT) AS short_lines,
        CASE WHEN sum(total_lines) > 0
             THEN floor((2000 * sum(removed_lines) + sum(total_lines)) / (2.0 * sum(total_lines))) / 10.0
             ELSE 0.0 END AS removed_pct
@@ -303,7 +303,7 @@ WITH v AS ({FIXED_SQL}), j AS (
          sum(CASE WHEN allowed AND NOT failed THEN 1 ELSE 0 END) AS completed
   FROM j GROUP BY day
 )
-SELECT day, requests, rejected, completed,
+SELECT day, requests, CAST(rejected AS BIGINT) AS rejected, CAST(completed AS BIGINT) AS completed,
        {S.pct2('rejected', 'requests')} AS reject_rate,
        {S.pct2('completed', 'requests')} AS completion_rate
 FROM g
@@ -459,8 +459,8 @@ def q_chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("conversation_history", oracle="""
 SELECT conv_id, turn, role,
        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
-       coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before,
+       CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before,
        lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role
 FROM conversations
 """)
@@ -790,7 +790,8 @@ def q_compress_textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("compression_totals", oracle=f"""
-SELECT qid, count(*) AS documents, sum(before_chars) AS before_chars, sum(length(compressed)) AS after_chars,
+SELECT qid, count(*) AS documents, CAST(sum(before_chars) AS BIGINT) AS before_chars,
+       CAST(sum(length(compressed)) AS BIGINT) AS after_chars,
        round(CASE WHEN sum(before_chars) > 0
                   THEN (1.0 - sum(length(compressed)) / sum(before_chars)) * 100.0 ELSE 0.0 END, 6) AS ratio
 FROM ({COMPRESS_SQL}) c GROUP BY qid

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from ragloom.session import DEFAULT_CONF, ensure_checkpoint_dir
+    from ragloom.session import DEFAULT_CONF, ensure_checkpoint_dir, ship_package
     b = (SparkSession.builder.master("local[*]").appName("ragloom-tests")
          .config("spark.sql.shuffle.partitions", "8"))
     for k, v in DEFAULT_CONF.items():
@@ -17,6 +17,7 @@ def spark():
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 

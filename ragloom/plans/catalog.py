@@ -967,7 +967,11 @@ def _events_stream(spark: SparkSession, sf_dir: str):
     return jobs.table_stream(spark, sf_dir, "events.parquet", schema)
 
 
-@register("stream_window_counts")
+@register("stream_window_counts", oracle=f"""
+SELECT make_timestamp(epoch_us(ts) - (epoch_us(ts) % {DAY_US})) AS window_start, user_id, event_type,
+       count(*) AS requests, count(*) > {RL_LIMIT} AS over_limit
+FROM events GROUP BY 1, user_id, event_type
+""")
 def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 counts: watermark + one-day tumbling windows per client x route, over-limit flag."""
     from pyspark.sql import Window
@@ -986,7 +990,7 @@ def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("window_start", "user_id", "event_type", "requests", "over_limit"))
 
 
-@register("stream_fixed_window_verdicts")
+@register("stream_fixed_window_verdicts", oracle=f"SELECT event_id, allowed FROM ({FIXED_SQL}) f")
 def q_stream_fixed_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 per request with applyInPandasWithState; equals W9 when events arrive in order."""
     from ..streaming import jobs
@@ -996,7 +1000,28 @@ def q_stream_fixed_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFram
     return spark.read.parquet(out)
 
 
-@register("stream_moving_window_verdicts")
+def _moving_accepted_sql() -> str:
+    """Accepted-only moving window for a limit of 1: walk each key's requests in order."""
+    assert RL_LIMIT == 1
+    return f"""
+WITH RECURSIVE o AS (
+  SELECT event_id, user_id, event_type, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts), event_id) AS rn
+  FROM events
+),
+walk(user_id, event_type, rn, event_id, last_acc, allowed) AS (
+  SELECT user_id, event_type, rn, event_id, us, true FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.event_type, o.rn, o.event_id,
+         CASE WHEN o.us - w.last_acc >= {DAY_US} THEN o.us ELSE w.last_acc END,
+         o.us - w.last_acc >= {DAY_US}
+  FROM walk w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.rn = w.rn + 1
+)
+SELECT event_id, allowed FROM walk
+"""
+
+
+@register("stream_moving_window_verdicts", oracle=_moving_accepted_sql())
 def q_stream_moving_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving one-day window counting accepted requests only."""
     from ..streaming import jobs
@@ -1006,7 +1031,18 @@ def q_stream_moving_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFra
     return spark.read.parquet(out)
 
 
-@register("stream_screen_questions")
+def _screen_sql() -> str:
+    v = _validate_sql()
+    r = _route_sql("(SELECT conv_id, turn, text FROM v WHERE ok) vv", "conv_id, turn")
+    return f"""
+WITH v AS ({v}), r AS ({r})
+SELECT v.conv_id, v.turn, v.ok, v.text, v.error, v.reason, r.intent, r.confidence, r.method,
+       r.skip_rag, r.response
+FROM v LEFT JOIN r ON r.conv_id = v.conv_id AND r.turn = v.turn
+"""
+
+
+@register("stream_screen_questions", oracle=_screen_sql())
 def q_stream_screen_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: validation + routing of user turns arriving as a stream."""
     from ..streaming import jobs

@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 
-# rows per question block / index block of one cogroup cell
-Q_BLOCK_ROWS = 4096
-X_BLOCK_ROWS = 65536
+# memory budget (float64 bytes) of the question / index block of one cogroup cell;
+# rows per block follow from the vector width, so wide vectors get fewer rows
+Q_BLOCK_BYTES = 64 * 1024 * 1024
+X_BLOCK_BYTES = 256 * 1024 * 1024
+Q_BLOCK_ROWS = None  # derived from Q_BLOCK_BYTES unless given
+X_BLOCK_ROWS = None
 # broadcast strategy: question matrix at most this many rows and bytes
 BROADCAST_MAX_ROWS = 4096
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
@@ -137,8 +140,8 @@ def _blocks(n: int, rows_per_block: int, min_blocks: int = 1) -> int:
 def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
              q_id: str = "qid", q_vec: str = "embedding",
              x_id: str = "chunk_id", x_vec: str = "embedding",
-             exclude_self: bool = False, q_block_rows: int = Q_BLOCK_ROWS,
-             x_block_rows: int = X_BLOCK_ROWS, min_x_blocks: int | None = None,
+             exclude_self: bool = False, q_block_rows: int | None = Q_BLOCK_ROWS,
+             x_block_rows: int | None = X_BLOCK_ROWS, min_x_blocks: int | None = None,
              metric: str = "l2", materialize: bool = True, strategy: str = "auto") -> DataFrame:
     """J1 + W1: (qid, rank, id, distance) with rank 1..k.
 
@@ -213,8 +216,16 @@ def _broadcast_scan(spark, rows, x: DataFrame, k: int, exclude_self: bool,
 def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_self: bool,
                    metric: str, q_block_rows: int, x_block_rows: int,
                    min_x_blocks: int | None) -> DataFrame:
-    """Blocked cogroup: (question block, index block) cells of bounded size."""
+    """Blocked cogroup: (question block, index block) cells of bounded size.
+
+    The index is replicated once per question block and the questions once
+    per index block, so large question blocks keep the index replication low;
+    both block sizes come from a memory budget and the measured vector width.
+    """
     nx = x.count()
+    dim = int((x.select(F.size("_v").alias("d")).first() or {"d": 1})["d"] or 1)
+    q_block_rows = q_block_rows or max(256, Q_BLOCK_BYTES // (8 * dim))
+    x_block_rows = x_block_rows or max(1024, X_BLOCK_BYTES // (8 * dim))
     if min_x_blocks is None:
         min_x_blocks = spark.sparkContext.defaultParallelism
     QB = _blocks(nq, q_block_rows)

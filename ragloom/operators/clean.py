@@ -71,8 +71,7 @@ def cleaning_totals(cleaned: DataFrame, group_cols=()) -> DataFrame:
         F.sum("empty_lines").alias("empty_lines"),
         F.sum("short_lines").alias("short_lines"),
     )
-    return agg.withColumn(
-        "removed_pct",
-        F.when(F.col("total_lines") > 0,
-               F.round(F.col("removed_lines") * 100.0 / F.col("total_lines"), 1))
-        .otherwise(F.lit(0.0)))
+    t, r = F.col("total_lines"), F.col("removed_lines")
+    # one decimal, half-up, exact from the integer counts
+    return agg.withColumn("removed_pct", F.when(t > 0, F.floor((2000 * r + t) / (2.0 * t)) / 10.0)
+                          .otherwise(F.lit(0.0)))

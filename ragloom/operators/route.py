@@ -133,16 +133,28 @@ def route_questions(df: DataFrame, text_col: str = "text", rules=None, keywords=
 
 def keyword_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "qid",
                  text_col: str = "text") -> DataFrame:
-    """J2 as a theta join for large lexicons ``(intent, intent_ord, keyword)``.
-
-    The lexicon side is broadcast (lexicons are configuration, bounded by
-    the caller); the output has one row per text with a hit: best intent by
-    score desc, intent order asc.
+    """J2 for large lexicons ``(intent, intent_ord, keyword)`` as an equi join.
+
+    "keyword contained in text" is "some substring of the text equals the
+    keyword": every text is exploded into its substrings of exactly the
+    keyword lengths that occur in the lexicon, and those are hash-joined
+    with the keywords - no theta join, no unchecked broadcast. A keyword
+    counts once per text however often it occurs. Output: one row per text
+    with a hit - best intent by score desc, intent order asc.
     """
+    lex = (lexicon.select("intent", "intent_ord", F.lower("keyword").alias("_kw"))
+           .filter(F.length("_kw") > 0).dropDuplicates(["intent", "_kw"]))
+    lengths = [r[0] for r in lex.select(F.length("_kw")).distinct().collect()]  # distinct lengths only
     t = texts.select(id_col, routing_text(F.col(text_col)).alias("_t"))
-    lex = F.broadcast(lexicon.select("intent", "intent_ord",
-                                     F.lower("keyword").alias("_kw")))
-    hits = t.join(lex, F.col("_t").contains(F.col("_kw")))
+    n = F.length("_t")
+
+    def grams_of(size):  # closure factory: a default argument would read as an index lambda
+        return lambda i: F.substring(F.col("_t"), i, size)
+    subs = F.flatten(F.array(*[
+        F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), grams_of(size)))
+        .otherwise(F.array().cast("array<string>")) for size in sorted(lengths)]))
+    grams = t.select(id_col, "_t", F.explode(F.array_distinct(subs)).alias("_kw"))
+    hits = grams.join(lex, "_kw")
     scored = (hits.groupBy(id_col, "intent", "intent_ord")
               .agg(F.sum(F.when(F.col("_t") == F.col("_kw"), 10).otherwise(1)).alias("score")))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "intent_ord")

@@ -134,13 +134,7 @@ def q_cleaning_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 overall, per language of the corpus."""
     docs = table(spark, sf_dir, "documents")
     cleaned = clean_ops.clean_documents(docs, keep_columns=("doc_id", "lang"))
-    agg = cleaned.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("files_processed"),
-        *[F.sum(c).alias(c) for c in ("total_lines", "removed_lines", "spam_lines",
-                                      "empty_lines", "short_lines")])
-    t, r = F.col("total_lines"), F.col("removed_lines")
-    return agg.withColumn("removed_pct", F.when(t > 0, F.floor((2000 * r + t) / (2.0 * t)) / 10.0)
-                          .otherwise(F.lit(0.0)))
+    return clean_ops.cleaning_totals(cleaned, ("lang",))
 
 
 # ============================================== question validation

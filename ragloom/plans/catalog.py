@@ -230,6 +230,31 @@ def q_route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "skip_rag", "response")
 
 
+def _kw_join_sql() -> str:
+    t = "lower_strip"
+    names = list(L.INTENT_KEYWORDS)
+    scores = {i: S.keyword_score(t, L.INTENT_KEYWORDS[i]) for i in names}
+    best = "greatest(" + ", ".join(scores[i] for i in names) + ")"
+    return f"""
+SELECT conv_id, turn, intent, score FROM (
+  SELECT conv_id, turn, {S.keyword_intent(t)} AS intent, {best} AS score
+  FROM (SELECT conv_id, turn, {S.strip('lower(text)')} AS lower_strip
+        FROM conversations WHERE role = 'user') b
+) x WHERE score > 0
+"""
+
+
+@register("keyword_join", oracle=_kw_join_sql())
+def q_keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + W7 as a join: lexicon keywords matched as substring equi-joins, best intent per turn."""
+    from ..sources.labelled import lexicon_tables
+    turns = _user_turns(spark, sf_dir).withColumn(
+        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    best = route_ops.keyword_join(turns, lexicon_tables(spark)["keywords"], "qid", "text")
+    return (best.join(turns.select("qid", "conv_id", "turn"), "qid")
+            .select("conv_id", "turn", "intent", F.col("score").cast("long").alias("score")))
+
+
 @register("routing_profile", oracle=f"""
 WITH r AS ({ROUTE_SQL}), g AS (
   SELECT intent, method, skip_rag, count(*) AS n FROM r GROUP BY intent, method, skip_rag

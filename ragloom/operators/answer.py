@@ -109,8 +109,8 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                                x_id="chunk_id", x_vec="vec", metric="cosine")
     else:
         top = retriever(qv.withColumnRenamed(qid, "qid"), index, k)
-    hits = top.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id") \
-              .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")
+    hits = knn_ops.join_hits(top, chunks.select("chunk_id", "text")) \
+        .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")
     if compress:
         qs = go.select(qid, F.col(text_col).alias("question"))
         hits = (comp_ops.compress_hits(hits, qs, qid=qid, terminators=terminators)

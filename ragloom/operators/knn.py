@@ -245,6 +245,21 @@ def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_s
             .applyInPandas(cell, "qid long, id long, distance double"))
 
 
+HIT_BROADCAST_ROWS = 2_000_000
+
+
+def join_hits(hits: DataFrame, table: DataFrame, hit_id: str = "id",
+              table_id: str = "chunk_id") -> DataFrame:
+    """Attach index columns (text, vectors, ...) to hits.
+
+    Hits hold k rows per question; below ``HIT_BROADCAST_ROWS`` (measured) they
+    are broadcast and the index streams through a hash join without being
+    shuffled; above it both sides shuffle on the id.
+    """
+    h = F.broadcast(hits) if hits.count() <= HIT_BROADCAST_ROWS else hits
+    return h.join(table.withColumnRenamed(table_id, hit_id), hit_id)
+
+
 def top_k(hits: DataFrame, k: int, part: str = "qid", dist: str = "distance",
           tie: str = "id", rank_col: str = "rank") -> DataFrame:
     """Keep the k smallest ``dist`` per ``part`` with 1-based rank."""

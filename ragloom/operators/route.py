@@ -131,6 +131,9 @@ def route_questions(df: DataFrame, text_col: str = "text", rules=None, keywords=
     return attach_policy(routed)
 
 
+LEXICON_BROADCAST_ROWS = 200_000
+
+
 def keyword_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "qid",
                  text_col: str = "text") -> DataFrame:
     """J2 for large lexicons ``(intent, intent_ord, keyword)`` as an equi join.
@@ -146,15 +149,15 @@ def keyword_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "qid",
            .filter(F.length("_kw") > 0).dropDuplicates(["intent", "_kw"]))
     lengths = [r[0] for r in lex.select(F.length("_kw")).distinct().collect()]  # distinct lengths only
     t = texts.select(id_col, routing_text(F.col(text_col)).alias("_t"))
-    n = F.length("_t")
-
-    def grams_of(size):  # closure factory: a default argument would read as an index lambda
-        return lambda i: F.substring(F.col("_t"), i, size)
-    subs = F.flatten(F.array(*[
-        F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), grams_of(size)))
-        .otherwise(F.array().cast("array<string>")) for size in sorted(lengths)]))
-    grams = t.select(id_col, "_t", F.explode(F.array_distinct(subs)).alias("_kw"))
-    hits = grams.join(lex, "_kw")
+    # positions, then one substring per keyword length: plain (code-generated) projections
+    pos = t.select(id_col, "_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))))
+                   .alias("_p"))
+    grams = pos.select(id_col, "_t", F.explode(F.array(*[F.substring(F.col("_t"), F.col("_p"), F.lit(size))
+                                                         for size in sorted(lengths)])).alias("_kw"))
+    # a keyword counts once per text: de-duplicate the (small) matched set
+    # lexicon side broadcast only under a measured bound; otherwise a shuffle hash join
+    lex_side = F.broadcast(lex) if lex.count() <= LEXICON_BROADCAST_ROWS else lex
+    hits = grams.join(lex_side, "_kw").dropDuplicates([id_col, "intent", "_kw"])
     scored = (hits.groupBy(id_col, "intent", "intent_ord")
               .agg(F.sum(F.when(F.col("_t") == F.col("_kw"), 10).otherwise(1)).alias("score")))
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "intent_ord")

@@ -551,7 +551,7 @@ def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int = EVAL_K) -> DataFr
     qv = embed_ops.count_vectors(qs, "text", "vec")
     top = knn_ops.knn_join(qv, index, k=k, q_id="qid", q_vec="vec", x_id="chunk_id",
                            x_vec="vec", metric="cosine")
-    return (top.join(chunks.select(F.col("chunk_id").alias("id"), "text", "source"), "id")
+    return (knn_ops.join_hits(top, chunks.select("chunk_id", "text", "source"))
             .select("qid", "rank", F.col("id").alias("chunk_id"), "cosine", "distance",
                     knn_ops.distance_to_similarity("distance").alias("similarity"),
                     "text", "source"))
@@ -593,7 +593,7 @@ def q_retrieval_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     qv = embed_ops.count_vectors(qs, "text", "vec")
     top = knn_ops.knn_join(qv, index, k=L.RETRIEVER_FETCH_K, q_id="qid", q_vec="vec",
                            x_id="chunk_id", x_vec="vec", metric="cosine")
-    cands = (top.join(index.select(F.col("chunk_id").alias("id"), F.col("vec").alias("x_vec")), "id")
+    cands = (knn_ops.join_hits(top, index.select("chunk_id", F.col("vec").alias("x_vec")))
              .join(qv.select("qid", F.col("vec").alias("q_vec")), "qid"))
     return knn_ops.mmr(cands, k=L.RETRIEVER_K, lambda_mult=L.MMR_LAMBDA)
 

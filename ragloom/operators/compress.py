@@ -23,6 +23,9 @@ from ..functions.text import compression_ratio, keyword_score, split_sentences
 from . import embed as embed_ops
 
 
+QUESTION_BROADCAST_ROWS = 32_768  # x 512 float32 = 64 MB
+
+
 def count_cosine(a: Column, b: Column) -> Column:
     """Cosine of two count vectors: dot / sqrt(|a|^2 |b|^2); 0 when a norm is 0."""
     def dot(x, y):
@@ -67,6 +70,10 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
         sent = sent.withColumn("_order", F.col("pos"))
     sv = embed_counts(sent, "sentence", "_sv")
     qv = embed_counts(questions.select(qid, F.col(question_col).alias("_q")), "_q", "_qv").drop("_q")
+    # question vectors may be broadcast (measured, at most QUESTION_BROADCAST_ROWS);
+    # the exploded sentence side never is
+    if questions.count() <= QUESTION_BROADCAST_ROWS:
+        qv = F.broadcast(qv)
     scored = sv.join(qv, qid).withColumn("_cos", count_cosine(F.col("_sv"), F.col("_qv")))
     # Best max_sentences by cosine (earlier list position wins ties)
     w = Window.partitionBy(qid, rank).orderBy(F.col("_cos").desc(), F.col("_order"))

@@ -171,3 +171,12 @@ def routing_profile(routed: DataFrame) -> DataFrame:
     # the grouped table has at most (#intents x #methods) rows
     total = F.sum("n").over(Window.partitionBy())
     return g.withColumn("share_pct", pct2(F.col("n"), total))
+
+
+def router_settings(spark: SparkSession, rules=None, keywords=None) -> DataFrame:
+    """A12 (static part): number of rule intents, keyword count, known intents."""
+    rules = rules or L.INTENT_RULES
+    keywords = keywords or L.INTENT_KEYWORDS
+    intents = sorted(set(rules) | set(keywords))
+    return spark.createDataFrame([(len(rules), sum(len(v) for v in keywords.values()), intents)],
+                                 "rules_count int, keywords_count int, intents array<string>")

@@ -69,3 +69,13 @@ def filter_profile(validated: DataFrame) -> DataFrame:
     """A10: rejections (and passes) by reason."""
     return validated.groupBy("reason").agg(F.count(F.lit(1)).alias("n"),
                                            F.max(F.col("ok").cast("int")).cast("boolean").alias("ok"))
+
+
+def filter_settings(spark, max_length: int = L.MAX_INPUT_LENGTH, truncate: bool = True,
+                    security: bool = True, blocked=None) -> DataFrame:
+    """A10 (static part): enabled flag, limits, keyword count and the first five keywords."""
+    kws = list(blocked or L.BLOCKED_KEYWORDS)
+    return spark.createDataFrame(
+        [(security, max_length, truncate, len(kws), kws[:5])],
+        "enabled boolean, max_input_length int, truncation_enabled boolean, "
+        "blocked_keywords_count int, blocked_keywords array<string>")

@@ -112,3 +112,11 @@ def test_compression_ratio_numbers(spark):
     df = spark.createDataFrame([(843, 187), (756, 201), (1599, 388), (0, 0)], "b long, a long")
     got = [round(r[0], 1) for r in df.select(compression_ratio("b", "a")).collect()]
     assert got == [77.8, 73.4, 75.7, 0.0]
+
+
+def test_static_profiles(spark):
+    f = validate.filter_settings(spark).first()
+    assert f["blocked_keywords_count"] == 36 and f["blocked_keywords"][0] == "系统提示词"
+    r = route.router_settings(spark).first()
+    assert (r["rules_count"], r["keywords_count"]) == (4, 49)
+    assert r["intents"] == ["greeting", "politeness", "system", "unknown"]

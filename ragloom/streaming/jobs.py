@@ -171,6 +171,42 @@ def stream_moving_window_verdicts(requests: DataFrame, width_seconds: int, limit
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def late_rows_side_count(requests: DataFrame, out_root: str, checkpoint: str, ts: str = "ts",
+                         delay_seconds: int = 120):
+    """Side count of rows a watermarked stateful operator would drop as late.
+
+    Spark's watermark for a micro-batch is the maximum event time of the
+    earlier batches minus the delay; stateful operators silently drop rows
+    older than it. This job applies the same rule per batch and writes
+    ``late/batch_id=<n>`` (late row counts) and ``max/batch_id=<n>`` (running
+    maximum event time, a one-row table) below ``out_root``.
+    """
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev = None
+        if batch_id > 0:
+            try:
+                prev = spark.read.parquet(f"{out_root}/max").filter(F.col("batch_id") < batch_id) \
+                    .agg(F.max("max_us")).first()[0]
+            except Exception:  # no earlier batch written
+                prev = None
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        stats = batch.agg(F.max(us).alias("max_us"),
+                          F.sum(F.when(F.lit(prev is not None) &
+                                       (us < F.lit((prev or 0) - delay_seconds * MICROS)), 1)
+                                .otherwise(0)).alias("late_rows"),
+                          F.count(F.lit(1)).alias("rows")).first()
+        spark.createDataFrame([(batch_id, int(stats["late_rows"] or 0), int(stats["rows"]))],
+                              "batch_id long, late_rows long, rows long") \
+            .write.mode("overwrite").parquet(f"{out_root}/late/batch_id={batch_id}")
+        best = max(x for x in (prev, stats["max_us"]) if x is not None) \
+            if (prev is not None or stats["max_us"] is not None) else None
+        spark.createDataFrame([(best,)], "max_us long") \
+            .write.mode("overwrite").parquet(f"{out_root}/max/batch_id={batch_id}")
+
+    return run_available(requests.writeStream.foreachBatch(per_batch), checkpoint)
+
+
 # ------------------------------------------------------------------------ T4
 def stream_screen(questions: DataFrame, text_col: str = "text") -> DataFrame:
     """T4: validation then routing of every arriving question (stateless)."""

@@ -73,3 +73,23 @@ def test_stream_screen_matches_batch(spark):
          E.queries()["stream_screen_questions"](spark, SF_SMALL).collect()}
     v = {(r["conv_id"], r["turn"]): r["ok"] for r in E.queries()["validate_questions"](spark, SF_SMALL).collect()}
     assert {k: ok for k, (ok, _) in s.items()} == v
+
+
+def test_late_rows_side_count(spark, tmp_path):
+    import datetime as dt
+    from ragloom.streaming import jobs
+    inbox = tmp_path / "inbox"
+    schema = "event_id long, ts timestamp_ntz, user_id long"
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    spark.createDataFrame([(1, t0, 1), (2, t0 + dt.timedelta(minutes=10), 1)], schema) \
+        .coalesce(1).write.parquet(str(inbox / "a"))
+    # second drop: one row 3 minutes behind the first batch's maximum (late), one on time
+    spark.createDataFrame([(3, t0 + dt.timedelta(minutes=7), 1), (4, t0 + dt.timedelta(minutes=9), 1)], schema) \
+        .coalesce(1).write.parquet(str(inbox / "b"))
+    sch = spark.read.parquet(str(inbox / "a")).schema
+    stream = (spark.readStream.schema(sch).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(inbox)))
+    out = str(tmp_path / "out")
+    jobs.late_rows_side_count(stream, out, str(tmp_path / "ck"), delay_seconds=120)
+    late = {r["batch_id"]: r["late_rows"] for r in spark.read.parquet(out + "/late").collect()}
+    assert sorted(late.values()) == [0, 1]

@@ -52,8 +52,16 @@ def load_index(spark: SparkSession, root: str) -> DataFrame | None:
     return None if v is None else spark.read.parquet(f"{root}/v={v}")
 
 
-def merge_index(current: DataFrame, new: DataFrame, dedupe: bool = False) -> DataFrame:
-    """O3: append new vectors (no de-duplication unless asked)."""
+def merge_index(current: DataFrame, new: DataFrame, dedupe: bool = False,
+                on_conflict: str = "append") -> DataFrame:
+    """O3: append new vectors (no de-duplication unless asked).
+
+    ``on_conflict="replace"``: chunks of a source that is loaded again are
+    dropped from the current index first (anti join on ``source``);
+    ``"append"`` keeps the old ones next to the new ones, as the reference does.
+    """
+    if on_conflict == "replace":
+        current = current.join(new.select("source").distinct(), "source", "left_anti")
     out = current.unionByName(new, allowMissingColumns=True)
     return out.dropDuplicates(["chunk_hash"]) if dedupe else out
 

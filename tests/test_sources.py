@@ -111,3 +111,11 @@ def test_report_model_and_lexicon_sinks(spark, tmp_path):
     assert labels == ["a", "b"]
     pred = im.classify(m2, df, class_names=labels)
     assert im.accuracy(pred, "label", "predicted").first()["accuracy"] == 1.0
+
+
+def test_merge_index_replace(spark):
+    cur = spark.createDataFrame([(1, "a.txt", "old a"), (2, "b.txt", "b")], "chunk_id long, source string, text string")
+    new = spark.createDataFrame([(3, "a.txt", "new a")], "chunk_id long, source string, text string")
+    rep = {r["chunk_id"] for r in index_store.merge_index(cur, new, on_conflict="replace").collect()}
+    app = {r["chunk_id"] for r in index_store.merge_index(cur, new).collect()}
+    assert rep == {2, 3} and app == {1, 2, 3}

@@ -85,3 +85,10 @@ def test_detect_bots(spark):
     df = spark.createDataFrame(rows, "id long, user_agent string")
     got = {r["id"]: r["suspicious"] for r in traffic.detect_bots(df).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_latency_quantiles_exact_on_small_groups(spark):
+    rows = [("a", float(v)) for v in range(1, 101)] + [("b", 5.0)]
+    df = spark.createDataFrame(rows, "event_type string, value double")
+    got = {r["event_type"]: r["p50_p90_p99"] for r in traffic.latency_quantiles(df).collect()}
+    assert got["a"] == [50.0, 90.0, 99.0] and got["b"] == [5.0, 5.0, 5.0]

@@ -6,7 +6,8 @@ the norm in traffic data, so no operator here lets one key own a task:
 
 * fixed windows rank with ``row_number() <= limit`` which Catalyst turns into
   a partial ``WindowGroupLimit`` before the shuffle: a hot (client, window)
-  sends at most ``limit`` rows per map task;
+  sends at most ``limit`` rows per map task; the admitted set is then
+  broadcast (measured) so the request log itself is not shuffled;
 * moving windows split each key's time line into buckets and copy the rows
   of the last window length of a bucket into the next one ("halo"), so a
   window frame never crosses a partition and a hot key spreads over buckets;
@@ -24,6 +25,7 @@ from ..functions.mathx import pct2
 from ..functions.timex import from_micros, micros
 
 MICROS = 1_000_000
+ADMITTED_BROADCAST_ROWS = 2_000_000
 
 
 def window_start(ts, width_seconds: int) -> Column:
@@ -47,7 +49,11 @@ def fixed_window_limit(req: DataFrame, limit: int, width_seconds: int,
                 .withColumn("_admit_no", F.row_number().over(w))
                 .filter(F.col("_admit_no") <= limit)
                 .select(id_col, "_admit_no"))
-    return (staged.join(admitted, id_col, "left")
+    # at most `limit` rows per (key, window): materialise once, then let the full
+    # request log stream through a broadcast hash join when the set is small
+    admitted = admitted.checkpoint(eager=True)
+    side = F.broadcast(admitted) if admitted.count() <= ADMITTED_BROADCAST_ROWS else admitted
+    return (staged.join(side, id_col, "left")
             .withColumn("allowed", F.col("_admit_no").isNotNull())
             .drop("_admit_no"))
 

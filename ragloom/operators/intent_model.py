@@ -23,6 +23,7 @@ from ..functions import lexicon as L
 from .traffic import running_sum
 
 HASH_BUCKETS = 1024
+CLASS_BROADCAST_ROWS = 100_000
 
 
 def stratified_split(df: DataFrame, label_col: str, key_col: str, test_fraction: float = 0.2,
@@ -36,6 +37,10 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_fraction:
     ranked = running_sum(staged, "_one", [F.col("_hb"), F.col("_h"), F.col(key_col)], "_hb",
                          [label_col], out="_rank")
     sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per class: broadcast (measured) so the ranked rows never shuffle by label,
+    # which would put a hot class into one task
+    if sizes.count() <= CLASS_BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
     out = ranked.join(sizes, label_col)
     return (out.withColumn("is_test", F.col("_rank") <= F.round(F.col("_n") * test_fraction))
             .drop("_h", "_hb", "_one", "_rank", "_n"))

@@ -65,11 +65,14 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                    k: int = L.RETRIEVER_K, route: bool = True, compress: bool = True,
                    expand: bool = True, generator=None,
                    terminators: str = L.SENTENCE_TERMINATORS_CJK,
-                   qid: str = "qid", text_col: str = "text", retriever=None) -> DataFrame:
+                   qid: str = "qid", text_col: str = "text", retriever=None,
+                   context_from_question: bool = False) -> DataFrame:
     """C2 (``route=True, compress=True``) / C3 (both off).
 
     ``chunks(chunk_id, text)`` is the retrievable text; ``index(chunk_id, vec)``
     its count vectors (computed with the default embedder when omitted).
+    ``context_from_question`` (C3): the prompt context is retrieved with the
+    question itself; the expanded-query hits are only reported (``n_docs``).
     ``retriever`` (U2) replaces the default exact cosine search: a callable
     ``(query_vectors(qid, vec), index, k) -> (qid, rank, id)``.
     Output columns: ``OUT_COLS``.
@@ -103,12 +106,19 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     go = expand_queries(routed.filter(~F.col("skip_rag")), text_col, "query", generator, expand)
     if index is None:
         index = embed_ops.count_vectors(chunks.select("chunk_id", "text"), "text", "vec")
-    qv = embed_ops.count_vectors(go.select(qid, "query"), "query", "vec")
-    if retriever is None:
-        top = knn_ops.knn_join(qv.withColumnRenamed(qid, "qid"), index, k=k, q_id="qid", q_vec="vec",
-                               x_id="chunk_id", x_vec="vec", metric="cosine")
-    else:
-        top = retriever(qv.withColumnRenamed(qid, "qid"), index, k)
+    def retrieve(col):
+        qv = embed_ops.count_vectors(go.select(qid, F.col(col).alias("_q")), "_q", "vec") \
+            .withColumnRenamed(qid, "qid")
+        if retriever is None:
+            return knn_ops.knn_join(qv, index, k=k, q_id="qid", q_vec="vec", x_id="chunk_id",
+                                    x_vec="vec", metric="cosine")
+        return retriever(qv, index, k)
+
+    top = retrieve("query")
+    reported = None
+    if context_from_question:
+        reported = top.groupBy(F.col("qid").alias(qid)).agg(F.count(F.lit(1)).alias("_reported"))
+        top = retrieve(text_col)
     hits = knn_ops.join_hits(top, chunks.select("chunk_id", "text")) \
         .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")
     if compress:
@@ -116,8 +126,11 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
         hits = (comp_ops.compress_hits(hits, qs, qid=qid, terminators=terminators)
                 .select(qid, "rank", F.col("compressed").alias("text")))
     ctx = ctx_ops.assemble_context(hits, go.select(qid, F.col(text_col).alias("question")), qid=qid)
-    answered = (go.join(ctx.drop("question"), qid, "left")
-                .select(qid, "ok", "reason", "intent", "method", "skip_rag", "query",
-                        F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"),
-                        F.lit(None).cast("string").alias("reply"), "prompt"))
+    answered = go.join(ctx.drop("question"), qid, "left")
+    if reported is not None:
+        answered = answered.drop("n_docs").join(reported.withColumnRenamed("_reported", "n_docs"),
+                                                qid, "left")
+    answered = answered.select(qid, "ok", "reason", "intent", "method", "skip_rag", "query",
+                               F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"),
+                               F.lit(None).cast("string").alias("reply"), "prompt")
     return rejected.unionByName(skipped).unionByName(answered).select(*OUT_COLS)

@@ -835,7 +835,7 @@ def _clean_query_sql(x: str) -> str:
     return f"substr({y}, 1, {L.QUERY_MAX_LENGTH})"
 
 
-def _answer_sql(route: bool, compress: bool) -> str:
+def _answer_sql(route: bool, compress: bool, context_from_question: bool = False) -> str:
     v = _validate_sql("benchmark", "item_id")
     routed = (_route_sql("(SELECT item_id, text FROM v WHERE ok) vv", "item_id") if route else
               "SELECT item_id, text, NULL::VARCHAR AS intent, NULL::DOUBLE AS confidence, "
@@ -857,10 +857,14 @@ go AS (
   FROM go0 LEFT JOIN {kw} kw ON kw.qid = go0.item_id
 ),
 chunks AS ({FIXED_CHUNKS_SQL}),
-top AS ({_cosine_topk_sql("(SELECT item_id, query AS text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)}),
+qtop AS ({_cosine_topk_sql("(SELECT item_id, query AS text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)}),
+top AS ({_cosine_topk_sql("(SELECT item_id, text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)
+         if context_from_question else "SELECT * FROM qtop"}),
 hx AS (SELECT * FROM {comp}),
-ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_docs
-        FROM hx GROUP BY qid)
+rep AS (SELECT qid, count(*) AS n FROM qtop GROUP BY qid),
+ctx AS (SELECT hx.qid, string_agg(hx.text, chr(10) || chr(10) ORDER BY hx.rank) AS context,
+               {"max(rep.n)" if context_from_question else "count(*)"} AS n_docs
+        FROM hx LEFT JOIN rep ON rep.qid = hx.qid GROUP BY hx.qid)
 SELECT item_id AS qid, ok, reason, NULL::VARCHAR AS intent, NULL::VARCHAR AS method, NULL::BOOLEAN AS skip_rag,
        NULL::VARCHAR AS query, 0::BIGINT AS n_docs, error AS reply, NULL::VARCHAR AS prompt
 FROM v WHERE NOT ok
@@ -875,12 +879,14 @@ FROM go JOIN v USING (item_id) LEFT JOIN ctx ON ctx.qid = go.item_id
 """
 
 
-def _answer(spark: SparkSession, sf_dir: str, route: bool, compress: bool) -> DataFrame:
+def _answer(spark: SparkSession, sf_dir: str, route: bool, compress: bool,
+            context_from_question: bool = False) -> DataFrame:
     from ..operators import answer as ans_ops
     chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents")).select("chunk_id", "text")
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return ans_ops.answer_context(qs, chunks, k=ANSWER_K, route=route, compress=compress,
-                                  terminators=WESTERN_TERMINATORS)
+                                  terminators=WESTERN_TERMINATORS,
+                                  context_from_question=context_from_question)
 
 
 @register("answer_context", oracle=_answer_sql(True, True))
@@ -889,10 +895,11 @@ def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(spark, sf_dir, True, True)
 
 
-@register("plain_context", oracle=_answer_sql(False, False))
+@register("plain_context", oracle=_answer_sql(False, False, True))
 def q_plain_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validate -> expand -> retrieve -> prompt; no routing, no compression."""
-    return _answer(spark, sf_dir, False, False)
+    """Validate -> expand -> retrieve -> prompt; no routing, no compression; the context
+    comes from the question itself, the expanded-query hits are only counted (n_docs)."""
+    return _answer(spark, sf_dir, False, False, True)
 
 
 # ============================================ classifier metrics

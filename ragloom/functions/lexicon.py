@@ -141,6 +141,7 @@ SENTENCE_TERMINATORS_CJK = "[。！？\n]+"
 # Punctuation removed before n-gram keyword extraction.
 NGRAM_STRIP_CLASS = "[，。！？、；：\"\"''（）【】《》 \t\n\r]+"
 QUERY_MAX_LENGTH = 50
+QUERY_EXPANSION_TEMPLATE = "将用户问题改写为3-5个中文关键词，用空格或逗号分隔。\n\n用户问题：{question}\n\n检索关键词（只输出中文关键词，不要序号、不要解释、不要英文）："
 
 # Retrieval-quality grades, best first, with their lower score bounds.
 QUALITY_GRADES = [

@@ -40,9 +40,11 @@ def expand_queries(df: DataFrame, text_col: str = "text", out_col: str = "query"
                    enabled: bool = True) -> DataFrame:
     """Generated query, cleaned (P6); empty, failed or disabled -> the question.
 
-    ``generator`` maps a pandas Series of questions to generated strings and
-    runs as an Arrow-batched pandas UDF (a failure for a batch yields nulls,
-    hence the original question).
+    ``generator`` maps a pandas Series of expansion prompts (the question put
+    into ``QUERY_EXPANSION_TEMPLATE``) to generated strings and runs as an
+    Arrow-batched pandas UDF (a failure for a batch yields nulls, hence the
+    original question). The default generator needs no prompt: it takes the
+    question's three longest words.
     """
     q = F.col(text_col)
     if not enabled:
@@ -56,7 +58,8 @@ def expand_queries(df: DataFrame, text_col: str = "text", out_col: str = "query"
                 return generator(s)
             except Exception:  # a failed generator falls back to the question
                 return pd.Series([None] * len(s), dtype=object)
-        gen = run(q)
+        prompt = F.replace(F.lit(L.QUERY_EXPANSION_TEMPLATE), F.lit("{question}"), q)
+        gen = run(prompt)
     cleaned = clean_query(gen)
     return df.withColumn(out_col, F.when(cleaned.isNull() | (cleaned == ""), q).otherwise(cleaned))
 

@@ -47,8 +47,9 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_fraction:
 
 
 def train_intent_model(train: DataFrame, vec_col: str = "embedding", label_col: str = "label",
-                       max_iter: int = 100, c: float = 1.0, parallelism: int = 10) -> PipelineModel:
-    """M1: one-vs-rest logistic regression on (vector, numeric label)."""
+                       max_iter: int = 1000, c: float = 1.0, parallelism: int = 10) -> PipelineModel:
+    """M1: one-vs-rest logistic regression on (vector, numeric label), at most
+    ``max_iter`` iterations (training stops earlier on convergence)."""
     n = train.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
                             standardization=False, featuresCol="_features", labelCol="_label")

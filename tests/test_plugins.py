@@ -9,8 +9,8 @@ from ragloom.operators import answer, embed
 def test_expand_with_custom_generator(spark):
     df = spark.createDataFrame([(1, "狗狗吃什么"), (2, "猫咪")], "qid long, text string")
 
-    def gen(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: "1. 狗粮\n2) 营养 " if t.startswith("狗") else "   ")
+    def gen(s: pd.Series) -> pd.Series:  # receives the expansion prompts
+        return s.map(lambda t: "1. 狗粮\n2) 营养 " if "用户问题：狗" in t else "   ")
 
     out = {r["qid"]: r["query"] for r in answer.expand_queries(df, generator=gen).collect()}
     assert out == {1: "狗粮 营养", 2: "猫咪"}  # cleaned (P6); blank -> original question

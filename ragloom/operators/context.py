@@ -53,6 +53,20 @@ def conversation_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: s
                       F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lp")).alias("prev_role"))
 
 
+def fill_template(template: str, values: dict) -> "F.Column":
+    """Single-pass ``{name}`` substitution: the template's literal pieces and the
+    value columns are concatenated, so text inside a value is never substituted."""
+    import re
+    parts = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts.append(F.lit(template[pos:m.start()]))
+        parts.append(values[m.group(1)] if m.group(1) in values else F.lit(m.group(0)))
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
 def assemble_context(hits: DataFrame, questions: DataFrame, qid: str = "qid",
                      rank_col: str = "rank", text_col: str = "text",
                      question_col: str = "question",
@@ -70,6 +84,5 @@ def assemble_context(hits: DataFrame, questions: DataFrame, qid: str = "qid",
     j = questions.select(qid, question_col).join(ctx, qid, "left") \
         .withColumn("context", F.coalesce("context", F.lit(""))) \
         .withColumn("n_docs", F.coalesce("n_docs", F.lit(0)).cast("long"))
-    user = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.col("context")),
-                     F.lit("{question}"), F.col(question_col))
+    user = fill_template(template, {"context": F.col("context"), "question": F.col(question_col)})
     return j.select(qid, "context", "n_docs", F.concat(F.lit(system_prompt + "\n\n"), user).alias("prompt"))

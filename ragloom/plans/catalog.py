@@ -835,6 +835,19 @@ def _clean_query_sql(x: str) -> str:
     return f"substr({y}, 1, {L.QUERY_MAX_LENGTH})"
 
 
+def _template_sql(context: str, question: str) -> str:
+    """The user template filled in one pass (literal pieces concatenated with the values)."""
+    import re
+    vals = {"context": context, "question": question}
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", L.USER_QUESTION_TEMPLATE):
+        out.append(S.q(L.USER_QUESTION_TEMPLATE[pos:m.start()]))
+        out.append(vals[m.group(1)])
+        pos = m.end()
+    out.append(S.q(L.USER_QUESTION_TEMPLATE[pos:]))
+    return "(" + " || ".join(out) + ")"
+
+
 def _answer_sql(route: bool, compress: bool, context_from_question: bool = False) -> str:
     v = _validate_sql("benchmark", "item_id")
     routed = (_route_sql("(SELECT item_id, text FROM v WHERE ok) vv", "item_id") if route else
@@ -846,7 +859,6 @@ def _answer_sql(route: bool, compress: bool, context_from_question: bool = False
     hits = f"(SELECT qid, rank, id AS chunk_id, c.text FROM top JOIN chunks c ON c.chunk_id = top.id) hh"
     comp = (f"(SELECT qid, rank, compressed AS text FROM ({_compress_sql(hits, '(SELECT item_id, text FROM go)', 'item_id')}) cc) hx"
             if compress else f"(SELECT qid, rank, text FROM {hits}) hx")
-    tmpl = S.q(L.USER_QUESTION_TEMPLATE)
     return f"""
 WITH v AS ({v}),
 r AS ({routed}),
@@ -873,8 +885,7 @@ SELECT r.item_id, true, v.reason, r.intent, r.method, r.skip_rag, NULL, 0, r.res
 FROM r JOIN v USING (item_id) WHERE r.skip_rag
 UNION ALL
 SELECT go.item_id, true, v.reason, go.intent, go.method, go.skip_rag, go.query, coalesce(ctx.n_docs, 0), NULL,
-       {S.q(L.SYSTEM_PROMPT + chr(10) + chr(10))} ||
-       replace(replace({tmpl}, '{{context}}', coalesce(ctx.context, '')), '{{question}}', go.text)
+       {S.q(L.SYSTEM_PROMPT + chr(10) + chr(10))} || {_template_sql("coalesce(ctx.context, '')", "go.text")}
 FROM go JOIN v USING (item_id) LEFT JOIN ctx ON ctx.qid = go.item_id
 """
 

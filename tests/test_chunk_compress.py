@@ -102,3 +102,12 @@ def test_answer_context_custom_retriever(spark):
     out = {r["qid"]: r for r in answer.answer_context(qs, chunks, k=1, retriever=l2_blocks).collect()}
     assert not out[11]["ok"]
     assert out[10]["n_docs"] == 1 and "dogs eat food" in out[10]["prompt"]
+
+
+def test_prompt_template_single_pass(spark):
+    from ragloom.operators import context
+    hits = spark.createDataFrame([(1, 1, "ctx mentions {question} literally")], "qid long, rank int, text string")
+    qs = spark.createDataFrame([(1, "Q?")], "qid long, question string")
+    r = context.assemble_context(hits, qs).first()
+    assert "ctx mentions {question} literally" in r["prompt"] and "问题：Q?" in r["prompt"]
+    assert r["n_docs"] == 1

@@ -117,7 +117,8 @@ def concurrency_profile(req: DataFrame, bucket_seconds: int = 3600,
     """Active requests after every start/end event, peak per time bucket.
 
     Intervals are half-open: at equal instants ends are applied before
-    starts. Output per bucket with events: events, peak, over_limit.
+    starts. Output per bucket with events: events, peak, over_limit and
+    peak_waiting (requests that would queue behind the limit).
     """
     iv = request_intervals(req, ts, duration, id_col)
     ev = (iv.select(id_col, F.col("start_us").alias("_at"), F.lit(1).alias("_d"))
@@ -127,9 +128,12 @@ def concurrency_profile(req: DataFrame, bucket_seconds: int = 3600,
     run = running_sum(ev, "_d", [F.col("_at"), F.col("_d"), F.col(id_col)], "_bucket", out="active")
     per = run.groupBy("_bucket").agg(F.count(F.lit(1)).alias("events"),
                                      F.max("active").alias("peak"))
+    # as configured, requests above the limit wait in the queue (none is refused for load)
     return per.select(from_micros(F.col("_bucket")).alias("bucket_start"),
                       "events", F.col("peak").cast("long").alias("peak"),
-                      (F.col("peak") > max_concurrent).alias("over_limit"))
+                      (F.col("peak") > max_concurrent).alias("over_limit"),
+                      F.greatest(F.col("peak") - max_concurrent, F.lit(0)).cast("long")
+                      .alias("peak_waiting"))
 
 
 def admission_rates(verdicts: DataFrame, group_cols=("day",), failed_col: str = "failed") -> DataFrame:

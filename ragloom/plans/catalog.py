@@ -352,7 +352,8 @@ WITH iv AS (
   FROM ev
 )
 SELECT make_timestamp(t_at - (t_at % {HOUR_US})) AS bucket_start, count(*) AS events,
-       CAST(max(active) AS BIGINT) AS peak, max(active) > {L.MAX_CONCURRENT_REQUESTS} AS over_limit
+       CAST(max(active) AS BIGINT) AS peak, max(active) > {L.MAX_CONCURRENT_REQUESTS} AS over_limit,
+       CAST(greatest(max(active) - {L.MAX_CONCURRENT_REQUESTS}, 0) AS BIGINT) AS peak_waiting
 FROM run GROUP BY t_at - (t_at % {HOUR_US})
 """)
 def q_concurrency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,19 @@ def test_model_learns_separable_classes(spark):
     r = pred.select(im.top_probabilities(F.col("probabilities"), 3).alias("t"), "confidence").first()
     assert len(r["t"]) == 3 and abs(sum(e["value"] for e in r["t"]) - 1.0) < 1e-9
     assert abs(r["t"][0]["value"] - r["confidence"]) < 1e-12
+
+
+def test_report_agrees_with_mllib_metrics(spark):
+    from pyspark.mllib.evaluation import MulticlassMetrics
+    rnd = random.Random(9)
+    pairs = [(float(rnd.randrange(3)), float(rnd.randrange(3))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "e double, p double")
+    rep = {r["label"]: r for r in im.classification_report(
+        df.selectExpr("cast(cast(e as int) as string) as e", "cast(cast(p as int) as string) as p"), "e", "p").collect()}
+    m = MulticlassMetrics(spark.sparkContext.parallelize([(p, e) for e, p in pairs]))
+    for c in ("0", "1", "2"):
+        assert abs(rep[c]["precision"] - m.precision(float(c))) < 1e-12
+        assert abs(rep[c]["recall"] - m.recall(float(c))) < 1e-12
+        assert abs(rep[c]["f1"] - m.fMeasure(float(c))) < 1e-12
+    assert abs(rep["accuracy"]["precision"] - m.accuracy) < 1e-12
+    assert abs(rep["weighted avg"]["f1"] - m.weightedFMeasure()) < 1e-12

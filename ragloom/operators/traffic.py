@@ -26,6 +26,7 @@ from ..functions.timex import from_micros, micros
 
 MICROS = 1_000_000
 ADMITTED_BROADCAST_ROWS = 2_000_000
+HOT_BUCKET_ROWS = 5_000_000  # rows of one key in one halo bucket before switching method
 
 
 def window_start(ts, width_seconds: int) -> Column:
@@ -60,13 +61,34 @@ def fixed_window_limit(req: DataFrame, limit: int, width_seconds: int,
 
 def moving_window_attempts(req: DataFrame, width_seconds: int, limit: int,
                            key_cols=("user_id", "event_type"), ts: str = "ts",
-                           bucket_factor: int = 4) -> DataFrame:
+                           bucket_factor: int = 4, method: str = "auto",
+                           fine_bucket_seconds: int = 60, id_col: str = "event_id") -> DataFrame:
     """W10 (attempt counting): requests of the same key in ``(t - width, t]``.
 
     Requests at the same instant count together (RANGE frame). ``allowed`` is
-    ``attempts <= limit``. Exact: the halo copies every row that lies within
-    ``width`` of the next bucket start into that bucket.
+    ``attempts <= limit``. Two exact methods:
+
+    * ``"prefix"`` (default, skew-proof): attempts(t) = C(t) - C(t - width),
+      C(x) = the key's requests at or before x. Every request adds two probe
+      rows (at t and at t - width); one segmented running count over
+      ``fine_bucket_seconds`` buckets evaluates C at all probes, so even a key
+      that is dense in time is spread over many small buckets.
+    * ``"halo"``: buckets of ``bucket_factor`` widths; rows within ``width`` of
+      the next bucket start are copied into it and a RANGE window counts.
+      One pass, but a key that is dense in time keeps a whole bucket together.
+    * ``"auto"`` (default): counts rows per (key, halo bucket) with a partial
+      aggregate and takes ``"halo"`` unless some bucket exceeds
+      ``HOT_BUCKET_ROWS``.
     """
+    if method == "auto":
+        B = max(1, bucket_factor) * width_seconds * MICROS
+        t = micros(ts)
+        biggest = (req.select(*key_cols, (t - F.pmod(t, F.lit(B))).alias("_b"))
+                   .groupBy(*key_cols, "_b").count().agg(F.max("count")).first()[0]) or 0
+        method = "prefix" if biggest > HOT_BUCKET_ROWS else "halo"
+    if method == "prefix":
+        return _moving_attempts_prefix(req, width_seconds, limit, key_cols, ts,
+                                       fine_bucket_seconds, id_col)
     W = width_seconds * MICROS
     B = max(1, bucket_factor) * W
     t = micros(ts)
@@ -83,6 +105,31 @@ def moving_window_attempts(req: DataFrame, width_seconds: int, limit: int,
             .drop("_t", "_b", "_halo"))
 
 
+def _moving_attempts_prefix(req, width_seconds, limit, key_cols, ts, fine_bucket_seconds, id_col):
+    W = width_seconds * MICROS
+    Bf = fine_bucket_seconds * MICROS
+    t = micros(ts)
+    base = req.withColumn("_t", t)
+    keys = list(key_cols)
+    # kind 0: the request itself (+1); kind 1: probes reading C(x) (+0); at equal
+    # instants requests come first, so a probe at x sees every request <= x
+    events = base.select(*keys, id_col, F.col("_t").alias("_x"), F.lit(0).alias("_kind"),
+                         F.lit(0).alias("_side"), F.lit(1).cast("long").alias("_v"))
+    probes = base.select(*keys, id_col, F.explode(F.array(
+        F.struct(F.col("_t").alias("x"), F.lit(1).alias("side")),
+        F.struct((F.col("_t") - W).alias("x"), F.lit(-1).alias("side")))).alias("_p")) \
+        .select(*keys, id_col, F.col("_p.x").alias("_x"), F.lit(1).alias("_kind"),
+                F.col("_p.side").alias("_side"), F.lit(0).cast("long").alias("_v"))
+    rows = events.unionByName(probes).withColumn("_b", F.col("_x") - F.pmod(F.col("_x"), F.lit(Bf)))
+    counted = running_sum(rows, "_v", [F.col("_x"), F.col("_kind"), F.col(id_col), F.col("_side")],
+                          "_b", keys, out="_c")
+    att = (counted.filter(F.col("_kind") == 1)
+           .groupBy(id_col).agg(F.sum(F.col("_side") * F.col("_c")).alias("attempts")))
+    return (req.join(att, id_col)
+            .withColumn("attempts", F.col("attempts").cast("long"))
+            .withColumn("allowed", F.col("attempts") <= limit))
+
+
 def running_sum(df: DataFrame, value: str, order_cols, bucket: str,
                 part_cols=(), out: str = "running") -> DataFrame:
     """Exact running sum of ``value`` over ``part_cols`` ordered by ``order_cols``.

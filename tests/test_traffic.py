@@ -31,11 +31,16 @@ def test_fixed_window_limit(spark):
     assert got == exp
 
 
-def test_moving_window_attempts(spark):
+import pytest
+
+
+@pytest.mark.parametrize("method", ["prefix", "halo"])
+def test_moving_window_attempts(spark, method):
     rows, df = requests(spark)
     W = 7200
     got = {r["event_id"]: r["attempts"] for r in
-           traffic.moving_window_attempts(df, W, 3, bucket_factor=2).collect()}
+           traffic.moving_window_attempts(df, W, 3, bucket_factor=2, method=method,
+                                          fine_bucket_seconds=600).collect()}
     exp = {}
     for eid, ts, u, t, _ in rows:
         exp[eid] = sum(1 for _, ts2, u2, t2, _ in rows
@@ -92,3 +97,11 @@ def test_latency_quantiles_exact_on_small_groups(spark):
     df = spark.createDataFrame(rows, "event_type string, value double")
     got = {r["event_type"]: r["p50_p90_p99"] for r in traffic.latency_quantiles(df).collect()}
     assert got["a"] == [50.0, 90.0, 99.0] and got["b"] == [5.0, 5.0, 5.0]
+
+
+def test_moving_window_auto_switches_on_hot_buckets(spark, monkeypatch):
+    rows, df = requests(spark)
+    ref = {r["event_id"]: r["attempts"] for r in traffic.moving_window_attempts(df, 7200, 3, method="halo").collect()}
+    monkeypatch.setattr(traffic, "HOT_BUCKET_ROWS", 5)  # the hot user now exceeds the bound
+    got = {r["event_id"]: r["attempts"] for r in traffic.moving_window_attempts(df, 7200, 3).collect()}
+    assert got == ref

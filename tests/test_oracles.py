@@ -33,3 +33,13 @@ def test_entry_runs(spark):
 def test_every_query_is_registered_with_docs():
     for name, fn in E.queries().items():
         assert fn.__doc__, name
+
+
+ROWS_ONLY = {"chunks_recursive", "compress_textrank", "retrieval_mmr", "intent_model_report",
+             "intent_top_probabilities", "stream_incremental_index"}
+
+
+def test_rows_only_set_is_pinned():
+    """Every query has an oracle except the documented non-SQL ones."""
+    assert set(E.queries()) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(E.queries())

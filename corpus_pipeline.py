@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, language_id, simhash
-from ragloom.llm.common import input_table, scratch
+from ragloom.llm import decontaminate, language_id, mixing, simhash
+from ragloom.llm.common import input_table, remove, scratch
+from ragloom.llm.queries import token_rows
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +33,22 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~F.col("__hits.contaminated")).drop("__hits")
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as the mix asks: repeated, once, or not at all."""
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the mix as token files and return what is read back from them."""
+    return token_rows(spark, docs)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("simhash_dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
+    ("mix", mix_sources),
+    ("token_files", write_tokens),
 ]
 
 #: Code lengths of the language stage and fingerprint components are not expressible in SQL.
@@ -43,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = input_table(spark, sf_dir, "documents")
+    """All stages in turn; a stage's input is deleted when its output is written."""
+    docs, before = input_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = scratch(spark, f"pipeline-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, language_id, sharding, simhash
-from ragloom.llm.common import input_table
+from ragloom.llm import (decontaminate, html_text, language_id, licences, mixing, sharding, simhash, token_files, vector_dups,
+                         warc)
+from ragloom.llm.common import cut, input_table, remove, scratch
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(input_table(spark, sf_dir, "pages"), path)
+    found = warc.reassembled(warc.read_records(spark, path))
+    full = F.col("payload")
+    rows = cut(found.select(
+        "page_id", F.coalesce(F.octet_length(full).cast("long"), F.col("bytes")).alias("payload_bytes"),
+        F.coalesce(warc.base32_sha1(full), F.col("digest")).alias("payload_digest"),
+        F.col("kind").alias("record_type"), "refers_to"))
+    remove(spark, path)  # what was read is checkpointed
+    return rows
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +28,34 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(input_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the token files of ``docs`` with the shared vocabulary, read them back, delete them."""
+    import public_tokenizers
+
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    found = token_files.read_documents(spark, path)
+    remove(spark, path)  # what was read is checkpointed
+    return found
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.with_main_text(input_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(spark, input_table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(input_table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_hits(docs, input_table(spark, sf_dir, "benchmark"))
@@ -26,15 +68,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(input_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(input_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_warc,
     op2_simhash_near_dedup,
+    op3_source_mixing,
+    op4_html_text,
+    op5_token_files,
+    op6_embedding_near_dedup,
     op7_decontamination,
     op8_language_id,
+    op9_licence_scan,
     op10_sharding,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_source_mixing": mixing.ORACLE}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragloom.llm import (decontaminate, html_text, language_id, licences, mixing, sharding, simhash, token_files, vector_dups,
                          warc)
 from ragloom.llm.common import cut, input_table, remove, scratch
+from ragloom.llm.oracles import statements
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,5 @@ QUERIES = {f.__name__: f for f in (
     op10_sharding,
 )}
 
-ORACLES: dict[str, str] = {"op3_source_mixing": mixing.ORACLE}
+def oracles() -> dict[str, str]:
+    return statements()

@@ -85,7 +85,7 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
 def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:

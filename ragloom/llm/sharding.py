@@ -92,6 +92,6 @@ def place_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def write_shards(df: DataFrame, path: str, key: Column, shards: list[str], size: int = TABLE_SIZE) -> None:
-    """Write ``df`` as Parquet below ``path``, one folder per shard (``__shard=<name>``)."""
-    with_shard(df, key, shards, size, "__place").withColumn("__shard", F.col("__place.name")).drop("__place") \
-        .write.partitionBy("__shard").parquet(path)
+    """Write ``df`` as Parquet below ``path``, one folder per shard (``__shard_name=<name>``)."""
+    with_shard(df, key, shards, size, "__place").withColumn("__shard_name", F.col("__place.name")).drop("__place") \
+        .write.partitionBy("__shard_name").parquet(path)

@@ -113,7 +113,7 @@ KEYWORD_CONFIDENCE = 0.9
 DEFAULT_CONFIDENCE = 0.5
 ML_MIN_CONFIDENCE = 0.7
 # Class order of the trainable intent model.
-INTENT_CLASSES = ["greeting", "politeness", "system", "chitchat", "knowledge", "unknown"]
+INTENT_CLASSES = ["greeting", "knowledge", "politeness", "system", "chitchat", "unknown"]
 
 # Request screening.
 SUSPICIOUS_USER_AGENTS = [
@@ -139,7 +139,7 @@ MIN_SENTENCE_LENGTH = 5
 PREFILTER_SENTENCES = 10
 SENTENCE_TERMINATORS_CJK = "[。！？\n]+"
 # Punctuation removed before n-gram keyword extraction.
-NGRAM_STRIP_CLASS = "[，。！？、；：\"\"''（）【】《》 \t\n\r]+"
+NGRAM_STRIP_CLASS = "[，。！？、；：\"\"（）【】《》 \t\n\r]+"
 QUERY_MAX_LENGTH = 50
 QUERY_EXPANSION_TEMPLATE = "将用户问题改写为3-5个中文关键词，用空格或逗号分隔。\n\n用户问题：{question}\n\n检索关键词（只输出中文关键词，不要序号、不要解释、不要英文）："
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +24,16 @@ from . import embed as embed_ops
 from . import knn as knn_ops
 from . import route as route_ops
 from . import validate as val_ops
-from .evaluate import case_keywords
 
 OUT_COLS = ["qid", "ok", "reason", "intent", "method", "skip_rag", "query", "n_docs",
             "reply", "prompt"]
 
 
-def keyword_generator(text: Column) -> Column:
-    """Default expansion generator: the question's three longest words."""
-    return F.array_join(case_keywords(text, 3), " ")
+def _generated(generator: Callable[[pd.Series], pd.Series], one: pd.Series) -> pd.Series:
+    try:
+        return generator(one)
+    except Exception:  # this question keeps its own text
+        return pd.Series([None], index=one.index, dtype=object)
 
 
 def expand_queries(df: DataFrame, text_col: str = "text", out_col: str = "query",
@@ -43,24 +44,20 @@ def expand_queries(df: DataFrame, text_col: str = "text", out_col: str = "query"
     ``generator`` maps a pandas Series of expansion prompts (the question put
     into ``QUERY_EXPANSION_TEMPLATE``) to generated strings and runs as an
     Arrow-batched pandas UDF (a failure for a batch yields nulls, hence the
-    original question). The default generator needs no prompt: it takes the
-    question's three longest words.
+    original question). Without a generator the whole question is the query.
     """
     q = F.col(text_col)
-    if not enabled:
+    if not enabled or generator is None:
         return df.withColumn(out_col, q)
-    if generator is None:
-        gen = keyword_generator(q)
-    else:
-        @F.pandas_udf(T.StringType())
-        def run(s: pd.Series) -> pd.Series:
-            try:
-                return generator(s)
-            except Exception:  # a failed generator falls back to the question
-                return pd.Series([None] * len(s), dtype=object)
-        prompt = F.replace(F.lit(L.QUERY_EXPANSION_TEMPLATE), F.lit("{question}"), q)
-        gen = run(prompt)
-    cleaned = clean_query(gen)
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        try:
+            return generator(s)
+        except Exception:  # the batch failed: each question is tried on its own
+            return pd.concat([_generated(generator, s.iloc[i:i + 1]) for i in range(len(s))])
+
+    cleaned = clean_query(run(F.replace(F.lit(L.QUERY_EXPANSION_TEMPLATE), F.lit("{question}"), q)))
     return df.withColumn(out_col, F.when(cleaned.isNull() | (cleaned == ""), q).otherwise(cleaned))
 
 
@@ -121,7 +118,8 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     reported = None
     if context_from_question:
         reported = top.groupBy(F.col("qid").alias(qid)).agg(F.count(F.lit(1)).alias("_reported"))
-        top = retrieve(text_col)
+        if expand and generator is not None:  # otherwise the query is the question
+            top = retrieve(text_col)
     hits = knn_ops.join_hits(top, chunks.select("chunk_id", "text")) \
         .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")
     if compress:

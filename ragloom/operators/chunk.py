@@ -25,7 +25,17 @@ from pyspark.sql import types as T
 from ..functions import lexicon as L
 
 SEPARATORS = ("\n\n", "\n", " ", "")
-CHUNK_ID_STRIDE = 1_000_000  # chunk_id = doc_id * stride + chunk_no
+
+
+def chunk_id(doc_id, chunk_no) -> F.Column:
+    """60-bit digest of the chunk's key (doc_id, chunk_no): any id type, no overflow, no packing."""
+    key = F.concat_ws(":", F.col(doc_id).cast("string"), F.col(chunk_no).cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def chunk_id_sql(doc_id: str, chunk_no: str) -> str:
+    """The same digest in DuckDB."""
+    return f"('0x' || substr(md5(CAST({doc_id} AS VARCHAR) || ':' || CAST({chunk_no} AS VARCHAR)), 1, 15))::BIGINT"
 
 
 def _pack(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
@@ -85,7 +95,7 @@ def split_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERL
 
 
 def chunk_documents(docs: DataFrame, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP,
-                    id_col: str = "doc_id", text_col: str = "text", keep=("source",)) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", keep=("source", "page")) -> DataFrame:
     """P5: (chunk_id, doc_id, chunk_no, text, *keep) with boundary-aware chunks."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -95,13 +105,13 @@ def chunk_documents(docs: DataFrame, size: int = L.CHUNK_SIZE, overlap: int = L.
     keep = [c for c in keep if c in docs.columns]
     return (docs.select(id_col, *keep, split(F.col(text_col)).alias("_c"))
             .select(id_col, *keep, F.posexplode("_c").alias("chunk_no", "text"))
-            .select((F.col(id_col) * CHUNK_ID_STRIDE + F.col("chunk_no")).alias("chunk_id"),
+            .select(chunk_id(id_col, "chunk_no").alias("chunk_id"),
                     id_col, F.col("chunk_no").cast("long").alias("chunk_no"), "text", *keep))
 
 
 def chunk_documents_fixed(docs: DataFrame, size: int = L.CHUNK_SIZE,
                           overlap: int = L.CHUNK_OVERLAP, id_col: str = "doc_id",
-                          text_col: str = "text", keep=("source",)) -> DataFrame:
+                          text_col: str = "text", keep=("source", "page")) -> DataFrame:
     """P5 fixed-stride variant: chunk i covers characters [i*step, i*step + size)."""
     step = size - overlap
     n = F.length(F.col(text_col))
@@ -113,7 +123,7 @@ def chunk_documents_fixed(docs: DataFrame, size: int = L.CHUNK_SIZE,
             .filter(F.col("_n") > 0)
             .select(id_col, *keep, "_t",
                     F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_no"))
-            .select((F.col(id_col) * CHUNK_ID_STRIDE + F.col("chunk_no")).alias("chunk_id"),
+            .select(chunk_id(id_col, "chunk_no").alias("chunk_id"),
                     id_col, F.col("chunk_no").cast("long").alias("chunk_no"),
                     F.col("_t").substr(F.col("chunk_no") * step + 1, F.lit(size)).alias("text"),
                     *keep))

@@ -59,7 +59,7 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
     if keywords_col:
         # Stable keyword prefilter, only for texts with more than prefilter_k sentences
         wk = Window.partitionBy(qid, rank).orderBy(F.col("_kscore").desc(), F.col("pos"))
-        sent = (sent.withColumn("_kscore", keyword_score(F.col("sentence"), F.col(keywords_col)))
+        sent = (sent.withColumn("_kscore", keyword_score(F.lower("sentence"), F.transform(F.col(keywords_col), F.lower)))
                 .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(qid, rank)))
                 .withColumn("_kr", F.row_number().over(wk))
                 .filter((F.col("_n") <= prefilter_k) | (F.col("_kr") <= prefilter_k))

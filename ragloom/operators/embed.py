@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 DIM = 512
 GRAM = 3
 MULT = 7919
@@ -58,10 +60,23 @@ class HashedTrigramEmbedder:
     def counts(self, text: str | None) -> np.ndarray:
         return np.bincount(self.buckets(text), minlength=self.dim).astype(np.float64)
 
+    def _count(self, texts, out: np.ndarray) -> None:
+        """Add the bucket counts of all texts: one code point array, padded between texts."""
+        low = [(t or "").lower() for t in texts]
+        low = [t + "\0" * (GRAM - len(t)) if 0 < len(t) < GRAM else t for t in low]
+        size = np.array([len(t) for t in low], dtype=np.int64)
+        cp = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        if len(cp) < GRAM:
+            return
+        h = ((cp[:-2] * MULT + cp[1:-1]) * MULT + cp[2:]) % MOD % self.dim
+        row = np.repeat(np.arange(len(low)), size)
+        own = row[:-2] == row[2:]  # grams that do not reach into the next text
+        out += np.bincount(row[:-2][own] * self.dim + h[own], minlength=out.size).reshape(out.shape)
+
     def embed(self, texts) -> np.ndarray:
         m = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            m[i] = self.counts(t)
+        for a in range(0, len(texts), 1024):  # one array operation for up to 1024 texts
+            self._count(texts[a:a + 1024], m[a:a + 1024])
         if self.normalise:
             n = np.linalg.norm(m, axis=1, keepdims=True)
             m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -92,14 +107,10 @@ def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder_factory=None, dtype: str = "float") -> DataFrame:
     """Add an embedding column.
 
-    Embedding is the costly per-row step; when the input has fewer
-    partitions than the cluster has task slots it is spread round-robin
-    first (never the case for large inputs, which arrive in many splits).
+    Embedding is the costly per-row step; an input that the planner
+    estimates to be small is spread round-robin first (``session.spread``).
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df.withColumn(out_col, embed_col(text_col, embedder_factory, dtype))
+    return spread(df).withColumn(out_col, embed_col(text_col, embedder_factory, dtype))
 
 
 def count_vectors(df: DataFrame, text_col: str = "text", out_col: str = "embedding",

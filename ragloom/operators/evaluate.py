@@ -15,12 +15,14 @@ from ..functions import lexicon as L
 from ..functions.text import words
 
 
-def case_keywords(text: Column, n: int = 3) -> Column:
-    """Expected keywords of a question: its ``n`` longest distinct words (ties by word)."""
+def case_keywords(text: Column, n: int | None = None) -> Column:
+    """Expected keywords of a question: its distinct words as written, longest first
+    (ties by word); ``n`` keeps the first ones only."""
     def cmp(a, b):
         return (F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1)
                 .when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.slice(F.array_sort(F.array_distinct(words(text)), cmp), 1, n)
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1)), cmp)
+    return found if n is None else F.slice(found, 1, n)
 
 
 def keyword_rank_stats(hits: DataFrame, cases: DataFrame) -> DataFrame:
@@ -29,7 +31,9 @@ def keyword_rank_stats(hits: DataFrame, cases: DataFrame) -> DataFrame:
     Keywords never found keep a row with null best_rank (the missed ones).
     Substring test is case-sensitive (P12).
     """
-    kw = cases.select("qid", F.posexplode("keywords").alias("kw_pos", "keyword"))
+    # a repeated keyword is one keyword; only the raw list length counts repeats (P20)
+    kw = (cases.select("qid", F.posexplode("keywords").alias("kw_pos", "keyword"))
+          .groupBy("qid", "keyword").agg(F.min("kw_pos").alias("kw_pos")))
     found = (kw.join(hits.select("qid", "rank", "text"), "qid")
              .filter(F.col("text").contains(F.col("keyword")))
              .groupBy("qid", "keyword")

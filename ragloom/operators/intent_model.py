@@ -60,14 +60,12 @@ def train_intent_model(train: DataFrame, vec_col: str = "embedding", label_col:
 
 
 def classify(model: PipelineModel, df: DataFrame, vec_col: str = "embedding",
-             class_names: list[str] | None = None, n_classes: int | None = None) -> DataFrame:
+             class_names: list[str] | None = None) -> DataFrame:
     """M2: adds predicted (index), intent (name), confidence, probabilities map."""
     scored = model.transform(df.withColumn("_features", array_to_vector(F.col(vec_col))))
     raw = vector_to_array("rawPrediction")
-    if n_classes is None:
-        n_classes = len(class_names) if class_names else int(
-            scored.select(F.size(raw)).first()[0])
-    names = class_names or [str(i) for i in range(n_classes)]
+    n_classes = len(model.stages[-1].models)  # as many as the model was trained on
+    names = [*(class_names or [])[:n_classes], *[str(i) for i in range(len(class_names or []), n_classes)]]
     sig = [F.lit(1.0) / (F.lit(1.0) + F.exp(-raw[i])) for i in range(n_classes)]
     total = sig[0]
     for s in sig[1:]:

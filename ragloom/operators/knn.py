@@ -44,7 +44,7 @@ BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 MAX_SCORE_ELEMENTS = 1 << 24
 # index rows scored per inner matrix product (bounds task memory)
 INNER_CHUNK = 4096
-RANK_MARGIN = 1e-9
+PAIR_SLICE = 1 << 16  # candidate pairs recomputed at a time (bounds the gathered vectors)
 
 
 # --------------------------------------------------------------- column forms
@@ -96,34 +96,40 @@ def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool, metric: str = "l2")
     if len(qids) == 0 or len(xids) == 0:
         return out_q, out_x, out_d
     qn = np.einsum("ij,ij->i", Q, Q)
-    cand_q, cand_x = [], []
+    best = None  # running top k of every question; ties beyond k go by id, so their number does not matter
+    margin = 8.0 * np.finfo(np.float64).eps * max(Q.shape[1], 1)
     step = max(256, min(INNER_CHUNK, MAX_SCORE_ELEMENTS // max(len(qids), 1)))
     for s in range(0, len(xids), step):
         Xc = X[s:s + step]
         xn = np.einsum("ij,ij->i", Xc, Xc)
         if metric == "cosine":
             approx = -_cos(Q @ Xc.T, qn[:, None] * xn[None, :])
+            slack = np.full(len(qids), margin)
         else:
             approx = qn[:, None] + xn[None, :] - 2.0 * (Q @ Xc.T)
+            slack = margin * (qn + xn.max())  # rounding grows with the norms
         if exclude_self:
             approx[qids[:, None] == xids[None, s:s + step]] = np.inf
         kk = min(k, Xc.shape[0])
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        qi, xj = np.nonzero(approx <= (kth + RANK_MARGIN)[:, None])
-        keep = np.isfinite(approx[qi, xj])
-        cand_q.append(qi[keep])
-        cand_x.append(xj[keep] + s)
-    qi = np.concatenate(cand_q)
-    xj = np.concatenate(cand_x)
+        qi, xj = np.nonzero((approx <= (kth + 2 * slack)[:, None]) & np.isfinite(approx))
+        for p in range(0, len(qi), PAIR_SLICE):
+            best = _closest(best, qids, Q, qn, xids, X, qi[p:p + PAIR_SLICE], xj[p:p + PAIR_SLICE] + s, k, metric)
+    if best is None:
+        return out_q, out_x, out_d
+    return best["q"].to_numpy(), best["x"].to_numpy(), best["d"].to_numpy()
+
+
+def _closest(best, qids, Q, qn, xids, X, qi, xj, k: int, metric: str) -> pd.DataFrame:
+    """``best`` with the pairs (qi, xj) at their exact distance, cut to k a question (distance, then id)."""
     if metric == "cosine":
         exact = -_cos(np.einsum("ij,ij->i", Q[qi], X[xj]), qn[qi] * np.einsum("ij,ij->i", X[xj], X[xj]))
     else:
         diff = Q[qi] - X[xj]
         exact = np.einsum("ij,ij->i", diff, diff)
-    cand = pd.DataFrame({"q": qids[qi], "x": xids[xj], "d": exact})
-    cand = cand.sort_values(["q", "d", "x"], kind="mergesort")
-    top = cand.groupby("q", sort=False).head(k)
-    return top["q"].to_numpy(), top["x"].to_numpy(), top["d"].to_numpy()
+    new = pd.DataFrame({"q": qids[qi], "x": xids[xj], "d": exact})
+    both = new if best is None else pd.concat([best, new])
+    return both.sort_values(["q", "d", "x"], kind="mergesort").groupby("q", sort=False).head(k)
 
 
 def _cos(dot, norm_product):
@@ -167,10 +173,10 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     x = index.select(F.col(x_id).cast("long").alias("_id"), F.col(x_vec).alias("_v"))
     rows = None
     if strategy in ("auto", "broadcast"):
-        # one bounded pass: at most BROADCAST_MAX_ROWS + 1 question rows reach the driver
-        rows = q.limit(BROADCAST_MAX_ROWS + 1).collect()
-        dim = max((len(r["_v"]) for r in rows), default=0)
-        fits = len(rows) <= BROADCAST_MAX_ROWS and len(rows) * max(dim, 1) * 8 <= BROADCAST_MAX_BYTES
+        # rows and bytes are measured before any vector reaches the driver
+        size = q.limit(BROADCAST_MAX_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.size("_v").cast("long") * 8)).first()
+        fits = size[0] <= BROADCAST_MAX_ROWS and (size[1] or 0) <= BROADCAST_MAX_BYTES
+        rows = q.limit(BROADCAST_MAX_ROWS).collect() if fits else None
         if strategy == "broadcast" and not fits:
             raise ValueError("question matrix exceeds the broadcast bound; use strategy='blocks'")
         strategy = "broadcast" if fits else "blocks"
@@ -267,9 +273,14 @@ def top_k(hits: DataFrame, k: int, part: str = "qid", dist: str = "distance",
     return hits.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def with_relevance(hits: DataFrame, distance: str = "distance") -> DataFrame:
+    """Relevance of unit vectors by squared L2 distance: ``1 - d / sqrt(2)`` (1 at equality, below 0 past a right angle)."""
+    return hits.withColumn("relevance", F.lit(1.0) - F.col(distance) / F.sqrt(F.lit(2.0)))
+
+
 def score_threshold(hits: DataFrame, threshold: float = L.SCORE_THRESHOLD,
-                    sim_col: str = "similarity") -> DataFrame:
-    """keep hits whose relevance score reaches the threshold."""
+                    sim_col: str = "relevance") -> DataFrame:
+    """keep hits whose relevance score (``with_relevance``) reaches the threshold."""
     return hits.filter(F.col(sim_col) >= threshold)
 
 

@@ -4,10 +4,8 @@
 Requests are rows ``(event_id, ts, client, route, duration)``. Hot clients are
 the norm in traffic data, so no operator here lets one key own a task:
 
-* fixed windows rank with ``row_number() <= limit`` which Catalyst turns into
-  a partial ``WindowGroupLimit`` before the shuffle: a hot (client, window)
-  sends at most ``limit`` rows per map task; the admitted set is then
-  broadcast (measured) so the request log itself is not shuffled;
+* fixed windows rank by ``row_number`` inside (key, window), so a hot client
+  is spread over its windows; null keys and repeated ids need no special case;
 * moving windows split each key's time line into buckets and copy the rows
   of the last window length of a bucket into the next one ("halo"), so a
   window frame never crosses a partition and a hot key spreads over buckets;
@@ -17,6 +15,8 @@ the norm in traffic data, so no operator here lets one key own a task:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +25,7 @@ from ..functions.mathx import pct2
 from ..functions.timex import from_micros, micros
 
 MICROS = 1_000_000
-ADMITTED_BROADCAST_ROWS = 2_000_000
-HOT_BUCKET_ROWS = 5_000_000  # rows of one key in one halo bucket before switching method
+WORK_SECONDS = 60  # buckets of the running count, whatever the reporting bucket
 
 
 def window_start(ts, width_seconds: int) -> Column:
@@ -44,51 +43,24 @@ def fixed_window_limit(req: DataFrame, limit: int, width_seconds: int,
     (they never enter the window's admitted set).
     """
     staged = req.withColumn("window_start", window_start(ts, width_seconds))
-    g = [*key_cols, "window_start"]
-    w = Window.partitionBy(*g).orderBy(F.col(ts), F.col(id_col))
-    admitted = (staged.select(*g, ts, id_col)
-                .withColumn("_admit_no", F.row_number().over(w))
-                .filter(F.col("_admit_no") <= limit)
-                .select(id_col, "_admit_no"))
-    # at most `limit` rows per (key, window): materialise once, then let the full
-    # request log stream through a broadcast hash join when the set is small
-    admitted = admitted.checkpoint(eager=True)
-    side = F.broadcast(admitted) if admitted.count() <= ADMITTED_BROADCAST_ROWS else admitted
-    return (staged.join(side, id_col, "left")
-            .withColumn("allowed", F.col("_admit_no").isNotNull())
-            .drop("_admit_no"))
+    w = Window.partitionBy(*key_cols, "window_start").orderBy(F.col(ts), F.col(id_col))
+    return (staged.withColumn("_admit_no", F.row_number().over(w))
+            .withColumn("allowed", F.col("_admit_no") <= limit).drop("_admit_no"))
 
 
 def moving_window_attempts(req: DataFrame, width_seconds: int, limit: int,
                            key_cols=("user_id", "event_type"), ts: str = "ts",
-                           bucket_factor: int = 4, method: str = "auto",
-                           fine_bucket_seconds: int = 60, id_col: str = "event_id") -> DataFrame:
+                           bucket_factor: int = 1) -> DataFrame:
     """W10 (attempt counting): requests of the same key in ``(t - width, t]``.
 
     Requests at the same instant count together (RANGE frame). ``allowed`` is
-    ``attempts <= limit``. Two exact methods:
-
-    * ``"prefix"`` (default, skew-proof): attempts(t) = C(t) - C(t - width),
-      C(x) = the key's requests at or before x. Every request adds two probe
-      rows (at t and at t - width); one segmented running count over
-      ``fine_bucket_seconds`` buckets evaluates C at all probes, so even a key
-      that is dense in time is spread over many small buckets.
-    * ``"halo"``: buckets of ``bucket_factor`` widths; rows within ``width`` of
-      the next bucket start are copied into it and a RANGE window counts.
-      One pass, but a key that is dense in time keeps a whole bucket together.
-    * ``"auto"`` (default): counts rows per (key, halo bucket) with a partial
-      aggregate and takes ``"halo"`` unless some bucket exceeds
-      ``HOT_BUCKET_ROWS``.
+    ``attempts <= limit``. A key's time line is cut into buckets of
+    ``bucket_factor`` widths; rows within ``width`` of the next bucket start
+    are copied into it ("halo"), so a frame never leaves its bucket and a hot
+    key spreads over its buckets. Null keys are a key like any other, rows
+    with equal ids stay rows of their own; a null instant counts the null
+    instants of its key.
     """
-    if method == "auto":
-        B = max(1, bucket_factor) * width_seconds * MICROS
-        t = micros(ts)
-        biggest = (req.select(*key_cols, (t - F.pmod(t, F.lit(B))).alias("_b"))
-                   .groupBy(*key_cols, "_b").count().agg(F.max("count")).first()[0]) or 0
-        method = "prefix" if biggest > HOT_BUCKET_ROWS else "halo"
-    if method == "prefix":
-        return _moving_attempts_prefix(req, width_seconds, limit, key_cols, ts,
-                                       fine_bucket_seconds, id_col)
     W = width_seconds * MICROS
     B = max(1, bucket_factor) * W
     t = micros(ts)
@@ -105,31 +77,6 @@ def moving_window_attempts(req: DataFrame, width_seconds: int, limit: int,
             .drop("_t", "_b", "_halo"))
 
 
-def _moving_attempts_prefix(req, width_seconds, limit, key_cols, ts, fine_bucket_seconds, id_col):
-    W = width_seconds * MICROS
-    Bf = fine_bucket_seconds * MICROS
-    t = micros(ts)
-    base = req.withColumn("_t", t)
-    keys = list(key_cols)
-    # kind 0: the request itself (+1); kind 1: probes reading C(x) (+0); at equal
-    # instants requests come first, so a probe at x sees every request <= x
-    events = base.select(*keys, id_col, F.col("_t").alias("_x"), F.lit(0).alias("_kind"),
-                         F.lit(0).alias("_side"), F.lit(1).cast("long").alias("_v"))
-    probes = base.select(*keys, id_col, F.explode(F.array(
-        F.struct(F.col("_t").alias("x"), F.lit(1).alias("side")),
-        F.struct((F.col("_t") - W).alias("x"), F.lit(-1).alias("side")))).alias("_p")) \
-        .select(*keys, id_col, F.col("_p.x").alias("_x"), F.lit(1).alias("_kind"),
-                F.col("_p.side").alias("_side"), F.lit(0).cast("long").alias("_v"))
-    rows = events.unionByName(probes).withColumn("_b", F.col("_x") - F.pmod(F.col("_x"), F.lit(Bf)))
-    counted = running_sum(rows, "_v", [F.col("_x"), F.col("_kind"), F.col(id_col), F.col("_side")],
-                          "_b", keys, out="_c")
-    att = (counted.filter(F.col("_kind") == 1)
-           .groupBy(id_col).agg(F.sum(F.col("_side") * F.col("_c")).alias("attempts")))
-    return (req.join(att, id_col)
-            .withColumn("attempts", F.col("attempts").cast("long"))
-            .withColumn("allowed", F.col("attempts") <= limit))
-
-
 def running_sum(df: DataFrame, value: str, order_cols, bucket: str,
                 part_cols=(), out: str = "running") -> DataFrame:
     """Exact running sum of ``value`` over ``part_cols`` ordered by ``order_cols``.
@@ -145,8 +92,11 @@ def running_sum(df: DataFrame, value: str, order_cols, bucket: str,
     wl = (Window.partitionBy(*part_cols, bucket).orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, 0))
     local = df.withColumn("_loc", F.sum(value).over(wl))
-    return (local.join(bases, [*part_cols, bucket])
-            .withColumn(out, F.col("_loc") + F.col("_base")).drop("_loc", "_base"))
+    keys = [*part_cols, bucket]
+    bases = bases.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_base")
+    same = reduce(lambda a, b: a & b, [local[c].eqNullSafe(bases[f"_k{i}"]) for i, c in enumerate(keys)])
+    return (local.join(bases, same).withColumn(out, F.col("_loc") + F.col("_base"))
+            .drop("_loc", "_base", *[f"_k{i}" for i in range(len(keys))]))
 
 
 def request_intervals(req: DataFrame, ts: str = "ts", duration: str = "value",
@@ -171,8 +121,11 @@ def concurrency_profile(req: DataFrame, bucket_seconds: int = 3600,
     ev = (iv.select(id_col, F.col("start_us").alias("_at"), F.lit(1).alias("_d"))
           .unionByName(iv.select(id_col, F.col("end_us").alias("_at"), F.lit(-1).alias("_d"))))
     bw = bucket_seconds * MICROS
-    ev = ev.withColumn("_bucket", F.col("_at") - F.pmod(F.col("_at"), F.lit(bw)))
-    run = running_sum(ev, "_d", [F.col("_at"), F.col("_d"), F.col(id_col)], "_bucket", out="active")
+    # the running count works in short buckets, so a busy reporting bucket is many tasks
+    work = min(bucket_seconds, WORK_SECONDS) * MICROS
+    ev = (ev.withColumn("_bucket", F.col("_at") - F.pmod(F.col("_at"), F.lit(bw)))
+          .withColumn("_work", F.col("_at") - F.pmod(F.col("_at"), F.lit(work))))
+    run = running_sum(ev, "_d", [F.col("_at"), F.col("_d"), F.col(id_col)], "_work", out="active")
     per = run.groupBy("_bucket").agg(F.count(F.lit(1)).alias("events"),
                                      F.max("active").alias("peak"))
     # as configured, requests above the limit wait in the queue (none is refused for load)

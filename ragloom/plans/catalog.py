@@ -249,10 +249,9 @@ def q_keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 + W7 as a join: lexicon keywords matched as substring equi-joins, best intent per turn."""
     from ..sources.labelled import lexicon_tables
     turns = _user_turns(spark, sf_dir).withColumn(
-        "qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
+        "qid", F.struct("conv_id", "turn"))
     best = route_ops.keyword_join(turns, lexicon_tables(spark)["keywords"], "qid", "text")
-    return (best.join(turns.select("qid", "conv_id", "turn"), "qid")
-            .select("conv_id", "turn", "intent", F.col("score").cast("long").alias("score")))
+    return best.select("qid.conv_id", "qid.turn", "intent", F.col("score").cast("long").alias("score"))
 
 
 @register("routing_profile", oracle=f"""
@@ -460,7 +459,7 @@ WITH d AS (
          1 + CAST(ceil(greatest(n - {L.CHUNK_SIZE}, 0) / {float(L.CHUNK_SIZE - L.CHUNK_OVERLAP)}) AS BIGINT) AS cnt
   FROM d
 )
-SELECT doc_id * {chunk_ops.CHUNK_ID_STRIDE} + i AS chunk_id, doc_id, i AS chunk_no,
+SELECT {chunk_ops.chunk_id_sql("doc_id", "i")} AS chunk_id, doc_id, i AS chunk_no,
        substr(text, CAST(i * {L.CHUNK_SIZE - L.CHUNK_OVERLAP} + 1 AS BIGINT), {L.CHUNK_SIZE}) AS text, source
 FROM c, range(0, cnt) r(i)
 """)
@@ -496,7 +495,7 @@ def q_conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVAL_K = 10
 _STEP = L.CHUNK_SIZE - L.CHUNK_OVERLAP
 FIXED_CHUNKS_SQL = f"""
-SELECT doc_id * {chunk_ops.CHUNK_ID_STRIDE} + i AS chunk_id, doc_id, i AS chunk_no,
+SELECT {chunk_ops.chunk_id_sql("doc_id", "i")} AS chunk_id, doc_id, i AS chunk_no,
        substr(text, CAST(i * {_STEP} + 1 AS BIGINT), {L.CHUNK_SIZE}) AS text, source
 FROM (SELECT doc_id, source, text,
              1 + CAST(ceil(greatest(length(text) - {L.CHUNK_SIZE}, 0) / {float(_STEP)}) AS BIGINT) AS cnt
@@ -571,18 +570,15 @@ def q_retrieval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rnd("similarity").alias("similarity"))
 
 
-THRESHOLD = L.SCORE_THRESHOLD
-
-
 @register("retrieval_threshold", oracle=f"""
-SELECT qid, rank, chunk_id, round(similarity, 6) AS similarity
-FROM ({HITS_SQL}) h WHERE similarity >= {THRESHOLD}
+SELECT qid, rank, chunk_id, round(1.0 - distance / sqrt(2.0), 6) AS relevance
+FROM ({HITS_SQL}) h WHERE 1.0 - distance / sqrt(2.0) >= 0.5
 """)
 def q_retrieval_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the top-10 hits whose relevance score reaches 0.5 (threshold retrieval mode)."""
-    h = knn_ops.score_threshold(_benchmark_hits(spark, sf_dir), THRESHOLD)
+    """the top-10 hits whose relevance 1 - distance / sqrt(2) reaches 0.5 (threshold retrieval mode)."""
+    h = knn_ops.score_threshold(knn_ops.with_relevance(_benchmark_hits(spark, sf_dir)))
     return h.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id",
-                    rnd("similarity").alias("similarity"))
+                    rnd("relevance").alias("relevance"))
 
 
 @register("retrieval_mmr")
@@ -602,8 +598,8 @@ def q_retrieval_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASES_SQL = """
 SELECT b.item_id AS qid, coalesce(k.keywords, []::VARCHAR[]) AS keywords
 FROM benchmark b LEFT JOIN (
-  SELECT qid, list(w ORDER BY length(w) DESC, w)[1:3] AS keywords
-  FROM (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w
+  SELECT qid, list(w ORDER BY length(w) DESC, w) AS keywords
+  FROM (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(text, '\\p{L}+')) AS w
         FROM benchmark) d
   GROUP BY qid
 ) k ON k.qid = b.item_id
@@ -794,12 +790,12 @@ def q_compress_textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts of more than 10 sentences before the semantic rerank."""
     hits = _benchmark_hits(spark, sf_dir).filter(F.col("rank") <= COMP_K) \
         .select("qid", "rank", "chunk_id", "text")
-    keyed = hits.select((F.col("qid") * 100 + F.col("rank")).alias("doc_id"), "text")
+    keyed = hits.select(F.struct("qid", "rank").alias("doc_id"), "text")
     kw = kw_ops.textrank_keywords(keyed, k=20)
     kws = (kw.groupBy("doc_id")  # at most 20 rows per hit
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))),
                             lambda s: s["token"]).alias("kws")))
-    h2 = (hits.withColumn("doc_id", F.col("qid") * 100 + F.col("rank"))
+    h2 = (hits.withColumn("doc_id", F.struct("qid", "rank"))
           .join(kws, "doc_id", "left")
           .withColumn("kws", F.coalesce("kws", F.array().cast("array<string>"))).drop("doc_id"))
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
@@ -854,9 +850,6 @@ def _answer_sql(route: bool, compress: bool, context_from_question: bool = False
     routed = (_route_sql("(SELECT item_id, text FROM v WHERE ok) vv", "item_id") if route else
               "SELECT item_id, text, NULL::VARCHAR AS intent, NULL::DOUBLE AS confidence, "
               "NULL::VARCHAR AS method, false AS skip_rag, NULL::VARCHAR AS response FROM v WHERE ok")
-    kw = ("(SELECT qid, list(w ORDER BY length(w) DESC, w)[1:3] AS kws FROM (SELECT DISTINCT item_id AS qid, "
-          "unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM go0) d GROUP BY qid)")
-    gen = "array_to_string(coalesce(kw.kws, []::VARCHAR[]), ' ')"
     hits = f"(SELECT qid, rank, id AS chunk_id, c.text FROM top JOIN chunks c ON c.chunk_id = top.id) hh"
     comp = (f"(SELECT qid, rank, compressed AS text FROM ({_compress_sql(hits, '(SELECT item_id, text FROM go)', 'item_id')}) cc) hx"
             if compress else f"(SELECT qid, rank, text FROM {hits}) hx")
@@ -864,11 +857,7 @@ def _answer_sql(route: bool, compress: bool, context_from_question: bool = False
 WITH v AS ({v}),
 r AS ({routed}),
 go0 AS (SELECT * FROM r WHERE NOT skip_rag),
-go AS (
-  SELECT go0.*, CASE WHEN {_clean_query_sql(gen)} IS NULL OR {_clean_query_sql(gen)} = '' THEN go0.text
-                     ELSE {_clean_query_sql(gen)} END AS query
-  FROM go0 LEFT JOIN {kw} kw ON kw.qid = go0.item_id
-),
+go AS (SELECT go0.*, go0.text AS query FROM go0),
 chunks AS ({FIXED_CHUNKS_SQL}),
 qtop AS ({_cosine_topk_sql("(SELECT item_id, query AS text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)}),
 top AS ({_cosine_topk_sql("(SELECT item_id, text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)
@@ -970,7 +959,7 @@ def _model_eval(spark: SparkSession, sf_dir: str):
     split = im.stratified_split(emb, "label", "vec_id", 0.2, 42).checkpoint(eager=True)
     model = im.train_intent_model(split.filter(~F.col("is_test")), "embedding", "label")
     test = split.filter(F.col("is_test"))
-    return im, im.classify(model, test, "embedding", n_classes=10)
+    return im, im.classify(model, test, "embedding")
 
 
 @register("intent_model_report")
@@ -1002,7 +991,7 @@ def _stream_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
 def _events_stream(spark: SparkSession, sf_dir: str):
     from ..streaming import jobs
     schema = table(spark, sf_dir, "events").schema
-    return jobs.table_stream(spark, sf_dir, "events.parquet", schema)
+    return jobs.table_stream(spark, sf_dir, "events.parquet", schema, max_files_per_trigger=1)
 
 
 @register("stream_window_counts", oracle=f"""
@@ -1099,7 +1088,7 @@ def q_stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ck = _stream_dirs(spark, "incremental-index")
     inbox = out.rsplit("/", 1)[0] + "/inbox"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs.repartition(8, "doc_id").write.mode("overwrite").parquet(inbox)  # drop folder derived from the table
+    docs.write.mode("overwrite").parquet(inbox)  # drop folder derived from the table
     stream = jobs.table_stream(spark, inbox, "*.parquet", docs.schema, max_files_per_trigger=2)
     jobs.incremental_index(stream, out, ck)
     idx = spark.read.parquet(f"{out}/index")

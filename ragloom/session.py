@@ -69,11 +69,14 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` set by the cluster wins. Only when it is unset
-    (local tests) a private folder is created and registered.
+    ``spark.checkpoint.dir`` set by the cluster wins. Only a local session
+    may leave it unset; a private folder is created and registered then.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="ragloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -91,11 +94,17 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Inputs estimated below this are spread over the task slots (one default file split).
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df):
     """Round-robin ``df`` over the task slots when it has fewer partitions than slots.
 
-    Small local inputs arrive in a few row groups; large inputs arrive in many
-    splits and are returned unchanged (no shuffle).
+    Small inputs arrive in a few row groups; the planner's size estimate (no
+    job runs for it) tells them from large ones, which arrive in many splits
+    and are returned unchanged (no shuffle).
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(slots) if int(str(size)) < SPREAD_BYTES else df

@@ -3,7 +3,7 @@
 Layout under ``root``::
 
     root/v=<n>/        chunk rows with their vectors (Parquet)
-    root/_pointer/     one-row table naming the current version
+    root/_pointer/p=<n>/  one-row table naming the version current since save n
 
 A new version is written completely before the pointer moves, so readers
 never see a half-written index; a crashed build leaves an unreferenced
@@ -30,20 +30,33 @@ def build_index(corpus: DataFrame, size: int = 800, overlap: int = 150, embedder
             .withColumn("chunk_hash", F.xxhash64("text")))
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names below ``path`` in whatever store holds it; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    return sorted(int(n.removeprefix(prefix)) for n in _names(spark, root) if n.startswith(prefix))
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        row = spark.read.parquet(f"{root}/_pointer").agg(F.max("version")).first()
-    except Exception:  # no pointer yet
-        return None
-    return None if row is None or row[0] is None else int(row[0])
+    """The version named by the newest pointer; an unreadable pointer is an error, not an empty index."""
+    pointers = [p for p in _versions(spark, f"{root}/_pointer", "p=")
+                if "_SUCCESS" in _names(spark, f"{root}/_pointer/p={p}")]  # others were never finished
+    return int(spark.read.parquet(f"{root}/_pointer/p={pointers[-1]}").first()[0]) if pointers else None
 
 
 def save_index(spark: SparkSession, index: DataFrame, root: str) -> int:
-    """Write a new version, then move the pointer; returns the version."""
-    cur = current_version(spark, root)
-    v = 0 if cur is None else cur + 1
-    index.write.mode("overwrite").parquet(f"{root}/v={v}")
-    spark.createDataFrame([(v,)], "version int").write.mode("overwrite").parquet(f"{root}/_pointer")
+    """Write a new version, then a new pointer; returns the version.
+
+    Version and pointer numbers follow the folders that exist, and nothing
+    is overwritten: a reader sees the old pointer or the new one.
+    """
+    v = max([*_versions(spark, root, "v="), *_versions(spark, f"{root}/_pointer", "p="), -1]) + 1
+    index.write.parquet(f"{root}/v={v}")
+    spark.createDataFrame([(v,)], "version int").write.parquet(f"{root}/_pointer/p={v}")
     return v
 
 

@@ -7,9 +7,10 @@
   files belong to which batch, so a re-run adds nothing.
 * T2 ``stream_window_counts``: watermark + tumbling window counts per key.
 * T2 ``stream_fixed_window_verdicts`` / T3 ``stream_moving_window_verdicts``:
-  per-request admit/reject with ``applyInPandasWithState``; state per key is
-  O(1) (fixed window) or at most ``limit`` timestamps (moving window), and
-  is dropped by an event-time timeout once the key is idle.
+  per-request admit/reject with ``applyInPandasWithState``; state per key is a
+  count for every window the watermark may still reach, or the accepted
+  instants of that time, and is dropped by an event-time timeout once the
+  key is idle.
 * T4 ``stream_screen``: validation and routing are plain column functions,
   so they run unchanged on a streaming DataFrame.
 
@@ -19,8 +20,10 @@ checkpoint folder (``spark.checkpoint.dir``), never a machine-local path.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,44 +100,56 @@ def _set_timeout(state: GroupState, ms: int) -> None:
     state.setTimeoutTimestamp(max(ms, wm + 1))
 
 
-def _sorted_rows(pdfs: Iterator[pd.DataFrame], id_col: str) -> pd.DataFrame:
-    frames = list(pdfs)
-    if not frames:
-        return pd.DataFrame(columns=["_us", id_col])
-    return pd.concat(frames).sort_values(["_us", id_col], kind="mergesort")
+def _in_order(pdfs: Iterator[pd.DataFrame], id_col: str) -> Iterator[tuple[int, int]]:
+    """(instant, id) of a key's rows of one micro-batch in time order.
+
+    Only two integers a row are held; ``maxFilesPerTrigger`` on the source
+    bounds the micro-batch.
+    """
+    parts = [(p["_us"].to_numpy(np.int64), p[id_col].to_numpy(np.int64)) for p in pdfs]
+    if parts:
+        us, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, us))
+        yield from zip(us[order].tolist(), ids[order].tolist())
 
 
 def stream_fixed_window_verdicts(requests: DataFrame, width_seconds: int, limit: int,
                                  key_cols=("user_id", "event_type"), ts: str = "ts",
                                  id_col: str = "event_id", watermark: str = "2 minutes") -> DataFrame:
-    """T2 per request: the first ``limit`` requests of a key in each window pass."""
+    """T2 per request: the first ``limit`` requests of a key in each window pass.
+
+    A count is kept for every window that the watermark may still reach, so
+    requests that arrive out of order are counted in their own window. First
+    means first to arrive; inside a micro-batch it means first in time.
+    """
     W = width_seconds * MICROS
 
     def fn(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        win, count = state.get if state.exists else (None, 0)
-        rows = _sorted_rows(pdfs, id_col)
+        counts = dict(zip(*state.get)) if state.exists else {}
         ids, allowed = [], []
-        for us, eid in zip(rows["_us"].tolist(), rows[id_col].tolist()):
+        for us, eid in _in_order(pdfs, id_col):
             w = us - us % W
-            if w != win:
-                win, count = w, 0
-            count += 1
+            counts[w] = counts.get(w, 0) + 1
             ids.append(eid)
-            allowed.append(count <= limit)
-        if win is not None:
-            state.update((int(win), int(count)))
-            _set_timeout(state, int((win + W) // 1000) + 1)
+            allowed.append(counts[w] <= limit)
+        passed = state.getCurrentWatermarkMs() * 1000
+        counts = {w: n for w, n in counts.items() if w + W > passed}
+        if counts:
+            state.update((list(counts), list(counts.values())))
+            _set_timeout(state, int((max(counts) + W) // 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"),
                             "allowed": pd.Series(allowed, dtype=bool)})
 
     staged = (requests.withColumn("_tl", F.col(ts).cast("timestamp")).withWatermark("_tl", watermark)
               .withColumn("_us", F.unix_micros("_tl")).select(*key_cols, id_col, "_us", "_tl"))
     return staged.groupBy(*key_cols).applyInPandasWithState(
-        fn, VERDICT_SCHEMA, T.StructType([T.StructField("win", T.LongType()),
-                                          T.StructField("count", T.LongType())]),
+        fn, VERDICT_SCHEMA, T.StructType([T.StructField("windows", T.ArrayType(T.LongType())),
+                                          T.StructField("counts", T.ArrayType(T.LongType()))]),
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -148,19 +163,22 @@ def stream_moving_window_verdicts(requests: DataFrame, width_seconds: int, limit
         if state.hasTimedOut:
             state.remove()
             return
-        acc = list(state.get[0]) if state.exists else []
-        rows = _sorted_rows(pdfs, id_col)
+        acc = sorted(state.get[0]) if state.exists else []
         ids, allowed = [], []
-        for us, eid in zip(rows["_us"].tolist(), rows[id_col].tolist()):
-            acc = [a for a in acc if a > us - W]
-            ok = len(acc) < limit
+        for us, eid in _in_order(pdfs, id_col):
+            # accepted requests less than a window away, earlier or (out of order) later
+            ok = bisect_left(acc, us + W) - bisect_right(acc, us - W) < limit
             if ok:
-                acc.append(us)
+                insort(acc, us)
             ids.append(eid)
             allowed.append(ok)
-        state.update((acc,))
+        passed = state.getCurrentWatermarkMs() * 1000
+        acc = acc[bisect_right(acc, passed - W):]
         if acc:
-            _set_timeout(state, int((max(acc) + W) // 1000) + 1)
+            state.update((acc,))
+            _set_timeout(state, int((acc[-1] + W) // 1000) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"),
                             "allowed": pd.Series(allowed, dtype=bool)})
 
@@ -185,11 +203,8 @@ def late_rows_side_count(requests: DataFrame, out_root: str, checkpoint: str, ts
         spark = batch.sparkSession
         prev = None
         if batch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{out_root}/max").filter(F.col("batch_id") < batch_id) \
-                    .agg(F.max("max_us")).first()[0]
-            except Exception:  # no earlier batch written
-                prev = None
+            prev = spark.read.parquet(f"{out_root}/max").filter(F.col("batch_id") < batch_id) \
+                .agg(F.max("max_us")).first()[0]
         us = F.unix_micros(F.col(ts).cast("timestamp"))
         stats = batch.agg(F.max(us).alias("max_us"),
                           F.sum(F.when(F.lit(prev is not None) &

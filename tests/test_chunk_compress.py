@@ -1,5 +1,7 @@
 """Chunker properties and compression rules."""
 
+import hashlib
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def test_recursive_chunks_in_spark(spark):
     df = spark.createDataFrame([(7, text, "s")], "doc_id long, text string, source string")
     rows = chunk.chunk_documents(df, 300, 50).collect()
     assert rows and all(len(r["text"]) <= 300 for r in rows)
-    assert {r["chunk_id"] for r in rows} == {7_000_000 + i for i in range(len(rows))}
+    assert [r["chunk_no"] for r in rows] == list(range(len(rows)))
+    assert [r["chunk_id"] for r in rows] == [int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16) for i in range(len(rows))]
 
 
 def _compress(spark, text, question, **kw):

@@ -53,10 +53,11 @@ def test_real_client_ip(spark):
 def test_case_keywords_and_category_metrics(spark):
     q = spark.createDataFrame([(1, "Dogs need long walks", "care"), (2, "cats sleep", "care")],
                               "qid long, text string, category string")
-    cases = q.select("qid", "category", evaluate.case_keywords(F.col("text")).alias("keywords"))
+    cases = q.select("qid", "category", evaluate.case_keywords(F.col("text"), 3).alias("keywords"))
+    assert q.select(evaluate.case_keywords(F.col("text"))).first()[0] == ["walks", "Dogs", "long", "need"]
     kw = {r["qid"]: r["keywords"] for r in cases.collect()}
-    assert kw[1] == ["walks", "dogs", "long"] and kw[2] == ["sleep", "cats"]
-    hits = spark.createDataFrame([(1, 1, "walks and dogs"), (1, 2, "nothing"), (2, 1, "cats sleep")],
+    assert kw[1] == ["walks", "Dogs", "long"] and kw[2] == ["sleep", "cats"]
+    hits = spark.createDataFrame([(1, 1, "walks and Dogs"), (1, 2, "nothing"), (2, 1, "cats sleep")],
                                  "qid long, rank int, text string")
     m = evaluate.category_metrics(hits, cases).first()
     assert m["relevant"] == 2 and m["hits"] == 3

@@ -12,6 +12,7 @@ from ragloom.llm.oracles import statements
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to archives, read back and reassembled."""
     path = scratch(spark, "archives")
     warc.write_archives(input_table(spark, sf_dir, "pages"), path)
     found = warc.reassembled(warc.read_records(spark, path))
@@ -25,11 +26,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(input_table(spark, sf_dir, "documents")).select(
         "doc_id", "fingerprint", "component_id")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document a mix with weighted sources takes."""
     return mixing.mix(input_table(spark, sf_dir, "documents")).drop("copies")
 
 
@@ -45,35 +48,42 @@ def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     found = html_text.with_main_text(input_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files written of all."""
     return token_rows(spark, input_table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and component of every vector."""
     return vector_dups.near_duplicates(input_table(spark, sf_dir, "embeddings"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words, items and verdict of every document."""
     docs = input_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_hits(docs, input_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *[f"hits.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
     docs = input_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select(
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that states a licence, with its family, probability and confirming template."""
     return licences.scan(input_table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
     return sharding.place_documents(input_table(spark, sf_dir, "documents"))
 
 

@@ -106,8 +106,15 @@ def preview(c, n: int) -> Column:
 
 
 def words(c) -> Column:
-    """Lower-cased letter runs (the tokenizer of the keyword extractors)."""
-    return F.regexp_extract_all(F.lower(col_(c)), F.lit(r"(\p{L}+)"), 1)
+    """Lower-cased letter runs (the tokenizer of the keyword extractors); a run of
+    Chinese characters, which has no spaces to cut at, becomes its bigrams."""
+    t = F.lower(col_(c))
+    runs = F.regexp_extract_all(t, F.lit(r"(\p{IsHan}+|[\p{L}&&[^\p{IsHan}]]+)"), 1)
+    pairs = F.transform(runs, lambda r: F.when(
+        r.rlike(r"^\p{IsHan}{2,}"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
+        .otherwise(F.array(r)))
+    return F.when(t.rlike(r"\p{IsHan}"), F.flatten(pairs)).otherwise(
+        F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), 1))
 
 
 def char_ngrams(c, n: int) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as L
 from ..functions.text import clean_query
+from . import cascade as cascade_ops
 from . import compress as comp_ops
 from . import context as ctx_ops
 from . import embed as embed_ops
@@ -66,7 +67,9 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                    expand: bool = True, generator=None,
                    terminators: str = L.SENTENCE_TERMINATORS_CJK,
                    qid: str = "qid", text_col: str = "text", retriever=None,
-                   context_from_question: bool = False) -> DataFrame:
+                   context_from_question: bool = False, model=None, mode: str = "similarity",
+                   fetch_k: int = L.RETRIEVER_FETCH_K, lambda_mult: float = L.MMR_LAMBDA,
+                   score_threshold: float = L.SCORE_THRESHOLD) -> DataFrame:
     """C2 (``route=True, compress=True``) / C3 (both off).
 
     ``chunks(chunk_id, text)`` is the retrievable text; ``index(chunk_id, vec)``
@@ -75,11 +78,16 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     question itself; the expanded-query hits are only reported (``n_docs``).
     ``retriever`` (U2) replaces the default exact cosine search: a callable
     ``(query_vectors(qid, vec), index, k) -> (qid, rank, id)``.
+    ``model`` (M1) adds the classifier stage to the routing. ``mode`` is
+    ``similarity``, ``mmr`` (``fetch_k`` candidates, ``lambda_mult``) or
+    ``threshold`` (relevance at least ``score_threshold``).
     Output columns: ``OUT_COLS``.
 
     Custom steps (U3) follow the DataFrame convention: any
     ``DataFrame -> DataFrame`` function can be chained with ``df.transform(fn)``.
     """
+    if mode not in ("similarity", "mmr", "threshold"):
+        raise ValueError(f"unknown retrieval mode {mode!r}")
     v = val_ops.validate_questions(questions.select(qid, text_col), text_col)
     rejected = (v.filter(~F.col("ok"))
                 .select(qid, "ok", "reason", F.lit(None).cast("string").alias("intent"),
@@ -90,7 +98,8 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                         F.col("error").alias("reply"), F.lit(None).cast("string").alias("prompt")))
     passed = v.filter(F.col("ok")).drop("error")
     if route:
-        routed = route_ops.route_questions(passed, text_col)
+        routed = (route_ops.route_questions(passed, text_col) if model is None
+                  else cascade_ops.route_with_model(passed, model, text_col))
     else:
         routed = passed.withColumns({"intent": F.lit(None).cast("string"),
                                      "confidence": F.lit(None).cast("double"),
@@ -109,10 +118,17 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     def retrieve(col):
         qv = embed_ops.count_vectors(go.select(qid, F.col(col).alias("_q")), "_q", "vec") \
             .withColumnRenamed(qid, "qid")
-        if retriever is None:
-            return knn_ops.knn_join(qv, index, k=k, q_id="qid", q_vec="vec", x_id="chunk_id",
-                                    x_vec="vec", metric="cosine")
-        return retriever(qv, index, k)
+        if retriever is not None:
+            return retriever(qv, index, k)
+        top = knn_ops.knn_join(qv, index, k=fetch_k if mode == "mmr" else k, q_id="qid", q_vec="vec", x_id="chunk_id",
+                               x_vec="vec", metric="cosine")
+        if mode == "threshold":
+            return knn_ops.score_threshold(knn_ops.with_relevance(top), score_threshold).drop("relevance")
+        if mode == "mmr":
+            pairs = (knn_ops.join_hits(top, index.select("chunk_id", F.col("vec").alias("x_vec")))
+                     .join(qv.select("qid", F.col("vec").alias("q_vec")), "qid"))
+            return knn_ops.mmr(pairs, k=k, lambda_mult=lambda_mult).select("qid", F.col("mmr_rank").alias("rank"), "id")
+        return top
 
     top = retrieve("query")
     reported = None

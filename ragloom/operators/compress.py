@@ -42,14 +42,17 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
                   min_length: int = L.MIN_SENTENCE_LENGTH,
                   keywords_col: str | None = None,
                   prefilter_k: int = L.PREFILTER_SENTENCES,
-                  embed_counts=None) -> DataFrame:
+                  embed_counts=None, order: str = "list") -> DataFrame:
     """Adds n_sentences, compressed, before_chars, after_chars, ratio.
 
     ``keywords_col`` (array<string> on ``hits``) enables the W3 prefilter for
     texts with more than ``prefilter_k`` sentences. ``embed_counts`` maps a
     (DataFrame, text column, out column) to count vectors; default: the
-    hashed trigram embedder.
+    hashed trigram embedder. ``order="document"`` emits the chosen sentences
+    as they stand in the text, also after a prefilter.
     """
+    if order not in ("list", "document"):
+        raise ValueError(f"unknown order {order!r}")
     embed_counts = embed_counts or embed_ops.count_vectors
     staged = hits.withColumn("_ss", split_sentences(F.col(text_col), terminators, min_length)) \
                  .withColumn("n_sentences", F.size("_ss").cast("long"))
@@ -79,7 +82,7 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
     w = Window.partitionBy(qid, rank).orderBy(F.col("_cos").desc(), F.col("_order"))
     best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_sentences)
     folded = best.groupBy(qid, rank).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_order", "sentence"))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos" if order == "document" else "_order", "sentence"))),
                                  lambda s: s["sentence"]), "。").alias("_joined"))
     out = staged.join(folded, [qid, rank], "left")
     joined = F.col("_joined")

@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from ..functions import lexicon as L
 from ..functions.text import words
 
+BROADCAST_TOKENS = 1_000_000  # vocabulary rows (token, df) that may be broadcast
+
 GRAM_ARRAY = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()),
                                        T.StructField("n", T.LongType())]))
 
@@ -93,8 +96,11 @@ def tfidf_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",
     if n_docs is None:
         n_docs = docs.count()
     tf = term_frequencies(docs, id_col, text_col)
-    df_ = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = (tf.join(df_, "token")
+    # words of nearly every document would be hot join keys: document frequencies are
+    # broadcast while the vocabulary is within the bound
+    df_ = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).checkpoint(eager=True)
+    side = F.broadcast(df_) if df_.count() <= BROADCAST_TOKENS else df_
+    scored = (tf.join(side, "token")
               .withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))))
     w = Window.partitionBy(id_col).orderBy(F.round("score", 9).desc(), F.col("token"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -121,6 +127,16 @@ def cooccurrence_edges(docs: DataFrame, window: int = 5, id_col: str = "doc_id",
 
 
 WORD_RE = re.compile(r"[^\W\d_]+")
+_HAN = regex.compile(r"(\p{Han}+)")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased letter runs of one text; runs of Chinese characters as bigrams (``functions.text.words``)."""
+    out: list[str] = []
+    for run in WORD_RE.findall(text.lower()):
+        for part in filter(None, _HAN.split(run)):
+            out += [part[i:i + 2] for i in range(len(part) - 1)] if _HAN.match(part) and len(part) > 1 else [part]
+    return out
 
 TR_ARRAY = T.ArrayType(T.StructType([T.StructField("token", T.StringType()),
                                      T.StructField("weight", T.DoubleType())]))
@@ -130,7 +146,7 @@ def _textrank_one(text: str | None, k: int, window: int, damping: float, iterati
     """Power iteration over one document's co-occurrence graph (edge lists, linear in edges)."""
     if not text:
         return []
-    toks = WORD_RE.findall(text.lower())
+    toks = tokens(text)
     if len(toks) < 2:
         return []
     vocab = {t: i for i, t in enumerate(sorted(set(toks)))}

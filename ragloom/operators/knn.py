@@ -313,7 +313,8 @@ def mmr(candidates: DataFrame, k: int = L.RETRIEVER_K, lambda_mult: float = L.MM
                 red = sim[np.ix_(left, chosen)].max(axis=1)
             else:
                 red = np.zeros(len(left))
-            score = lambda_mult * rel[left] - (1 - lambda_mult) * red
+            # equal up to rounding is a tie
+            score = np.round(lambda_mult * rel[left] - (1 - lambda_mult) * red, 12)
             pick = left[int(np.argmax(score))]  # argmax keeps the first (best-ranked) tie
             chosen.append(pick)
             left.remove(pick)

@@ -33,6 +33,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import chunk as chunk_ops
 from ..operators import embed as embed_ops
 from ..operators import route as route_ops
+from ..operators import traffic as traffic_ops
 from ..operators import validate as val_ops
 
 MICROS = 1_000_000
@@ -223,6 +224,11 @@ def late_rows_side_count(requests: DataFrame, out_root: str, checkpoint: str, ts
 
 
 # ------------------------------------------------------------------------ T4
+def stream_bots(requests: DataFrame, **options) -> DataFrame:
+    """T4: bot verdict of every arriving request (stateless, the batch operator F5)."""
+    return traffic_ops.detect_bots(requests, **options)
+
+
 def stream_screen(questions: DataFrame, text_col: str = "text") -> DataFrame:
     """T4: validation then routing of every arriving question (stateless)."""
     v = val_ops.validate_questions(questions, text_col)

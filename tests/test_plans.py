@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from ragloom.plans.audit import query_plans
 
 from .conftest import SF_SMALL
 
@@ -15,12 +16,8 @@ BATCH = [n for n in E.queries() if not n.startswith("stream_")]
 
 
 def _plan(spark, name):
-    old = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # static plan
-    try:
-        return E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", old)
+    """All plans of a query as one text, those of materialised steps before they ran included (AQE on)."""
+    return "\n".join(query_plans(spark, E.queries()[name], SF_SMALL))
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -46,3 +43,8 @@ def test_fixed_window_limit_ranks_inside_client_and_window(spark):
     plan = _plan(spark, "rate_limit_fixed")
     assert "Join" not in plan
     assert "window_start" in plan[plan.index("Exchange hashpartitioning"):][:160]
+
+
+def test_audit_sees_the_plan_behind_a_checkpoint(spark):
+    plans = query_plans(spark, E.queries()["knn_top10"], SF_SMALL)
+    assert len(plans) > 1 and any("MapInPandas" in p or "FlatMapCoGroups" in p for p in plans[:-1])

@@ -95,8 +95,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scanne
     prepare(spark)
     families = [*sorted(TEMPLATES), UNKNOWN]
     examples = spark.createDataFrame(_examples(spark), "n int, family string, line string, held boolean")
-    sample = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null") \
-        .orderBy(F.md5(F.coalesce("i", F.md5("t")).cast("binary")), "t").limit(SAMPLE_DOCUMENTS)
+    rows = docs.select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
+    u = F.conv(F.substring(F.md5(F.coalesce("i", F.md5("t")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    # about twice the sample by digest, wherever it lies; only these few rows are then ordered
+    share = min(1.0, 2.0 * SAMPLE_DOCUMENTS / max(1, docs.count()))
+    sample = rows.withColumn("u", u).where(F.col("u") < share).orderBy("u", "t").limit(SAMPLE_DOCUMENTS)
     lines = cut(sample.select(F.explode(F.split("t", "\n")).alias("line")).where(~F.col("line").rlike(_CUES)))
     common = bigrams(lines, "line").distinct()
     grams = cut(bigrams(examples, "line", "n", "family", "held").distinct().join(common, "gram", "left_anti").coalesce(1))

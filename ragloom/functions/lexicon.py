@@ -99,6 +99,53 @@ INTENT_KEYWORDS = {
         "嗯", "啊", "哦", "呃", "额", "这个", "那个", "嘛",
     ],
 }
+# The wider lists that serve where no configuration is given (profile "extended").
+EXTENDED_INTENT_RULES = {
+    "greeting": [
+        r"^(你好|您好|hi|hello|hey|早上好|下午好|晚上好|嗨)[！!。.～~]*$",
+        r"^(在吗|在不在|有人吗)[？?]*$",
+        r"^(你是谁|你是什么|你叫什么|你叫什么名字)[？?]*$",
+        r"^(你能做什么|你可以做什么|你有什么功能|你能帮我做什么)[？?]*$",
+        r"^(介绍一下你自己|自我介绍|你是干什么的|你是做什么的)[？?]*$",
+        r"^(who are you|what are you|what can you do|introduce yourself)[？?]*$",
+    ],
+    "politeness": INTENT_RULES["politeness"],
+    "system": INTENT_RULES["system"],
+    "chitchat": [
+        r"^(现在|几点|什么时间|今天|明天|星期|天气).*[？?]?$",
+        r".*(几点了|什么时间|今天星期几|今天几号|现在是几号).*",
+        r".*(天气|weather|温度|下雨|晴天).*",
+        r".*(讲个笑话|唱首歌|背首诗|猜个谜语|陪我聊天).*",
+        r".*(无聊|好无聊|闲着|没事做).*",
+        r".*(算.*题|翻译|用.*语怎么说).*",
+    ],
+    "unknown": INTENT_RULES["unknown"],
+}
+EXTENDED_INTENT_KEYWORDS = {
+    "greeting": [
+        "你好", "您好", "hi", "hello", "hey", "早上好", "下午好", "晚上好",
+        "在吗", "在不在", "有人吗", "嗨",
+        "你是谁", "你是什么", "你叫什么", "你叫什么名字",
+        "你能做什么", "你可以做什么", "你有什么功能", "你能帮我做什么",
+        "介绍一下你自己", "自我介绍", "你是干什么的", "你是做什么的",
+        "who are you", "what are you", "what can you do", "introduce yourself",
+    ],
+    "politeness": INTENT_KEYWORDS["politeness"],
+    "system": [
+        "系统提示", "提示词", "prompt", "system prompt",
+        "模型", "model", "技术栈", "技术细节", "architecture",
+        "知识库", "向量库", "数据库", "database",
+        "什么模型", "哪个模型", "which model",
+    ],
+    "chitchat": [
+        "现在几点", "几点了", "什么时间", "现在是几号", "今天星期几", "今天几号",
+        "天气怎么样", "今天天气", "明天天气", "weather",
+        "讲个笑话", "唱首歌", "背首诗", "猜个谜语", "陪我聊天",
+        "无聊", "好无聊", "闲着", "没事做",
+        "算一道题", "翻译", "用英语怎么说",
+    ],
+    "unknown": INTENT_KEYWORDS["unknown"],
+}
 # (intent, skip_rag, response); "knowledge" is the default policy.
 INTENT_POLICIES = [
     ("greeting", True, "你好！我是智能问答助手，有什么可以帮助您的吗？"),

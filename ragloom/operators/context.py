@@ -46,7 +46,9 @@ def conversation_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.row_number().over(wl).alias("_rn"),
         F.coalesce(F.sum("_len").over(upto), F.lit(0)).alias("_lenb"),
         F.lag("role").over(wl).alias("_lp"))
-    out = local.join(offsets, [conv_col, "_b"])
+    # null conversations and turns are keys like any other
+    offsets = offsets.withColumnsRenamed({conv_col: "_oc", "_b": "_ob"})
+    out = local.join(offsets, local[conv_col].eqNullSafe(offsets["_oc"]) & local["_b"].eqNullSafe(offsets["_ob"]))
     return out.select(conv_col, turn_col, "role",
                       (F.col("_pos0") + F.col("_rn")).cast("long").alias("position"),
                       (F.col("_len0") + F.col("_lenb")).cast("long").alias("chars_before"),

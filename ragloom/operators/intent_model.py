@@ -145,9 +145,16 @@ def label_index(spark: SparkSession, classes: list[str] | None = None) -> DataFr
 
 
 def save_model(model: PipelineModel, path: str, spark: SparkSession, classes: list[str]) -> None:
-    """Model plus its label table next to it."""
+    """Model plus its label and policy tables next to it."""
     model.write().overwrite().save(f"{path}/model")
     label_index(spark, classes).write.mode("overwrite").parquet(f"{path}/labels")
+    spark.createDataFrame(L.INTENT_POLICIES, "intent string, skip_rag boolean, response string") \
+        .write.mode("overwrite").parquet(f"{path}/policies")
+
+
+def load_policies(path: str, spark: SparkSession) -> DataFrame:
+    """The policies that were saved with the model."""
+    return spark.read.parquet(f"{path}/policies")
 
 
 def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, list[str]]:

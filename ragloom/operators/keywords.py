@@ -200,7 +200,7 @@ def textrank_keywords(docs: DataFrame, k: int = 20, window: int = 5, damping: fl
     edges = cooccurrence_edges(docs, window, id_col, text_col)
     out_w = edges.groupBy(id_col, "u").agg(F.sum("w").alias("_out"))
     e = (edges.join(out_w, [id_col, "u"]).select(id_col, "u", "v", (F.col("w") / F.col("_out")).alias("_f"))
-         .repartition(id_col).cache())
+         .repartition(id_col).checkpoint(eager=True))
     rank = e.select(id_col, F.col("u").alias("token")).distinct().withColumn("r", F.lit(1.0))
     for it in range(iterations):
         contrib = (e.join(rank.withColumnRenamed("token", "u"), [id_col, "u"])

@@ -9,6 +9,7 @@ also offered as a broadcast theta join (``keyword_join``).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,12 +47,19 @@ def rule_intent(t: Column, rules=None) -> Column:
                         for intent, pats in rules.items() for p in pats])
 
 
-def keyword_scores(t: Column, keywords=None) -> list[tuple[str, Column]]:
+def _contains(t: Column, keyword: str, whole_word: bool) -> Column:
+    """The keyword anywhere in the text, or (Latin keywords only) as a word of its own."""
+    if whole_word and keyword.isascii():
+        return t.rlike(r"(?<![A-Za-z0-9])" + re.escape(keyword) + r"(?![A-Za-z0-9])")
+    return t.contains(keyword)
+
+
+def keyword_scores(t: Column, keywords=None, whole_word: bool = False) -> list[tuple[str, Column]]:
     """Per intent: 10 per keyword equal to the text, else 1 per keyword contained."""
     keywords = keywords or L.INTENT_KEYWORDS
     out = []
     for intent, kws in keywords.items():
-        terms = [F.when(t == k.lower(), 10).when(t.contains(k.lower()), 1).otherwise(0)
+        terms = [F.when(t == k.lower(), 10).when(_contains(t, k.lower(), whole_word), 1).otherwise(0)
                  for k in kws]
         out.append((intent, reduce(lambda a, b: a + b, terms)))
     return out
@@ -87,18 +95,24 @@ def attach_policy(df: DataFrame, spark: SparkSession | None = None) -> DataFrame
 
 def route_questions(df: DataFrame, text_col: str = "text", rules=None, keywords=None,
                     model_intent: str | None = None, model_conf: str | None = None,
-                    min_confidence: float = L.ML_MIN_CONFIDENCE) -> DataFrame:
+                    min_confidence: float = L.ML_MIN_CONFIDENCE, whole_word: bool = False,
+                    profile: str = "configured") -> DataFrame:
     """Intent, confidence, method, skip_rag, response for every row.
 
     ``model_intent`` / ``model_conf`` name columns produced by a classifier
     (M2) on the rows; the model answer is used only when confident and not
-    ``knowledge`` (F8).
+    ``knowledge`` (F8). ``whole_word`` matches Latin keywords as words only;
+    ``profile="extended"`` takes the wider lists (with chitchat rules).
     """
+    if profile not in ("configured", "extended"):
+        raise ValueError(f"unknown profile {profile!r}")
+    if profile == "extended":
+        rules, keywords = rules or L.EXTENDED_INTENT_RULES, keywords or L.EXTENDED_INTENT_KEYWORDS
     # materialise the two lexicon verdicts once; the cascade reads them by name
     t = routing_text(F.col(text_col))
     staged = df.withColumn("_t", t)
     staged = staged.withColumn("_r", rule_intent(F.col("_t"), rules))
-    scores = keyword_scores(F.col("_t"), keywords)
+    scores = keyword_scores(F.col("_t"), keywords, whole_word)
     staged = staged.withColumns({f"_s{i}": s for i, (_, s) in enumerate(scores)})
     names = [n for n, _ in scores]
     best = F.greatest(*[F.col(f"_s{i}") for i in range(len(names))]) if len(names) > 1 \

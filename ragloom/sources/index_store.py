@@ -2,14 +2,14 @@
 
 Layout under ``root``::
 
-    root/v=<n>/        chunk rows with their vectors (Parquet)
-    root/_pointer/p=<n>/  one-row table naming the version current since save n
-
-A new version is written completely before the pointer moves, so readers
-never see a half-written index; a crashed build leaves an unreferenced
-version directory. Appends (O3) write a new version holding the union of
-the current index and the new rows, keeping every row as the reference does
-(``dedupe=True`` drops repeated chunk hashes instead).
+    root/v=<n>/           chunk rows with their vectors (Parquet)
+    root/_pointer/p=<n>/  the folders that make up the version published by save n
+
+A folder is written completely before a pointer names it, so readers never
+see a half-written index; a crashed build leaves a folder that no pointer
+names. Appends (O3) add a folder and keep the others, so nothing is
+rewritten and every row stays, as the reference does (``merge_index`` with
+``dedupe=True`` or ``on_conflict="replace"`` gives a new whole index instead).
 """
 
 from __future__ import annotations
@@ -41,28 +41,49 @@ def _versions(spark: SparkSession, root: str, prefix: str) -> list[int]:
     return sorted(int(n.removeprefix(prefix)) for n in _names(spark, root) if n.startswith(prefix))
 
 
+def _pointer(spark: SparkSession, root: str) -> int | None:
+    """Number of the newest finished pointer; an unreadable one is an error when it is read, not an empty index."""
+    done = [p for p in _versions(spark, f"{root}/_pointer", "p=")
+            if "_SUCCESS" in _names(spark, f"{root}/_pointer/p={p}")]  # others were never finished
+    return done[-1] if done else None
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
-    """The version named by the newest pointer; an unreadable pointer is an error, not an empty index."""
-    pointers = [p for p in _versions(spark, f"{root}/_pointer", "p=")
-                if "_SUCCESS" in _names(spark, f"{root}/_pointer/p={p}")]  # others were never finished
-    return int(spark.read.parquet(f"{root}/_pointer/p={pointers[-1]}").first()[0]) if pointers else None
+    return _pointer(spark, root)
 
 
-def save_index(spark: SparkSession, index: DataFrame, root: str) -> int:
-    """Write a new version, then a new pointer; returns the version.
+def _publish(spark: SparkSession, index: DataFrame, root: str, kept: list[str]) -> int:
+    """Write the rows to a new folder, then a pointer to the kept folders and the new one.
 
-    Version and pointer numbers follow the folders that exist, and nothing
-    is overwritten: a reader sees the old pointer or the new one.
+    Folder and pointer numbers follow what exists and nothing is
+    overwritten: a reader sees the old pointer or the new one.
     """
     v = max([*_versions(spark, root, "v="), *_versions(spark, f"{root}/_pointer", "p="), -1]) + 1
     index.write.parquet(f"{root}/v={v}")
-    spark.createDataFrame([(v,)], "version int").write.parquet(f"{root}/_pointer/p={v}")
+    spark.createDataFrame([(f,) for f in [*kept, f"v={v}"]], "folder string").write.parquet(f"{root}/_pointer/p={v}")
     return v
 
 
+def _folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the current version: one from the build and one from each append."""
+    v = _pointer(spark, root)
+    return [] if v is None else sorted((r[0] for r in spark.read.parquet(f"{root}/_pointer/p={v}").collect()),
+                                       key=lambda f: int(f.removeprefix("v=")))
+
+
+def save_index(spark: SparkSession, index: DataFrame, root: str) -> int:
+    """Write ``index`` as a version of its own; returns the version."""
+    return _publish(spark, index, root, [])
+
+
+def append_index(spark: SparkSession, new: DataFrame, root: str) -> int:
+    """O3 without a rewrite: a version that holds the current folders and one with the new rows."""
+    return _publish(spark, new, root, _folders(spark, root))
+
+
 def load_index(spark: SparkSession, root: str) -> DataFrame | None:
-    v = current_version(spark, root)
-    return None if v is None else spark.read.parquet(f"{root}/v={v}")
+    found = _folders(spark, root)
+    return spark.read.parquet(*[f"{root}/{f}" for f in found]) if found else None
 
 
 def merge_index(current: DataFrame, new: DataFrame, dedupe: bool = False,
@@ -93,8 +114,7 @@ def load_or_build_index(spark: SparkSession, root: str, corpus: DataFrame | None
         return load_index(spark, root)
     if new_docs is not None:
         try:
-            merged = merge_index(idx, build_index(new_docs, **kw))
-            save_index(spark, merged, root)
+            append_index(spark, build_index(new_docs, **kw), root)
             return load_index(spark, root)
         except Exception as exc:  # reference behaviour: log, keep serving the old index
             print(f"incremental load failed: {exc}")

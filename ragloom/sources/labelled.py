@@ -11,13 +11,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the store that holds the path, not of the driver's disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 CASE_GROUPS = ("test_cases", "edge_cases", "mixed_language")
 CASE_STRUCT = "array<struct<text:string,expected_intent:string,description:string>>"
 
@@ -25,7 +29,7 @@ CASE_STRUCT = "array<struct<text:string,expected_intent:string,description:strin
 def read_labelled_utterances(spark: SparkSession, files: list[str],
                              classes: list[str] | None = None) -> DataFrame:
     """S9 + F7: (intent, text, source) rows of known intents."""
-    present = [f for f in files if os.path.exists(f) or "://" in f]
+    present = [f for f in files if path_exists(spark, f)]
     if not present:
         raise ValueError("no training file found")
     raw = spark.read.option("wholetext", True).text(present).withColumn("source", F.input_file_name())
@@ -65,10 +69,13 @@ def lexicon_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 def write_eval_report(per_case: DataFrame, hits: DataFrame, path: str, top: int = 5,
                       preview_chars: int = 150) -> None:
-    """Per case the scores plus the top hits with a short preview, as JSON."""
+    """Per case the scores plus the top hits with a short preview, as JSON; the number of
+    cases and the overall means next to it (``<path>_summary``)."""
     from ..functions.text import preview
     top_hits = (hits.filter(F.col("rank") <= top)
                 .select("qid", F.struct("rank", "chunk_id", "similarity",
                                         preview("text", preview_chars).alias("preview")).alias("h"))
                 .groupBy("qid").agg(F.array_sort(F.collect_list("h")).alias("top_hits")))  # <= top per case
     per_case.join(top_hits, "qid", "left").write.mode("overwrite").json(path)
+    means = [F.avg(c).alias(f"avg_{c}") for c in ("score", "max_similarity", "avg_similarity") if c in per_case.columns]
+    per_case.agg(F.count(F.lit(1)).alias("cases"), *means).write.mode("overwrite").json(f"{path.rstrip('/')}_summary")

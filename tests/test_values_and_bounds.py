@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import lexicon as L
 from ragloom.functions.text import words
-from ragloom.operators import answer, cascade, chunk, compress, embed, evaluate, intent_model, keywords, knn
+from ragloom.operators import answer, cascade, chunk, compress, context, embed, evaluate, intent_model, keywords, knn, route
 from ragloom.sources import corpus, index_store
 from ragloom.streaming import jobs
 
@@ -177,3 +177,40 @@ def test_checkpoint_folder_is_never_invented_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(cluster)
+
+
+def test_pending_files_are_loaded_once(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("alpha " * 400)
+    (inbox / "b.txt").write_text("beta " * 400)
+    assert corpus.load_pending(spark, str(inbox), root) == 2 and corpus.load_pending(spark, str(inbox), root) == 0
+    first = index_store.load_index(spark, f"{root}/index").count()
+    (inbox / "c.txt").write_text("gamma " * 400)
+    assert corpus.load_pending(spark, str(inbox), root) == 1
+    idx = index_store.load_index(spark, f"{root}/index")
+    assert idx.count() > first and idx.select("source").distinct().count() == 3
+    assert sorted(os.listdir(f"{root}/index"))[-2:] == ["v=0", "v=1"]  # the append rewrote nothing
+
+
+def test_routing_options(spark):
+    qs = spark.createDataFrame([(1, "a chihuahua"), (2, "今天天气怎么样？"), (3, "who are you")], "qid int, text string")
+    plain = {r["qid"]: r["intent"] for r in route.route_questions(qs).collect()}
+    words_only = {r["qid"]: r["intent"] for r in route.route_questions(qs, whole_word=True).collect()}
+    extended = {r["qid"]: r["intent"] for r in route.route_questions(qs, profile="extended").collect()}
+    assert plain[1] == "greeting" and words_only[1] == "knowledge"
+    assert plain[2] == "knowledge" and extended[2] == "chitchat" and extended[3] == "greeting"
+
+
+def test_document_order(spark):
+    text = "Dogs walk far. Cats sleep all day. Dogs like long walks. Birds sing songs"
+    hits = spark.createDataFrame([(1, 1, text, ["dogs"])], "qid long, rank int, text string, kws array<string>")
+    qs = spark.createDataFrame([(1, "Dogs like long walks")], "qid long, question string")
+    got = compress.compress_hits(hits, qs, terminators="[.]+", max_sentences=2, prefilter_k=3, keywords_col="kws", order="document").first()
+    assert got["compressed"] == "Dogs walk far。Dogs like long walks。"
+
+
+def test_history_with_nulls(spark):
+    rows = [(None, 1, "user", "ab"), (None, 2, "assistant", "c"), (1, None, "user", "x"), (1, 1, "user", None)]
+    got = context.conversation_history(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(got) == 4 and {r["position"] for r in got if r["conv_id"] is None} == {1, 2}

@@ -13,6 +13,7 @@ the forests of all pairs together connect exactly what the links connect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from ragloom.llm.components import connected_components
 
 SHINGLE = 4
 MAX_DISTANCE = 4
-#: Rows of a tile: 512 KB of fingerprints, so a pair of tiles is 1 MB in a task.
+#: Rows of a tile: this many at least, growing with the square root of the number of
+#: fingerprints (so what is sent grows by the power 1.5, not 2), up to 8 MB of them.
 TILE_ROWS = 65_536
+MOST_TILE_ROWS = 1 << 20
 #: Bits that one numpy step expands (bounds the memory of a very long text).
 _STEP = 1 << 16
 
@@ -119,7 +122,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
 
 
 def fingerprint_links(fps: DataFrame, col: str, radius: int = MAX_DISTANCE,
-                      tile_rows: int = TILE_ROWS) -> DataFrame:
+                      tile_rows: int | None = None) -> DataFrame:
     """(a, b): links that connect all ``col`` values within ``radius`` bits of one another.
 
     ``fps`` holds distinct non-null 64-bit values. The class sizes that plan
@@ -129,6 +132,7 @@ def fingerprint_links(fps: DataFrame, col: str, radius: int = MAX_DISTANCE,
     sizes = {r["p"]: r["count"] for r in pop.groupBy("p").count().collect()}
     if not sizes:
         return fps.sparkSession.createDataFrame([], "a long, b long")
+    tile_rows = tile_rows or min(MOST_TILE_ROWS, max(TILE_ROWS, 64 * math.isqrt(sum(sizes.values()))))
     chunks = {p: -(-n // tile_rows) for p, n in sizes.items()}
     n_chunks = F.element_at(F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv]), F.col("p"))
     dealt = pop.withColumn("c", F.pmod(F.xxhash64("fp"), n_chunks).cast("int"))
@@ -164,7 +168,7 @@ def fingerprint_links(fps: DataFrame, col: str, radius: int = MAX_DISTANCE,
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    radius: int = MAX_DISTANCE, tile_rows: int = TILE_ROWS) -> DataFrame:
+                    radius: int = MAX_DISTANCE, tile_rows: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id, text_hash, root, fp.
 
     ``component_id`` is the smallest non-null id among rows reachable over

@@ -15,6 +15,7 @@ its links, never the links themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ from ragloom.llm.components import connected_components
 from ragloom.llm.simhash import unite
 
 THRESHOLD = 0.9
+#: Rows of a tile: this many at least, growing with the square root of the number of
+#: vectors (so what is sent grows by the power 1.5, not 2), within TILE_BYTES of doubles.
 TILE_ROWS = 8192
+TILE_BYTES = 128 << 20
 _STRIP = 1024
 #: Covers the rounding of the double-precision bounds themselves.
 _SLACK = 1e-9
@@ -97,8 +101,12 @@ def tile_links(a: Tile, b: Tile | None, threshold: float) -> tuple[pd.DataFrame,
             pd.DataFrame({"id": ids[child], "to": ids[parent[child]]}))
 
 
+def rows_of_tile(n: int, dims: int) -> int:
+    return max(256, min(TILE_BYTES // (8 * dims), max(TILE_ROWS, 36 * math.isqrt(n))))
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
-                    threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
+                    threshold: float = THRESHOLD, tile_rows: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite
@@ -115,7 +123,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e")).withColumn("fine", fine)
     classes = rows.where("fine").groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
     classes = cut(classes.withColumn("c", F.monotonically_increasing_id()).withColumn("d", F.size("e")))
-    tiles_of = {r["d"]: -(-r["count"] // tile_rows) for r in classes.groupBy("d").count().collect()}
+    tiles_of = {r["d"]: -(-r["count"] // (tile_rows or rows_of_tile(r["count"], r["d"])))
+                for r in classes.groupBy("d").count().collect()}
     if tiles_of:
         per_dim = F.element_at(F.create_map(*[F.lit(x) for kv in tiles_of.items() for x in kv]), F.col("d"))
         dealt = classes.select("d", F.pmod(F.xxhash64("c"), per_dim).cast("int").alias("t"), "c", "n",

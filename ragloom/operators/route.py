@@ -162,10 +162,11 @@ def keyword_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "qid",
     lex = (lexicon.select("intent", "intent_ord", F.lower("keyword").alias("_kw"))
            .filter(F.length("_kw") > 0).dropDuplicates(["intent", "_kw"]))
     lengths = [r[0] for r in lex.select(F.length("_kw")).distinct().collect()]  # distinct lengths only
+    initials = [r[0] for r in lex.select(F.substring("_kw", 1, 1)).distinct().collect()]  # distinct characters only
     t = texts.select(id_col, routing_text(F.col(text_col)).alias("_t"))
     # positions, then one substring per keyword length: plain (code-generated) projections
     pos = t.select(id_col, "_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))))
-                   .alias("_p"))
+                   .alias("_p")).where(F.substring(F.col("_t"), F.col("_p"), F.lit(1)).isin(initials))
     grams = pos.select(id_col, "_t", F.explode(F.array(*[F.substring(F.col("_t"), F.col("_p"), F.lit(size))
                                                          for size in sorted(lengths)])).alias("_kw"))
     # a keyword counts once per text: de-duplicate the (small) matched set

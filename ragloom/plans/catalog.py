@@ -829,7 +829,9 @@ def q_compress_textrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts of more than 10 sentences before the semantic rerank."""
     hits = _benchmark_hits(spark, sf_dir).filter(F.col("rank") <= COMP_K) \
         .select("qid", "rank", "chunk_id", "text")
-    keyed = hits.select(F.struct("qid", "rank").alias("doc_id"), "text")
+    # only texts of more than PREFILTER_SENTENCES sentences are ever prefiltered; their kept sentences are ranked
+    keyed = (hits.withColumn("ss", split_sentences(F.col("text"), WESTERN_TERMINATORS)).where(F.size("ss") > L.PREFILTER_SENTENCES)
+             .select(F.struct("qid", "rank").alias("doc_id"), F.array_join("ss", "。").alias("text")))
     kw = kw_ops.textrank_keywords(keyed, k=20)
     kws = (kw.groupBy("doc_id")  # at most 20 rows per hit
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))),

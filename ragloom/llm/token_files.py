@@ -21,12 +21,14 @@ the closing magic), so a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +43,10 @@ _HEAD = struct.Struct("<8sIIQQII")
 SHARD_TOKENS = 4_000_000
 #: Text encoded in one step; longer texts are cut at white space.
 _STEP = 1 << 20
+#: Rows turned into Python strings at a time.
+_ROWS = 128
 #: Encoded words that a Python worker remembers, in each of two generations.
-_REMEMBER = 250_000
+_REMEMBER = 150_000
 #: Shards whose offsets are broadcast (three numbers each); more are joined by shuffle.
 BROADCAST_SHARDS = 100_000
 
@@ -78,7 +82,7 @@ class Shard:
 
     def __init__(self, data: bytes):
         magic, self.part, self.shard, docs, self.n_tokens, levels, _ = _HEAD.unpack_from(data)
-        if magic != MAGIC or data[-len(END):] != END:
+        if magic != MAGIC or bytes(memoryview(data)[-len(END):]) != END:
             raise ValueError("not a whole shard")
         at = _HEAD.size
 
@@ -136,33 +140,69 @@ class Shard:
 
 # --- encoding ------------------------------------------------------------------------------------
 
+#: Lower-case letters that are one composed code point: a run of them is one word to the tokenizer.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_SIGNS = b".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of whole texts.
 
     ``by_word``: the tokenizer never joins characters across ASCII white
-    space and lower-cases (as ``word_bpe_49k`` does), so the ids of a text
-    are those of its words in turn, and a word met again is not encoded again.
+    space, lower-cases and is byte-level (as ``word_bpe_49k``), so the ids of
+    a text are those of its words in turn, and a word met again is not
+    encoded again.
     """
 
     def __init__(self, spec: str, by_word: bool):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.by_word = by_word
+        self.signs = dict(zip(_SIGNS, self._whole([chr(c) for c in _SIGNS]))) if by_word else {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > _REMEMBER:
             self.old, self.young = self.young, {}
-        missing = words.difference(self.young)
-        for w in missing.intersection(self.old):
-            self.young[w] = self.old[w]
-        new = list(missing.difference(self.old))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            texts = [w.decode("utf-8", "surrogatepass") for w in part]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+        young, old, rest = self.young, self.old, []
+        for w in words.difference(young):
+            known = old.get(w)
+            if known is not None:
+                young[w] = known
+                continue
+            signed = w[-1] in _SIGNS  # between a letter and white space a sign is a token of its own
+            stem = w[:-1] if signed else w
+            if not _LETTERS(stem):
+                rest.append(w)
+                continue
+            known = young.get(stem) or old.get(stem) or self._letters(stem)
+            young[stem] = known
+            if signed:
+                young[w] = known + self.signs[w[-1]]
+        for i in range(0, len(rest), 10_000):
+            part = rest[i:i + 10_000]
+            for w, ids in zip(part, self._whole([w.decode("utf-8", "surrogatepass") for w in part])):
+                young[w] = ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of one word of letters: nothing to normalise or split, straight to the vocabulary."""
+        text = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _steps(self, raw: bytes) -> Iterator[bytes]:
         at = 0
@@ -233,27 +273,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard = encoder(spec.value, by_word), TaskContext.get().partitionId(), 0
         ids, held, pieces, ends = [], 0, [], []
 
-        def close() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [pack_shard(part, shard, ids, np.array(ends, np.uint64), np.concatenate(pieces))]})
+        def close() -> pa.RecordBatch:
+            data = pack_shard(part, shard, ids, np.array(ends, np.uint64), np.concatenate(pieces))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
         for b in batches:
-            names = [None if pd.isna(d) else int(d) for d in b["doc_id"].astype(object)]
-            for d, got in zip(names, enc.batch(b["text"].tolist())):
-                ids.append(d)
-                pieces += [got, np.array([end_id], np.uint32)]
-                held += len(got) + 1
-                ends.append(held)
-                if held >= shard_tokens:
-                    yield close()
-                    ids, held, pieces, ends, shard = [], 0, [], [], shard + 1
+            for at in range(0, b.num_rows, _ROWS):  # Python strings of a few rows at a time
+                rows = b.slice(at, _ROWS)
+                for d, got in zip(rows.column(0).to_pylist(), enc.batch(rows.column(1).to_pylist())):
+                    ids.append(d)
+                    pieces += [got, np.array([end_id], np.uint32)]
+                    held += len(got) + 1
+                    ends.append(held)
+                    if held >= shard_tokens:
+                        yield close()
+                        ids, held, pieces, ends, shard = [], 0, [], [], shard + 1
         if ids:
             yield close()
 
-    files = ordered.mapInPandas(encode, "shard binary").select(F.col("shard").cast("string").alias("value"))
+    files = ordered.mapInArrow(encode, "shard binary").select(F.col("shard").cast("string").alias("value"))
     files.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -265,18 +307,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     prepare(spark)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b["content"]:
-                s = Shard(data)
-                starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
+            for content in b.column(0):
+                s = Shard(content.as_buffer())
                 ends = s.ends.astype(np.int64)
+                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crc = [zlib.crc32(s.tokens(x, y).astype("<u4").tobytes()) for x, y in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({"part": s.part, "shard": s.shard, "doc_id": pd.array(s.doc_ids, "Int64"),
-                                    "at": starts, "n_tokens": ends - starts, "ids_crc32": crc})
+                n = len(ends)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(np.full(n, s.part, np.int32)), "shard": pa.array(np.full(n, s.shard, np.int32)),
+                    "doc_id": pa.array(s.doc_ids, pa.int64()), "at": pa.array(starts), "n_tokens": pa.array(ends - starts),
+                    "ids_crc32": pa.array(crc, pa.int64())})
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = cut(files.mapInPandas(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"))
+    rows = cut(files.mapInArrow(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"))
     shards = rows.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     parts = shards.groupBy("part").agg(F.sum("n").alias("all"))
     parts = parts.withColumn("first", F.sum("all").over(Window.orderBy("part")) - F.col("all"))

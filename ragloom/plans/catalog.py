@@ -1270,3 +1270,50 @@ def q_route_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = route_ops.route_questions(turns).where("method <> 'default'")
     model = cascade.train_on_texts(decided, max_iter=50)
     return cascade.route_with_model(turns, model).select("conv_id", "turn", "intent", "method", "skip_rag", rnd("confidence").alias("confidence"))
+
+
+@register("category_eval", oracle=f"""
+WITH h AS ({HITS_SQL}), cases AS (SELECT *, 'group ' || CAST(qid % 4 AS VARCHAR) AS category FROM ({CASES_SQL}) c),
+rel AS (SELECT c.category, len(list_filter(c.keywords, lambda k: contains(h.text, k))) > 0 AS relevant FROM h JOIN cases c USING (qid)),
+prec AS (SELECT category, count(*) FILTER (WHERE relevant) AS relevant, count(*) AS hits FROM rel GROUP BY 1),
+kw AS (SELECT category, qid, unnest(keywords) AS keyword FROM cases),
+rec AS (SELECT category, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE h.qid = kw.qid AND contains(h.text, kw.keyword))) AS found,
+               count(*) AS expected FROM kw GROUP BY 1)
+SELECT category, relevant, hits, found, expected, round(relevant / hits, 6) AS precision, round(found / expected, 6) AS recall
+FROM prec JOIN rec USING (category)
+""")
+def q_category_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 + J7: keyword precision and recall of the retrieval per group of benchmark questions."""
+    cases = _cases(spark, sf_dir).withColumn("category", F.concat(F.lit("group "), (F.col("qid") % 4).cast("string")))
+    m = eval_ops.category_metrics(_benchmark_hits(spark, sf_dir), cases)
+    return m.select("category", F.col("relevant").cast("long").alias("relevant"), "hits", "found", "expected",
+                    rnd("precision").alias("precision"), rnd("recall").alias("recall"))
+
+
+@register("first_spam_keyword", oracle="""
+SELECT doc_id, CASE WHEN contains(t, 'pinmuch') THEN 'pinmuch' WHEN contains(t, '品品品') THEN '品品品'
+  WHEN contains(t, '网购返利') THEN '网购返利' WHEN contains(t, '获取本书pdf全文') THEN '获取本书PDF全文' WHEN contains(t, '请前往') THEN '请前往'
+  WHEN contains(t, '搜索该书名') THEN '搜索该书名' WHEN contains(t, '欢速药夯患pdf') THEN '欢速药夯患PDF' WHEN contains(t, '全文，请前往') THEN '全文，请前往'
+  WHEN contains(t, 'http://') THEN 'http://' WHEN contains(t, 'https://') THEN 'https://' WHEN contains(t, 'www.') THEN 'www.'
+  WHEN contains(t, '精品资源') THEN '精品资源' WHEN contains(t, '扫码关注') THEN '扫码关注' WHEN contains(t, '微信公众号') THEN '微信公众号'
+  WHEN contains(t, '公众号') THEN '公众号' WHEN contains(t, '尽在""') THEN '尽在""' WHEN contains(t, '献给') THEN '献给'
+  WHEN contains(t, '专业关爱') THEN '专业关爱' WHEN contains(t, '版权所有') THEN '版权所有' WHEN contains(t, '保留所有权利') THEN '保留所有权利'
+  WHEN contains(t, '流产康复') THEN '流产康复' WHEN contains(t, '做个爱她的男人') THEN '做个爱她的男人' WHEN contains(t, '做个体己的女子') THEN '做个体己的女子' END AS keyword
+FROM (SELECT page_id AS doc_id, lower(html) AS t FROM pages)
+""")
+def q_first_spam_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first keyword of the spam list (list order) found in every raw page, if any."""
+    from ..functions.text import first_spam_keyword
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), first_spam_keyword("html").alias("keyword"))
+
+
+@register("cooccurrence_totals", oracle="""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w[i] AS a, unnest(w[i + 1:i + 4]) AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+e AS (SELECT doc_id, least(a, b) AS u, greatest(a, b) AS v, count(*) AS n FROM p WHERE a <> b GROUP BY 1, 2, 3)
+SELECT doc_id, 2 * count(*) AS edges, CAST(2 * sum(n) AS DOUBLE) AS weight, max(n)::DOUBLE AS heaviest FROM e GROUP BY doc_id
+""")
+def q_cooccurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, weight and heaviest edge of every document's word graph (both directions of an edge count)."""
+    e = kw_ops.cooccurrence_edges(table(spark, sf_dir, "documents"))
+    return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight"), F.max("w").alias("heaviest"))

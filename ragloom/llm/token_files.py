@@ -46,7 +46,7 @@ _STEP = 1 << 20
 #: Rows turned into Python strings at a time.
 _ROWS = 128
 #: Encoded words that a Python worker remembers, in each of two generations.
-_REMEMBER = 150_000
+_REMEMBER = 300_000
 #: Shards whose offsets are broadcast (three numbers each); more are joined by shuffle.
 BROADCAST_SHARDS = 100_000
 

@@ -78,7 +78,7 @@ def _mmr_brute(q, X, k, lam):
         best, best_s = None, None
         for i in left:  # candidates in rank order, first maximum wins
             red = max((Xu[i] @ Xu[j] for j in chosen), default=0.0)
-            s = lam * (Xu[i] @ qu) - (1 - lam) * red
+            s = round(lam * (Xu[i] @ qu) - (1 - lam) * red, 12)  # equal up to rounding is a tie
             if best_s is None or s > best_s:
                 best, best_s = i, s
         chosen.append(best)

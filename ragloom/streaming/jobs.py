@@ -14,8 +14,8 @@
 * T4 ``stream_screen``: validation and routing are plain column functions,
   so they run unchanged on a streaming DataFrame.
 
-All sinks write below a caller-given folder, by default inside the session's
-checkpoint folder (``spark.checkpoint.dir``), never a machine-local path.
+All sinks write below a caller-given folder; the registered jobs use the session's
+checkpoint folder (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations

@@ -42,7 +42,7 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
                   min_length: int = L.MIN_SENTENCE_LENGTH,
                   keywords_col: str | None = None,
                   prefilter_k: int = L.PREFILTER_SENTENCES,
-                  embed_counts=None, order: str = "list") -> DataFrame:
+                  embed_counts=None, order: str = "list", method: str = "hybrid") -> DataFrame:
     """Adds n_sentences, compressed, before_chars, after_chars, ratio.
 
     ``keywords_col`` (array<string> on ``hits``) enables the W3 prefilter for
@@ -50,13 +50,20 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
     (DataFrame, text column, out column) to count vectors; default: the
     hashed trigram embedder. ``order="document"`` emits the chosen sentences
     as they stand in the text, also after a prefilter.
+    ``method``: ``hybrid`` (prefilter where it applies, then the rerank),
+    ``semantic`` (rerank only) or ``textrank`` (best sentences by keyword
+    score, no rerank; needs ``keywords_col``).
     """
+    if method not in ("hybrid", "semantic", "textrank") or method == "textrank" and not keywords_col:
+        raise ValueError(f"method {method!r} is unknown or lacks keywords")
     if order not in ("list", "document"):
         raise ValueError(f"unknown order {order!r}")
     embed_counts = embed_counts or embed_ops.count_vectors
     staged = hits.withColumn("_ss", split_sentences(F.col(text_col), terminators, min_length)) \
                  .withColumn("n_sentences", F.size("_ss").cast("long"))
     long_ = staged.filter(F.col("n_sentences") > max_sentences)
+    if method == "semantic":
+        keywords_col = None
     kcols = [keywords_col] if keywords_col else []
     sent = long_.select(qid, rank, *kcols, F.posexplode("_ss").alias("pos", "sentence"))
     if keywords_col:
@@ -64,23 +71,27 @@ def compress_hits(hits: DataFrame, questions: DataFrame, qid: str = "qid", rank:
         wk = Window.partitionBy(qid, rank).orderBy(F.col("_kscore").desc(), F.col("pos"))
         sent = (sent.withColumn("_kscore", keyword_score(F.lower("sentence"), F.transform(F.col(keywords_col), F.lower)))
                 .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(qid, rank)))
-                .withColumn("_kr", F.row_number().over(wk))
-                .filter((F.col("_n") <= prefilter_k) | (F.col("_kr") <= prefilter_k))
+                .withColumn("_kr", F.row_number().over(wk)))
+        by_keywords = sent.withColumn("_order", F.col("_kr") - 1)
+        sent = (sent.filter((F.col("_n") <= prefilter_k) | (F.col("_kr") <= prefilter_k))
                 .withColumn("_order", F.when(F.col("_n") > prefilter_k, F.col("_kr") - 1)
                             .otherwise(F.col("pos")))
                 .drop("_kscore", "_n", "_kr", keywords_col))
     else:
         sent = sent.withColumn("_order", F.col("pos"))
-    sv = embed_counts(sent, "sentence", "_sv")
-    qv = embed_counts(questions.select(qid, F.col(question_col).alias("_q")), "_q", "_qv").drop("_q")
-    # question vectors may be broadcast (measured, at most QUESTION_BROADCAST_ROWS);
-    # the exploded sentence side never is
-    if questions.count() <= QUESTION_BROADCAST_ROWS:
-        qv = F.broadcast(qv)
-    scored = sv.join(qv, qid).withColumn("_cos", count_cosine(F.col("_sv"), F.col("_qv")))
-    # Best max_sentences by cosine (earlier list position wins ties)
-    w = Window.partitionBy(qid, rank).orderBy(F.col("_cos").desc(), F.col("_order"))
-    best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_sentences)
+    if method == "textrank":
+        best = by_keywords.filter(F.col("_order") < max_sentences)
+    else:
+        sv = embed_counts(sent, "sentence", "_sv")
+        qv = embed_counts(questions.select(qid, F.col(question_col).alias("_q")), "_q", "_qv").drop("_q")
+        # question vectors may be broadcast (measured, at most QUESTION_BROADCAST_ROWS);
+        # the exploded sentence side never is
+        if questions.count() <= QUESTION_BROADCAST_ROWS:
+            qv = F.broadcast(qv)
+        scored = sv.join(qv, qid).withColumn("_cos", count_cosine(F.col("_sv"), F.col("_qv")))
+        # Best max_sentences by cosine (earlier list position wins ties)
+        w = Window.partitionBy(qid, rank).orderBy(F.col("_cos").desc(), F.col("_order"))
+        best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_sentences)
     folded = best.groupBy(qid, rank).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos" if order == "document" else "_order", "sentence"))),
                                  lambda s: s["sentence"]), "。").alias("_joined"))

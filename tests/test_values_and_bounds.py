@@ -210,6 +210,17 @@ def test_document_order(spark):
     assert got["compressed"] == "Dogs walk far。Dogs like long walks。"
 
 
+def test_compression_methods(spark):
+    text = "Dogs walk far. Cats sleep all day. Dogs like long walks with cats. Birds sing songs"
+    hits = spark.createDataFrame([(1, 1, text, ["dogs", "cats"])], "qid long, rank int, text string, kws array<string>")
+    qs = spark.createDataFrame([(1, "Birds sing songs")], "qid long, question string")
+    options = dict(terminators="[.]+", max_sentences=1, keywords_col="kws")
+    got = {m: compress.compress_hits(hits, qs, method=m, **options).first()["compressed"] for m in ("hybrid", "semantic", "textrank")}
+    assert got == {"hybrid": "Birds sing songs。", "semantic": "Birds sing songs。", "textrank": "Dogs like long walks with cats。"}
+    with pytest.raises(ValueError):
+        compress.compress_hits(hits, qs, method="textrank")
+
+
 def test_history_with_nulls(spark):
     rows = [(None, 1, "user", "ab"), (None, 2, "assistant", "c"), (1, None, "user", "x"), (1, 1, "user", None)]
     got = context.conversation_history(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()

@@ -170,6 +170,25 @@ def test_stream_counts_every_open_window(spark, tmp_path, limit):
         assert sum(got[i] for i in mine) == min(limit, len(mine))
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_stream_moving_window_against_a_plain_walk(spark, tmp_path, limit):
+    r = np.random.default_rng(limit)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=int(ms)), int(u), "a")
+            for i, (ms, u) in enumerate(zip(r.integers(0, 400_000, 150), r.integers(0, 3, 150)))]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = jobs.table_stream(spark, str(tmp_path / "in"), "*.parquet", df.schema)
+    out = str(tmp_path / "out")
+    jobs.run_available(jobs.stream_moving_window_verdicts(stream, 60, limit).writeStream.format("parquet").option("path", out),
+                       str(tmp_path / "ck"))
+    want, accepted = {}, {}
+    for i, ts, u, _ in sorted(rows, key=lambda x: (x[1], x[0])):
+        recent = [a for a in accepted.setdefault(u, []) if a > ts - dt.timedelta(seconds=60)]
+        want[i] = len(recent) < limit
+        accepted[u] = recent + [ts] * want[i]
+    assert {x["event_id"]: x["allowed"] for x in spark.read.parquet(out).collect()} == want
+
+
 def test_checkpoint_folder_is_never_invented_on_a_cluster():
     from types import SimpleNamespace
 

@@ -1317,3 +1317,23 @@ def q_cooccurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, weight and heaviest edge of every document's word graph (both directions of an edge count)."""
     e = kw_ops.cooccurrence_edges(table(spark, sf_dir, "documents"))
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight"), F.max("w").alias("heaviest"))
+
+
+@register("chunk_contract", oracle=f"""
+SELECT doc_id, true AS short_enough, true AS all_contained, 0 AS lost_words, true AS no_blank_edges
+FROM documents WHERE len(regexp_extract_all(text, '[^\\s]+')) > 0 AND list_max(list_transform(regexp_extract_all(text, '[^\\s]+'), lambda x: length(x))) <= {L.CHUNK_SIZE}
+""")
+def q_chunk_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: what the boundary-aware chunks of every document must satisfy: at most 800 characters, taken from the text,
+    stripped, and between them holding every word (documents whose words all fit a chunk)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    all_words = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    c = chunk_ops.chunk_documents(docs).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    per = c.groupBy("doc_id").agg(
+        F.bool_and(F.length("text") <= L.CHUNK_SIZE).alias("short_enough"),
+        F.bool_and(F.col("whole").contains(F.col("text"))).alias("all_contained"),
+        F.bool_and(~F.col("text").rlike(r"^\s|\s$")).alias("no_blank_edges"),
+        F.array_distinct(F.flatten(F.collect_list(all_words))).alias("seen"))  # one document's words
+    longest = F.array_max(F.transform("w", lambda x: F.length(x)))
+    return (docs.select("doc_id", all_words.alias("w")).where((F.size("w") > 0) & (longest <= L.CHUNK_SIZE)).join(per, "doc_id")
+            .select("doc_id", "short_enough", "all_contained", F.size(F.array_except("w", "seen")).alias("lost_words"), "no_blank_edges"))

@@ -2,11 +2,11 @@
 
 A multinomial logistic regression over word bigrams, with an unknown class,
 is trained on the templates, on text about licences that is none, and on a
-bounded sample of the corpus. Bigrams that the sample holds say nothing and
-leave the vocabulary, so ordinary paragraphs have no features and cost no
-more than a failed look-up. A temperature fitted on held-out rows calibrates
-the probabilities. A predicted family is confirmed if the paragraph holds
-most of the bigrams of one of the family's templates.
+bounded sample of the corpus. Sampled lines that overlap a template are left
+out; the others are of the unknown class, with the bigrams they share with
+the templates, whose weights are learned. A temperature fitted on held-out
+rows calibrates the probabilities. A predicted family is confirmed if the
+paragraph holds most of the bigrams of one of the family's templates.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ SAMPLE_DOCUMENTS = 500
 LEAST_PROBABILITY = 0.5
 LEAST_OVERLAP = 0.6
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
-_CUES = r"(?i)licen[cs]|copyright|warrant|\bgpl|\bcc\b|public domain|spdx|rights reserved"
+#: A sampled line overlaps a template with LEAST_OVERLAP, or this many, of its bigrams.
+SHARED_BIGRAMS = 5
+#: Weight of all sampled lines together, in training rows.
+SAMPLE_WEIGHT = 200.0
 
 
 def words(paragraph: Column) -> Column:
@@ -89,6 +92,18 @@ def _log_loss(temperature: float) -> Column:
     return F.log(bottom) - (F.col("own") - top) / temperature
 
 
+def _plain(sample: DataFrame, vocabulary: DataFrame, templates: DataFrame) -> DataFrame:
+    """g, rows: sets of vocabulary bigrams of the sampled lines that overlap no template, and their number of lines."""
+    lines = cut(sample.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("t", "\n")).alias("at", "line")))
+    key = ["row", "at"]
+    hits = bigrams(lines, "line", *key).join(F.broadcast(vocabulary), "gram").groupBy(*key).agg(F.sort_array(F.collect_set("gram")).alias("g"))
+    shared = F.size(F.array_intersect("g", "expected"))
+    overlaps = (shared >= SHARED_BIGRAMS) | (shared >= LEAST_OVERLAP * F.size("expected"))
+    found = hits.join(F.broadcast(templates), overlaps, "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    none = lines.join(hits, key, "left_anti").agg(F.array().cast("array<long>").alias("g"), F.count(F.lit(1)).alias("rows"))
+    return found.unionByName(none)
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scanner:
     """Fit on the templates and at most SAMPLE_DOCUMENTS documents; all driver-side state is as small as these."""
     spark = docs.sparkSession
@@ -100,25 +115,26 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scanne
     # about twice the sample by digest, wherever it lies; only these few rows are then ordered
     share = min(1.0, 2.0 * SAMPLE_DOCUMENTS / max(1, docs.count()))
     sample = rows.withColumn("u", u).where(F.col("u") < share).orderBy("u", "t").limit(SAMPLE_DOCUMENTS)
-    lines = cut(sample.select(F.explode(F.split("t", "\n")).alias("line")).where(~F.col("line").rlike(_CUES)))
-    common = bigrams(lines, "line").distinct()
-    grams = cut(bigrams(examples, "line", "n", "family", "held").distinct().join(common, "gram", "left_anti").coalesce(1))
+    grams = cut(bigrams(examples, "line", "n", "family", "held").distinct().coalesce(1))
     vocabulary = [str(r["gram"]) for r in grams.select("gram").distinct().orderBy("gram").collect()]
+    named = bigrams(spark.createDataFrame([(f"{f}-{k}", f, t) for f in sorted(TEMPLATES) for k, t in enumerate(TEMPLATES[f])],
+                                          "template string, of string, line string"), "line", "template", "of")
+    templates = cut(named.groupBy("template", "of").agg(F.collect_set("gram").alias("expected")))
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     some = examples.join(grams.groupBy("n").agg(F.collect_list(F.col("gram").cast("string")).alias("g")), "n", "left").where("not held")
-    some = some.select(label.alias("label"), F.coalesce("g", F.array().cast("array<string>")).alias("g"))
-    plain = lines.limit(200).select(F.lit(float(len(families) - 1)).alias("label"), F.array().cast("array<string>").alias("g"))
+    some = some.select(label.alias("label"), F.coalesce("g", F.array().cast("array<string>")).alias("g"), F.lit(1.0).alias("weight"))
+    plain = cut(_plain(sample, grams.select("gram").distinct(), templates))
+    total = plain.agg(F.sum("rows")).first()[0] or 0
+    plain = plain.select(F.lit(float(len(families) - 1)).alias("label"), F.transform("g", lambda x: x.cast("string")).alias("g"),
+                         (F.col("rows") * (min(SAMPLE_WEIGHT, total) / max(1, total))).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "g", "features", binary=True).transform(some.union(plain)).coalesce(1).cache()
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60).fit(vectors)
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, weightCol="weight").fit(vectors)
     vectors.unpersist()
     n = fitted.numClasses
     matrix = fitted.coefficientMatrix.toArray()
     bias = [float(b) for b in fitted.interceptVector.toArray()] + [0.0] * (len(families) - n)
     weights = spark.createDataFrame([(int(g), [float(matrix[k, j]) for k in range(n)]) for j, g in enumerate(vocabulary)],
                                     "gram long, w array<double>")
-    named = bigrams(spark.createDataFrame([(f"{f}-{k}", f, t) for f in sorted(TEMPLATES) for k, t in enumerate(TEMPLATES[f])],
-                                          "template string, of string, line string"), "line", "template", "of")
-    templates = cut(named.join(weights.select("gram"), "gram").groupBy("template", "of").agg(F.collect_set("gram").alias("expected")))
     scanner = Scanner(families, weights, bias, 1.0, templates)
     held = cut(scanner.scores(grams.where("held").select("n", "family", "gram"), "n", "family").withColumn(
         "own", F.element_at("logits", F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("int"))))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.llm import licences
+from ragloom.llm.licence_templates import TEMPLATES
 from tests.llm.helpers import DOCS, awkward, awkward_rows, empty, prose
 
 TEXTS = {
@@ -56,3 +57,18 @@ def test_awkward_and_empty(spark, scanner):
     assert licences.scan(df, scanner=scanner).count() == 0
     assert len(awkward_rows()) == df.count()
     assert licences.scan(empty(spark)).count() == 0
+
+
+def test_trained_on_documents_with_notices(spark):
+    notices = [TEMPLATES["bsd"][3], TEMPLATES["mit"][3], TEMPLATES["proprietary"][2], TEMPLATES["proprietary"][3], TEMPLATES["unlicense"][1]]
+    families = ["bsd", "mit", "proprietary", "proprietary", "unlicense"]
+    rows = [(k, prose(k, 30) + "\n" + ("\n".join(notices) if k % 3 == 0 else prose(k + 500, 30)), "en", "s", 1) for k in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licences.scan(docs).collect())
+    assert got == [(k, 2 + i, f, True) for k in range(0, 90, 3) for i, f in enumerate(families)]
+
+
+def test_ordinary_words_of_templates_are_unknown(spark, scanner):
+    lines = ["The terms of the loan are in the source of the report.", "Any person may use this in the shop.", "She is free to copy the letter."]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(lines)], DOCS)
+    assert licences.scan(docs, scanner=scanner).count() == 0

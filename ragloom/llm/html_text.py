@@ -6,8 +6,11 @@ footer, sidebar, notice, advert, form or comment section, or is all links.
 Lengths are summed over windows of BLOCK_LINES lines. Text starts at a surge,
 where the sums leave zero and reach the threshold before they fall back, and
 ends at the dive, where they return to zero; all lines with length between
-the two are kept. Where a page marks its article, lines outside it have
-length 0 and any text inside is a surge.
+the two are kept. An article or main element is evidence only: the surge
+text outside all of them is weighed against the characters of each. If none
+holds as much as the outside, the page's text is the outside, with those
+articles that are no mere teasers beside it. Else all articles are text, to
+the last line, and the outside is text too if its surges are no mere remnant.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from ragloom.llm.common import prepare
 BLOCK_LINES = 3
 #: Characters that a window must hold for a surge on pages that mark no article.
 SURGE = 80
+#: An article is a teaser, or the text outside articles a remnant, below this share of the other's characters.
+TEASER_SHARE = 0.25
 #: Share of link text from which a line outside a marked article counts as a menu.
 LINK_SHARE = 0.8
 
@@ -71,13 +76,14 @@ def _speaks_against(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, in an article, in a part that is no main text, characters inside links) of every block."""
-    lines: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, speaks against, in article, in link
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, number of the outermost article or 0, in a part that is no main text, characters inside links) of every block."""
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, speaks against, in article, in link
     text: list[str] = []
     linked: list[str] = []
-    against = in_article = in_link = False
+    against = in_link = False
+    in_article = articles = 0
 
     def end_line() -> None:
         if text:
@@ -95,7 +101,7 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
     def pop_to(k: int) -> None:
         nonlocal against, in_article, in_link
         del stack[k:]
-        _, against, in_article, in_link = stack[-1] if stack else ("", False, False, False)
+        _, against, in_article, in_link = stack[-1] if stack else ("", False, 0, False)
 
     at = 0
     while m := _MARKUP.search(html, at):
@@ -132,7 +138,9 @@ def lines_of(html: str) -> list[tuple[str, bool, bool, int]]:
             if tag == "body":  # a head that was never closed ends
                 pop_to(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
             against = against or _speaks_against(tag, m[3], in_article)
-            in_article, in_link = in_article or tag in _ARTICLE and not against, in_link or tag == "a"
+            if not in_article and tag in _ARTICLE and not against:
+                in_article = articles = articles + 1
+            in_link = in_link or tag == "a"
             stack.append((tag, against, in_article, in_link))
     if at < len(html):
         add(html[at:])
@@ -162,12 +170,22 @@ def kept_lines(lengths: list[int], threshold: int, window: int = BLOCK_LINES) ->
 def main_text(html: str | None, surge: int = SURGE) -> str:
     """The article's blocks, one a line; empty for null or blank pages."""
     lines = lines_of(html or "")
-    marked = any(article and not against for _, article, against, _ in lines)
-    lengths = [0 if against or (not article if marked else link >= LINK_SHARE * len(t)) else len(t)
-               for t, article, against, link in lines]
+    lengths = [0 if against or not article and link >= LINK_SHARE * len(t) else len(t) for t, article, against, link in lines]
+    articles: dict[int, int] = {}
+    for (_, article, _, _), n in zip(lines, lengths):
+        if article and n:
+            articles[article] = articles.get(article, 0) + n
+    if articles:
+        outside = [0 if line[1] else n for line, n in zip(lines, lengths)]
+        loose = sum(outside[i] for i in kept_lines(outside, surge))
+        if loose > max(articles.values()):
+            chosen = {0} | {a for a, n in articles.items() if n >= TEASER_SHARE * loose}
+        else:
+            chosen = set(articles) | ({0} if loose and loose >= TEASER_SHARE * sum(articles.values()) else set())
+        lengths = [n if line[1] in chosen else 0 for line, n in zip(lines, lengths)]
     sums = [sum(lengths[i:i + BLOCK_LINES]) for i in range(len(lengths))]
-    threshold = 1 if marked else min(surge, max(sums, default=0))
-    return "\n".join(lines[i][0] for i in kept_lines(lengths, threshold))
+    kept = set(kept_lines(lengths, min(surge, max(sums, default=0))))
+    return "\n".join(line[0] for i, (line, n) in enumerate(zip(lines, lengths)) if i in kept or line[1] and n)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

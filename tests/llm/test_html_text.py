@@ -43,3 +43,28 @@ def test_long_page_and_extra_columns(spark):
     got = html_text.with_main_text(df).collect()
     assert got[0]["text"].count("\n") == 19_999 and got[1]["text"] == ""
     assert html_text.with_main_text(df.limit(0)).count() == 0
+
+
+CARD = "<article class='{}'><h3><a href=x>Other news</a></h3><p>A teaser of some other page, cut after a few words and ended by dots, as they are on such lists ...</p></article>"
+BODY = f"<h1>Title</h1><p>{P}</p><p>{P}</p><p>{P}</p><p>The end.</p>"
+BODY_TEXT = "\n".join(["Title", P.strip(), P.strip(), P.strip(), "The end."])
+
+
+@pytest.mark.parametrize("name", ["card", "teaser", "post-preview"])
+@pytest.mark.parametrize("cards", [1, 3, 10])
+def test_body_beside_teaser_articles(name, cards):
+    teasers = CARD.format(name) * cards
+    assert html_text.main_text(f"<nav>menu</nav><div>{BODY}</div>{teasers}<footer>f</footer>") == BODY_TEXT
+    assert html_text.main_text(f"{teasers}<section>{BODY}</section>") == BODY_TEXT
+
+
+def test_articles_and_text_outside():
+    short = "<article><p>A short post.</p></article>"
+    assert html_text.main_text(f"<p>Filed under x</p>{short}<article>{BODY}</article><p>Filed under x</p>") == f"A short post.\n{BODY_TEXT}"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{P}</p></article><div><p>{P}</p><p>{P}</p><p>The end.</p></div>") == BODY_TEXT
+    assert html_text.main_text(f"<article>{BODY}</article><div><p>{P}</p><p>{P}</p></div>") == f"{BODY_TEXT}\n{P.strip()}\n{P.strip()}"
+
+
+def test_short_isolated_blocks():
+    gap = "<nav>a</nav><nav>b</nav><nav>c</nav>"
+    assert html_text.main_text(f"<p>Skip to text</p>{gap}<div>{BODY}</div>{gap}<p>Top of page</p>{gap}{CARD.format('card')}") == BODY_TEXT

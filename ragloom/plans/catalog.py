@@ -1228,6 +1228,19 @@ def q_keyword_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               preview("text", 150).alias("preview"))
 
 
+@register("hit_previews", oracle=f"""
+SELECT h.qid AS item_id, h.rank, h.chunk_id, CAST(len(list_filter(c.keywords, lambda w: contains(h.text, w))) AS INTEGER) AS score,
+       replace(substr(h.text, 1, 150), chr(10), ' ') AS preview
+FROM ({HITS_SQL}) h JOIN ({CASES_SQL}) c ON c.qid = h.qid
+""")
+def q_hit_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 + P13 + P19: keywords of every benchmark question in each of its retrieved chunks, with the chunk's preview."""
+    from ..functions.text import keyword_score, preview
+    hits = _benchmark_hits(spark, sf_dir).join(_cases(spark, sf_dir), "qid")
+    return hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("long").alias("rank"), "chunk_id",
+                       keyword_score("text", "keywords").alias("score"), preview("text", 150).alias("preview"))
+
+
 @register("file_corpus_hits", oracle=f"""
 WITH files AS (SELECT doc_id, source, text || chr(10) AS text FROM documents WHERE text IS NOT NULL),
 chunks AS ({FIXED_CHUNKS_SQL.replace("FROM documents", "FROM files")}),

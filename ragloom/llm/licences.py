@@ -6,14 +6,17 @@ bounded sample of the corpus. Sampled lines that overlap a template are left
 out; the others are of the unknown class, with the bigrams they share with
 the templates, whose weights are learned. A temperature fitted on held-out
 rows calibrates the probabilities. A predicted family is confirmed if the
-paragraph holds most of the bigrams of one of the family's templates.
+paragraph holds most of the bigrams of one of the family's templates. A
+paragraph is a line, or a run of lines without a blank one between that
+together hold most of a template's bigrams (hard-wrapped notices); the last
+word of a line and the first of the next are a bigram of such a run.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.common import cut, prepare
@@ -45,10 +48,16 @@ def bigrams(rows: DataFrame, paragraph: str, *keep: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row, doc_id, paragraph (from 1), line: every line of every text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select(
-        "row", "doc_id", (F.col("at") + 1).alias("paragraph"), "line")
+    """row, doc_id, paragraph (from 1), line, seam: every line of every text; seam: its last word and the next line's first."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
+                       F.split(F.col(text), "\n").alias("lines"))
+    both = F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", F.lit(2), F.size("lines")).alias("next"))
+    rows = rows.where("lines is not null").select("row", "doc_id", F.posexplode(both).alias("at", "x"))
+    word = r"[a-z0-9]+(?:\.[0-9]+)*"
+    last = F.regexp_extract(F.lower("x.line"), rf"({word})[^a-z0-9]*$", 1)
+    first = F.regexp_extract(F.lower("x.next"), rf"^[^a-z0-9]*({word})", 1)
+    return rows.select("row", "doc_id", (F.col("at") + 1).alias("paragraph"), F.col("x.line").alias("line"),
+                       F.concat_ws(" ", last, first).alias("seam"))
 
 
 def _examples(spark: SparkSession) -> list[tuple[int, str, str, bool]]:
@@ -86,6 +95,40 @@ class Scanner:
             .withColumn("probability", 1 / bottom)
 
 
+    def named(self, grams: DataFrame, *key: str) -> DataFrame:
+        """``key`` columns, family, probability, template, overlap, confirmed for keys that are of a family."""
+        found = self.calibrated(self.scores(grams, *key))
+        found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
+        share = F.size(F.array_intersect("known", "expected")) / F.size("expected")
+        held = found.join(F.broadcast(self.templates), F.col("family") == F.col("of"), "left")
+        best = held.withColumn("overlap", F.coalesce(share, F.lit(0.0))).groupBy(*key, "family", "probability").agg(
+            F.max(F.struct("overlap", "template")).alias("best"))
+        return best.select(*key, "family", "probability", F.col("best.template").alias("template"), F.col("best.overlap").alias("overlap"),
+                           (F.col("best.overlap") >= LEAST_OVERLAP).alias("confirmed"))
+
+
+def _hits(lines: DataFrame, vocabulary: DataFrame, *key: str) -> DataFrame:
+    """``key`` columns, gram, seam: the bigrams of the vocabulary in every line and at its seam, materialised."""
+    parts = lines.select(*key, F.inline(F.array(F.struct(F.col("line").alias("part"), F.lit(False).alias("seam")),
+                                                F.struct(F.col("seam").alias("part"), F.lit(True).alias("seam")))))
+    return cut(bigrams(parts, "part", *key, "seam").join(F.broadcast(vocabulary), "gram"))
+
+
+def _runs(hits: DataFrame, templates: DataFrame) -> DataFrame:
+    """row, doc_id, paragraph, until: runs of lines, more than one, that together hold LEAST_OVERLAP of a template."""
+    expected = templates.select("template", F.size("expected").alias("n"), F.explode("expected").alias("gram"))
+    key = ["row", "doc_id", "template", "n"]
+    held = hits.join(F.broadcast(expected), "gram").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "gram", "seam")).alias("at"))
+    held = held.where(F.size(F.array_distinct("at.gram")) >= LEAST_OVERLAP * F.col("n")).select(*key, F.inline("at"))
+    # a seam belongs to two lines; lines without a bigram of the template, so blank ones too, part the runs
+    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy("paragraph"))
+    held = held.withColumn("island", F.col("paragraph") - rank).groupBy(*key, "island", "gram").agg(
+        F.max("paragraph").alias("late"), F.min(F.col("paragraph") + F.col("seam").cast("int")).alias("early"))
+    runs = held.groupBy(*key, "island").agg(F.count(F.lit(1)).alias("shared"), F.min("late").alias("a"), F.max("early").alias("b"))
+    runs = runs.where((F.col("shared") >= LEAST_OVERLAP * F.col("n")) & (F.col("a") != F.col("b")))
+    return runs.select("row", "doc_id", F.least("a", "b").alias("paragraph"), F.greatest("a", "b").alias("until")).distinct()
+
+
 def _log_loss(temperature: float) -> Column:
     top = F.array_max("logits")
     bottom = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp((x - top) / temperature))
@@ -93,14 +136,17 @@ def _log_loss(temperature: float) -> Column:
 
 
 def _plain(sample: DataFrame, vocabulary: DataFrame, templates: DataFrame) -> DataFrame:
-    """g, rows: sets of vocabulary bigrams of the sampled lines that overlap no template, and their number of lines."""
-    lines = cut(sample.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("t", "\n")).alias("at", "line")))
-    key = ["row", "at"]
-    hits = bigrams(lines, "line", *key).join(F.broadcast(vocabulary), "gram").groupBy(*key).agg(F.sort_array(F.collect_set("gram")).alias("g"))
+    """g, rows: sets of vocabulary bigrams of the sampled lines that overlap no template, alone or in a run, and their number of lines."""
+    lines = cut(paragraphs(sample, "i", "t"))
+    key = ["row", "doc_id", "paragraph"]
+    every = _hits(lines, vocabulary, *key)
+    runs = _runs(every, templates).alias("r")
+    inside = (F.col("h.row") == F.col("r.row")) & F.col("h.paragraph").between(F.col("r.paragraph"), F.col("r.until"))
+    hits = every.where("not seam").groupBy(*key).agg(F.sort_array(F.collect_set("gram")).alias("g")).alias("h").join(runs, inside, "left_anti")
     shared = F.size(F.array_intersect("g", "expected"))
     overlaps = (shared >= SHARED_BIGRAMS) | (shared >= LEAST_OVERLAP * F.size("expected"))
     found = hits.join(F.broadcast(templates), overlaps, "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    none = lines.join(hits, key, "left_anti").agg(F.array().cast("array<long>").alias("g"), F.count(F.lit(1)).alias("rows"))
+    none = lines.join(every.where("not seam"), ["row", "paragraph"], "left_anti").agg(F.array().cast("array<long>").alias("g"), F.count(F.lit(1)).alias("rows"))
     return found.unionByName(none)
 
 
@@ -150,16 +196,29 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scanner: S
     texts and lines without two words give no rows; repeated rows of
     ``docs`` give rows each; a null id stays null. Other columns are
     ignored. A paragraph without a known bigram is of the unknown class.
-    ``docs`` is read once and not shuffled; only bigrams of the vocabulary
-    reach the aggregation.
+    A run of lines gives a row, numbered by its first line, if it confirms a
+    family that none of its lines confirms alone; unconfirmed rows of its
+    lines go. ``docs`` is read once and not shuffled; only bigrams of the
+    vocabulary are written and reach the aggregations.
     """
     scanner = scanner or train(docs, doc_id, text)
     key = ("row", "doc_id", "paragraph")
-    found = scanner.calibrated(scanner.scores(bigrams(paragraphs(docs, doc_id, text), "line", *key), *key))
-    found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
-    share = F.size(F.array_intersect("known", "expected")) / F.size("expected")
-    held = found.join(F.broadcast(scanner.templates), F.col("family") == F.col("of"), "left")
-    best = held.withColumn("overlap", F.coalesce(share, F.lit(0.0))).groupBy(*key, "family", "probability").agg(
-        F.max(F.struct("overlap", "template")).alias("best"))
-    return best.select("doc_id", "paragraph", "family", "probability", F.col("best.template").alias("template"),
-                       F.col("best.overlap").alias("overlap"), (F.col("best.overlap") >= LEAST_OVERLAP).alias("confirmed"))
+    hits = _hits(paragraphs(docs, doc_id, text), scanner.weights.select("gram"), *key)
+    lines = scanner.named(hits.where("not seam").select(*key, "gram"), *key).withColumn("until", F.col("paragraph"))
+    runs = _runs(hits, scanner.templates)
+    unit = ("row", "doc_id", "paragraph", "until")
+    inside = (F.col("h.row") == F.col("r.row")) & F.col("h.paragraph").between(F.col("r.paragraph"), F.col("r.until") - F.col("h.seam").cast("int"))
+    joined = hits.alias("h").join(runs.alias("r"), inside).select("r.row", "r.doc_id", "r.paragraph", "r.until", "h.gram")
+    joined = scanner.named(joined, *unit).where("confirmed")
+    # runs of a family that share lines are one notice: the run that holds most of its template stands for it
+    before = Window.partitionBy("row", "doc_id", "family").orderBy("paragraph", "until")
+    reach = F.max("until").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    joined = joined.withColumn("opens", F.coalesce(F.col("paragraph") > reach, F.lit(True)).cast("int"))
+    joined = joined.withColumn("notice", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("row", "doc_id", "family", "notice").agg(F.max_by(
+        F.struct("paragraph", "until", "probability", "template", "overlap", "confirmed"),
+        F.struct("overlap", -F.col("until"), "paragraph")).alias("x")).select("row", "doc_id", "family", "x.*")
+    overlap = (F.col("l.row") == F.col("j.row")) & F.col("l.paragraph").between(F.col("j.paragraph"), F.col("j.until"))
+    joined = cut(joined.alias("j").join(lines.where("confirmed").alias("l"), overlap & (F.col("l.family") == F.col("j.family")), "left_anti"))
+    lines = lines.alias("l").join(joined.alias("j"), overlap & ~F.col("l.confirmed"), "left_anti")
+    return lines.unionByName(joined).select("doc_id", "paragraph", "family", "probability", "template", "overlap", "confirmed")

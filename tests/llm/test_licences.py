@@ -1,4 +1,5 @@
 import math
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,23 @@ def test_ordinary_words_of_templates_are_unknown(spark, scanner):
     lines = ["The terms of the loan are in the source of the report.", "Any person may use this in the shop.", "She is free to copy the letter."]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(lines)], DOCS)
     assert licences.scan(docs, scanner=scanner).count() == 0
+
+
+WRAPPED = {"bsd": TEMPLATES["bsd"][3], "mit": TEMPLATES["mit"][3], "gpl": TEMPLATES["gpl"][2], "proprietary": TEMPLATES["proprietary"][2]}
+
+
+@pytest.mark.parametrize("width,mark", [(60, ""), (40, "# "), (25, " * ")])
+def test_wrapped_notices(spark, scanner, width, mark):
+    rows = []
+    for k, t in enumerate(WRAPPED.values()):
+        notice = "\n".join(mark + x for x in textwrap.wrap(t, width))
+        rows += [(2 * k, f"{prose(k, 30)}\n\n{notice}\n\n{prose(k + 9, 30)}", "en", "s", 1), (2 * k + 1, f"{prose(k, 30)}\n{notice}\n{prose(k + 9, 30)}", "en", "s", 1)]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licences.scan(spark.createDataFrame(rows, DOCS), scanner=scanner).collect())
+    assert got == [(2 * k + j, 3 - j, f, True) for k, f in enumerate(WRAPPED) for j in (0, 1)]
+
+
+def test_blank_lines_part_notices(spark, scanner):
+    lines = textwrap.wrap(WRAPPED["gpl"], 40)
+    docs = spark.createDataFrame([(1, "\n\n".join(lines), "en", "s", 1), (2, "Released under the MIT License.\n" + "\n".join(lines), "en", "s", 1)], DOCS)
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs, scanner=scanner).collect() if r["confirmed"])
+    assert got == [(2, 1, "mit"), (2, 2, "gpl")]

@@ -84,6 +84,59 @@ SELECT doc_id, slot, shard FROM s JOIN t USING (slot)
 """
 
 
+def _clustering(k: int = 8, rounds: int = 10) -> str:
+    """Rounds written out one after another; all arithmetic in 64-bit integers."""
+    parts = ["v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings "
+             "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS m FROM v "
+             f"QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS x FROM (SELECT vec_id, n, v, c, "
+                     f"list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+                     f"FROM (SELECT *, row_number() OVER () AS n FROM v), c{r}) GROUP BY vec_id, n)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT x.c AS c, unnest(v) AS e, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f, m) AS m FROM c{r} LEFT JOIN "
+                         f"(SELECT c, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS f FROM s{r} GROUP BY c) USING (c))")
+    return ("WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, x.c::INT AS cluster, x.d AS distance, sum(x.d) OVER (PARTITION BY x.c)::BIGINT AS cluster_inertia,
+       sum(x.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = x.c
+""")
+
+
+#: Every order and step over counts by set of failed filters; shapley by its definition, summed over the orders.
+FILTER_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS m,
+             coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, m),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, 1 << (ascii(substr(o, step, 1)) - 65) AS own,
+             list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(o, k, 1)) - 65))) AS before
+      FROM (SELECT o, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, o AS filter_order, step::INT AS step, own,
+             coalesce(sum(n) FILTER (m & (own | before) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (m & own <> 0 AND m & before = 0), 0) AS removed,
+             coalesce(sum(n) FILTER (m & own <> 0 AND m & before <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (m = own), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (m & own <> 0 AND m & before = 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (m & own <> 0 AND m & before = 0), 0) AS toxic_lost
+      FROM g, (SELECT o, step, own, coalesce(before, 0)::BIGINT AS before FROM s) GROUP BY part, o, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
 def statements() -> dict[str, str]:
     return {"op1_warc": WARC, "op3_source_mixing": mixing.ORACLE, "op4_html_text": HTML,
-            "op6_embedding_near_dedup": EMBEDDINGS, "op7_decontamination": DECONTAMINATION, "op10_sharding": _sharding()}
+            "op6_embedding_near_dedup": EMBEDDINGS, "op7_decontamination": DECONTAMINATION, "op10_sharding": _sharding(),
+            "op11_centroid_clustering": _clustering(), "op12_filter_audit": FILTER_AUDIT}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import (decontaminate, html_text, language_id, licences, mixing, sharding, simhash, token_files, vector_dups,
-                         warc)
+from ragloom.llm import (decontaminate, filter_audit, html_text, language_id, licences, mixing, pieces, pivot_clusters, sharding,
+                         simhash, token_files, vector_dups, warc)
 from ragloom.llm.common import cut, input_table, remove, scratch
 from ragloom.llm.oracles import statements
 
@@ -87,6 +87,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_documents(input_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, with inertias and the digest of its centroid."""
+    return pivot_clusters.cluster(input_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at every step of every order, by language."""
+    return filter_audit.audit(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the SentencePiece ids of every document and of the text decoded from them."""
+    import public_tokenizers
+
+    return pieces.digests(input_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc,
     op2_simhash_near_dedup,
@@ -98,7 +115,11 @@ QUERIES = {f.__name__: f for f in (
     op8_language_id,
     op9_licence_scan,
     op10_sharding,
+    op11_centroid_clustering,
+    op12_filter_audit,
+    op13_sentence_pieces,
 )}
 
+
 def oracles() -> dict[str, str]:
     return statements()

@@ -1057,47 +1057,6 @@ def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("window_start", "user_id", "event_type", "requests", "over_limit"))
 
 
-@register("stream_fixed_window_verdicts", oracle=f"SELECT event_id, allowed FROM ({FIXED_SQL}) f")
-def q_stream_fixed_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 per request with applyInPandasWithState; equals W9 when events arrive in order."""
-    from ..streaming import jobs
-    out, ck = _stream_dirs(spark, "fixed-verdicts")
-    v = jobs.stream_fixed_window_verdicts(_events_stream(spark, sf_dir), RL_WINDOW_S, RL_LIMIT)
-    jobs.run_available(v.writeStream.format("parquet").option("path", out), ck)
-    return spark.read.parquet(out)
-
-
-def _moving_accepted_sql() -> str:
-    """Accepted-only moving window for a limit of 1: walk each key's requests in order."""
-    assert RL_LIMIT == 1
-    return f"""
-WITH RECURSIVE o AS (
-  SELECT event_id, user_id, event_type, epoch_us(ts) AS us,
-         row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts), event_id) AS rn
-  FROM events
-),
-walk(user_id, event_type, rn, event_id, last_acc, allowed) AS (
-  SELECT user_id, event_type, rn, event_id, us, true FROM o WHERE rn = 1
-  UNION ALL
-  SELECT o.user_id, o.event_type, o.rn, o.event_id,
-         CASE WHEN o.us - w.last_acc >= {DAY_US} THEN o.us ELSE w.last_acc END,
-         o.us - w.last_acc >= {DAY_US}
-  FROM walk w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.rn = w.rn + 1
-)
-SELECT event_id, allowed FROM walk
-"""
-
-
-@register("stream_moving_window_verdicts", oracle=_moving_accepted_sql())
-def q_stream_moving_window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moving one-day window counting accepted requests only."""
-    from ..streaming import jobs
-    out, ck = _stream_dirs(spark, "moving-verdicts")
-    v = jobs.stream_moving_window_verdicts(_events_stream(spark, sf_dir), RL_WINDOW_S, RL_LIMIT)
-    jobs.run_available(v.writeStream.format("parquet").option("path", out), ck)
-    return spark.read.parquet(out)
-
-
 def _screen_sql() -> str:
     v = _validate_sql()
     r = _route_sql("(SELECT conv_id, turn, text FROM v WHERE ok) vv", "conv_id, turn")
@@ -1211,23 +1170,6 @@ def q_stratified_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("long")).alias("n_test"))
 
 
-@register("keyword_previews", oracle=f"""
-WITH k AS (SELECT item_id, list(w ORDER BY length(w) DESC, w) AS kws
-           FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM benchmark) d GROUP BY item_id),
-c AS ({FIXED_CHUNKS_SQL})
-SELECT c.chunk_id, k.item_id, CAST(len(list_filter(k.kws, lambda w: contains(c.text, w))) AS INTEGER) AS score,
-       replace(substr(c.text, 1, 150), chr(10), ' ') AS preview
-FROM c JOIN k ON k.item_id = c.doc_id % 40
-""")
-def q_keyword_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P12 + P13 + P19: keywords of one benchmark question in every chunk, with the chunk's preview."""
-    from ..functions.text import keyword_score, preview
-    kws = _cases(spark, sf_dir).withColumnRenamed("qid", "item_id")
-    chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents")).withColumn("item_id", F.col("doc_id") % 40)
-    return chunks.join(kws, "item_id").select("chunk_id", "item_id", keyword_score("text", "keywords").alias("score"),
-                                              preview("text", 150).alias("preview"))
-
-
 @register("hit_previews", oracle=f"""
 SELECT h.qid AS item_id, h.rank, h.chunk_id, CAST(len(list_filter(c.keywords, lambda w: contains(h.text, w))) AS INTEGER) AS score,
        replace(substr(h.text, 1, 150), chr(10), ' ') AS preview
@@ -1350,3 +1292,6 @@ def q_chunk_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = F.array_max(F.transform("w", lambda x: F.length(x)))
     return (docs.select("doc_id", all_words.alias("w")).where((F.size("w") > 0) & (longest <= L.CHUNK_SIZE)).join(per, "doc_id")
             .select("doc_id", "short_enough", "all_contained", F.size(F.array_except("w", "seen")).alias("lost_words"), "no_blank_edges"))
+
+
+from . import catalog_requests  # noqa: E402,F401  (registers its queries)

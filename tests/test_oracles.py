@@ -36,7 +36,7 @@ def test_every_query_is_registered_with_docs():
 
 
 ROWS_ONLY = {"chunks_recursive", "compress_textrank", "intent_model_report", "intent_top_probabilities",
-             "route_with_model"}
+             "route_with_model", "ivf_probe_recall", "ivf_chunk_recall"}
 
 
 def test_rows_only_set_is_pinned():

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,6 @@ _HEAD = struct.Struct("<8sIIQQII")
 SHARD_TOKENS = 4_000_000
 #: Text encoded in one step; longer texts are cut at white space.
 _STEP = 1 << 20
-#: Rows turned into Python strings at a time.
-_ROWS = 128
 #: Encoded words that a Python worker remembers, in each of two generations.
 _REMEMBER = 300_000
 #: Shards whose offsets are broadcast (three numbers each); more are joined by shuffle.
@@ -145,14 +144,20 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _SIGNS = b".,;:!?"
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in plain]
-    return {b: chr(256 + k) for k, b in enumerate(others)}
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
-_BYTE_LETTERS = _byte_letters()
+def _spelled() -> list[tuple[bytes, bytes]]:
+    """The composed letters of _LETTERS, each with the two letters of its bytes."""
+    letter = _byte_letters()
+    return [(bytes([0xC3, b]), (letter[0xC3] + letter[b]).encode()) for b in range(0x9F, 0xC0) if b != 0xB7]
+
+
+_SPELLED = _spelled()
 
 
 class Encoder:
@@ -165,44 +170,64 @@ class Encoder:
     """
 
     def __init__(self, spec: str, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
         self.by_word = by_word
+        # words of letters need no normaliser and no pattern: the same merges, parted at spaces
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.signs = dict(zip(_SIGNS, self._whole([chr(c) for c in _SIGNS]))) if by_word else {}
-        self.young: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > _REMEMBER:
-            self.old, self.young = self.young, {}
-        young, old, rest = self.young, self.old, []
+            self.old, self.young = self.young, {b"": b""}
+        young, old, rest, stems, signed = self.young, self.old, [], set(), []
         for w in words.difference(young):
             known = old.get(w)
             if known is not None:
                 young[w] = known
                 continue
-            signed = w[-1] in _SIGNS  # between a letter and white space a sign is a token of its own
-            stem = w[:-1] if signed else w
+            sign = w[-1] in _SIGNS  # between a letter and white space a sign is a token of its own
+            stem = w[:-1] if sign else w
             if not _LETTERS(stem):
                 rest.append(w)
                 continue
-            known = young.get(stem) or old.get(stem) or self._letters(stem)
-            young[stem] = known
-            if signed:
-                young[w] = known + self.signs[w[-1]]
+            if sign:
+                signed.append(w)
+            known = young.get(stem) or old.get(stem)
+            if known is None:
+                stems.add(stem)
+            else:
+                young[stem] = known
+        new = list(stems)
+        for i in range(0, len(new), 10_000):
+            young.update(zip(new[i:i + 10_000], self._letters(new[i:i + 10_000])))
+        for w in signed:
+            young[w] = young[w[:-1]] + self.signs[w[-1]]
         for i in range(0, len(rest), 10_000):
             part = rest[i:i + 10_000]
-            for w, ids in zip(part, self._whole([w.decode("utf-8", "surrogatepass") for w in part])):
-                young[w] = ids
+            young.update(zip(part, self._whole([w.decode("utf-8", "surrogatepass") for w in part])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: bytes) -> bytes:
-        """Ids of one word of letters: nothing to normalise or split, straight to the vocabulary."""
-        text = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+    def _letters(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words of letters, all in one text: a token with the end-of-word suffix closes a word."""
+        text = b" ".join(words)
+        if not text.isascii():
+            for letter, spelled in _SPELLED:
+                text = text.replace(letter, spelled)
+        ids = np.array(self.letters.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not close every word; use by_word=False")
+        packed = ids.tobytes()
+        return (packed[a:b] for a, b in zip([0, *ends], ends))
 
     def _steps(self, raw: bytes) -> Iterator[bytes]:
         at = 0
@@ -214,31 +239,45 @@ class Encoder:
             yield raw[at:stop]
             at = stop
 
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn and where each text's end: distinct words are looked up once, the rest is arrays."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self._learn(set(distinct))
+        packed = [self.young[w] for w in distinct]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = size.cumsum() - size
+        at = coded.indices.to_numpy()
+        of_word = size[at]
+        ends = np.concatenate([[0], of_word.cumsum()])
+        out = ids[np.repeat(first[at] - ends[:-1], of_word) + np.arange(ends[-1])]
+        offsets = words.offsets.to_numpy()
+        return out, ends[offsets[1:] - offsets[0]]
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of a column."""
         if not self.by_word:
-            for t in texts:
+            for t in texts.to_pylist():
                 yield np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
             return
+        # the names of special tokens are case-sensitive
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        sizes = pc.binary_length(texts).to_numpy()
         at = 0
         while at < len(texts):  # whole texts up to one step, or one longer text in steps
-            group, size = [], 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= _STEP):
-                raw = texts[at].encode("utf-8", "surrogatepass")
-                group.append(raw if b"<|" in raw else raw.lower())
-                size += len(raw)
-                at += 1
-            if len(group) > 1 or size <= _STEP:
-                split = [raw.split() for raw in group]
-                self._learn(set().union(*split))
-                for words in split:
-                    yield np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4")
+            stop, held = at + 1, int(sizes[at])
+            while stop < len(texts) and held + sizes[stop] <= _STEP:
+                held += int(sizes[stop])
+                stop += 1
+            if held <= _STEP:
+                ids, ends = self._joined(texts.slice(at, stop - at))
+                yield from np.split(ids, ends[:-1])
             else:
-                parts = []
-                for step in self._steps(group[0]):
-                    words = step.split()
-                    self._learn(set(words))
-                    parts.append(np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4"))
-                yield np.concatenate(parts)
+                raw = texts[at].cast(pa.binary()).as_py()
+                yield np.concatenate([self._joined(pa.array([step], pa.binary()).cast(pa.string(), safe=False))[0] for step in self._steps(raw)])
+            at = stop
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -276,22 +315,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard = encoder(spec.value, by_word), TaskContext.get().partitionId(), 0
         ids, held, pieces, ends = [], 0, [], []
+        closing = np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
             data = pack_shard(part, shard, ids, np.array(ends, np.uint64), np.concatenate(pieces))
             return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
         for b in batches:
-            for at in range(0, b.num_rows, _ROWS):  # Python strings of a few rows at a time
-                rows = b.slice(at, _ROWS)
-                for d, got in zip(rows.column(0).to_pylist(), enc.batch(rows.column(1).to_pylist())):
-                    ids.append(d)
-                    pieces += [got, np.array([end_id], np.uint32)]
-                    held += len(got) + 1
-                    ends.append(held)
-                    if held >= shard_tokens:
-                        yield close()
-                        ids, held, pieces, ends, shard = [], 0, [], [], shard + 1
+            for d, got in zip(b.column(0).to_pylist(), enc.batch(b.column(1))):
+                ids.append(d)
+                pieces += [got, closing]
+                held += len(got) + 1
+                ends.append(held)
+                if held >= shard_tokens:
+                    yield close()
+                    ids, held, pieces, ends, shard = [], 0, [], [], shard + 1
         if ids:
             yield close()
 

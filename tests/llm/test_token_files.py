@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -34,7 +35,7 @@ def test_words_in_turn_are_the_whole_text():
         "a1b22 3.14 x_y", "x" * 5000 + "\n" + "y" * 10]
     for by_word in (True, False):
         e = token_files.Encoder(spec, by_word)
-        got = [x.tolist() for x in e.batch(texts)] + [x.tolist() for x in e.batch(texts)]
+        got = [x.tolist() for x in e.batch(pa.array(texts))] + [x.tolist() for x in e.batch(pa.array(texts))]
         assert got == 2 * [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -45,7 +46,7 @@ def test_long_text_in_steps(monkeypatch):
         e = token_files.Encoder(f.read(), True)
     texts = [r[1] for r in awkward_rows() if r[1] is not None]
     whole = Tokenizer.from_file(PATH)
-    assert [x.tolist() for x in e.batch(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.batch(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def plain(rows):

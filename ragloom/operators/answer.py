@@ -22,6 +22,7 @@ from . import cascade as cascade_ops
 from . import compress as comp_ops
 from . import context as ctx_ops
 from . import embed as embed_ops
+from . import keywords as kw_ops
 from . import knn as knn_ops
 from . import route as route_ops
 from . import validate as val_ops
@@ -62,6 +63,20 @@ def expand_queries(df: DataFrame, text_col: str = "text", out_col: str = "query"
     return df.withColumn(out_col, F.when(cleaned.isNull() | (cleaned == ""), q).otherwise(cleaned))
 
 
+def expand_by_corpus(df: DataFrame, frequencies: DataFrame, n_docs: int, text_col: str = "text", out_col: str = "query",
+                     k: int = 10) -> DataFrame:
+    """P7 with the default generator: a question's ``k`` keywords by weight in the corpus (P16), cleaned.
+
+    A join with the corpus's document frequencies, no Python. A question
+    without a token keeps its own text.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    found = kw_ops.corpus_keywords(rows, frequencies, n_docs, k, "_row", text_col)
+    cleaned = clean_query(F.array_join("keywords", " "))
+    return (rows.join(found, "_row", "left")
+            .withColumn(out_col, F.when(cleaned.isNull() | (cleaned == ""), F.col(text_col)).otherwise(cleaned)).drop("_row", "keywords"))
+
+
 def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None,
                    k: int = L.RETRIEVER_K, route: bool = True, compress: bool = True,
                    expand: bool = True, generator=None,
@@ -69,11 +84,14 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                    qid: str = "qid", text_col: str = "text", retriever=None,
                    context_from_question: bool = False, model=None, mode: str = "similarity",
                    fetch_k: int = L.RETRIEVER_FETCH_K, lambda_mult: float = L.MMR_LAMBDA,
-                   score_threshold: float = L.SCORE_THRESHOLD) -> DataFrame:
+                   score_threshold: float = L.SCORE_THRESHOLD, frequencies: DataFrame | None = None) -> DataFrame:
     """C2 (``route=True, compress=True``) / C3 (both off).
 
     ``chunks(chunk_id, text)`` is the retrievable text; ``index(chunk_id, vec)``
     its count vectors (computed with the default embedder when omitted).
+    ``expand``: questions are searched with ``generator``'s text, or without
+    one with their keywords by weight in ``chunks`` (``frequencies(token, df)``
+    of the chunks are computed when omitted).
     ``context_from_question`` (C3): the prompt context is retrieved with the
     question itself; the expanded-query hits are only reported (``n_docs``).
     ``retriever`` (U2) replaces the default exact cosine search: a callable
@@ -112,7 +130,13 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
                .select(qid, "ok", "reason", "intent", "method", "skip_rag",
                        F.lit(None).cast("string").alias("query"), F.lit(0).cast("long").alias("n_docs"),
                        F.col("response").alias("reply"), F.lit(None).cast("string").alias("prompt")))
-    go = expand_queries(routed.filter(~F.col("skip_rag")), text_col, "query", generator, expand)
+    go = routed.filter(~F.col("skip_rag"))
+    if expand and generator is None:
+        if frequencies is None:
+            frequencies = kw_ops.document_frequencies(chunks).checkpoint(eager=True)
+        go = expand_by_corpus(go, frequencies, chunks.count(), text_col)
+    else:
+        go = expand_queries(go, text_col, "query", generator, expand)
     if index is None:
         index = embed_ops.count_vectors(chunks.select("chunk_id", "text"), "text", "vec")
     def retrieve(col):
@@ -134,7 +158,7 @@ def answer_context(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     reported = None
     if context_from_question:
         reported = top.groupBy(F.col("qid").alias(qid)).agg(F.count(F.lit(1)).alias("_reported"))
-        if expand and generator is not None:  # otherwise the query is the question
+        if expand:  # otherwise the query is the question
             top = retrieve(text_col)
     hits = knn_ops.join_hits(top, chunks.select("chunk_id", "text")) \
         .select(F.col("qid").alias(qid), "rank", F.col("id").alias("chunk_id"), "text")

@@ -86,6 +86,12 @@ def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, df): in how many texts a token occurs; only partial counts of the vocabulary are shuffled."""
+    each = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("token"))
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def tfidf_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",
                    text_col: str = "text", n_docs: int | None = None) -> DataFrame:
     """P16 rows: (doc_id, rank, token, tf, df, score) with score = tf * ln(N / df).
@@ -98,7 +104,7 @@ def tfidf_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",
     tf = term_frequencies(docs, id_col, text_col)
     # words of nearly every document would be hot join keys: document frequencies are
     # broadcast while the vocabulary is within the bound
-    df_ = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).checkpoint(eager=True)
+    df_ = document_frequencies(docs, text_col).checkpoint(eager=True)
     side = F.broadcast(df_) if df_.count() <= BROADCAST_TOKENS else df_
     scored = (tf.join(side, "token")
               .withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))))
@@ -107,6 +113,24 @@ def tfidf_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",
             .select(id_col, F.col("rank").cast("long").alias("rank"), "token", "tf", "df", "score"))
 
 
+def corpus_keywords(texts: DataFrame, frequencies: DataFrame, n_docs: int, k: int = 10, id_col: str = "qid",
+                    text_col: str = "text") -> DataFrame:
+    """P16 of texts outside the corpus: (id, keywords), the k tokens of most tf * ln(n_docs / df), best first.
+
+    ``frequencies``: (token, df) of the corpus, as ``document_frequencies``
+    gives them; a token that the corpus lacks weighs as if one document had
+    it. Ties go by token. Texts without a token give no row. Ids must differ.
+    """
+    tf = texts.select(id_col, F.explode(words(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    side = F.broadcast(frequencies) if frequencies.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else frequencies
+    weight = F.col("tf") * F.log(F.lit(float(max(1, n_docs))) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
+    scored = tf.join(side, "token", "left").withColumn("_s", F.round(weight, 9))
+    w = Window.partitionBy(id_col).orderBy(F.col("_s").desc(), F.col("token"))
+    top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("_r", "token")))  # k entries
+    return top.groupBy(id_col).agg(F.transform(ordered, lambda x: x["token"]).alias("keywords"))
+
+
 # ------------------------------------------------------------------ TextRank
 def cooccurrence_edges(docs: DataFrame, window: int = 5, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:

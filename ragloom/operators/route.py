@@ -149,35 +149,46 @@ LEXICON_BROADCAST_ROWS = 200_000
 
 
 def keyword_join(texts: DataFrame, lexicon: DataFrame, id_col: str = "qid",
-                 text_col: str = "text") -> DataFrame:
-    """J2 for large lexicons ``(intent, intent_ord, keyword)`` as an equi join.
-
-    "keyword contained in text" is "some substring of the text equals the
-    keyword": every text is exploded into its substrings of exactly the
-    keyword lengths that occur in the lexicon, and those are hash-joined
-    with the keywords - no theta join, no unchecked broadcast. A keyword
-    counts once per text however often it occurs. Output: one row per text
-    with a hit - best intent by score desc, intent order asc.
+                 text_col: str = "text", strategy: str = "automaton") -> DataFrame:
+    """J2 for large lexicons ``(intent, intent_ord, keyword)``: best intent per text with a hit.
+
+    A keyword counts once per text however often it occurs, tenfold if it is
+    the text; best intent by score, ties by intent order. ``strategy``:
+    ``"automaton"`` reads every text once (``operators.automaton``);
+    ``"substrings"`` is the same in SQL functions only: every text is exploded
+    into its substrings of the keyword lengths, hash-joined with the keywords.
     """
-    lex = (lexicon.select("intent", "intent_ord", F.lower("keyword").alias("_kw"))
-           .filter(F.length("_kw") > 0).dropDuplicates(["intent", "_kw"]))
-    lengths = [r[0] for r in lex.select(F.length("_kw")).distinct().collect()]  # distinct lengths only
-    initials = [r[0] for r in lex.select(F.substring("_kw", 1, 1)).distinct().collect()]  # distinct characters only
+    lex = (lexicon.select("intent", F.col("intent_ord").cast("int").alias("intent_ord"), F.lower("keyword").alias("keyword"))
+           .filter(F.length("keyword") > 0).dropDuplicates(["intent", "keyword"]))
     t = texts.select(id_col, routing_text(F.col(text_col)).alias("_t"))
+    if strategy == "automaton":
+        from .automaton import keyword_scores as automaton_scores
+        scored = automaton_scores(t, lex, id_col, "_t")
+    elif strategy == "substrings":
+        scored = _substring_scores(t, lex, id_col)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "intent_ord")
+    return (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+            .drop("_rn", "intent_ord"))
+
+
+def _substring_scores(t: DataFrame, lex: DataFrame, id_col: str) -> DataFrame:
+    """"keyword contained in text" as an equi join: some substring of the text equals the keyword."""
+    lengths = [r[0] for r in lex.select(F.length("keyword")).distinct().collect()]  # distinct lengths only
+    initials = [r[0] for r in lex.select(F.substring("keyword", 1, 1)).distinct().collect()]  # distinct characters only
     # positions, then one substring per keyword length: plain (code-generated) projections
     pos = t.select(id_col, "_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))))
                    .alias("_p")).where(F.substring(F.col("_t"), F.col("_p"), F.lit(1)).isin(initials))
-    grams = pos.select(id_col, "_t", F.explode(F.array(*[F.substring(F.col("_t"), F.col("_p"), F.lit(size))
-                                                         for size in sorted(lengths)])).alias("_kw"))
-    # a keyword counts once per text: de-duplicate the (small) matched set
+    grams = pos.select(id_col, F.length("_t").alias("_n"), F.explode(F.array(*[
+        F.substring(F.col("_t"), F.col("_p"), F.lit(size)) for size in sorted(lengths)])).alias("keyword"))
+    # whether it is the whole text, instead of the text itself, goes on into the join
+    grams = grams.select(id_col, "keyword", (F.length("keyword") == F.col("_n")).alias("_whole"))
     # lexicon side broadcast only under a measured bound; otherwise a shuffle hash join
     lex_side = F.broadcast(lex) if lex.count() <= LEXICON_BROADCAST_ROWS else lex
-    hits = grams.join(lex_side, "_kw").dropDuplicates([id_col, "intent", "_kw"])
-    scored = (hits.groupBy(id_col, "intent", "intent_ord")
-              .agg(F.sum(F.when(F.col("_t") == F.col("_kw"), 10).otherwise(1)).alias("score")))
-    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "intent_ord")
-    return (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "intent_ord"))
+    # a keyword counts once per text: de-duplicate the (small) matched set
+    hits = grams.join(lex_side, "keyword").dropDuplicates([id_col, "intent", "keyword"])
+    return hits.groupBy(id_col, "intent", "intent_ord").agg(F.sum(F.when(F.col("_whole"), 10).otherwise(1)).alias("score"))
 
 
 def routing_profile(routed: DataFrame) -> DataFrame:

@@ -545,22 +545,37 @@ FROM top JOIN chunks ON chunks.chunk_id = top.id
 """
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
-def _corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The persisted index of the corpus (S4-S6): built and saved by the first query that needs it,
-    read by all others; (chunk_id, doc_id, chunk_no, text, source, vec)."""
+def _corpus_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the persisted index of the corpus (S4-S6) and of its document frequencies.
+
+    Built by the first query of a session that needs it, again if the files
+    of ``documents`` have changed (names, sizes, times).
+    """
     from ..session import scratch_path
-    from ..sources import index_store
-    key = (spark.sparkContext.applicationId, sf_dir)
-    found = index_store.load_index(spark, _INDEXES[key]) if key in _INDEXES else None
-    if found is None:
+    from ..sources import corpus, index_store
+    files = corpus.file_identity(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    if key not in _INDEXES:
+        root = scratch_path(spark, f"index-{uuid.uuid4().hex}")
         chunks = chunk_ops.chunk_documents_fixed(table(spark, sf_dir, "documents"))
-        _INDEXES[key] = scratch_path(spark, f"index-{uuid.uuid4().hex}")
-        index_store.save_index(spark, embed_ops.count_vectors(chunks, "text", "vec"), _INDEXES[key])
-        found = index_store.load_index(spark, _INDEXES[key])
-    return found
+        index_store.save_index(spark, embed_ops.count_vectors(chunks, "text", "vec"), f"{root}/chunks")
+        kw_ops.document_frequencies(index_store.load_index(spark, f"{root}/chunks")).write.parquet(f"{root}/frequencies")
+        _INDEXES[key] = root
+    return _INDEXES[key]
+
+
+def _corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the corpus with their vectors: (chunk_id, doc_id, chunk_no, text, source, vec)."""
+    from ..sources import index_store
+    return index_store.load_index(spark, f"{_corpus_root(spark, sf_dir)}/chunks")
+
+
+def _chunk_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, df) over the chunks of the corpus."""
+    return spark.read.parquet(f"{_corpus_root(spark, sf_dir)}/frequencies")
 
 
 def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int = EVAL_K) -> DataFrame:
@@ -898,8 +913,13 @@ def _answer_sql(route: bool, compress: bool, context_from_question: bool = False
 WITH v AS ({v}),
 r AS ({routed}),
 go0 AS (SELECT * FROM r WHERE NOT skip_rag),
-go AS (SELECT go0.*, go0.text AS query FROM go0),
 chunks AS ({FIXED_CHUNKS_SQL}),
+dfq AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM chunks) d GROUP BY token),
+tfq AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM go0) d GROUP BY ALL),
+rkq AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY
+          round(tf * ln((SELECT count(*) FROM chunks) / greatest(coalesce(df, 0), 1)), 9) DESC, token) AS r FROM tfq LEFT JOIN dfq USING (token)),
+kwq AS (SELECT item_id, string_agg(token, ' ' ORDER BY r) AS kw FROM rkq WHERE r <= 10 GROUP BY item_id),
+go AS (SELECT go0.*, coalesce(nullif({_clean_query_sql('kw')}, ''), go0.text) AS query FROM go0 LEFT JOIN kwq USING (item_id)),
 qtop AS ({_cosine_topk_sql("(SELECT item_id, query AS text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)}),
 top AS ({_cosine_topk_sql("(SELECT item_id, text FROM go)", "item_id", "chunks", "chunk_id", ANSWER_K)
          if context_from_question else "SELECT * FROM qtop"}),
@@ -927,7 +947,7 @@ def _answer(spark: SparkSession, sf_dir: str, route: bool, compress: bool,
     index = _corpus_index(spark, sf_dir)
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return ans_ops.answer_context(qs, index.select("chunk_id", "text"), index.select("chunk_id", "vec"), k=ANSWER_K, route=route, compress=compress,
-                                  terminators=WESTERN_TERMINATORS,
+                                  terminators=WESTERN_TERMINATORS, frequencies=_chunk_frequencies(spark, sf_dir),
                                   context_from_question=context_from_question)
 
 

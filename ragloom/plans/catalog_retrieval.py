@@ -67,3 +67,32 @@ def q_ivf_chunk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = embed_ops.count_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), "text", "embedding")
     exact = _benchmark_hits(spark, sf_dir, KNN_K).select("qid", F.col("chunk_id").alias("id"))
     return _recall(exact, index.search(asked, KNN_K), index.work(asked), int(index.rows.sum()))
+
+
+# ------------------------------------------------------------ J2 with a lexicon of the data
+#: Keywords taken from the corpus: its most frequent words of four letters or more.
+LEXICON_WORDS = 10_000
+
+_LEXICON_SQL = f"""
+SELECT w AS keyword, 'intent-' || ((length(w) * 31 + ascii(w)) % 7) AS intent, CAST((length(w) * 31 + ascii(w)) % 7 AS INT) AS intent_ord
+FROM (SELECT w, count(*) AS n FROM (SELECT {{words}} AS w FROM documents) x GROUP BY w ORDER BY n DESC, w LIMIT {LEXICON_WORDS}) y
+"""
+
+
+@register("keyword_join_corpus", oracle=f"""
+WITH lex AS ({_LEXICON_SQL.format(words="unnest(regexp_extract_all(lower(text), '[a-z]{4,}'))")}),
+t AS (SELECT doc_id, {S.strip('lower(text)')} AS t FROM documents),
+s AS (SELECT doc_id, intent, intent_ord, sum(CASE WHEN t = keyword THEN 10 ELSE 1 END) AS score
+      FROM t JOIN lex ON contains(t, keyword) GROUP BY doc_id, intent, intent_ord)
+SELECT doc_id, intent, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent_ord) = 1
+""")
+def q_keyword_join_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + W7 over whole documents with a lexicon of 10,000 words of the corpus, by Aho-Corasick."""
+    from ..operators import route as route_ops
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"))).alias("w")).groupBy("w").count()
+    top = words.orderBy(F.desc("count"), "w").limit(LEXICON_WORDS)
+    order = (F.length("w") * 31 + F.ascii("w")) % 7
+    lexicon = top.select(F.col("w").alias("keyword"), F.concat(F.lit("intent-"), order).alias("intent"), order.cast("int").alias("intent_ord"))
+    best = route_ops.keyword_join(docs, lexicon.checkpoint(eager=True), "doc_id", "text")
+    return best.select("doc_id", "intent", F.col("score").cast("long").alias("score"))

@@ -53,6 +53,13 @@ def scan_pages(pages: DataFrame, source_col: str = "source", page_col: str = "pa
                         F.col(text_col).alias("text"))
 
 
+def file_identity(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, length, modification time) of the files of a table, asked of the store that holds it; nothing is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def list_files(spark: SparkSession, path: str, globs=("*.pdf", "*.txt"),
                recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of matching files; file contents are not read."""

@@ -31,33 +31,37 @@ LEAST_OVERLAP = 0.6
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 #: A sampled line overlaps a template with LEAST_OVERLAP, or this many, of its bigrams.
 SHARED_BIGRAMS = 5
+#: One in so many sets of bigrams of sampled lines is held out, for the temperature.
+HELD_OUT = 5
 #: Weight of all sampled lines together, in training rows.
 SAMPLE_WEIGHT = 200.0
 
 
 def words(paragraph: Column) -> Column:
-    return F.regexp_extract_all(F.lower(paragraph), F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), F.lit(1))
+    """Words of a lower-cased text, dotted numbers with their dots; possessive, so that no token is searched twice or nested."""
+    return F.regexp_extract_all(paragraph, F.lit(r"([a-z0-9]++(?:\.[0-9]++)*+)"), F.lit(1))
 
 
-def bigrams(rows: DataFrame, paragraph: str, *keep: str) -> DataFrame:
-    """One row a bigram: the ``keep`` columns and ``gram``, the hash of two words in turn."""
-    split = rows.select(*keep, words(F.col(paragraph)).alias("w")).where(F.size("w") > 1)
-    return split.select(*keep, F.inline(F.arrays_zip(
+def _pairs(split: DataFrame, *keep: str) -> DataFrame:
+    """One row a bigram of the words in ``w``: the ``keep`` columns and ``gram``, the hash of two words in turn."""
+    return split.where(F.size("w") > 1).select(*keep, F.inline(F.arrays_zip(
         F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b")))).select(
             *keep, F.xxhash64("a", "b").alias("gram"))
 
 
+def bigrams(rows: DataFrame, paragraph: str, *keep: str) -> DataFrame:
+    return _pairs(rows.select(*keep, words(F.lower(F.col(paragraph))).alias("w")), *keep)
+
+
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row, doc_id, paragraph (from 1), line, seam: every line of every text; seam: its last word and the next line's first."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
-                       F.split(F.col(text), "\n").alias("lines"))
-    both = F.arrays_zip(F.col("lines").alias("line"), F.slice("lines", F.lit(2), F.size("lines")).alias("next"))
-    rows = rows.where("lines is not null").select("row", "doc_id", F.posexplode(both).alias("at", "x"))
-    word = r"[a-z0-9]+(?:\.[0-9]+)*"
-    last = F.regexp_extract(F.lower("x.line"), rf"({word})[^a-z0-9]*$", 1)
-    first = F.regexp_extract(F.lower("x.next"), rf"^[^a-z0-9]*({word})", 1)
-    return rows.select("row", "doc_id", (F.col("at") + 1).alias("paragraph"), F.col("x.line").alias("line"),
-                       F.concat_ws(" ", last, first).alias("seam"))
+    """row, doc_id, paragraph (from 1), w, seam: the words of every line of every text; seam: its last word and the next line's first."""
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
+        F.transform(F.split(F.lower(F.col(text)), "\n"), words).alias("lines"))
+    both = F.arrays_zip(F.col("lines").alias("w"), F.slice("lines", F.lit(2), F.size("lines")).alias("next"))
+    rows = rows.select("row", "doc_id", F.posexplode(both).alias("at", "x"))
+    seam = F.array_compact(F.array(F.try_element_at("x.w", F.lit(-1)), F.try_element_at("x.next", F.lit(1))))
+    return rows.select("row", "doc_id", (F.col("at") + 1).alias("paragraph"), F.col("x.w").alias("w"), seam.alias("seam"))
 
 
 def _examples(spark: SparkSession) -> list[tuple[int, str, str, bool]]:
@@ -109,9 +113,9 @@ class Scanner:
 
 def _hits(lines: DataFrame, vocabulary: DataFrame, *key: str) -> DataFrame:
     """``key`` columns, gram, seam: the bigrams of the vocabulary in every line and at its seam, materialised."""
-    parts = lines.select(*key, F.inline(F.array(F.struct(F.col("line").alias("part"), F.lit(False).alias("seam")),
-                                                F.struct(F.col("seam").alias("part"), F.lit(True).alias("seam")))))
-    return cut(bigrams(parts, "part", *key, "seam").join(F.broadcast(vocabulary), "gram"))
+    parts = lines.select(*key, F.inline(F.array(F.struct("w", F.lit(False).alias("seam")),
+                                                F.struct(F.col("seam").alias("w"), F.lit(True).alias("seam")))))
+    return cut(_pairs(parts, *key, "seam").join(F.broadcast(vocabulary), "gram"))
 
 
 def _runs(hits: DataFrame, templates: DataFrame) -> DataFrame:
@@ -143,9 +147,10 @@ def _plain(sample: DataFrame, vocabulary: DataFrame, templates: DataFrame) -> Da
     runs = _runs(every, templates).alias("r")
     inside = (F.col("h.row") == F.col("r.row")) & F.col("h.paragraph").between(F.col("r.paragraph"), F.col("r.until"))
     hits = every.where("not seam").groupBy(*key).agg(F.sort_array(F.collect_set("gram")).alias("g")).alias("h").join(runs, inside, "left_anti")
-    shared = F.size(F.array_intersect("g", "expected"))
-    overlaps = (shared >= SHARED_BIGRAMS) | (shared >= LEAST_OVERLAP * F.size("expected"))
-    found = hits.join(F.broadcast(templates), overlaps, "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    expected = templates.select("template", F.size("expected").alias("n"), F.explode("expected").alias("gram"))
+    shared = every.where("not seam").select(*key, "gram").distinct().join(F.broadcast(expected), "gram").groupBy(*key, "template", "n").count()
+    overlapping = shared.where((F.col("count") >= SHARED_BIGRAMS) | (F.col("count") >= LEAST_OVERLAP * F.col("n")))
+    found = hits.join(overlapping.select("row", "paragraph").distinct(), ["row", "paragraph"], "left_anti").groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
     none = lines.join(every.where("not seam"), ["row", "paragraph"], "left_anti").agg(F.array().cast("array<long>").alias("g"), F.count(F.lit(1)).alias("rows"))
     return found.unionByName(none)
 
@@ -170,6 +175,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scanne
     some = examples.join(grams.groupBy("n").agg(F.collect_list(F.col("gram").cast("string")).alias("g")), "n", "left").where("not held")
     some = some.select(label.alias("label"), F.coalesce("g", F.array().cast("array<string>")).alias("g"), F.lit(1.0).alias("weight"))
     plain = cut(_plain(sample, grams.select("gram").distinct(), templates))
+    kept_out = F.pmod(F.xxhash64("g"), F.lit(HELD_OUT)) == 0  # never of the lines without a bigram, which have no score
+    unseen = plain.where(kept_out & (F.size("g") > 0)).withColumn("n", F.monotonically_increasing_id() + F.lit(1 << 32))
+    plain = plain.where(~kept_out | (F.size("g") == 0))
     total = plain.agg(F.sum("rows")).first()[0] or 0
     plain = plain.select(F.lit(float(len(families) - 1)).alias("label"), F.transform("g", lambda x: x.cast("string")).alias("g"),
                          (F.col("rows") * (min(SAMPLE_WEIGHT, total) / max(1, total))).alias("weight"))
@@ -182,7 +190,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scanne
     weights = spark.createDataFrame([(int(g), [float(matrix[k, j]) for k in range(n)]) for j, g in enumerate(vocabulary)],
                                     "gram long, w array<double>")
     scanner = Scanner(families, weights, bias, 1.0, templates)
-    held = cut(scanner.scores(grams.where("held").select("n", "family", "gram"), "n", "family").withColumn(
+    asked = grams.where("held").select(F.col("n").cast("long").alias("n"), "family", "gram").unionByName(
+        unseen.select("n", F.lit(UNKNOWN).alias("family"), F.explode("g").alias("gram")))
+    held = cut(scanner.scores(asked, "n", "family").withColumn(
         "own", F.element_at("logits", F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("int"))))
     found = held.agg(*[F.avg(_log_loss(t)) for t in TEMPERATURES]).first()
     scanner.temperature = min((x, t) for x, t in zip(found, TEMPERATURES))[1]
@@ -193,13 +203,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scanner: S
     """doc_id, paragraph, family, probability, template, overlap, confirmed: one row a paragraph that is of a family.
 
     Paragraphs are the lines of a text, numbered from 1. Null and empty
-    texts and lines without two words give no rows; repeated rows of
-    ``docs`` give rows each; a null id stays null. Other columns are
-    ignored. A paragraph without a known bigram is of the unknown class.
+    texts, empty tables and lines without two words give no rows; lines and
+    tokens of any length are read once; repeated rows of ``docs`` give rows
+    each; a null id stays null. Other columns are ignored. A paragraph without a known bigram is of the unknown class.
     A run of lines gives a row, numbered by its first line, if it confirms a
     family that none of its lines confirms alone; unconfirmed rows of its
-    lines go. ``docs`` is read once and not shuffled; only bigrams of the
-    vocabulary are written and reach the aggregations.
+    lines go. ``docs`` is not shuffled; only bigrams of the vocabulary are
+    written and reach the aggregations. With a ready scanner ``docs`` is read
+    once; training reads it twice more, for a count and for the sample.
     """
     scanner = scanner or train(docs, doc_id, text)
     key = ("row", "doc_id", "paragraph")

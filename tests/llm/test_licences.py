@@ -1,4 +1,6 @@
+import itertools
 import math
+import re
 import textwrap
 
 import pytest
@@ -93,3 +95,85 @@ def test_blank_lines_part_notices(spark, scanner):
     docs = spark.createDataFrame([(1, "\n\n".join(lines), "en", "s", 1), (2, "Released under the MIT License.\n" + "\n".join(lines), "en", "s", 1)], DOCS)
     got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs, scanner=scanner).collect() if r["confirmed"])
     assert got == [(2, 1, "mit"), (2, 2, "gpl")]
+
+
+def plain_scan(docs, scanner, gram):
+    """The rows of ``scan`` in plain Python; ``gram`` maps two words to the hash the weights are keyed by."""
+    weights = {r["gram"]: r["w"] for r in scanner.weights.collect()}
+    templates = [(r["template"], r["of"], set(r["expected"])) for r in scanner.templates.collect()]
+
+    def judged(grams):
+        known = {g for g in grams if g in weights}
+        if not known:
+            return None
+        logits = [scanner.bias[k] + sum(weights[g][k] for g in known) for k in range(len(scanner.families))]
+        top = max(logits)
+        family = scanner.families[logits.index(top)]
+        p = 1 / sum(math.exp((x - top) / scanner.temperature) for x in logits)
+        if family == licences.UNKNOWN or p < licences.LEAST_PROBABILITY:
+            return None
+        share, template = max((len(known & e) / len(e), t) for t, of, e in templates if of == family)
+        return family, p, template, share, share >= licences.LEAST_OVERLAP
+
+    out = []
+    for doc_id, text in docs:
+        lines = [re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", x.lower()) for x in (text or "").split("\n")]
+        inner = [{gram(*p) for p in zip(w, w[1:])} for w in lines]
+        seams = [{gram(a[-1], b[0])} if a and b else set() for a, b in zip(lines, lines[1:])] + [set()]
+        single = {k: v for k, g in enumerate(inner) if (v := judged(g))}
+        runs = set()
+        for _, _, e in templates:
+            if len(e & set().union(*inner, *seams)) < licences.LEAST_OVERLAP * len(e):
+                continue
+            held = [k for k in range(len(lines)) if e & (inner[k] | seams[k])]
+            for _, island in itertools.groupby(enumerate(held), lambda x: x[1] - x[0]):
+                island = [k for _, k in island]
+                late = {g: max(k for k in island if g in inner[k] | seams[k]) for g in set().union(*(e & (inner[k] | seams[k]) for k in island))}
+                early = {g: min([k for k in island if g in inner[k]] + [k + 1 for k in island if g in seams[k]]) for g in late}
+                a, b = min(late.values()), max(early.values())
+                if len(late) >= licences.LEAST_OVERLAP * len(e) and a != b:
+                    runs.add((min(a, b), max(a, b)))
+        found = {}
+        for a, b in runs:
+            v = judged(set().union(*inner[a:b + 1], *seams[a:b]))
+            if v and v[4]:
+                found.setdefault(v[0], []).append((a, b, v))
+        kept = []
+        for family, some in found.items():
+            reach, notices = -1, []
+            for a, b, v in sorted(some, key=lambda x: x[:2]):
+                if not notices or a > reach:
+                    notices.append([])
+                notices[-1].append((a, b, v))
+                reach = max(reach, b)
+            for n in notices:
+                a, b, v = max(n, key=lambda x: (x[2][3], -x[1], x[0]))
+                if not any(s[4] and s[0] == family and a <= k <= b for k, s in single.items()):
+                    kept.append((a, b, v))
+        out += [(doc_id, k + 1, *v) for k, v in single.items() if v[4] or not any(a <= k <= b for a, b, _ in kept)]
+        out += [(doc_id, a + 1, *v) for a, _, v in kept]
+    return sorted((d, k, f, round(p, 9), t, round(s, 9), c) for d, k, f, p, t, s, c in out)
+
+
+def test_against_a_plain_scan(spark, scanner):
+    docs = [(k, t) for k, (t, _) in TEXTS.items()] + [(50, None), (51, "")]
+    docs += [(100 + 7 * k + j, f"{prose(k, 12)}\n{gap}" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + f"\n{prose(k + 9, 12)}")
+             for k, t in enumerate(WRAPPED.values()) for j, (width, mark, gap) in enumerate([(60, "", ""), (40, "# ", "\n"), (25, " * ", ""), (500, "", "")])]
+    rest = [x for texts in TEMPLATES.values() for t in texts for x in (t, t[:len(t) // 2], "\n".join(textwrap.wrap(t, 30)))]
+    docs += [(1000 + k, t) for k, t in enumerate(rest)] + [(9000, "\n".join(rest)), (9001, "version 1.2.3.\n2.0b of the license a.1b\n\n.5 ...")]
+    pairs = set()
+    for _, t in docs:
+        w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (t or "").lower())
+        pairs |= set(zip(w, w[1:]))
+    table = spark.createDataFrame(sorted(pairs), "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("g")).collect()
+    grams = {(r["a"], r["b"]): r["g"] for r in table}
+    assert len(grams) == len(pairs)
+    got = licences.scan(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], DOCS).repartition(4), scanner=scanner).collect()
+    got = sorted((r["doc_id"], r["paragraph"], r["family"], round(r["probability"], 9), r["template"], round(r["overlap"], 9), r["confirmed"]) for r in got)
+    assert got == plain_scan(docs, scanner, lambda a, b: grams[a, b])
+
+
+def test_long_tokens(spark, scanner):
+    texts = ["1" + ".1" * 100_000, "x" * 1_000_000, "a." * 200_000, "Released under the MIT License. " + "Q" * 500_000 + "\n" + "1.1." * 50_000]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs, scanner=scanner).collect()] == [(3, 1, "mit")]

@@ -30,6 +30,10 @@ BLOCK_LINES = 3
 SURGE = 80
 #: An article is a teaser, or the text outside articles a remnant, below this share of the other's characters.
 TEASER_SHARE = 0.25
+#: A class name or id that stands over more than this share of the text, and over a surge of it, is one of the layout.
+#: Comments may be longer than what they are about, so their names need more.
+LAYOUT_SHARE = 0.5
+COMMENT_SHARE = 0.9
 #: Share of link text from which a line outside a marked article counts as a menu.
 LINK_SHARE = 0.8
 
@@ -38,7 +42,7 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?][^>]*+>"
     r"|<[a-zA-Z/!?][^<>]*+\Z", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "math", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,44 +56,53 @@ _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsor
           "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "cookie", "cookies", "consent", "gdpr", "notice",
           "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related",
           "recommended", "comment", "comments", "reply", "replies", "disqus", "widget", "toolbar", "pagination", "pager"}
+_COMMENTS = {"comment", "comments", "reply", "replies", "disqus"}
 #: Page headers; inside an article a header holds its title.
 _HEADER_NAMES = {"header", "masthead", "banner", "topbar"}
 #: On the article element itself only these names speak against it.
 _NOT_ARTICLE = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "comment", "comments", "reply", "replies"}
 
 
-def _speaks_against(tag: str, attributes: str, in_article: bool) -> bool:
-    """The element, its role, class or id marks what is no main text."""
+def _evidence(tag: str, attributes: str, in_article: bool) -> tuple[bool, set[str]]:
+    """Whether the element's tag or role marks what is no main text, and those of its class names and ids that may."""
     if tag in _OUTSIDE or tag == "header" and not in_article:
-        return True
+        return True, set()
+    names: set[str] = set()
     if "=" not in attributes or tag in ("html", "body"):
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            found = value in _ROLES and tag not in _ARTICLE
-        else:
-            names = set(re.split(r"[^a-z]+", value))
-            found = bool(names & _NOT_ARTICLE if tag in _ARTICLE else names & _NAMES or not in_article and names & _HEADER_NAMES)
-        if found:
-            return True
-    return False
+        return False, names
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value, name = "".join(values).lower(), name.lower()
+        if name == "role":
+            if value.strip() in _ROLES and tag not in _ARTICLE:
+                return True, set()
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = set(re.split(r"[^a-z]+", token))
+                if words & _NOT_ARTICLE if tag in _ARTICLE else words & _NAMES or not in_article and words & _HEADER_NAMES:
+                    names.add(token)
+    return False, names
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, number of the outermost article or 0, in a part that is no main text, characters inside links) of every block."""
-    lines: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, speaks against, in article, in link
+    """(text, number of the outermost article or 0, in a part that is no main text, characters inside links) of every block.
+
+    A tag or role says of its element that it is no main text. A class name
+    or id only suspects: one that stands over most of the page's text is a
+    name of the layout and says nothing.
+    """
+    found: list[tuple[str, int, bool, frozenset[str], int]] = []
+    stack: list[tuple[str, bool, frozenset[str], int, bool]] = []  # tag, speaks against, suspicious names, in article, in link
     text: list[str] = []
     linked: list[str] = []
     against = in_link = False
+    suspects: frozenset[str] = frozenset()
     in_article = articles = 0
 
     def end_line() -> None:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                lines.append((joined, in_article, against, len(" ".join(entities.unescape("".join(linked)).split()))))
+                found.append((joined, in_article, against, suspects, len(" ".join(entities.unescape("".join(linked)).split()))))
             text.clear()
             linked.clear()
 
@@ -99,9 +112,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
             linked.append(piece)
 
     def pop_to(k: int) -> None:
-        nonlocal against, in_article, in_link
+        nonlocal against, suspects, in_article, in_link
         del stack[k:]
-        _, against, in_article, in_link = stack[-1] if stack else ("", False, 0, False)
+        _, against, suspects, in_article, in_link = stack[-1] if stack else ("", False, frozenset(), 0, False)
 
     at = 0
     while m := _MARKUP.search(html, at):
@@ -137,15 +150,28 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
                         break
             if tag == "body":  # a head that was never closed ends
                 pop_to(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
-            against = against or _speaks_against(tag, m[3], in_article)
+            sure, names = _evidence(tag, m[3], bool(in_article))
+            against, suspects = against or sure, suspects | names if names else suspects
             if not in_article and tag in _ARTICLE and not against:
                 in_article = articles = articles + 1
             in_link = in_link or tag == "a"
-            stack.append((tag, against, in_article, in_link))
+            stack.append((tag, against, suspects, in_article, in_link))
     if at < len(html):
         add(html[at:])
     end_line()
-    return lines
+    return _cleared(found)
+
+
+def _cleared(found: list[tuple[str, int, bool, frozenset[str], int]]) -> list[tuple[str, int, bool, int]]:
+    """Lines with the suspicious names judged by how much of the page's text they stand over."""
+    under: dict[str, int] = {}
+    for line, _, against, names, _ in found:
+        for name in names if not against else ():
+            under[name] = under.get(name, 0) + len(line)
+    whole = sum(len(line) for line, _, against, _, _ in found if not against)
+    guilty = {name for name, n in under.items()
+              if n <= max(SURGE, whole * (COMMENT_SHARE if set(re.split(r"[^a-z]+", name)) & _COMMENTS else LAYOUT_SHARE))}
+    return [(line, article, against or not guilty.isdisjoint(names), link) for line, article, against, names, link in found]
 
 
 def kept_lines(lengths: list[int], threshold: int, window: int = BLOCK_LINES) -> Iterator[int]:
@@ -191,8 +217,9 @@ def main_text(html: str | None, surge: int = SURGE) -> str:
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text in column ``out`` (replaced if it exists).
 
-    Null and empty html give an empty text. All rows and other columns stay;
-    no shuffle; a page is handled whole, one at a time.
+    Null and empty html give an empty text, an empty table none. All rows,
+    repeated ones too, and other columns stay; no shuffle; a page of any
+    length is handled whole, one at a time.
     """
     prepare(pages.sparkSession)
 

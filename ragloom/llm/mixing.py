@@ -39,6 +39,10 @@ def exponential_key(name: Column, weight: Column) -> Column:
     return -F.log(u) / weight
 
 
+#: The order in which a source's rows are taken; equal rows follow each other.
+_ORDER = ("key", "doc_id", "size", "row")
+
+
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
@@ -86,10 +90,10 @@ def _cuts(rows: DataFrame, weights, share: float, cap: int) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ends = _null_safe(sums.withColumn("base", F.sum("n").over(upto) - F.col("n")), plan.select("source", "rest"))
     ends = ends.where("rest > 0 and base < rest and base + n >= rest").select("source", "rest", "base", F.col("bucket").alias("last"))
-    inside = _null_safe(rows.select("source", "bucket", "key", "doc_id", "size"), ends).where("bucket = last")
-    run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = _null_safe(rows.select("source", "bucket", *_ORDER), ends).where("bucket = last")
+    run = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     taken = inside.withColumn("before", F.col("base") + F.sum("size").over(run) - F.col("size"))
-    taken = taken.where("2 * before + size <= 2 * rest").groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("end"))
+    taken = taken.where("2 * before + size <= 2 * rest").groupBy("source").agg(F.max(F.struct(*_ORDER)).alias("end"))
     return _null_safe(_null_safe(plan, ends.select("source", "last"), "left"), taken, "left").select(
         "source", "source_size", "target", "epochs", "last", "end")
 
@@ -99,15 +103,15 @@ def _decide(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     bounded = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = _null_safe(rows, F.broadcast(cuts) if bounded else cuts)
     inside = (F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last"))
-                                                  & (F.struct("key", "doc_id", "size") <= F.col("end")))
+                                                  & (F.struct(*_ORDER) <= F.col("end")))
     return joined.withColumn("copies", F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long"))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, source: str, *more: Column) -> DataFrame:
     t = F.col(text)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(t).alias("size"),
-                       exponential_key(id_key(F.col(doc_id), t), quality(t)).alias("key"), *more).withColumn(
-                           "bucket", _bucket(F.col("key")))
+                       exponential_key(id_key(F.col(doc_id), t), quality(t)).alias("key"),
+                       F.monotonically_increasing_id().alias("row"), *more).withColumn("bucket", _bucket(F.col("key")))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -116,10 +120,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     The document at which a target ends is taken if that brings the source
     nearer to its target. Null texts have size 0; a null source is a source
-    of its own, last in order; a row without an id is keyed by its text, and
-    rows equal in id and text share a key, so they are taken together. Rows
-    of an empty table: none. Other columns are ignored. Reruns agree, as the
-    keys are digests.
+    of its own, last in order; a row without an id is keyed by its text.
+    Rows equal in id and text share a key and are taken one by one, in the
+    order they are read. Rows of an empty table: none. Other columns are
+    ignored, whatever their names. Reruns agree, as the keys are digests.
     """
     rows = cut(_rows(docs, doc_id, text, source))
     out = _decide(rows, cut(_cuts(rows, weights, share, cap)))
@@ -131,7 +135,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The mix itself: every row of ``docs`` as often as it is taken, all columns kept.
 
     The texts are not shuffled: keys and sizes are computed where the rows
-    lie and compared with the decisions of their source.
+    lie and compared with the decisions of their source. ``docs`` is read
+    twice and must give its rows in one order, as a table does, or else how
+    many of some equal rows are taken may differ. Nulls, ties, repeated rows
+    and empty tables as in ``mix``.
     """
     cuts = cut(_cuts(cut(_rows(docs, doc_id, text, source)), weights, share, cap))
     wide = _rows(docs, doc_id, text, source, F.struct("*").alias("__row"))

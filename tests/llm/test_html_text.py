@@ -68,3 +68,26 @@ def test_articles_and_text_outside():
 def test_short_isolated_blocks():
     gap = "<nav>a</nav><nav>b</nav><nav>c</nav>"
     assert html_text.main_text(f"<p>Skip to text</p>{gap}<div>{BODY}</div>{gap}<p>Top of page</p>{gap}{CARD.format('card')}") == BODY_TEXT
+
+
+@pytest.mark.parametrize("wrapper", [
+    "class='site no-sidebar'", 'class="content has-sidebar"', "class=elementor-widget", "class='social-share-top'", "id=comments-enabled",
+    "title='the class=menu of it'", "class='page' title=\"a > b class='ad'\"", "data-role=navigation", "data-id='reply-7'"])
+def test_layout_names_do_not_silence_the_page(wrapper):
+    for page in (f"<nav>menu</nav><div {wrapper}><article>{BODY}</article></div><footer>f</footer>", f"<div {wrapper}>{BODY}</div>",
+                 f"<article><div {wrapper}>{BODY}</div></article>"):
+        assert html_text.main_text(page) == BODY_TEXT
+    blocks = "".join(f"<div {wrapper}>{x}</div>" for x in BODY.split("</p>") if x)  # a name on every block
+    assert html_text.main_text(f"<article>{blocks}</article>") == BODY_TEXT
+
+
+def test_names_still_mark_parts():
+    aside = f"<div class='sidebar'><p>{P}</p></div><section id='comments'><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p></section>"
+    assert html_text.main_text(f"<div class='layout has-sidebar'><article>{BODY}</article>{aside}</div>") == BODY_TEXT
+    assert html_text.main_text(f"<article>{BODY}{aside}</article>") == BODY_TEXT
+    assert html_text.main_text(f"<article><div data-id='reply-7'><p>a</p></div><div data-role='navigation'><p>b</p></div><div class=ad><p>c</p></div></article>") == "a\nb"
+
+
+def test_repeated_pages(spark):
+    df = spark.createDataFrame([(1, f"<div class='site no-sidebar'>{BODY}</div>")] * 3, "page_id long, html string")
+    assert [r["text"] for r in html_text.with_main_text(df).collect()] == [BODY_TEXT] * 3

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.llm import mixing
-from tests.llm.helpers import awkward, awkward_rows, empty
+from ragloom.llm.common import scratch
+from tests.llm.helpers import DOCS, awkward, awkward_rows, empty
 
 
 def plain(rows, weights=(3, 1, 2), share=1.5, cap=2):
@@ -43,19 +44,31 @@ def check(rows, got):
     size, total, target, key = plain(rows)
     assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in got) == Counter(
         (r[0], n, total[r[3]], round(float(target[r[3]]), 6)) for r, n in zip(rows, size))
-    taken = defaultdict(int)
-    by_id = {(r["doc_id"], r["size"], r["source_size"]): r for r in got}
+    copies_of = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["copies"]):
+        copies_of[r["doc_id"], r["size"], r["source_size"]].append(r["copies"])
     for s in total:
         mine = sorted((k, i) for i, k in enumerate(key) if rows[i][3] == s)
         epochs = int(target[s] // total[s]) if total[s] else 0
-        copies = [by_id[rows[i][0], size[i], total[s]]["copies"] for _, i in mine if size[i]]
-        assert set(copies) <= {epochs, epochs + 1} and copies == sorted(copies, reverse=True)  # a prefix in key order
-        taken[s] = sum(by_id[rows[i][0], size[i], total[s]]["taken"] for _, i in mine)
+        copies = [(size[i], copies_of[rows[i][0], size[i], total[s]].pop()) for _, i in mine]  # of equal rows the most first
+        sized = [c for n, c in copies if n]
+        assert set(sized) <= {epochs, epochs + 1} and sized == sorted(sized, reverse=True)  # a prefix in key order
         largest = max((size[i] for _, i in mine), default=0)
-        assert abs(taken[s] - target[s]) <= largest / 2 + 1e-6 or len({rows[i][0] for _, i in mine}) < len(mine)
+        assert abs(sum(n * c for n, c in copies) - target[s]) <= largest / 2 + 1e-6
     assert all(r["taken"] == r["size"] * r["copies"] <= 2 * r["size"] for r in got)
 
 
+def test_one_repeated_document_is_split(spark):
+    rows = [(7, "w " * 20, "en", "b", 1)] * 300 + [(k, "v " * 50, "en", "a", 1) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    check(rows, mixing.mix(df).collect())
+    path = scratch(spark, "repeated")
+    df.write.parquet(path)  # a table gives its rows in one order
+    per = mixing.mixed(spark.read.parquet(path)).groupBy("source").count().collect()
+    targets = {r["source_size"]: r["target"] for r in mixing.mix(df).collect()}
+    assert all(abs(r["count"] - (targets[2000] / 50 if r["source"] == "a" else targets[6000] / 20)) <= 0.5 for r in per) and len(per) == 2
+
+
 @pytest.mark.parametrize("buckets", [1, 4096])
 def test_awkward_rows_against_plain_sampling(spark, monkeypatch, buckets):
     monkeypatch.setattr(mixing, "BUCKETS", buckets)

@@ -200,9 +200,13 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = near_duplicates(docs, doc_id, text, **options)
     best = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))).alias("best"))
-    chosen = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash")).distinct()
-    whole = docs.select(F.col(doc_id).alias("__did"), F.xxhash64(text).alias("__th"), F.struct("*").alias("__row"))
-    held = whole.join(chosen, whole["__did"].eqNullSafe(chosen["__id"]) & (whole["__th"] == chosen["__hash"]), "left_semi")
-    # repeated rows: one of each (id, text); the join has dealt them out by these keys already
-    w = Window.partitionBy("__did", "__th").orderBy(F.lit(0))
-    return held.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("__row.*")
+    def keys(i: str, h: str) -> list:
+        return [F.coalesce(F.col(i), F.lit(0)).alias("__id"), F.col(i).isNull().alias("__none"), F.col(h).alias("__hash")]
+
+    chosen = best.select("best.doc_id", "best.text_hash").distinct().select(*keys("doc_id", "text_hash"))
+    whole = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__did"), F.xxhash64(text).alias("__th"))
+    whole = whole.select("__row", *keys("__did", "__th"))
+    # of repeated rows one goes on, cut to one a task before the texts are dealt out; the join keeps that dealing
+    w = Window.partitionBy("__id", "__none", "__hash").orderBy("__hash")
+    single = whole.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    return single.join(chosen, ["__id", "__none", "__hash"], "left_semi").select("__row.*")

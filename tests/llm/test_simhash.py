@@ -73,3 +73,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(3, 3), (None, 1), (2000, 1999)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{k: 0 for k in range(61)}, **{1000 + k: 1000 for k in range(50)}, 1999: 1999, 2000: 1999}
+
+
+def test_texts_are_shuffled_once_and_repeated_rows_are_cut_before(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one_of_each(awkward(spark).repartition(3))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = [line for line in plan.split("\n") if "Exchange hashpartitioning(__id" in line]
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert len(texts) == 2  # the rows with their texts, and the chosen keys

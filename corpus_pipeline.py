@@ -16,30 +16,42 @@ from ragloom.llm.common import input_table, remove, scratch
 from ragloom.llm.queries import token_rows
 
 
+#: A document goes if no learned language is at least as likely as all others together.
+LEAST_SCORE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language cannot be told (null text, or no letter in it)."""
+    """Drop the documents whose language cannot be told: null text, no letter in it, or no prediction of LEAST_SCORE.
+
+    Repeated rows are judged alike; an empty table, or one without a labelled
+    text to learn from, gives no rows. A column ``__language`` would be replaced.
+    """
     found = language_id.identify(docs, out="__language")
-    return found.where(F.col("__language.lang_pred") != language_id.UNKNOWN).drop("__language")
+    told = (F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)
+    return found.where(told).drop("__language")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each SimHash component the document with the smallest id."""
+    """Keep of each SimHash component the document with the smallest id; of repeated rows one, null ids last."""
     return simhash.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a twentieth or more of benchmark words."""
+    """Drop the documents that hold a twentieth or more of benchmark words; null and empty texts hold none.
+
+    Without a benchmark all stay. A column ``__hits`` would be replaced.
+    """
     found = decontaminate.with_hits(docs, input_table(spark, sf_dir, "benchmark"), out="__hits")
     return found.where(~F.col("__hits.contaminated")).drop("__hits")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take every document as often as the mix asks: repeated, once, or not at all."""
+    """Take every document as often as the mix asks: repeated, once, or not at all; texts without a word as often as their source's epochs."""
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the mix as token files and return what is read back from them."""
+    """Write the mix as token files and return what is read back from them; a null text holds the end id alone."""
     return token_rows(spark, docs)
 
 

@@ -1314,4 +1314,4 @@ def q_chunk_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "short_enough", "all_contained", F.size(F.array_except("w", "seen")).alias("lost_words"), "no_blank_edges"))
 
 
-from . import catalog_requests, catalog_retrieval  # noqa: E402,F401  (register their queries)
+from . import catalog_requests, catalog_retrieval, catalog_sources  # noqa: E402,F401  (register their queries)

@@ -97,25 +97,9 @@ def mark_loaded(files: DataFrame, batch_id: int) -> DataFrame:
 
 
 def load_pending(spark: SparkSession, inbox: str, root: str, **options) -> int:
-    """T1 over text files: S3 -> S1 -> S4 -> S6 -> S7; returns the number of files loaded.
-
-    The ledger below ``root`` is the archive: a file is read once, as it was
-    when it was listed. The index folder is published before the ledger, so
-    a job that dies in between loads its files again rather than never.
-    """
-    from . import index_store
-    ledger_path = f"{root}/ledger"
-    loaded = index_store._versions(spark, ledger_path, "batch_id=")
-    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path) if loaded else None
-    pending = pending_documents(spark, inbox, ledger).where(F.col("path").endswith(".txt")).checkpoint(eager=True)
-    n = pending.count()
-    if n:
-        docs, _ = scan_text_corpus(spark, inbox)
-        new = docs.join(pending.select(F.col("path").alias("source")), "source", "left_semi")
-        index_store.append_index(spark, index_store.build_index(new, **options), f"{root}/index")
-        batch = (loaded[-1] + 1) if loaded else 0
-        mark_loaded(pending, batch).drop("batch_id").write.parquet(f"{ledger_path}/batch_id={batch}")
-    return n
+    """T1 over text files: loads what is pending (``sources.ingest``); the number of files loaded."""
+    from . import ingest
+    return ingest.ingest(spark, inbox, root, **options)["loaded"]
 
 
 def write_clean_corpus(cleaned: DataFrame, out: str, root: str, mode: str = "overwrite") -> None:

@@ -14,6 +14,10 @@ rewritten and every row stays, as the reference does (``merge_index`` with
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +120,6 @@ def load_or_build_index(spark: SparkSession, root: str, corpus: DataFrame | None
         try:
             append_index(spark, build_index(new_docs, **kw), root)
             return load_index(spark, root)
-        except Exception as exc:  # reference behaviour: log, keep serving the old index
-            print(f"incremental load failed: {exc}")
+        except (PySparkException, Py4JError) as failed:  # a job or the store failed: the old index goes on
+            logging.getLogger(__name__).warning("incremental load failed: %s", failed)
     return idx

@@ -198,7 +198,7 @@ def _textrank_one(text: str | None, k: int, window: int, damping: float, iterati
         r = (1.0 - damping) + damping * np.bincount(dst, weights=frac * r[src], minlength=n)
     nodes = np.unique(src)
     names = np.array(sorted(vocab, key=vocab.get), dtype=object)
-    order = sorted(nodes.tolist(), key=lambda i: (-r[i], names[i]))[:k]
+    order = sorted(nodes.tolist(), key=lambda i: (-round(float(r[i]), 9), names[i]))[:k]  # equal up to rounding is a tie
     return [{"token": names[i], "weight": float(r[i])} for i in order]
 
 
@@ -234,7 +234,7 @@ def textrank_keywords(docs: DataFrame, k: int = 20, window: int = 5, damping: fl
                               (F.lit(1.0 - damping) + F.lit(damping) * F.col("_s")).alias("r"))
         if (it + 1) % checkpoint_every == 0:
             rank = rank.checkpoint(eager=True)
-    w = Window.partitionBy(id_col).orderBy(F.col("r").desc(), F.col("token"))
+    w = Window.partitionBy(id_col).orderBy(F.round("r", 9).desc(), F.col("token"))
     out = (rank.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
            .select(id_col, F.col("rank").cast("long").alias("rank"), "token",
                    F.col("r").alias("weight")))

@@ -45,9 +45,10 @@ def read_labelled_utterances(spark: SparkSession, files: list[str],
 
 def read_intent_cases(spark: SparkSession, path: str) -> DataFrame:
     """S10 + O4: (group, text, expected_intent, description) of all present groups."""
-    raw = spark.read.option("multiLine", True).json(path)
-    parts = [raw.select(F.lit(g).alias("group"), F.inline(F.col(g).cast(CASE_STRUCT)))
-             for g in CASE_GROUPS if g in raw.columns]
+    # with a schema the fields are taken by name, in whatever order the files hold them
+    raw = spark.read.schema(", ".join(f"{g} {CASE_STRUCT}" for g in CASE_GROUPS)).option("multiLine", True).json(path)
+    present = raw.agg(*[F.count(g).alias(g) for g in CASE_GROUPS]).first()
+    parts = [raw.select(F.lit(g).alias("group"), F.inline(g)) for g in CASE_GROUPS if present[g]]
     if not parts:
         raise ValueError("no case group found")
     out = parts[0]

@@ -35,7 +35,7 @@ def test_every_query_is_registered_with_docs():
         assert fn.__doc__, name
 
 
-ROWS_ONLY = {"chunks_recursive", "compress_textrank", "intent_model_report", "intent_top_probabilities",
+ROWS_ONLY = {"chunks_recursive", "intent_model_report", "intent_top_probabilities",
              "route_with_model", "ivf_probe_recall", "ivf_chunk_recall"}
 
 

@@ -49,6 +49,7 @@ def test_read_intent_cases(spark, tmp_path):
     p.write_text(json.dumps({"test_cases": [case, case], "edge_cases": [case]}, ensure_ascii=False))
     rows = labelled.read_intent_cases(spark, str(p)).collect()
     assert sorted(r["group"] for r in rows) == ["edge_cases", "test_cases", "test_cases"]
+    assert all((r["text"], r["expected_intent"], r["description"]) == ("你好", "greeting", "d") for r in rows)
 
 
 def test_parse_app_log(spark, tmp_path):

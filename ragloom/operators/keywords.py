@@ -132,24 +132,6 @@ def corpus_keywords(texts: DataFrame, frequencies: DataFrame, n_docs: int, k: in
 
 
 # ------------------------------------------------------------------ TextRank
-def cooccurrence_edges(docs: DataFrame, window: int = 5, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """Undirected weighted edges between tokens at most ``window - 1`` apart.
-
-    No self-join: each position pairs with the next ``window - 1`` tokens by
-    slicing its own token array.
-    """
-    toks = docs.select(id_col, words(F.col(text_col)).alias("_w"))
-    pos = toks.select(id_col, "_w", F.posexplode("_w").alias("_p", "a"))
-    nxt = pos.select(id_col, "a",
-                     F.explode(F.slice("_w", F.col("_p") + 2, window - 1)).alias("b"))
-    und = nxt.filter(F.col("a") != F.col("b")).select(
-        id_col, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    w = und.groupBy(id_col, "u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return w.select(id_col, "u", "v", "w").unionByName(
-        w.select(id_col, F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-
-
 WORD_RE = re.compile(r"[^\W\d_]+")
 _HAN = regex.compile(r"(\p{Han}+)")
 
@@ -166,28 +148,47 @@ TR_ARRAY = T.ArrayType(T.StructType([T.StructField("token", T.StringType()),
                                      T.StructField("weight", T.DoubleType())]))
 
 
-def _textrank_one(text: str | None, k: int, window: int, damping: float, iterations: int):
-    """Power iteration over one document's co-occurrence graph (edge lists, linear in edges)."""
-    if not text:
-        return []
-    toks = tokens(text)
-    if len(toks) < 2:
-        return []
-    vocab = {t: i for i, t in enumerate(sorted(set(toks)))}
+EDGE_ARRAY = T.ArrayType(T.StructType([T.StructField("u", T.StringType()), T.StructField("v", T.StringType()), T.StructField("w", T.DoubleType())]))
+
+
+def _graph(text: str | None, window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of one text in order of name, and its word graph: ends (u < v, positions of tokens) and weights of the edges."""
+    toks = tokens(text or "")
+    names = sorted(set(toks))
+    vocab = {t: i for i, t in enumerate(names)}
     ids = np.fromiter((vocab[t] for t in toks), dtype=np.int64, count=len(toks))
-    us, vs = [], []
+    packed = []
     for off in range(1, window):
         a, b = ids[:-off], ids[off:]
-        keep = a != b
-        us.append(np.minimum(a, b)[keep])
-        vs.append(np.maximum(a, b)[keep])
-    u = np.concatenate(us)
-    v = np.concatenate(vs)
+        apart = a != b
+        packed.append((np.minimum(a, b) * len(names) + np.maximum(a, b))[apart])
+    pair, w = np.unique(np.concatenate([np.zeros(0, np.int64), *packed]), return_counts=True)
+    return names, pair // max(1, len(names)), pair % max(1, len(names)), w.astype(np.float64)
+
+
+def cooccurrence_edges(docs: DataFrame, window: int = 5, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """Weighted edges (u, v, w), in both directions, between tokens at most ``window - 1`` apart.
+
+    A text's graph is counted inside its row: no self-join, and no token or
+    edge is shuffled.
+    """
+    @F.pandas_udf(EDGE_ARRAY)
+    def edges(s: pd.Series) -> pd.Series:
+        def one(text):
+            names, u, v, w = _graph(text, window)
+            return [{"u": names[x], "v": names[y], "w": n} for a, b in ((u, v), (v, u)) for x, y, n in zip(a.tolist(), b.tolist(), w.tolist())]
+        return s.map(one)
+
+    return docs.select(id_col, F.inline(edges(F.col(text_col))))
+
+
+def _textrank_one(text: str | None, k: int, window: int, damping: float, iterations: int):
+    """Power iteration over one document's co-occurrence graph (edge lists, linear in edges)."""
+    names, u, v, w = _graph(text, window)
     if len(u) == 0:
         return []
-    n = len(vocab)
-    pair, w = np.unique(u * n + v, return_counts=True)
-    u, v, w = pair // n, pair % n, w.astype(np.float64)
+    n = len(names)
     src = np.concatenate([u, v])
     dst = np.concatenate([v, u])
     wt = np.concatenate([w, w])
@@ -197,7 +198,6 @@ def _textrank_one(text: str | None, k: int, window: int, damping: float, iterati
     for _ in range(iterations):
         r = (1.0 - damping) + damping * np.bincount(dst, weights=frac * r[src], minlength=n)
     nodes = np.unique(src)
-    names = np.array(sorted(vocab, key=vocab.get), dtype=object)
     order = sorted(nodes.tolist(), key=lambda i: (-round(float(r[i]), 9), names[i]))[:k]  # equal up to rounding is a tie
     return [{"token": names[i], "weight": float(r[i])} for i in order]
 

@@ -226,3 +226,32 @@ SELECT qid, rank, chunk_id, n_sentences, compressed, before_chars, CAST(length(c
        round(CASE WHEN before_chars > 0 THEN (1.0 - length(compressed) / before_chars) * 100.0 ELSE 0.0 END, 6) AS ratio
 FROM ({_prefiltered_sql()}) c
 """
+
+
+# ------------------------------------------------------------------- M1, M2, S12 replayed
+@register("intent_model_replay", oracle="SELECT vec_id, true AS as_saved, true AS as_replayed, true AS ranked FROM embeddings")
+def q_intent_model_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M2 + M4 + S12 + W13: the model saved and loaded again, and its exported weights applied by column functions, give every
+    vector the intent and confidence of the model; are its three best probabilities in order."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    split = im.stratified_split(emb, "label", "vec_id", 0.2, 42).checkpoint(eager=True)
+    names = [f"class {r[0]}" for r in emb.select("label").distinct().orderBy("label").collect()]  # one row a class
+    model = im.train_intent_model(split.where("not is_test"), max_iter=100)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    im.save_model(model, path, spark, names)
+    again, classes = im.load_model(path, spark)
+    first = im.classify(model, emb, class_names=names).select("vec_id", "embedding", "intent", "confidence")
+    second = im.classify(again, emb, class_names=classes).select("vec_id", F.col("intent").alias("intent2"), F.col("confidence").alias("confidence2"), "probabilities")
+    weights = [(m.coefficients.toArray().tolist(), float(m.intercept)) for m in model.stages[-1].models]  # classes x dimensions numbers
+    margins = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in w]), lambda a, b: a * b), F.lit(b), lambda s, x: s + x) for w, b in weights]
+    replayed = first.withColumn("m", F.array(*margins)).withColumn("p", F.transform("m", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))))
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    best = F.array_position("m", F.array_max("m")).cast("int")
+    replayed = replayed.withColumn("as_replayed", (F.element_at(F.array(*[F.lit(n) for n in names]), best) == F.col("intent"))
+                                   & (F.abs(F.array_max("p") / total - F.col("confidence")) < 1e-9))
+    top = im.top_probabilities(F.col("probabilities"), 3)
+    ranked = (F.size(top) == min(3, len(names))) & (top[0]["value"] == F.array_max(F.map_values("probabilities"))) & F.forall(
+        F.sequence(F.lit(1), F.size(top) - 1), lambda i: F.get(top, i - 1)["value"] >= F.get(top, i)["value"])
+    both = replayed.join(second, "vec_id")
+    as_saved = (F.col("intent") == F.col("intent2")) & (F.col("confidence") == F.col("confidence2"))
+    return both.select("vec_id", as_saved.alias("as_saved"), "as_replayed", ranked.alias("ranked"))

@@ -33,7 +33,7 @@ ITEMS = [(1, prose(3, 60_000)[:400]), (10, "One, two THREE"), (2, prose(101, 27)
 @pytest.mark.parametrize("pass_bytes", [1 << 24, 600])
 def test_awkward_rows_against_plain_search(spark, pass_bytes):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS hits")
-    got = decontaminate.with_hits(awkward(spark, ("item_id", "spans")), benchmark, pass_bytes=pass_bytes).collect()
+    got = decontaminate.with_hits(awkward(spark, ("item_id", "spans", "__found", "__row")), benchmark, pass_bytes=pass_bytes).collect()
     assert len(got) == len(awkward_rows())
     for r in got:
         h = r["hits"]

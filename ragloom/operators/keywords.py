@@ -1,7 +1,7 @@
 """Keyword extraction: n-gram (P15), TF-IDF (P16) and TextRank.
 
 * P15 needs only the document itself, so it runs inside the document row
-  (an Arrow-batched pandas UDF counts the grams of each text): no shuffle.
+  (an Arrow UDF counts the grams of one text at a time): no shuffle.
 * P16 needs corpus document frequencies: term counts per (doc, token) are a
   partial/final aggregate, document frequencies a second aggregate joined
   back on the token (AQE splits hot tokens).
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,21 @@ BROADCAST_TOKENS = 1_000_000  # vocabulary rows (token, df) that may be broadcas
 
 GRAM_ARRAY = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()),
                                        T.StructField("n", T.LongType())]))
+#: Edges that leave a Python worker at a time (a few megabytes).
+EDGE_ROWS = 1 << 16
+
+
+def _lists(texts: pa.Array, found, names: list[str], types: list[pa.DataType]) -> pa.Array:
+    """A list of structs for every text: ``found(text)`` gives a list of dicts; one text is a Python string at a time."""
+    columns, ends = {n: [] for n in names}, [0]
+    for t in texts:
+        rows = found(t.as_py())
+        for n in names:
+            columns[n] += [r[n] for r in rows]
+        ends.append(ends[-1] + len(rows))
+    fields = [pa.field(n, t) for n, t in zip(names, types)]
+    struct = pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in fields], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
 
 
 def _top_grams(text: str | None, k: int, strip_re: re.Pattern) -> list[dict]:
@@ -64,9 +81,9 @@ def ngram_keywords_col(text_col: str = "text", k: int = 10,
     """
     strip_re = re.compile(strip_class)
 
-    @F.pandas_udf(GRAM_ARRAY)
-    def top_grams(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _top_grams(t, k, strip_re))
+    @F.arrow_udf(GRAM_ARRAY)
+    def top_grams(s: pa.Array) -> pa.Array:
+        return _lists(s, lambda t: _top_grams(t, k, strip_re), ["gram", "n"], [pa.string(), pa.int64()])
 
     return top_grams(F.col(text_col))
 
@@ -148,9 +165,6 @@ TR_ARRAY = T.ArrayType(T.StructType([T.StructField("token", T.StringType()),
                                      T.StructField("weight", T.DoubleType())]))
 
 
-EDGE_ARRAY = T.ArrayType(T.StructType([T.StructField("u", T.StringType()), T.StructField("v", T.StringType()), T.StructField("w", T.DoubleType())]))
-
-
 def _graph(text: str | None, window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of one text in order of name, and its word graph: ends (u < v, positions of tokens) and weights of the edges."""
     toks = tokens(text or "")
@@ -171,16 +185,41 @@ def cooccurrence_edges(docs: DataFrame, window: int = 5, id_col: str = "doc_id",
     """Weighted edges (u, v, w), in both directions, between tokens at most ``window - 1`` apart.
 
     A text's graph is counted inside its row: no self-join, and no token or
-    edge is shuffled.
+    edge is shuffled. Edges leave in batches of ``EDGE_ROWS``, however many a
+    text or a batch of texts has.
     """
-    @F.pandas_udf(EDGE_ARRAY)
-    def edges(s: pd.Series) -> pd.Series:
-        def one(text):
-            names, u, v, w = _graph(text, window)
-            return [{"u": names[x], "v": names[y], "w": n} for a, b in ((u, v), (v, u)) for x, y, n in zip(a.tolist(), b.tolist(), w.tolist())]
-        return s.map(one)
-
-    return docs.select(id_col, F.inline(edges(F.col(text_col))))
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([rows.schema[0], T.StructField("u", T.StringType()), T.StructField("v", T.StringType()), T.StructField("w", T.DoubleType())])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            names, held, parts = [], 0, []
+
+            def emptied() -> Iterator[pa.RecordBatch]:
+                at, u, v, w = (np.concatenate(x) for x in zip(*parts))
+                words_, strings = pa.array(names, pa.string()), texts.type
+                for s in range(0, len(at), EDGE_ROWS):
+                    cut = slice(s, s + EDGE_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(at[cut])), words_.take(pa.array(u[cut])).cast(strings),
+                         words_.take(pa.array(v[cut])).cast(strings), pa.array(w[cut])], names=[b.schema.names[0], "u", "v", "w"])
+
+            for i in range(b.num_rows):
+                toks, u, v, w = _graph(texts[i].as_py(), window)
+                if not len(u):
+                    continue
+                u, v = u + len(names), v + len(names)
+                names += toks
+                parts.append((np.full(2 * len(u), i), np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, w])))
+                held += 2 * len(u)
+                if held >= EDGE_ROWS:
+                    yield from emptied()
+                    names, held, parts = [], 0, []
+            if parts:
+                yield from emptied()
+
+    return rows.mapInArrow(edges, schema)
 
 
 def _textrank_one(text: str | None, k: int, window: int, damping: float, iterations: int):
@@ -208,16 +247,16 @@ def textrank_keywords(docs: DataFrame, k: int = 20, window: int = 5, damping: fl
     """P14 rows: (doc_id, rank, token, weight) after ``iterations`` damped updates.
 
     Each document's graph belongs to its own row, so the default
-    ``method="in_row"`` runs the iteration inside an Arrow-batched UDF (edge
+    ``method="in_row"`` runs the iteration inside an Arrow UDF (edge
     lists, no shuffle). ``method="iterative"`` is the DataFrame formulation:
     state is one row per (doc, token), every iteration a join with the edge
     table and an aggregate, lineage cut with a reliable ``checkpoint()``.
     Both give the same weights.
     """
     if method == "in_row":
-        @F.pandas_udf(TR_ARRAY)
-        def tr(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: _textrank_one(t, k, window, damping, iterations))
+        @F.arrow_udf(TR_ARRAY)
+        def tr(s: pa.Array) -> pa.Array:
+            return _lists(s, lambda t: _textrank_one(t, k, window, damping, iterations), ["token", "weight"], [pa.string(), pa.float64()])
         return (docs.select(id_col, F.posexplode(tr(F.col(text_col))).alias("_p", "_s"))
                 .select(id_col, (F.col("_p") + 1).cast("long").alias("rank"),
                         F.col("_s.token").alias("token"), F.col("_s.weight").alias("weight")))

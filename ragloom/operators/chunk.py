@@ -7,7 +7,8 @@ Two chunkers, both per document row (no shuffle):
   boundary present (blank line > newline > space > character); pieces are
   packed greedily; the trailing pieces of a chunk, up to ``overlap``
   characters, start the next one; chunks are stripped and empty ones
-  dropped. Runs as an Arrow-batched pandas UDF (linear per document).
+  dropped. Runs by ``mapInArrow``, a bounded piece of chunks at a time
+  (linear per document).
 * ``chunk_documents_fixed`` - fixed stride ``size - overlap`` with
   ``sequence`` + ``substr`` + ``posexplode``; pure SQL, used where an oracle
   must reproduce the chunks.
@@ -17,7 +18,9 @@ Metadata columns named in ``keep`` are copied to every chunk.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from ..functions import lexicon as L
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of chunks that leave a Python worker at a time.
+PIECE_CHARS = 1 << 20
 
 
 def chunk_id(doc_id, chunk_no) -> F.Column:
@@ -98,15 +103,34 @@ def chunk_documents(docs: DataFrame, size: int = L.CHUNK_SIZE, overlap: int = L.
                     id_col: str = "doc_id", text_col: str = "text", keep=("source", "page")) -> DataFrame:
     """P5: (chunk_id, doc_id, chunk_no, text, *keep) with boundary-aware chunks."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_text(t, size, overlap) if t is not None else [])
-
     keep = [c for c in keep if c in docs.columns]
-    return (docs.select(id_col, *keep, split(F.col(text_col)).alias("_c"))
-            .select(id_col, *keep, F.posexplode("_c").alias("chunk_no", "text"))
-            .select(chunk_id(id_col, "chunk_no").alias("chunk_id"),
-                    id_col, F.col("chunk_no").cast("long").alias("chunk_no"), "text", *keep))
+    rows = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
+    others = rows.schema.fields[:-1]
+    schema = T.StructType([*others, T.StructField("chunk_no", T.LongType()), T.StructField("text", T.StringType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, at, nos, found, held = b.column(b.num_columns - 1), [], [], [], 0
+
+            def piece() -> pa.RecordBatch:
+                row = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*(c.take(row) for c in b.columns[:-1]), pa.array(nos, pa.int64()), pa.array(found, texts.type)],
+                                                  names=[f.name for f in schema])
+
+            for i in range(b.num_rows):
+                for no, chunk in enumerate(split_text(texts[i].as_py() or "", size, overlap)):
+                    at.append(i)
+                    nos.append(no)
+                    found.append(chunk)
+                    held += len(chunk)
+                    if held >= PIECE_CHARS:
+                        yield piece()
+                        at, nos, found, held = [], [], [], 0
+            if at:
+                yield piece()
+
+    return (rows.mapInArrow(split, schema)
+            .select(chunk_id(id_col, "chunk_no").alias("chunk_id"), id_col, "chunk_no", "text", *keep))
 
 
 def chunk_documents_fixed(docs: DataFrame, size: int = L.CHUNK_SIZE,

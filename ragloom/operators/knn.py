@@ -26,6 +26,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +35,17 @@ from ..functions import lexicon as L
 
 # memory budget (float64 bytes) of the question / index block of one cogroup cell;
 # rows per block follow from the vector width, so wide vectors get fewer rows
-Q_BLOCK_BYTES = 64 * 1024 * 1024
-X_BLOCK_BYTES = 256 * 1024 * 1024
+Q_BLOCK_BYTES = 32 * 1024 * 1024
+X_BLOCK_BYTES = 64 * 1024 * 1024
 Q_BLOCK_ROWS = None  # derived from Q_BLOCK_BYTES unless given
 X_BLOCK_ROWS = None
 # broadcast strategy: question matrix at most this many rows and bytes
 BROADCAST_MAX_ROWS = 4096
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
-# bound on one question-by-chunk score matrix (elements)
-MAX_SCORE_ELEMENTS = 1 << 24
-# index rows scored per inner matrix product (bounds task memory)
-INNER_CHUNK = 4096
-PAIR_SLICE = 1 << 16  # candidate pairs recomputed at a time (bounds the gathered vectors)
+# questions and index rows scored per inner matrix product (bounds task memory)
+INNER_QUESTIONS = 512
+INNER_CHUNK = 2048
+PAIR_SLICE = 1 << 14  # candidate pairs recomputed at a time (bounds the gathered vectors)
 
 
 # --------------------------------------------------------------- column forms
@@ -86,50 +87,106 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
+def _arrow_matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow column as a matrix, without an object a row."""
+    if len(lists) == 0:
+        return np.zeros((0, 0))
+    sizes = pc.list_value_length(lists)
+    if lists.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py():
+        raise ValueError("all vectors must have the same length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), sizes[0].as_py())
+
+
+def _arrow_ids(ids: pa.Array) -> np.ndarray:
+    """Ids of an Arrow column; null ids as the smallest integer."""
+    return pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
+
+
 def _cell_topk(qids, Q, xids, X, k: int, exclude_self: bool, metric: str = "l2"):
     """Exact k nearest (distance, id) of each question row among the X rows.
 
     ``metric="cosine"`` returns ``-cos`` as the distance (ascending order is
     cosine descending); with integer-valued vectors it is exact.
     """
-    out_q, out_x, out_d = [], [], []
     if len(qids) == 0 or len(xids) == 0:
-        return out_q, out_x, out_d
-    qn = np.einsum("ij,ij->i", Q, Q)
-    best = None  # running top k of every question; ties beyond k go by id, so their number does not matter
-    margin = 8.0 * np.finfo(np.float64).eps * max(Q.shape[1], 1)
-    step = max(256, min(INNER_CHUNK, MAX_SCORE_ELEMENTS // max(len(qids), 1)))
-    for s in range(0, len(xids), step):
-        Xc = X[s:s + step]
-        xn = np.einsum("ij,ij->i", Xc, Xc)
-        if metric == "cosine":
-            approx = -_cos(Q @ Xc.T, qn[:, None] * xn[None, :])
-            slack = np.full(len(qids), margin)
+        return [], [], []
+    best = _Best(qids, Q, k, exclude_self, metric)
+    best.add(xids, X)
+    return best.rows()
+
+
+class _Best:
+    """The k nearest index rows of every question row among those added so far.
+
+    What the matrix product puts beyond a question's k-th best so far is not
+    looked at again, so few pairs are re-scored after the first rows. Memory:
+    one score matrix of INNER_QUESTIONS by INNER_CHUNK, k rows a question.
+    """
+
+    def __init__(self, qids, Q, k: int, exclude_self: bool, metric: str):
+        self.qids, self.Q, self.k, self.exclude_self, self.metric = qids, Q, k, exclude_self, metric
+        self.qn = np.einsum("ij,ij->i", Q, Q)
+        self.bound = np.full(len(qids), np.inf)  # distance of the k-th best so far; ties with it go by id
+        none = np.zeros(0, np.int64)
+        self.held = [(none, none, np.zeros(0)) for _ in range(0, len(qids), INNER_QUESTIONS)]  # question row, id, distance
+
+    def add(self, xids, X) -> None:
+        for s in range(0, len(xids), INNER_CHUNK):
+            Xc, ids = X[s:s + INNER_CHUNK], xids[s:s + INNER_CHUNK]
+            xn = np.einsum("ij,ij->i", Xc, Xc)
+            for a in range(0, len(self.qids), INNER_QUESTIONS):
+                self._met(a, ids, Xc, xn)
+
+    def rows(self):
+        """Question id, id and distance of all that is held."""
+        q, x, d = (np.concatenate(c) for c in zip(*self.held))
+        return self.qids[q], x, d
+
+    def _met(self, a: int, ids, Xc, xn) -> None:
+        part = slice(a, a + INNER_QUESTIONS)
+        Q, qn = self.Q[part], self.qn[part]
+        margin = 8.0 * np.finfo(np.float64).eps * max(Q.shape[1], 1)
+        approx = Q @ Xc.T
+        if self.metric == "cosine":
+            approx = -_cos(approx, qn[:, None] * xn[None, :])
+            slack = np.full(len(Q), margin)
         else:
-            approx = qn[:, None] + xn[None, :] - 2.0 * (Q @ Xc.T)
+            approx *= -2.0
+            approx += qn[:, None]
+            approx += xn[None, :]
             slack = margin * (qn + xn.max())  # rounding grows with the norms
-        if exclude_self:
-            approx[qids[:, None] == xids[None, s:s + step]] = np.inf
-        kk = min(k, Xc.shape[0])
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        qi, xj = np.nonzero((approx <= (kth + 2 * slack)[:, None]) & np.isfinite(approx))
+        if self.exclude_self:
+            approx[self.qids[part][:, None] == ids[None, :]] = np.inf
+        near = approx <= (self.bound[part] + 2 * slack)[:, None]
+        many = near.sum(axis=1) > max(self.k, 1)
+        if many.any():  # the k-th best of these rows alone is a bound as well
+            kk = min(self.k, len(ids))
+            kth = np.partition(approx[many], kk - 1, axis=1)[:, kk - 1]
+            near[many] &= approx[many] <= (kth + 2 * slack[many])[:, None]
+        qi, xj = np.nonzero(near & np.isfinite(approx))
         for p in range(0, len(qi), PAIR_SLICE):
-            best = _closest(best, qids, Q, qn, xids, X, qi[p:p + PAIR_SLICE], xj[p:p + PAIR_SLICE] + s, k, metric)
-    if best is None:
-        return out_q, out_x, out_d
-    return best["q"].to_numpy(), best["x"].to_numpy(), best["d"].to_numpy()
-
+            self._rescored(a, qi[p:p + PAIR_SLICE], xj[p:p + PAIR_SLICE], ids, Xc, xn)
 
-def _closest(best, qids, Q, qn, xids, X, qi, xj, k: int, metric: str) -> pd.DataFrame:
-    """``best`` with the pairs (qi, xj) at their exact distance, cut to k a question (distance, then id)."""
-    if metric == "cosine":
-        exact = -_cos(np.einsum("ij,ij->i", Q[qi], X[xj]), qn[qi] * np.einsum("ij,ij->i", X[xj], X[xj]))
-    else:
-        diff = Q[qi] - X[xj]
-        exact = np.einsum("ij,ij->i", diff, diff)
-    new = pd.DataFrame({"q": qids[qi], "x": xids[xj], "d": exact})
-    both = new if best is None else pd.concat([best, new])
-    return both.sort_values(["q", "d", "x"], kind="mergesort").groupby("q", sort=False).head(k)
+    def _rescored(self, a: int, qi, xj, ids, Xc, xn) -> None:
+        """Keep the pairs (qi, xj) by their exact distance, k a question (distance, then id)."""
+        q = qi + a
+        if self.metric == "cosine":
+            d = -_cos(np.einsum("ij,ij->i", self.Q[q], Xc[xj]), self.qn[q] * xn[xj])
+        else:
+            diff = self.Q[q] - Xc[xj]
+            d = np.einsum("ij,ij->i", diff, diff)
+        kept = d <= self.bound[q]
+        if not kept.any():
+            return
+        slot = a // INNER_QUESTIONS
+        q, x, d = (np.concatenate(c) for c in zip(self.held[slot], (q[kept], ids[xj[kept]], d[kept])))
+        order = np.lexsort((x, d, q))
+        q, x, d = q[order], x[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = place == self.k - 1
+        self.bound[q[last]] = d[last]
+        self.held[slot] = (q[place < self.k], x[place < self.k], d[place < self.k])
 
 
 def _cos(dot, norm_product):
@@ -209,14 +266,16 @@ def _broadcast_scan(spark, rows, x: DataFrame, k: int, exclude_self: bool,
 
     def scan(batches):
         qi, Qm = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qi) == 0:
-                continue
-            a, b, d = _cell_topk(qi, Qm, pdf["_id"].to_numpy(dtype=np.int64), _matrix(pdf["_v"]),
-                                 k, exclude_self, metric)
-            yield _cell_frame(a, b, d)
+        best = _Best(qi, Qm, k, exclude_self, metric) if len(qi) else None
+        seen = False
+        for b in batches:
+            for s in range(0, b.num_rows if best else 0, INNER_CHUNK):
+                part, seen = b.slice(s, INNER_CHUNK), True
+                best.add(_arrow_ids(part.column(0)), _arrow_matrix(part.column(1)))
+        if seen:
+            yield from _hits(best.rows()).to_batches()
 
-    return x.mapInPandas(scan, "qid long, id long, distance double")
+    return x.mapInArrow(scan, "qid long, id long, distance double")
 
 
 def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_self: bool,
@@ -242,13 +301,21 @@ def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_s
     x = (x.withColumn("_xb", F.pmod(F.xxhash64("_id"), F.lit(XB)).cast("long"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<bigint>"))))
 
-    def cell(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
-        return _cell_frame(*_cell_topk(qpdf["_id"].to_numpy(dtype=np.int64), _matrix(qpdf["_v"]),
-                                       xpdf["_id"].to_numpy(dtype=np.int64), _matrix(xpdf["_v"]),
-                                       k, exclude_self, metric))
+    def cell(qs: pa.Table, xs: pa.Table) -> pa.Table:
+        return _hits(_cell_topk(_arrow_ids(_column(qs, "_id")), _arrow_matrix(_column(qs, "_v")), _arrow_ids(_column(xs, "_id")),
+                                _arrow_matrix(_column(xs, "_v")), k, exclude_self, metric))
 
     return (q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb"))
-            .applyInPandas(cell, "qid long, id long, distance double"))
+            .applyInArrow(cell, "qid long, id long, distance double"))
+
+
+def _hits(found) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "distance"])
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    found = t[name].combine_chunks()
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
 HIT_BROADCAST_ROWS = 2_000_000

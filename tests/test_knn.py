@@ -101,3 +101,31 @@ def test_mmr_matches_greedy_definition(spark):
     for r in knn.mmr(df, k=3, lambda_mult=0.5).orderBy("qid", "mmr_rank").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     assert got == expected
+
+
+def test_few_pairs_are_scored_again(monkeypatch):
+    import numpy as np
+    from ragloom.operators import knn
+    r = np.random.default_rng(3)
+    x, q, seen = r.normal(size=(40_000, 8)), r.normal(size=(700, 8)), []
+    kept = knn._Best._rescored
+    monkeypatch.setattr(knn._Best, "_rescored", lambda self, a, qi, *rest: (seen.append(len(qi)), kept(self, a, qi, *rest)))
+    qi, xi, d = knn._cell_topk(np.arange(700), q, np.arange(40_000), x, 10, True)
+    # 10 * (1 + 1/2 + ... ) of 20 pieces a question are expected, 200 were scored before
+    assert sum(seen) < 700 * 60
+    for k in (0, 511, 512, 699):
+        full = ((q[k] - x) ** 2).sum(axis=1)
+        full[k] = np.inf
+        assert xi[qi == k].tolist() == np.lexsort((np.arange(40_000), full))[:10].tolist()
+        assert np.allclose(d[qi == k], np.sort(full)[:10])
+
+
+def test_null_ids_and_uneven_vectors():
+    import pyarrow as pa
+    import pytest
+    from ragloom.operators import knn
+    assert knn._arrow_ids(pa.array([3, None], pa.int64())).tolist() == [3, -2 ** 63]
+    assert knn._arrow_matrix(pa.array([[1.0], [2.0], [3.0]]).slice(1)).tolist() == [[2.0], [3.0]]
+    for bad in ([[1.0], None], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            knn._arrow_matrix(pa.array(bad))

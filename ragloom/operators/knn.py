@@ -251,11 +251,6 @@ def knn_join(questions: DataFrame, index: DataFrame, k: int = L.RETRIEVER_K,
     return top
 
 
-def _cell_frame(a, b, d) -> pd.DataFrame:
-    return pd.DataFrame({"qid": np.asarray(a, dtype=np.int64), "id": np.asarray(b, dtype=np.int64),
-                         "distance": np.asarray(d, dtype=np.float64)})
-
-
 def _broadcast_scan(spark, rows, x: DataFrame, k: int, exclude_self: bool,
                     metric: str) -> DataFrame:
     """Score every index partition against the broadcast question matrix
@@ -302,8 +297,7 @@ def _block_cogroup(spark, q: DataFrame, x: DataFrame, nq: int, k: int, exclude_s
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<bigint>"))))
 
     def cell(qs: pa.Table, xs: pa.Table) -> pa.Table:
-        return _hits(_cell_topk(_arrow_ids(_column(qs, "_id")), _arrow_matrix(_column(qs, "_v")), _arrow_ids(_column(xs, "_id")),
-                                _arrow_matrix(_column(xs, "_v")), k, exclude_self, metric))
+        return _hits(_cell_topk(*_ids_and_vectors(qs, "_id", "_v"), *_ids_and_vectors(xs, "_id", "_v"), k, exclude_self, metric))
 
     return (q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb"))
             .applyInArrow(cell, "qid long, id long, distance double"))
@@ -313,6 +307,10 @@ def _hits(found) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "distance"])
 
 
+def _ids_and_vectors(t: pa.Table, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    return _arrow_ids(_column(t, ids)), _arrow_matrix(_column(t, vectors))
+
+
 def _column(t: pa.Table, name: str) -> pa.Array:
     found = t[name].combine_chunks()
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found

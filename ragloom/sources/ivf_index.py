@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,10 @@ FILE_ROWS = 200_000
 CALIBRATION_ROWS = 200
 TARGET_RECALL = 0.97
 CALIBRATION_K = 10
+#: Rows whose distances to all lists are held at a time.
+PIECE_ROWS = 512
+#: Pairs of a question (with its vector) and a list that leave a Python worker at a time.
+PROBED_ROWS = 4096
 #: Covers the rounding of distances where lists are skipped.
 _SLACK = 1e-9
 
@@ -64,6 +69,13 @@ def _distances(m: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.nda
     return d, margin / np.maximum(np.maximum(d, np.sqrt(margin)), np.finfo(np.float64).tiny)
 
 
+def _pieces(batches):
+    """The batches in pieces of at most PIECE_ROWS rows, so that a piece's distances to all lists stay small."""
+    for b in batches:
+        for at in range(0, len(b), PIECE_ROWS):
+            yield b.iloc[at:at + PIECE_ROWS]
+
+
 def number_of_lists(rows: int, dims: int) -> int:
     return max(1, min(MAX_LISTS, CENTROID_BYTES // (8 * max(1, dims)), round(math.sqrt(rows))))
 
@@ -81,7 +93,7 @@ def fit_centroids(vectors: DataFrame, rows: int, lists: int, x_id: str, x_vec: s
     sample = _sampled(vectors, rows, SAMPLE_ROWS, x_id, x_vec, seed).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
 
     def unit(batches):
-        for b in batches:
+        for b in _pieces(batches):
             yield pd.DataFrame({"v": list(_unit(knn._matrix(b["v"]), metric))})
 
     points = sample.select("v").mapInPandas(unit, "v array<double>").select(array_to_vector("v").alias("features")).cache()
@@ -119,7 +131,7 @@ def build(vectors: DataFrame, root: str, x_id: str = "chunk_id", x_vec: str = "e
 
     def assign(batches):
         c, parts = shared.value
-        for b in batches:
+        for b in _pieces(batches):
             if len(b):
                 d, off = _distances(_unit(knn._matrix(b["vec"]), metric), c)
                 at = d.argmin(axis=1)
@@ -164,7 +176,7 @@ class IvfIndex:
         """
         questions = questions.checkpoint(eager=True)
         hits = knn.knn_join(questions, self.vectors(), k=k, q_vec="vec", x_id="id", x_vec="vec", metric=self.metric, exclude_self=True)
-        places = self._probes(questions, len(self.lists), place=True).select("qid", "list", "place")
+        places = self._probes(questions, len(self.lists), place=True)
         owner = knn.join_hits(hits.select("qid", "id"), self.vectors().select(F.col("id").alias("chunk_id"), F.col("list").cast("long").alias("list")))
         needed = owner.join(places, ["qid", "list"]).groupBy("place").count().orderBy("place").collect()  # a row a list at most
         total, seen, found = sum(r["count"] for r in needed), 0, 1
@@ -182,18 +194,23 @@ class IvfIndex:
         return found if lists is None else found.where(F.col("list").isin(lists))
 
     def _probes(self, questions: DataFrame, probes: int, place: bool = False) -> DataFrame:
-        """qid, vec, list for the nearest lists of every question; ``place``: with the list's place among them, from 0."""
+        """qid, vec, list for the nearest lists of every question; ``place``: instead of the vector the list's place among them, from 0."""
         shared, metric = self.spark.sparkContext.broadcast((self.centroids, self.lists)), self.metric
 
         def near(batches):
             c, names = shared.value
-            for b in batches:
-                if len(b):
-                    at = np.argsort(_distances(_unit(knn._matrix(b["vec"]), metric), c)[0], axis=1, kind="stable")[:, :probes]
-                    out = b.loc[b.index.repeat(at.shape[1])].assign(list=names[at].ravel())
-                    yield out.assign(place=np.tile(np.arange(at.shape[1]), len(b))) if place else out
-
-        return questions.select("qid", "vec").mapInPandas(near, "qid long, vec array<double>, list long" + ", place int" * place)
+            for b in _pieces(batches):
+                at = np.argsort(_distances(_unit(knn._matrix(b["vec"]), metric), c)[0], axis=1, kind="stable")[:, :probes]
+                n = at.shape[1]
+                few = max(1, PROBED_ROWS // max(1, n))
+                for s in range(0, len(b), few):
+                    some, lists = b.iloc[s:s + few], names[at[s:s + few]].ravel()
+                    if place:
+                        yield pd.DataFrame({"qid": some["qid"].to_numpy().repeat(n), "list": lists, "place": np.tile(np.arange(n), len(some))})
+                    else:
+                        yield some.loc[some.index.repeat(n)].assign(list=lists)
+
+        return questions.select("qid", "vec").mapInPandas(near, "qid long, list long, place int" if place else "qid long, vec array<double>, list long")
 
     def _others(self, probed: DataFrame, hits: DataFrame, k: int) -> DataFrame:
         """qid, vec, list for lists not probed that may hold a neighbour nearer than, or as near as, the k-th hit."""
@@ -203,7 +220,7 @@ class IvfIndex:
 
         def reachable(batches):
             c, names, radius = shared.value
-            for b in batches:
+            for b in _pieces(batches):
                 if len(b):
                     d, off = _distances(_unit(knn._matrix(b["vec"]), metric), c)
                     # fewer than k hits: every list may hold one
@@ -211,7 +228,8 @@ class IvfIndex:
                     may = (d - off - radius[None, :]) * (1 - _SLACK) - _SLACK <= limit
                     may &= ~np.stack([np.isin(names, s) for s in b["seen"]])
                     i, j = np.nonzero(may)
-                    yield b.iloc[i][["qid", "vec"]].assign(list=names[j])
+                    for s in range(0, len(i), PROBED_ROWS):  # a row holds a vector
+                        yield b.iloc[i[s:s + PROBED_ROWS]][["qid", "vec"]].assign(list=names[j[s:s + PROBED_ROWS]])
 
         return asked.mapInPandas(reachable, "qid long, vec array<double>, list long")
 
@@ -235,12 +253,19 @@ class IvfIndex:
             shared = self.spark.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v, np.float64)) for n, (i, v) in by_list.items()})
 
             def scan(batches):
+                best: dict[int, knn._Best] = {}
                 for b in batches:
-                    for n, g in b.groupby("list"):
-                        ids, q = shared.value[n]
-                        yield knn._cell_frame(*knn._cell_topk(ids, q, g["id"].to_numpy(np.int64), knn._matrix(g["vec"]), k, exclude_self, metric))
-
-            return vectors.mapInPandas(scan, schema)
+                    for s in range(0, b.num_rows, knn.INNER_CHUNK):
+                        part = b.slice(s, knn.INNER_CHUNK)
+                        ids, vecs, lists = knn._arrow_ids(part.column(0)), knn._arrow_matrix(part.column(1)), part.column(2).to_numpy()
+                        for n in np.unique(lists).tolist():
+                            if n not in best:
+                                best[n] = knn._Best(*shared.value[n], k, exclude_self, metric)
+                            best[n].add(ids[lists == n], vecs[lists == n])
+                for found in best.values():
+                    yield from knn._hits(found.rows()).to_batches()
+
+            return vectors.mapInArrow(scan, schema)
         parts = np.maximum(1, -(-self.rows // FILE_ROWS))
         table = self.spark.createDataFrame([(int(n), int(p)) for n, p in zip(self.lists, parts)], "list long, parts long")
         spread = F.broadcast(table)  # at most MAX_LISTS rows
@@ -248,12 +273,11 @@ class IvfIndex:
         right = vectors.withColumn("list", F.col("list").cast("long")).join(spread, "list").withColumn(
             "part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
-        def cell(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            return knn._cell_frame(*knn._cell_topk(q["qid"].to_numpy(np.int64), knn._matrix(q["vec"]), x["id"].to_numpy(np.int64),
-                                                   knn._matrix(x["vec"]), k, exclude_self, metric))
+        def cell(q: pa.Table, x: pa.Table) -> pa.Table:
+            return knn._hits(knn._cell_topk(*knn._ids_and_vectors(q, "qid", "vec"), *knn._ids_and_vectors(x, "id", "vec"), k, exclude_self, metric))
 
         return (left.select("qid", "vec", "list", "part").groupBy("list", "part")
-                .cogroup(right.select("id", "vec", "list", "part").groupBy("list", "part")).applyInPandas(cell, schema))
+                .cogroup(right.select("id", "vec", "list", "part").groupBy("list", "part")).applyInArrow(cell, schema))
 
     def _top(self, scored: DataFrame, k: int) -> DataFrame:
         """k best hits; ``distance`` is squared L2 (of the unit vectors for the cosine metric)."""

@@ -89,3 +89,19 @@ def test_calibrated_probes_reach_recall(spark, name):
     import __spark_entry__ as E
     got = E.queries()[name](spark, "/root/testdata/sf0.01").agg(F.sum("found"), F.sum("hits"), F.max("share")).first()
     assert got[0] >= 0.9 * got[1] and got[2] < 1
+
+
+def test_places_come_without_vectors_and_pieces_are_bounded(spark):
+    import pandas as pd
+    import numpy as np
+    index = ivf_index.IvfIndex.__new__(ivf_index.IvfIndex)
+    index.spark, index.metric = spark, "l2"
+    index.centroids, index.lists = np.arange(5000.0)[:, None], np.arange(5000)
+    asked = spark.createDataFrame([(7, [3.2]), (8, [4999.0])], "qid long, vec array<double>").coalesce(1)
+    placed = index._probes(asked, 5000, place=True)
+    assert placed.columns == ["qid", "list", "place"]  # a vector for every list of every question before
+    near = placed.where("place < 2").orderBy("qid", "place").collect()
+    assert [(r["qid"], r["list"]) for r in near] == [(7, 3), (7, 4), (8, 4999), (8, 4998)]
+    assert index._probes(asked, 3).count() == 6
+    big = pd.DataFrame({"x": range(2 * ivf_index.PIECE_ROWS + 1)})
+    assert [len(b) for b in ivf_index._pieces([big])] == [ivf_index.PIECE_ROWS] * 2 + [1]

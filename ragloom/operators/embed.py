@@ -1,9 +1,8 @@
 """Embedding (P8) and the embedder plug-in surface.
 
 An ``Embedder`` turns a batch of texts into a float matrix; ``embed`` runs it
-as an Arrow iterator pandas UDF, so the embedder is built once per task
-and fed batches sized by ``spark.sql.execution.arrow.maxRecordsPerBatch``
-(or ``batch_size``).
+as an Arrow iterator UDF, so the embedder is built once per task and fed at
+most ``BATCH`` texts at a time.
 
 No model weights ship with this repository. The default embedder hashes
 character trigrams of the lower-cased text into ``dim`` buckets and counts
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +31,8 @@ DIM = 512
 GRAM = 3
 MULT = 7919
 MOD = 1000003
+#: Texts embedded at a time: Python strings and a float64 matrix of so many rows are held.
+BATCH = 1024
 
 
 class Embedder(Protocol):
@@ -93,12 +94,16 @@ def embed_col(text: str | Column, embedder_factory=None, dtype: str = "float") -
     np_type = np.float32 if dtype == "float" else np.float64
     spark_type = T.ArrayType(T.FloatType() if dtype == "float" else T.DoubleType())
 
-    @F.pandas_udf(spark_type)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(spark_type)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         emb = factory()
-        for s in batches:
-            m = emb.embed(s.tolist()).astype(np_type)
-            yield pd.Series(list(m))
+        for texts in batches:
+            parts, ends = [np.zeros(0, np_type)], [np.zeros(1, np.int32)]
+            for a in range(0, len(texts), BATCH):
+                m = np.ascontiguousarray(emb.embed(texts.slice(a, BATCH).to_pylist()), dtype=np_type)
+                ends.append(ends[-1][-1] + np.arange(1, len(m) + 1, dtype=np.int32) * m.shape[1])
+                parts.append(m.ravel())
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends)), pa.array(np.concatenate(parts)))
 
     return run(F.col(text) if isinstance(text, str) else text)
 

@@ -1051,7 +1051,7 @@ def _stream_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
 def _events_stream(spark: SparkSession, sf_dir: str):
     from ..streaming import jobs
     schema = table(spark, sf_dir, "events").schema
-    return jobs.table_stream(spark, sf_dir, "events.parquet", schema, max_files_per_trigger=1)
+    return jobs.one_table_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema, max_files_per_trigger=1)
 
 
 @register("stream_window_counts", oracle=f"""
@@ -1094,10 +1094,10 @@ def q_stream_screen_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
     out, ck = _stream_dirs(spark, "screen")
     schema = table(spark, sf_dir, "conversations").schema
-    conv = jobs.table_stream(spark, sf_dir, "conversations.parquet", schema)
+    conv = jobs.one_table_stream(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", schema)
     s = jobs.stream_screen(conv.filter(F.col("role") == "user").select("conv_id", "turn", "text"))
     jobs.run_available(s.writeStream.format("parquet").option("path", out), ck)
-    return spark.read.parquet(out)
+    return spark.read.schema(s.schema).parquet(out)
 
 
 @register("stream_incremental_index", oracle=f"""

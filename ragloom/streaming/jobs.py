@@ -48,6 +48,16 @@ def table_stream(spark: SparkSession, directory: str, file_glob: str, schema: T.
     return r.load(directory)
 
 
+def one_table_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A file stream over one Parquet table, be it a file or a folder of files."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    # a pattern that only this name matches: for a plain path the source takes a file for the base folder of its partitions
+    return r.parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def run_available(query_builder, checkpoint: str):
     """Start with ``trigger(availableNow=True)`` and wait for the end."""
     q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -96,3 +96,16 @@ def test_late_rows_side_count(spark, tmp_path):
     jobs.late_rows_side_count(stream, out, str(tmp_path / "ck"), delay_seconds=120)
     late = {r["batch_id"]: r["late_rows"] for r in spark.read.parquet(out + "/late").collect()}
     assert sorted(late.values()) == [0, 1]
+
+
+def test_a_table_that_is_a_folder_streams_like_a_file(spark, tmp_path):
+    from ragloom.streaming import jobs
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {tuple(r) for r in E.queries()["stream_screen_questions"](spark, SF_SMALL).collect()}
+    got = E.queries()["stream_screen_questions"](spark, str(tmp_path)).collect()  # failed before
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    stream = jobs.one_table_stream(spark, str(tmp_path / "events.parquet"), schema, max_files_per_trigger=1)
+    jobs.run_available(stream.select("event_id").writeStream.format("parquet").option("path", str(tmp_path / "out")), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()

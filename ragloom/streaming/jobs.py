@@ -71,6 +71,7 @@ def incremental_index(docs_stream: DataFrame, out_root: str, checkpoint: str,
                       embedder_factory=None):
     """Append chunks + vectors of every new document batch to the index."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)  # a few files are few tasks
         chunker = chunk_ops.chunk_documents_fixed if fixed else chunk_ops.chunk_documents
         chunks = chunker(batch, size, overlap)
         idx = embed_ops.embed(chunks, "text", "embedding", embedder_factory)

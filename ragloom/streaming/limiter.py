@@ -91,12 +91,13 @@ class FixedWindow(StatefulProcessor):
             for _, ids in _requests(rows):
                 yield _rows(ids, None, True)
             return
-        held = self.first.get() if self.first.exists() else None
+        held = self.first.get()  # None if there is none: every call to the state is a round trip
         us, ids = (np.array(x, np.int64) for x in (held or ([], [])))
         for more_us, more_ids in _requests(rows):  # what is over the limit already cannot pass any more
             us, ids = np.concatenate([us, more_us]), np.concatenate([ids, more_ids])
             order = np.lexsort((ids, us))
-            yield _rows(ids[order[self.limit:]], False, False)
+            if len(order) > self.limit:
+                yield _rows(ids[order[self.limit:]], False, False)
             us, ids = us[order[:self.limit]], ids[order[:self.limit]]
         if held is None and len(us):
             self.handle.registerTimer(end)
@@ -104,9 +105,10 @@ class FixedWindow(StatefulProcessor):
             self.first.update((us.tolist(), ids.tolist()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.first.exists():
-            yield _rows(self.first.get()[1], True, False)
-        self.first.clear()
+        held = self.first.get()
+        if held is not None:
+            yield _rows(held[1], True, False)
+            self.first.clear()
 
     def close(self) -> None:
         pass

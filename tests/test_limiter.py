@@ -85,3 +85,40 @@ def test_state_of_a_window_is_its_earliest_requests():
     chunks = (pd.DataFrame({"req_us": [100 - k, 500], "req_id": [k, 1000 + k], "beat": [False, False]}) for k in range(50))
     refused = [i for out in p.handleInputRows((1, 0), chunks, Clock()) for i in out["event_id"]]
     assert p.first.value == ([51, 52], [49, 48]) and len(refused) == 98 and p.handle.timer == 60_000
+
+
+def test_a_group_costs_no_frame_and_no_state_call_it_does_not_need():
+    import pandas as pd
+
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, v):
+            self.calls.append("update")
+            self.value = v
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+    p = limiter.FixedWindow(60_000_000, 2)
+    p.init(Handle())
+    rows = iter([pd.DataFrame({"req_us": [1], "req_id": [9], "beat": [False]})])
+    assert list(p.handleInputRows((1, 0), rows, Clock())) == []  # an empty frame before
+    assert [i for out in p.handleExpiredTimer((1, 0), None, None) for i in out["event_id"]] == [9]
+    assert list(p.handleExpiredTimer((1, 0), None, None)) == []
+    assert State.calls == ["get", "update", "get", "clear", "get"]

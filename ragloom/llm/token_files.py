@@ -45,7 +45,9 @@ SHARD_TOKENS = 4_000_000
 #: Text encoded in one step; longer texts are cut at white space.
 _STEP = 1 << 20
 #: Encoded words that a Python worker remembers, in each of two generations.
-_REMEMBER = 300_000
+_REMEMBER = 100_000
+#: Rows of a batch whose texts are lower-cased and encoded at a time.
+_ROWS = 1000
 #: Shards whose offsets are broadcast (three numbers each); more are joined by shuffle.
 BROADCAST_SHARDS = 100_000
 
@@ -321,7 +323,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
             data = pack_shard(part, shard, ids, np.array(ends, np.uint64), np.concatenate(pieces))
             return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             for d, got in zip(b.column(0).to_pylist(), enc.batch(b.column(1))):
                 ids.append(d)
                 pieces += [got, closing]

@@ -73,3 +73,14 @@ def test_empty(spark):
     path = scratch(spark, "tokens")
     token_files.write_token_files(empty(spark), path, PATH, 2)
     assert token_files.read_documents(spark, path).count() == 0
+
+
+def test_an_encoder_remembers_a_bounded_number_of_words():
+    import public_tokenizers
+    from ragloom.llm import token_files
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = token_files.Encoder(f.read(), True)
+    letters = "abcdefghijklmnopqrst"
+    for k in range(45):  # 6,000 words at a time; up to 600,000 were held before
+        enc._learn({(a + b + c + d).encode() for a in letters[:15] for b in letters for c in letters for d in (f"x{k:02d}",)})
+    assert max(len(enc.young), len(enc.old)) <= 106_001 and len(enc.young) + len(enc.old) > 6_000

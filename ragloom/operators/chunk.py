@@ -9,9 +9,9 @@ Two chunkers, both per document row (no shuffle):
   characters, start the next one; chunks are stripped and empty ones
   dropped. Runs by ``mapInArrow``, a bounded piece of chunks at a time
   (linear per document).
-* ``chunk_documents_fixed`` - fixed stride ``size - overlap`` with
-  ``sequence`` + ``substr`` + ``posexplode``; pure SQL, used where an oracle
-  must reproduce the chunks.
+* ``chunk_documents_fixed`` - fixed stride ``size - overlap`` with one
+  ``regexp_extract_all`` a text + ``posexplode``; pure SQL, used where an
+  oracle must reproduce the chunks.
 
 Metadata columns named in ``keep`` are copied to every chunk.
 """
@@ -136,18 +136,20 @@ def chunk_documents(docs: DataFrame, size: int = L.CHUNK_SIZE, overlap: int = L.
 def chunk_documents_fixed(docs: DataFrame, size: int = L.CHUNK_SIZE,
                           overlap: int = L.CHUNK_OVERLAP, id_col: str = "doc_id",
                           text_col: str = "text", keep=("source", "page")) -> DataFrame:
-    """P5 fixed-stride variant: chunk i covers characters [i*step, i*step + size)."""
+    """P5 fixed-stride variant: chunk i covers characters [i*step, i*step + size).
+
+    One pass over a text cuts all of its chunks: ``substr`` would count the
+    characters before a chunk again for every chunk, quadratic in long texts.
+    """
     step = size - overlap
     n = F.length(F.col(text_col))
     count = F.when(n.isNull() | (n == 0), F.lit(0)).otherwise(
         F.lit(1) + F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(step)).cast("int"))
     keep = [c for c in keep if c in docs.columns]
-    t = F.col(text_col)
-    return (docs.select(id_col, *keep, t.alias("_t"), count.alias("_n"))
+    # a match moves on by one step and shows what lies ahead of it; past the last chunk there are only parts of it
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), 1)
+    return (docs.select(id_col, *keep, F.col(text_col), count.alias("_n"))
             .filter(F.col("_n") > 0)
-            .select(id_col, *keep, "_t",
-                    F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_no"))
+            .select(id_col, *keep, F.posexplode(F.slice(pieces, F.lit(1), F.col("_n"))).alias("chunk_no", "text"))
             .select(chunk_id(id_col, "chunk_no").alias("chunk_id"),
-                    id_col, F.col("chunk_no").cast("long").alias("chunk_no"),
-                    F.col("_t").substr(F.col("chunk_no") * step + 1, F.lit(size)).alias("text"),
-                    *keep))
+                    id_col, F.col("chunk_no").cast("long").alias("chunk_no"), "text", *keep))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -43,6 +44,25 @@ def test_fixed_chunks_cover_text(spark):
     assert rebuilt == text and all(r["source"] == "s" for r in rows)
 
 
+def test_fixed_chunks_of_a_long_text_take_one_pass(spark):
+    import time
+    line = "a line of words \U0001F600 é 中\r\n"
+    df = spark.createDataFrame([(1, 700_000), (2, 0)], "doc_id long, n int").selectExpr("doc_id", f"repeat('{line}', n) AS text")
+    start = time.monotonic()
+    rows = chunk.chunk_documents_fixed(df, 800, 150).selectExpr("doc_id", "chunk_no", "md5(text) AS digest").collect()
+    assert time.monotonic() - start < 60  # minutes when every chunk was sought from the start of the text
+    text = line * 700_000
+    want = [hashlib.md5(text[650 * i:650 * i + 800].encode()).hexdigest() for i in range(1 + -(-(len(text) - 800) // 650))]
+    assert [(r["doc_id"], r["chunk_no"], r["digest"]) for r in sorted(rows, key=lambda r: r["chunk_no"])] == [(1, i, d) for i, d in enumerate(want)]
+
+
+@pytest.mark.parametrize("n", [1, 149, 150, 650, 651, 799, 800, 801, 1450, 1451, 2100])
+def test_fixed_chunks_end_where_the_text_ends(spark, n):
+    text = "".join(chr(97 + i % 23) for i in range(n))
+    got = chunk.chunk_documents_fixed(spark.createDataFrame([(1, text)], "doc_id long, text string"), 800, 150).collect()
+    assert [r["text"] for r in got] == [text[650 * i:650 * i + 800] for i in range(1 + max(0, -(-(n - 800) // 650)))]
+
+
 def test_recursive_chunks_in_spark(spark):
     text = "\n\n".join(("para %d " % i) * 30 for i in range(6))
     df = spark.createDataFrame([(7, text, "s")], "doc_id long, text string, source string")

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tasks a slot that a folder of many small files is read in, and bytes of a task beyond that.
+SCAN_WAVES = 4
+SCAN_BYTES = 128 << 20
+
 LEDGER_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),
@@ -27,6 +31,14 @@ def doc_id_of(path_col) -> F.Column:
     return F.xxhash64(path_col)
 
 
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """Small files packed by their bytes: the planner takes each for four megabytes, so a folder of many would be thousands
+    of tasks, with as many files written behind them."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(SCAN_WAVES * files.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES))
+    return files.coalesce(tasks)
+
+
 def scan_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt",
                      recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """One document per file -> (documents, rejects).
@@ -35,8 +47,8 @@ def scan_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt",
     """
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", str(recursive).lower()).load(path))
-    staged = raw.select(F.col("path").alias("source"), F.col("content"),
-                        F.is_valid_utf8(F.col("content")).alias("_ok"))
+    staged = _few_tasks(raw).select(F.col("path").alias("source"), F.col("content"),
+                                    F.is_valid_utf8(F.col("content")).alias("_ok"))
     docs = (staged.filter("_ok")
             .select(doc_id_of(F.col("source")).alias("doc_id"), "source",
                     F.col("content").cast("string").alias("text"))

@@ -120,3 +120,12 @@ def test_merge_index_replace(spark):
     rep = {r["chunk_id"] for r in index_store.merge_index(cur, new, on_conflict="replace").collect()}
     app = {r["chunk_id"] for r in index_store.merge_index(cur, new).collect()}
     assert rep == {2, 3} and app == {1, 2, 3}
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for k in range(2000):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    docs, rejects = corpus.scan_text_corpus(spark, str(tmp_path))
+    slots = spark.sparkContext.defaultParallelism
+    assert docs.rdd.getNumPartitions() <= corpus.SCAN_WAVES * slots < 2000 // 32 + 1  # one task for every 32 files before
+    assert sorted(r[0] for r in docs.select("text").collect()) == sorted(f"text {k}" for k in range(2000)) and rejects.count() == 0

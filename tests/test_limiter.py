@@ -122,3 +122,70 @@ def test_a_group_costs_no_frame_and_no_state_call_it_does_not_need():
     assert [i for out in p.handleExpiredTimer((1, 0), None, None) for i in out["event_id"]] == [9]
     assert list(p.handleExpiredTimer((1, 0), None, None)) == []
     assert State.calls == ["get", "update", "get", "clear", "get"]
+
+
+def test_a_bucket_of_keys_costs_one_entry_a_slice_and_batch():
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        def __init__(self, calls, value=None):
+            self.calls, self.value = calls, value
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, v):
+            self.calls.append("update")
+            self.value = v
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+    class Map:
+        def __init__(self, calls):
+            self.calls, self.held = calls, {}
+
+        def getValue(self, k):
+            self.calls.append("getValue")
+            return self.held[k]
+
+        def updateValue(self, k, v):
+            self.calls.append("updateValue")
+            self.held[k] = v
+
+        def removeKey(self, k):
+            self.calls.append("removeKey")
+            del self.held[k]
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers = [], []
+
+        def getValueState(self, *_):
+            return State(self.calls)
+
+        def getMapState(self, *_):
+            return Map(self.calls)
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    class Timer:
+        def getExpiryTimeInMs(self):
+            return 15_000
+    handle = Handle()
+    p = limiter.MovingWindow(60_000_000, 1, 15_000_000)
+    p.init(handle)
+    n = 1000  # keys, two requests each; a few calls a key before
+    rows = pd.DataFrame({"key": [f'{{"user_id":{k % n}}}' for k in range(2 * n)], "req_us": np.arange(2 * n), "req_id": np.arange(2 * n), "beat": False})
+    assert list(p.handleInputRows((0,), iter([rows]), Clock())) == []
+    out = pd.concat(p.handleExpiredTimer((0,), Clock(), Timer()))
+    assert out["event_id"].tolist() == list(range(2 * n)) and out["allowed"].tolist() == [True] * n + [False] * n
+    assert len(handle.calls) <= 10 and handle.timers == [15_000, 75_000] and not p.waiting.held

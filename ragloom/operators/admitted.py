@@ -1,80 +1,101 @@
 """Moving-window limit that counts admitted requests only (W10), in batch.
 
 A request is admitted if fewer than ``limit`` admitted requests of its key
-lie in the window before it. That is a recursion along the key's time line;
-here it is closed by pointer doubling, so a key of any size costs a number
-of joins that grows with the logarithm of its admitted requests.
-
-Number a key's requests 0, 1, ... in time order and let ``later(x)`` be the
-first request at least a window after request x. The admitted requests are
-a(0) = 0 and a(c) = max(a(c - 1) + 1, later(a(c - limit))), and
-
-    far(c, x) = max over c = steps + limit * jumps of x moved by so many
-                steps (x -> x + 1) and jumps (x -> later(x)) in any order
-
-gives a(c) = far(c, 0). Every way of cost c + d passes a node after a cost
-in (c - limit, c], so far(c + d, x) = max over p in that range of
-far(c + d - p, far(p, x)). A table of far(c, .) at 2 * limit - 1 consecutive
-costs around C gives the one around 2 C by an equi join of requests with
-requests, and the admitted requests of cost up to C those up to 2 C.
+lie in the window before it. That is a recursion along the key's time line,
+and all that it remembers is the last ``limit`` admitted instants.
+
+Requests are sorted once, by range of (key, instant), into pieces of bounded
+size. A walk over a piece goes from one admitted request to the next by
+binary search. Keys that begin in a piece are walked at once, all pieces side
+by side. A key that goes on in further pieces is walked there in rounds: the
+second piece of every such key, then the third, each from the instants that
+the piece before left. Every round reads only its own pieces, so all rounds
+together read a request once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timex import micros
-from .traffic import MICROS, running_sum
-
-#: Beyond the last request of a key.
-_END = (1 << 63) - 1
-#: The running count of requests is taken in this many buckets a window.
-_BUCKETS = 4
-
-
-def _numbered(req: DataFrame, width: int, key_cols, ts: str, id_col: str) -> DataFrame:
-    """_row, _k, _x (place in the key's time order), _later (place of the first request a window later).
-
-    Requests and the instants a window after them are counted in one running
-    sum, cut into buckets of time, so a busy key is many tasks.
-    """
-    base = req.select("_row", F.struct(*key_cols).alias("_k"), F.col(id_col).alias("_id"), micros(ts).alias("_t")).where("_t is not null")
-    marks = base.withColumn("_m", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("_at", F.col("_t") + (1 - F.col("_m")) * width)
-    marks = marks.withColumn("_bucket", F.floor(F.col("_at") / max(1, width // _BUCKETS)))
-    # at one instant what ends there is counted before what arrives
-    run = running_sum(marks, "_m", ["_at", "_m", "_id", "_row"], "_bucket", part_cols=["_k"], out="_n")
-    return run.groupBy("_row", "_k").agg(F.max(F.when(F.col("_m") == 1, F.col("_n") - 1)).alias("_x"),
-                                         F.max(F.when(F.col("_m") == 0, F.col("_n"))).alias("_later"))
-
-
-def _first_table(nodes: DataFrame, limit: int) -> DataFrame:
-    """_k, _x, _far: far(c, x) for the costs c = 1 .. 2 limit - 1."""
-    # the node x + a tells x where its own jump leads
-    near = nodes.select("_k", "_x", "_later", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))).alias("_a"))
-    near = near.select("_k", (F.col("_x") - F.col("_a")).alias("_x"), "_a", "_later").where("_x >= 0")
-    jumps = near.groupBy("_k", "_x").agg(*[F.max(F.when(F.col("_a") == a, F.col("_later"))).alias(f"_j{a}") for a in range(limit)])
-
-    def far(c: int) -> Column:
-        ways = [F.col("_x") + c] + [F.coalesce(F.col(f"_j{a}") + (c - limit - a), F.lit(_END)) for a in range(c - limit + 1)]
-        return F.greatest(*ways) if len(ways) > 1 else ways[0]
-
-    return jumps.select("_k", "_x", F.array(*[far(c) for c in range(1, 2 * limit)]).alias("_far"))
-
-
-def _doubled(table: DataFrame, limit: int) -> DataFrame:
-    """The table around 2 C from the one around C; entry i of a table is cost C + i - limit + 1."""
-    size = 2 * limit - 1
-    ways = table.select("_k", "_x", F.posexplode("_far").alias("_p", "_y"))
-    on = table.select(F.col("_k").alias("_k2"), F.col("_x").alias("_y2"), F.col("_far").alias("_on"))
-    met = ways.join(on, (F.col("_k") == F.col("_k2")) & (F.col("_y") == F.col("_y2")), "left")
-
-    def total(i: int) -> Column:
-        # costs C + p - limit + 1 and C + q - limit + 1 add up to 2 C + i - limit + 1
-        q = F.lit(i + limit - 1) - F.col("_p")
-        return F.max(F.when(q.between(0, size - 1), F.coalesce(F.get("_on", q), F.lit(_END))))
-
-    return met.groupBy("_k", "_x").agg(F.array(*[total(i) for i in range(size)]).alias("_far")).where(F.exists("_far", lambda y: y < _END))
+from ..session import scratch_path
+from .traffic import MICROS
+
+#: Requests of a piece, about; small tables are cut into a piece a task slot.
+PIECE_ROWS = 500_000
+
+
+def _step(at: list[int], start: int, stop: int, last: list[int], width: int, limit: int) -> list[int]:
+    """Positions in [start, stop) of one key's ordered instants that are admitted; ``last`` (admitted before, in order) goes on."""
+    out, i = [], start
+    while i < stop:
+        if len(last) >= limit:
+            i = bisect_left(at, last[-limit] + width, i, stop)
+            if i == stop:
+                break
+        out.append(i)
+        last.append(at[i])
+        del last[:-limit]
+        i += 1
+    return out
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; null is a value."""
+    a, b = column.slice(1), column.slice(0, max(0, len(column) - 1))
+    other = pc.fill_null(pc.not_equal(a, b), False)
+    return pc.or_(other, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
+def _walk(keys: list[str], width: int, limit: int):
+    """Admitted rows of a sorted piece, every key from its first request."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k) for k in keys]
+            new = np.any([_changes(c) for c in cols], axis=0)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            at, found = b.column("_t").to_pylist(), []
+            if held != tuple(c[0].as_py() for c in cols):
+                last = []
+            for start, stop in zip(starts, [*starts[1:], len(at)]):
+                if start:
+                    last = []
+                found += _step(at, start, stop, last, width, limit)
+            held = tuple(c[len(at) - 1].as_py() for c in cols)
+            yield b.take(pa.array(found, pa.int64()))
+    return walk
+
+
+def _spans(pieces: DataFrame, keys: list[str]) -> list[tuple]:
+    """(piece, key, round) of the keys that a piece goes on with; one row a piece at most."""
+    piece = F.shiftright("_o", 33).alias("_piece")
+    ends = pieces.groupBy(piece).agg(F.min("_o").alias("lo"), F.max("_o").alias("hi"))
+    ends = ends.select("_piece", F.explode(F.array("lo", "hi")).alias("_end"))
+    found = pieces.select(F.col("_o").alias("_end"), *keys).join(F.broadcast(ends.distinct()), "_end")  # two rows a piece at most
+    keys_at = {}
+    for r in sorted(found.collect(), key=lambda r: r["_end"]):
+        keys_at.setdefault(r["_piece"], []).append(tuple(r[k] for k in keys))
+    spans, before, turn = [], None, 0
+    for at, own in keys_at.items():
+        if own[0] == before:
+            turn += 1
+            spans.append((at, *own[0], turn))
+        if own[-1] != before:
+            before, turn = own[-1], 0
+    return spans
 
 
 def moving_window_admitted(req: DataFrame, width_seconds: int, limit: int, key_cols=("user_id", "event_type"),
@@ -84,29 +105,58 @@ def moving_window_admitted(req: DataFrame, width_seconds: int, limit: int, key_c
     Requests of a key are taken in the order of (instant, id); rows with equal
     ids are requests of their own. Null keys are a key like any other; a
     request without an instant has no verdict (null). ``limit`` 0 admits none.
-    Other columns stay. No requests: none.
+    Other columns stay. No requests: none. Keys are told apart by the text of
+    their columns.
 
-    Everything is keyed by (key, place in time), so a key that holds a third of
-    all requests is spread like any other rows; each doubling is checkpointed.
+    A key that holds a third of all requests is cut into pieces like any other
+    rows; a task holds a piece at most, and the driver the keys at the ends of
+    pieces and their last ``limit`` admitted instants.
     """
+    spark, width = req.sparkSession, width_seconds * MICROS
     rows = req.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
     if limit < 1:
         return rows.withColumn("allowed", F.when(F.col(ts).isNotNull(), F.lit(False))).drop("_row")
-    nodes = _numbered(rows, width_seconds * MICROS, key_cols, ts, id_col).checkpoint(eager=True)
-    table = _first_table(nodes, limit).checkpoint(eager=True)
-    # _c: how many requests of the key are admitted before this one
-    found = nodes.where(F.col("_x") < limit).select("_k", "_x", F.col("_x").alias("_c"))
-    cost = limit
-    while True:
-        steps = found.join(table, ["_k", "_x"]).select("_k", "_c", F.posexplode("_far").alias("_p", "_y")).where(F.col("_p") >= limit - 1)
-        more = (steps.groupBy("_k", (F.col("_c") + F.col("_p") + F.lit(cost - limit + 1)).alias("_c")).agg(F.max("_y").alias("_x"))
-                .where(F.col("_c") < 2 * cost).join(nodes.select("_k", "_x"), ["_k", "_x"]).select("_k", "_x", "_c"))
-        more = more.checkpoint(eager=True)
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        cost *= 2
-        table = _doubled(table, limit).checkpoint(eager=True)
-    verdicts = nodes.join(found.select("_k", "_x", F.lit(True).alias("_in")), ["_k", "_x"], "left").select("_row", "_in")
-    return (rows.join(verdicts, "_row", "left")
+    keys = [f"_k{i}" for i in range(len(key_cols))]
+    base = rows.select("_row", *[F.col(c).cast("string").alias(k) for c, k in zip(key_cols, keys)], F.col(id_col).alias("_id"), micros(ts).alias("_t"))
+    order = [*keys, "_t", "_id", "_row"]
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // PIECE_ROWS))
+    # _o: place in the order, with the number of the piece in its upper bits
+    pieces = (base.where("_t is not null").repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .select("_row", *keys, "_t").withColumn("_o", F.monotonically_increasing_id()).checkpoint(eager=True))
+    spans = _spans(pieces, keys)
+    schema, named = pieces.schema, "".join(f", _s{i} string" for i in range(len(keys)))
+    going = spark.createDataFrame(spans, f"_piece long{named}, _round long")
+    own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)])
+    same = (F.shiftright("_o", 33) == F.col("_piece")) & own
+    found = [pieces.join(F.broadcast(going), same, "left_anti").mapInArrow(_walk(keys, width, limit), schema).checkpoint(eager=True)]
+    if spans:
+        path = scratch_path(spark, f"admitted-{uuid.uuid4().hex}")
+        pieces.join(F.broadcast(going), same).select(*schema.names, "_round").write.partitionBy("_round").parquet(path)
+        hot = spark.createDataFrame(list({s[1:-1] for s in spans}), named[2:])
+        last: dict[tuple, list[int]] = {}
+
+        def left(walked: DataFrame) -> None:
+            """Take over the last instants that the pieces just walked admitted of the keys that go on."""
+            w = Window.partitionBy(*keys).orderBy(F.col("_o").desc())
+            tail = walked.join(F.broadcast(hot), own, "left_semi").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
+            for r in sorted(tail.collect(), key=lambda r: r["_o"]):  # limit rows a key that goes on
+                key = tuple(r[k] for k in keys)
+                last[key] = [*last.get(key, []), r["_t"]][-limit:]
+
+        for turn in range(1, max(s[-1] for s in spans) + 1):
+            left(found[-1])
+            carried = dict(last)
+
+            def go_on(key: tuple, piece: pd.DataFrame) -> pd.DataFrame:
+                piece = piece.sort_values("_o")
+                key = tuple(None if pd.isna(k) else k for k in key)
+                at = piece["_t"].tolist()
+                return piece.iloc[_step(at, 0, len(at), list(carried.get(key, [])), width, limit)]
+
+            own_pieces = spark.read.schema(schema).parquet(f"{path}/_round={turn}")
+            found.append(own_pieces.groupBy(*keys).applyInPandas(go_on, schema).checkpoint(eager=True))
+    passed = found[0].select("_row")
+    for more in found[1:]:
+        passed = passed.unionByName(more.select("_row"))
+    return (rows.join(passed.withColumn("_in", F.lit(True)), "_row", "left")
             .withColumn("allowed", F.when(F.col(ts).isNotNull(), F.coalesce("_in", F.lit(False)))).drop("_row", "_in"))

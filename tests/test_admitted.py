@@ -86,3 +86,15 @@ def test_doubling_rule_in_plain_python(times, width, limit):
         if sum(times[a] > t - width for a in acc) < limit:
             acc.append(i)
     assert sorted(found.values()) == acc
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_keys_that_fill_several_pieces_are_walked_from_piece_to_piece(spark, monkeypatch, limit):
+    from ragloom.operators import admitted
+    monkeypatch.setattr(admitted, "PIECE_ROWS", 60)  # at least 20 pieces
+    rows = rows_of(limit + 9, 1200, [1, 1, 1, 1, None, None, 2], 6000) + [(5000 + k, START, 3, "a") for k in range(200)]
+    cut = []
+    spans = admitted._spans
+    monkeypatch.setattr(admitted, "_spans", lambda *a: cut.extend(spans(*a)) or list(cut))
+    assert run(spark, rows, 60, limit) == walk(rows, 60, limit)
+    assert max(s[-1] for s in cut) >= 3 and {s[1] for s in cut} >= {"1", None}

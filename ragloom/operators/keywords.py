@@ -2,9 +2,9 @@
 
 * P15 needs only the document itself, so it runs inside the document row
   (an Arrow UDF counts the grams of one text at a time): no shuffle.
-* P16 needs corpus document frequencies: term counts per (doc, token) are a
-  partial/final aggregate, document frequencies a second aggregate joined
-  back on the token (AQE splits hot tokens).
+* P16 needs corpus document frequencies: term counts are taken inside the
+  document row, document frequencies are an aggregate of counts per batch
+  joined back on the token.
 * P14 is an iterative, damped rank propagation over co-occurrence edges; the
   state is one row per (doc, token) and lineage is cut with ``checkpoint()``.
 """
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ GRAM_ARRAY = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()),
                                        T.StructField("n", T.LongType())]))
 #: Edges that leave a Python worker at a time (a few megabytes).
 EDGE_ROWS = 1 << 16
+#: Texts whose tokens are counted at a time.
+COUNT_ROWS = 1000
 
 
 def _lists(texts: pa.Array, found, names: list[str], types: list[pa.DataType]) -> pa.Array:
@@ -97,16 +100,49 @@ def ngram_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",
                     F.col("_s.gram").alias("gram"), F.col("_s.n").alias("n")))
 
 
+def _counted(docs: DataFrame, id_col: str, text_col: str, by_text: bool) -> DataFrame:
+    """Tokens counted inside the rows: (id, token, n) of every text, or (token, n) with the texts of a batch that hold the token."""
+    rows = docs.select(id_col, words(F.col(text_col)).alias("_words"))
+    fields = [T.StructField("token", T.StringType()), T.StructField("n", T.LongType())]
+    schema = T.StructType([rows.schema[0], *fields] if by_text else fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, COUNT_ROWS) for whole in batches for at in range(0, whole.num_rows, COUNT_ROWS)):
+            lists = b.column(1)
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            size = max(1, len(coded.dictionary))
+            pair, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+            if not by_text:
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(pair % size, minlength=len(coded.dictionary)), pa.int64())], names=["token", "n"])
+                continue
+            for s in range(0, len(pair), EDGE_ROWS):
+                own = pair[s:s + EDGE_ROWS]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own // size)), coded.dictionary.take(pa.array(own % size)),
+                                                  pa.array(n[s:s + EDGE_ROWS], pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(count, schema)
+
+
+def _summed(counted: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, token, tf) from the counts of every text: only those of an id that several rows share are shuffled and added up."""
+    counted = counted.withColumnRenamed("n", "tf")
+    shared = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_shared")).checkpoint(eager=True)
+    if shared.isEmpty():
+        return counted
+    here = F.col(id_col).eqNullSafe(F.col("_shared"))
+    once, several = (counted.join(shared, here, how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(several.groupBy(id_col, "token").agg(F.sum("tf").alias("tf")))
+
+
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, token, tf) over lower-cased letter runs."""
-    return (docs.select(id_col, F.explode(words(F.col(text_col))).alias("token"))
-            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc_id, token, tf) over lower-cased letter runs; a text is counted in its row."""
+    return _summed(_counted(docs, id_col, text_col, True), docs, id_col)
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, df): in how many texts a token occurs; only partial counts of the vocabulary are shuffled."""
-    each = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("token"))
-    return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    """(token, df): in how many texts a token occurs; a batch of texts sends each of its tokens once."""
+    return _counted(docs, text_col, text_col, False).groupBy("token").agg(F.sum("n").alias("df"))
 
 
 def tfidf_keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id",

@@ -62,3 +62,18 @@ def test_case_keywords_and_category_metrics(spark):
     m = evaluate.category_metrics(hits, cases).first()
     assert m["relevant"] == 2 and m["hits"] == 3
     assert m["found"] == 4 and m["expected"] == 5
+
+
+def test_token_counts_are_not_shuffled_unless_ids_repeat(spark):
+    from ragloom.operators import keywords
+    rows = [(1, "a b a ß"), (1, "b Straße 中文字"), (2, None), (None, "a a"), (None, "a x"), (3, ""), (4, "B b; b-a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["token"]): r["tf"] for r in keywords.term_frequencies(docs).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 2, (1, "ß"): 1, (1, "straße"): 1, (1, "中文"): 1, (1, "文字"): 1, (None, "a"): 3, (None, "x"): 1,
+                   (4, "b"): 3, (4, "a"): 1}
+    df = {r["token"]: r["df"] for r in keywords.document_frequencies(docs).collect()}
+    assert df == {"a": 4, "b": 3, "ß": 1, "straße": 1, "中文": 1, "文字": 1, "x": 1}
+    single = docs.where("doc_id > 1")
+    assert "Exchange hash" not in keywords.term_frequencies(single)._jdf.queryExecution().executedPlan().toString()  # by (id, token) before
+    tops = {(r["doc_id"], r["token"]): (r["tf"], r["df"]) for r in keywords.tfidf_keywords(docs, 5).collect()}
+    assert tops[(1, "b")] == (2, 3) and tops[(None, "a")] == (3, 4) and len(tops) == 9

@@ -42,7 +42,7 @@ _EVENTS_US = "(SELECT *, epoch_us(ts) AS us FROM events)"
 
 @register("rate_limit_admitted", oracle=admitted_walk_sql(_EVENTS_US, "user_id, event_type", DAY_US, RL_LIMIT))
 def q_rate_limit_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10 counting admitted requests only, per client and route, one a day, by pointer doubling."""
+    """W10 counting admitted requests only, per client and route, one a day, by a walk over sorted pieces."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     return admitted_ops.moving_window_admitted(ev, RL_WINDOW_S, RL_LIMIT).drop("ts")
 

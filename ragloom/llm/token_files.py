@@ -21,10 +21,11 @@ the closing magic), so a lost task leaves nothing behind.
 
 from __future__ import annotations
 
-import re
+import codecs
+import json
+import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +44,9 @@ _HEAD = struct.Struct("<8sIIQQII")
 #: A shard is closed by the document that brings it to so many ids.
 SHARD_TOKENS = 4_000_000
 #: Text encoded in one step; longer texts are cut at white space.
-_STEP = 1 << 20
-#: Encoded words that a Python worker remembers, in each of two generations.
+_STEP = 1 << 22
+#: Encoded parts of words that a Python worker remembers, in each of two generations, besides those of one step.
 _REMEMBER = 100_000
-#: Rows of a batch whose texts are lower-cased and encoded at a time.
-_ROWS = 1000
 #: Shards whose offsets are broadcast (three numbers each); more are joined by shuffle.
 BROADCAST_SHARDS = 100_000
 
@@ -141,9 +140,17 @@ class Shard:
 
 # --- encoding ------------------------------------------------------------------------------------
 
-#: Lower-case letters that are one composed code point: a run of them is one word to the tokenizer.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-_SIGNS = b".,;:!?"
+#: How word_bpe_49k normalises a text and parts it; plain words are parted here in the same way, in bulk.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Bytes of a plain word: printable ASCII without capitals, composed letters from U+00C0 to U+00FF.
+_PLAIN = rb"^(?:[!-@[-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
+_PARTS = rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@[-`{-~]+"
+#: Names of special tokens hold it; they are case-sensitive and found before anything else.
+_SPECIAL = b"<|"
 
 
 def _byte_letters() -> list[str]:
@@ -153,83 +160,122 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
-def _spelled() -> list[tuple[bytes, bytes]]:
-    """The composed letters of _LETTERS, each with the two letters of its bytes."""
+def _spelled() -> str:
+    """The letter of every byte of plain words parted by spaces; after \xc3 the bytes from 0x80 to 0x9E are capitals."""
     letter = _byte_letters()
-    return [(bytes([0xC3, b]), (letter[0xC3] + letter[b]).encode()) for b in range(0x9F, 0xC0) if b != 0xB7]
+    return "".join(" " if b == 0x20 else letter[b + 0x20] if 0x80 <= b <= 0x9E else letter[b] for b in range(256))
 
 
 _SPELLED = _spelled()
 
 
+def _taken(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size[k]`` ids from ``first[k]`` on, for every k in turn."""
+    before = size.cumsum() - size
+    return ids[np.repeat(first - before, size) + np.arange(size.sum())]
+
+
+class Words:
+    """Words with their ids, in arrays."""
+
+    def __init__(self):
+        self.words = pa.array([b""], pa.binary())
+        self.first, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Where each word is, -1 if nowhere."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().copy()
+
+    def add(self, words: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.first = np.concatenate([self.first, len(self.ids) + size.cumsum() - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+
 class Encoder:
     """Ids of whole texts.
 
     ``by_word``: the tokenizer never joins characters across ASCII white
     space, lower-cases and is byte-level (as ``word_bpe_49k``), so the ids of
-    a text are those of its words in turn, and a word met again is not
-    encoded again.
+    a text are those of its words in turn. Words are handled in bulk, as
+    Arrow and numpy arrays: distinct words of a step are parted as the
+    tokenizer does, and a part met again is not encoded again.
     """
 
     def __init__(self, spec: str, by_word: bool):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(spec)
         self.by_word = by_word
-        # words of letters need no normaliser and no pattern: the same merges, parted at spaces
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        says = json.loads(spec) if by_word else {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.parts = bool(suffix) and (says.get("normalizer"), says.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER)
+        # parts of plain words need no normaliser and no pattern: the same merges, parted at spaces
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.signs = dict(zip(_SIGNS, self._whole([chr(c) for c in _SIGNS]))) if by_word else {}
-        self.young: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.young, self.old = Words(), Words()
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Which words can be parted here; all others are left to the tokenizer whole."""
+        if not self.parts:
+            return np.zeros(len(words), bool)
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, _SPECIAL))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _learn(self, words: pa.Array | set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in turn, and how many each has."""
+        if not isinstance(words, pa.Array):
+            words = pa.array(list(words), pa.binary())
+        spaced = pc.binary_slice(pc.replace_substring_regex(words, _PARTS, rb"\0 "), 0, -1)
+        parted = pc.split_pattern(pc.if_else(pa.array(self._plain(words)), spaced, words), b" ")
+        parts = parted.flatten().dictionary_encode()
+        at = self._remembered(parts.dictionary)[parts.indices.to_numpy()]
+        size = self.young.size[at]
+        ends = np.concatenate([[0], size.cumsum()])[parted.offsets.to_numpy()]
+        return _taken(self.young.ids, self.young.first[at], size), np.diff(ends)
+
+    def _remembered(self, parts: pa.Array) -> np.ndarray:
+        """Where ``young`` has each part; those that it lacks are encoded, if ``old`` lacks them too."""
         if len(self.young) > _REMEMBER:
-            self.old, self.young = self.young, {b"": b""}
-        young, old, rest, stems, signed = self.young, self.old, [], set(), []
-        for w in words.difference(young):
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-                continue
-            sign = w[-1] in _SIGNS  # between a letter and white space a sign is a token of its own
-            stem = w[:-1] if sign else w
-            if not _LETTERS(stem):
-                rest.append(w)
-                continue
-            if sign:
-                signed.append(w)
-            known = young.get(stem) or old.get(stem)
-            if known is None:
-                stems.add(stem)
-            else:
-                young[stem] = known
-        new = list(stems)
-        for i in range(0, len(new), 10_000):
-            young.update(zip(new[i:i + 10_000], self._letters(new[i:i + 10_000])))
-        for w in signed:
-            young[w] = young[w[:-1]] + self.signs[w[-1]]
-        for i in range(0, len(rest), 10_000):
-            part = rest[i:i + 10_000]
-            young.update(zip(part, self._whole([w.decode("utf-8", "surrogatepass") for w in part])))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[bytes]) -> Iterator[bytes]:
-        """Ids of words of letters, all in one text: a token with the end-of-word suffix closes a word."""
-        text = b" ".join(words)
-        if not text.isascii():
-            for letter, spelled in _SPELLED:
-                text = text.replace(letter, spelled)
-        ids = np.array(self.letters.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(ends) != len(words):
+            self.old, self.young = self.young, Words()
+        at = self.young.find(parts)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = parts.take(pa.array(missing))
+            was = self.old.find(new)
+            known, fresh = np.flatnonzero(was >= 0), np.flatnonzero(was < 0)
+            was, plain = was[known], self._plain(new.take(pa.array(fresh)))
+            order = np.concatenate([known, fresh[plain], fresh[~plain]])
+            size, ids = [self.old.size[was]], [_taken(self.old.ids, self.old.first[was], self.old.size[was])]
+            for which, encode in ((fresh[plain], self._merged), (fresh[~plain], self._whole)):
+                left = new.take(pa.array(which)).to_numpy(zero_copy_only=False).tolist()
+                for i in range(0, len(left), 10_000):
+                    n, got = encode(left[i:i + 10_000])
+                    size.append(n)
+                    ids.append(got)
+            at[missing[order]] = len(self.young) + np.arange(len(new))
+            self.young.add(new.take(pa.array(order)), np.concatenate(size), np.concatenate(ids))
+        return at
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([len(g) for g in got], np.int64), np.array([i for g in got for i in g], np.uint32)
+
+    def _merged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts of plain words, all in one text: a token with the end-of-word suffix closes a part."""
+        text = codecs.charmap_decode(b" ".join(parts), "strict", _SPELLED)[0]
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):
             raise ValueError("the tokenizer does not close every word; use by_word=False")
-        packed = ids.tobytes()
-        return (packed[a:b] for a, b in zip([0, *ends], ends))
+        return np.diff(ends, prepend=0), ids
 
     def _steps(self, raw: bytes) -> Iterator[bytes]:
         at = 0
@@ -245,16 +291,11 @@ class Encoder:
         """Ids of all texts in turn and where each text's end: distinct words are looked up once, the rest is arrays."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        self._learn(set(distinct))
-        packed = [self.young[w] for w in distinct]
-        ids = np.frombuffer(b"".join(packed), "<u4")
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, size = self._learn(coded.dictionary.cast(pa.binary()))
         first = size.cumsum() - size
         at = coded.indices.to_numpy()
-        of_word = size[at]
-        ends = np.concatenate([[0], of_word.cumsum()])
-        out = ids[np.repeat(first[at] - ends[:-1], of_word) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], size[at].cumsum()])
+        out = _taken(ids, first[at], size[at])
         offsets = words.offsets.to_numpy()
         return out, ends[offsets[1:] - offsets[0]]
 
@@ -264,8 +305,6 @@ class Encoder:
             for t in texts.to_pylist():
                 yield np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
             return
-        # the names of special tokens are case-sensitive
-        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         sizes = pc.binary_length(texts).to_numpy()
         at = 0
         while at < len(texts):  # whole texts up to one step, or one longer text in steps
@@ -273,11 +312,13 @@ class Encoder:
             while stop < len(texts) and held + sizes[stop] <= _STEP:
                 held += int(sizes[stop])
                 stop += 1
+            some = texts.slice(at, stop - at)
+            some = pc.if_else(pc.match_substring(some, _SPECIAL.decode()), some, pc.ascii_lower(some))
             if held <= _STEP:
-                ids, ends = self._joined(texts.slice(at, stop - at))
+                ids, ends = self._joined(some)
                 yield from np.split(ids, ends[:-1])
             else:
-                raw = texts[at].cast(pa.binary()).as_py()
+                raw = some[0].cast(pa.binary()).as_py()
                 yield np.concatenate([self._joined(pa.array([step], pa.binary()).cast(pa.string(), safe=False))[0] for step in self._steps(raw)])
             at = stop
 
@@ -288,6 +329,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 def encoder(spec: str, by_word: bool) -> Encoder:
     """The worker's encoder for this vocabulary; it lives on between tasks."""
     key = (spec, by_word)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(spec, by_word)
@@ -323,7 +365,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
             data = pack_shard(part, shard, ids, np.array(ends, np.uint64), np.concatenate(pieces))
             return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
-        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
+        for b in batches:
             for d, got in zip(b.column(0).to_pylist(), enc.batch(b.column(1))):
                 ids.append(d)
                 pieces += [got, closing]

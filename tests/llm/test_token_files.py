@@ -84,3 +84,46 @@ def test_an_encoder_remembers_a_bounded_number_of_words():
     for k in range(45):  # 6,000 words at a time; up to 600,000 were held before
         enc._learn({(a + b + c + d).encode() for a in letters[:15] for b in letters for c in letters for d in (f"x{k:02d}",)})
     assert max(len(enc.young), len(enc.old)) <= 106_001 and len(enc.young) + len(enc.old) > 6_000
+
+
+def test_plain_words_are_parted_in_bulk(monkeypatch):
+    """Signs, digits, contractions and composed capitals do not send a word to the tokenizer whole, and a part is merged once."""
+    with open(PATH, encoding="utf-8") as f:
+        e = token_files.Encoder(f.read(), True)
+    merged = []
+
+    def seen(parts, encode=e._merged):
+        merged.extend(parts)
+        return encode(parts)
+
+    monkeypatch.setattr(e, "_whole", None)
+    monkeypatch.setattr(e, "_merged", seen)
+    monkeypatch.setattr(token_files, "_STEP", 60)
+    texts = ["House house, house. house*** (house) 'house'", "house's they'll it'd ''s 'stuff x'y", "Étage ÀÉÎÕÜÞ étage!! a1b22 3.14 $$$ |", "house\nétage", "", " "]
+    whole = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in e.batch(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert merged.count(b"house") == 1 and len(merged) < 40
+
+
+def test_any_mixture_of_characters_against_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "_STEP", 500)
+    monkeypatch.setattr(token_files, "_REMEMBER", 50)
+    with open(PATH, encoding="utf-8") as f:
+        e = token_files.Encoder(f.read(), True)
+    kinds = [*"aszléßÿÉÞ×÷09'std.,*|<>`{~\x7f\x00\x1c\x85\xa0\xad̸́ªİſKΣσж中٣½ \n", "'re", "'VE", "<|", "<|endoftext|>", "'s", " ", " "]
+    r = np.random.default_rng(5)
+    texts = ["".join(kinds[k] for k in r.integers(0, len(kinds), n)) for n in r.integers(0, 60, 600)]
+    whole = Tokenizer.from_file(PATH)
+    for some in (texts, texts[:50]):
+        assert [x.tolist() for x in e.batch(pa.array(some))] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_a_tokenizer_that_parts_otherwise_gets_its_words_whole():
+    import json
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    spec = json.dumps(spec)
+    texts = ["it's 1234 and 56a7", "It'S !?"]
+    whole = Tokenizer.from_str(spec)
+    assert [x.tolist() for x in token_files.Encoder(spec, True).batch(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

@@ -72,7 +72,7 @@ def _drops(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
     rows = ev.withColumn("_us", micros("ts")).withColumn("drop", drop).drop("_us").checkpoint(eager=True)
     names = sorted(r[0] for r in rows.select("drop").distinct().collect())  # a number for every four days
     for at, n in enumerate(names):
-        rows.where(F.col("drop") == n).select(ev.columns).coalesce(1).write.parquet(f"{base}/drops/d={at}")
+        rows.where(F.col("drop") == n).select(ev.columns).repartition(1).write.parquet(f"{base}/drops/d={at}")
     beat = rows.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
     beat.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in ev.schema]) \
         .coalesce(1).write.parquet(f"{base}/drops/d={len(names)}")

@@ -189,3 +189,77 @@ def test_a_bucket_of_keys_costs_one_entry_a_slice_and_batch():
     out = pd.concat(p.handleExpiredTimer((0,), Clock(), Timer()))
     assert out["event_id"].tolist() == list(range(2 * n)) and out["allowed"].tolist() == [True] * n + [False] * n
     assert len(handle.calls) <= 10 and handle.timers == [15_000, 75_000] and not p.waiting.held
+
+
+def test_a_fixed_window_of_many_keys_is_a_state_row_a_bucket(spark):
+    n = 1500  # keys, two requests each; a group and a timer a key before
+    rows = [(i, START + dt.timedelta(microseconds=i), i % n, "a") for i in range(2 * n)]
+    base = scratch_path(spark, f"limiter-{uuid.uuid4().hex}")
+    for k, part in enumerate((rows[n // 2:], rows[:n // 2], BEAT)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{base}/in/d={k}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/d=*")
+    out = limiter.fixed_window_verdicts(stream, 60, 1, watermark="5 minutes")
+    q = jobs.run_available(out.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/checkpoint")
+    steps = [s for p in q.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(s["numRowsUpdated"] for s in steps) <= 4 * limiter.BUCKETS and max(s["numRowsTotal"] for s in steps) <= 4 * limiter.BUCKETS
+    got = {r["event_id"]: (r["allowed"], r["late"]) for r in spark.read.schema("event_id long, allowed boolean, late boolean").parquet(f"{base}/out").collect()}
+    assert got == {i: (i < n, False) for i in range(2 * n)}
+
+
+def test_a_group_a_key_gives_the_same_verdicts_as_buckets(spark):
+    rows = requests(7)
+    one, other = (sorted(map(tuple, verdicts(spark, limiter.fixed_window_verdicts, [rows[:120], rows[120:], BEAT], limit=2, buckets=b))) for b in (None, 3))
+    assert one == other and len(one) == len(rows)
+
+
+def test_state_of_a_bucket_is_the_earliest_requests_of_its_keys():
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, v):
+            self.calls.append("update")
+            self.value = v
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def frame(at, n=100):
+        return pd.DataFrame({"key": [f'{{"user_id":{k}}}' for k in range(n)], "req_us": at, "req_id": np.arange(n) + 1000 * at, "beat": False})
+    p = limiter.FixedWindowBucket(60_000_000, 2)
+    p.init(Handle())
+    refused = [i for calls in ([9, 8, 7], [6], [5]) for out in p.handleInputRows((3, 0), iter(map(frame, calls)), Clock(0)) for i in out["event_id"]]
+    assert sorted(refused) == [k + 1000 * at for at in (7, 8, 9) for k in range(100)]
+    assert State.calls == ["get", "update"] * 3 and Handle.timers == [60_000]
+    assert sorted(i for out in p.handleExpiredTimer((3, 0), None, None) for i in out["event_id"]) == [k + 1000 * at for at in (5, 6) for k in range(100)]
+    assert p.first.value is None and list(p.handleExpiredTimer((3, 0), None, None)) == []
+    beats = frame(1).assign(beat=True)
+    assert list(p.handleInputRows((3, 0), iter([beats]), Clock(0))) == [] and p.first.value is None
+    late = list(p.handleInputRows((3, 0), iter([frame(1)]), Clock(60_001)))
+    assert len(late) == 1 and late[0]["late"].all() and late[0]["allowed"].isna().all() and len(late[0]) == 100
+    none = limiter.FixedWindowBucket(60_000_000, 0)
+    none.init(Handle())
+    assert len(pd.concat(none.handleInputRows((3, 0), iter([frame(1)]), Clock(0)))) == 100 and none.first.value is None and Handle.timers == [60_000]

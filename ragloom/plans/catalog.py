@@ -1215,9 +1215,11 @@ def q_file_corpus_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import scratch_path
     from ..sources import corpus, index_store
     base = scratch_path(spark, f"file-corpus-{uuid.uuid4().hex}")
-    table(spark, sf_dir, "documents").where("text is not null").select("text").write.option("maxRecordsPerFile", 1).text(f"{base}/inbox")
-    docs, _ = corpus.scan_text_corpus(spark, f"{base}/inbox")
-    index_store.save_index(spark, embed_ops.count_vectors(chunk_ops.chunk_documents_fixed(docs), "text", "vec"), f"{base}/index")
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("text")
+    for at, folders in enumerate(corpus.write_text_files(texts, f"{base}/inbox")):
+        docs, _ = corpus.scan_text_corpus(spark, folders)
+        save = index_store.append_index if at else index_store.save_index
+        save(spark, embed_ops.count_vectors(chunk_ops.chunk_documents_fixed(docs), "text", "vec"), f"{base}/index")
     index = index_store.load_index(spark, f"{base}/index")
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     top = knn_ops.knn_join(embed_ops.count_vectors(qs, "text", "vec"), index, k=L.RETRIEVER_K, q_id="qid", q_vec="vec",

@@ -9,13 +9,22 @@ by (path, modification time, length).
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tasks a slot that a folder of many small files is read in, and bytes of a task beyond that.
+#: Tasks a slot that a folder of many small files is read in, and bytes of a task beyond that. Files come longest first and
+#: tasks take as many each, so the first task of a few would hold most of the bytes.
 SCAN_WAVES = 4
-SCAN_BYTES = 128 << 20
+SCAN_BYTES = 4 << 20
+#: Files of a folder that ``write_text_files`` writes, and files listed at a time: the driver holds about a kilobyte for each.
+FOLDER_FILES = 1000
+LISTED_FILES = 100_000
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -39,9 +48,57 @@ def _few_tasks(files: DataFrame) -> DataFrame:
     return files.coalesce(tasks)
 
 
-def scan_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt",
+def _listed_together(folders: Iterable[tuple[str, int]], most: int) -> list[list[str]]:
+    """(folder, files) dealt to groups of up to ``most`` files, one folder at least."""
+    groups, held = [], 0
+    for folder, n in sorted(folders):
+        if not groups or held + n > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(folder)
+        held += n
+    return groups
+
+
+def write_text_files(texts: DataFrame, path: str, folder_files: int = FOLDER_FILES, listed_files: int = LISTED_FILES) -> list[list[str]]:
+    """Every text (the only column) as a file of its own that ends in a line break; the folders below ``path``, in groups to scan at a time.
+
+    Hadoop's local file system starts ``chmod`` for every file it creates, and
+    the driver moves each once more when the job is committed. On such a store
+    tasks write their files themselves, an attempt into folders of its own:
+    those of the attempts that ended are returned.
+    """
+    spark = texts.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        texts.write.option("maxRecordsPerFile", 1).text(path)
+        return [[path]]
+    fs.mkdirs(p)
+    root = fs.makeQualified(p).toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, folder = TaskContext.get(), 0, None
+        done = []
+        for batch in batches:
+            for text in batch.column(0):
+                if n % folder_files == 0:
+                    folder = os.path.join(root, f"{task.partitionId()}-{task.taskAttemptId()}-{n // folder_files}")
+                    os.makedirs(folder)
+                    done.append([folder, 0])
+                with open(os.path.join(folder, f"{n}.txt"), "xb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                n += 1
+                done[-1][1] += 1
+        yield pa.RecordBatch.from_pydict({"folder": pa.array([x for x, _ in done], pa.string()), "files": pa.array([x for _, x in done], pa.int64())})
+
+    written = texts.select(F.col(texts.columns[0]).cast("binary")).mapInArrow(write, "folder string, files long").collect()
+    return _listed_together(((r["folder"], r["files"]) for r in written), listed_files) or [[path]]
+
+
+def scan_text_corpus(spark: SparkSession, path: str | list[str], glob: str = "*.txt",
                      recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """One document per file -> (documents, rejects).
+    """One document per file of a folder or several -> (documents, rejects).
 
     documents: (doc_id, source, text, n_chars); rejects: (source, reason).
     """

@@ -129,3 +129,30 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     slots = spark.sparkContext.defaultParallelism
     assert docs.rdd.getNumPartitions() <= corpus.SCAN_WAVES * slots < 2000 // 32 + 1  # one task for every 32 files before
     assert sorted(r[0] for r in docs.select("text").collect()) == sorted(f"text {k}" for k in range(2000)) and rejects.count() == 0
+
+
+def test_texts_are_written_as_files_in_folders_listed_apart(spark, tmp_path):
+    texts = [f"text {k}\nline" for k in range(95)] + ["", None, "第一行", "ende\n", "text 1\nline"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    groups = corpus.write_text_files(df, str(tmp_path / "in box"), folder_files=10, listed_files=25)
+    found = [sorted(r[0] for r in corpus.scan_text_corpus(spark, g)[0].select("text").collect()) for g in groups]
+    assert len(groups) >= 4 and all(0 < len(x) <= 25 for x in found)  # all files were listed at once before
+    assert sorted(t for x in found for t in x) == sorted((t or "") + "\n" for t in texts)
+    ids = [r[0] for g in groups for r in corpus.scan_text_corpus(spark, g)[0].select("doc_id").collect()]
+    assert len(set(ids)) == len(texts)
+    # Hadoop's local file system, which starts chmod for every file, leaves a sum beside each
+    assert not [*tmp_path.rglob("*.crc")] and len([*tmp_path.rglob("*.txt")]) == len(texts)
+
+
+def test_bytes_that_are_no_utf8_stay_and_no_texts_are_no_files(spark, tmp_path):
+    bad = spark.sql("SELECT CAST(unhex('6F6BFF') AS STRING) AS text")
+    groups = corpus.write_text_files(bad, str(tmp_path / "bad"))
+    docs, rejects = corpus.scan_text_corpus(spark, groups[0])
+    assert docs.count() == 0 and rejects.count() == 1
+    groups = corpus.write_text_files(bad.where("text = 'x'"), f"file:{tmp_path / 'none'}")
+    assert groups == [[f"file:{tmp_path / 'none'}"]] and corpus.scan_text_corpus(spark, groups[0])[0].count() == 0
+
+
+def test_folders_are_grouped_by_their_files():
+    assert corpus._listed_together([("c", 1), ("a", 9), ("b", 2)], 10) == [["a"], ["b", "c"]]
+    assert corpus._listed_together([("a", 20), ("b", 20)], 10) == [["a"], ["b"]] and corpus._listed_together([], 10) == []
